@@ -31,7 +31,7 @@ SNIPPET_RADIUS = 60
 SNIPPET_CAP = 500
 LINE_SNIPPET_CAP = 120
 PAGE_SNIPPETS = 3
-SNIPPET_SPAN_PREFETCH = 50
+SNIPPET_SPAN_PREFETCH = 8
 
 
 @functools.lru_cache(maxsize=1)
@@ -106,6 +106,9 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+T_col = _col
+
+
 def _unmark_lower(c) -> Column:
     src, dst = fold_table()
     return F.lower(F.regexp_replace(F.translate(_col(c), src, dst), r"\p{M}", ""))
@@ -143,7 +146,7 @@ def count_ci(c, keyword: str) -> Column:
     return F.coalesce(F.regexp_count(_col(c), F.lit(keyword_regex(keyword, "default"))), F.lit(0))
 
 
-def count_default(c, keyword: str) -> Column:
+def count_default(c, keyword: str, folded_spaces=None) -> Column:
     if not keyword:
         return F.lit(0)
     ci = count_ci(c, keyword)
@@ -152,17 +155,18 @@ def count_default(c, keyword: str) -> Column:
     sk = fold_spaces_py(keyword).strip()
     if len(sk) < 2:
         return ci
-    return F.greatest(ci, count_literal(fold_spaces(c), sk))
+    fs = fold_spaces(c) if folded_spaces is None else T_col(folded_spaces)
+    return F.greatest(ci, count_literal(fs, sk))
 
 
-def fuzzy_word_hits(c, keyword: str) -> Column:
+def fuzzy_word_hits(c, keyword: str, folded_spaces=None) -> Column:
     """Words of the space-folded text within the edit-distance threshold of the folded keyword."""
     sk = fold_strict_py(keyword)
     if len(sk) < 2:
         return F.lit(0)
     t = fuzzy_threshold(sk)
     n = len(sk)
-    words = F.split(fold_spaces(c), " ")
+    words = F.split(fold_spaces(c) if folded_spaces is None else T_col(folded_spaces), " ")
     hits = F.filter(
         words,
         lambda w: (w != F.lit(""))
@@ -172,24 +176,26 @@ def fuzzy_word_hits(c, keyword: str) -> Column:
     return F.coalesce(F.size(hits), F.lit(0))
 
 
-def count_fuzzy(c, keyword: str) -> Column:
+def count_fuzzy(c, keyword: str, folded_strict=None, folded_spaces=None) -> Column:
     if not keyword:
         return F.lit(0)
     sk = fold_strict_py(keyword)
     if len(sk) < 2:
         return F.lit(0)
-    sub = count_literal(fold_strict(c), sk)
-    return F.when(sub > 0, sub).otherwise(fuzzy_word_hits(c, keyword))
+    sub = count_literal(fold_strict(c) if folded_strict is None else T_col(folded_strict), sk)
+    return F.when(sub > 0, sub).otherwise(fuzzy_word_hits(c, keyword, folded_spaces))
 
 
-def count_matches(c, keyword: str, mode: str = "default") -> Column:
+def count_matches(c, keyword: str, mode: str = "default", folded_strict=None, folded_spaces=None) -> Column:
+    """Match count in ``mode``.  ``folded_strict`` / ``folded_spaces`` may name columns that
+    already hold the folds of ``c`` (computed once per row when several keywords share them)."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "exact":
         return count_exact(c, keyword)
     if mode == "fuzzy":
-        return count_fuzzy(c, keyword)
-    return count_default(c, keyword)
+        return count_fuzzy(c, keyword, folded_strict, folded_spaces)
+    return count_default(c, keyword, folded_spaces)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -267,11 +273,17 @@ def _spans_literal(flat: Column, pattern: str, length: int, limit: int) -> Colum
 
 
 def _spans_variable(text: Column, pattern: str, limit: int) -> Column:
+    """(start, end) of the first ``limit`` matches (all when ``limit`` < 0) of a variable-length
+    pattern.  With a limit, the matches are read from the text before the last split point, so
+    work stops after ``limit`` matches instead of scanning for all of them."""
     pieces = F.split(text, pattern, limit + 1 if limit > 0 else -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    if limit > 0:
-        matches = F.slice(matches, 1, limit)
     piece_lens = F.transform(pieces, lambda p: F.length(p))
+    if limit > 0:
+        head_len = F.length(text) - F.coalesce(F.element_at(piece_lens, -1), F.lit(0))
+        head = F.when(F.size(pieces) > F.lit(limit), F.substring(text, 1, head_len)).otherwise(text)
+        matches = F.slice(F.regexp_extract_all(head, F.lit(pattern), 0), 1, limit)
+    else:
+        matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     match_lens = F.transform(matches, lambda m: F.length(m))
     starts = _prefix_starts(piece_lens, match_lens)
     return F.transform(
@@ -300,13 +312,14 @@ def find_snippets(c, keyword: str, mode: str = "default", max_snippets: int = PA
 
     The folded pass runs a regex on ``lower(translate(flat))`` whose keyword characters are
     joined by a class of skipped characters; since the fold is length-preserving its match span
-    is the span in the original text, so excerpts show the original accented characters.  Only
-    the first 50 hits of each pass are examined unless those yield fewer than ``max_snippets``
-    distinct excerpts, in which case every hit is used — the result is always exact.
-
-    The work runs as ``transform`` stages over a one-element array of context structs, so the
-    flattened text, its reverse and its fold are each computed once per row and then read as
-    struct fields by the per-match lambdas.
+    is the span in the original text, so excerpts show the original accented characters.
+
+    Cost control without approximation: each pass first builds excerpts for its first few hits
+    only, and examines every hit only when those yield fewer than ``max_snippets`` distinct
+    excerpts and more hits exist; the folded pass runs only when the literal pass has not
+    already filled the list.  The work runs as ``transform`` stages over one-element arrays of
+    context structs, so the flattened text, its reverse and its fold are computed once per row
+    and read as struct fields by the per-match lambdas.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -318,36 +331,52 @@ def find_snippets(c, keyword: str, mode: str = "default", max_snippets: int = PA
     k = SNIPPET_SPAN_PREFETCH
     n_max = max_snippets
 
-    def ctx0(x):
-        flat = x["flat"]
-        fields = [flat.alias("flat"), F.reverse(flat).alias("rev"), F.length(flat).alias("n")]
-        fields.append((F.lower(F.translate(flat, src, dst)) if fold_pat else F.lit("")).alias("folded"))
-        return F.struct(*fields)
-
-    def spans(x, limit):
-        sp = _spans_literal(x["flat"], lit_pat, len(keyword), limit)
-        if fold_pat:
-            sp = F.concat(sp, _spans_variable(x["folded"], fold_pat, limit))
-        return sp
-
-    def snippets_of(x, sp):
+    def snippets_of(x, sp, prior=None):
         snips = F.transform(sp, lambda s: build_snippet(x["flat"], x["rev"], x["n"], s["s"], s["e"]))
+        if prior is not None:
+            snips = F.concat(prior, snips)
         return F.slice(F.array_distinct(snips), 1, n_max)
 
+    def ctx0(x):
+        flat = x["flat"]
+        return F.struct(flat.alias("flat"), F.reverse(flat).alias("rev"), F.length(flat).alias("n"))
+
     def ctx1(x):
         more = F.size(F.split(x["flat"], lit_pat, k + 1)) > F.lit(k)
-        if fold_pat:
-            more = more | (F.size(F.regexp_extract_all(x["folded"], F.lit(fold_pat), 0)) > F.lit(k))
-        return F.struct(*[x[f].alias(f) for f in ("flat", "rev", "n", "folded")], snippets_of(x, spans(x, k)).alias("fast"),
-                        more.alias("more"))
+        fast = snippets_of(x, _spans_literal(x["flat"], lit_pat, len(keyword), k))
+        return F.struct(*[x[f].alias(f) for f in ("flat", "rev", "n")], fast.alias("fast"), more.alias("more"))
 
     def ctx2(x):
-        full = snippets_of(x, spans(x, -1))
-        out = F.when((F.size(x["fast"]) < F.lit(n_max)) & x["more"], full).otherwise(x["fast"])
+        full = snippets_of(x, _spans_literal(x["flat"], lit_pat, len(keyword), -1))
+        lit_snips = F.when((F.size(x["fast"]) < F.lit(n_max)) & x["more"], full).otherwise(x["fast"])
+        return F.struct(*[x[f].alias(f) for f in ("flat", "rev", "n")], lit_snips.alias("lit"))
+
+    def fold_pass(x):
+        def f0(y):
+            return F.struct(*[y[f].alias(f) for f in ("flat", "rev", "n", "lit")], F.lower(F.translate(y["flat"], src, dst)).alias("folded"))
+
+        def f1(y):
+            more = F.size(F.split(y["folded"], fold_pat, k + 1)) > F.lit(k)
+            fast = snippets_of(y, _spans_variable(y["folded"], fold_pat, k), y["lit"])
+            return F.struct(*[y[f].alias(f) for f in ("flat", "rev", "n", "lit", "folded")], fast.alias("fast"), more.alias("more"))
+
+        def f2(y):
+            full = snippets_of(y, _spans_variable(y["folded"], fold_pat, -1), y["lit"])
+            return F.when((F.size(y["fast"]) < F.lit(n_max)) & y["more"], full).otherwise(y["fast"])
+
+        arr = F.array(x)
+        for st in (f0, f1, f2):
+            arr = F.transform(arr, st)
+        return F.element_at(arr, 1)
+
+    def ctx3(x):
+        out = x["lit"]
+        if fold_pat:
+            out = F.when(F.size(x["lit"]) >= F.lit(n_max), x["lit"]).otherwise(fold_pass(x))
         return F.when(x["flat"].isNull() | (x["n"] == 0), F.array().cast("array<string>")).otherwise(out)
 
     arr = F.array(F.struct(flatten_whitespace(c).alias("flat")))
-    for stage in (ctx0, ctx1, ctx2):
+    for stage in (ctx0, ctx1, ctx2, ctx3):
         arr = F.transform(arr, stage)
     return F.element_at(arr, 1)
 

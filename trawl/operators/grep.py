@@ -69,13 +69,17 @@ def multi_keyword_grep(
         raise ValueError("keyword list too large for one projection; split it into batches")
     ids = _ids(id_cols)
     lines = split_lines(df, text_col, ids)
+    # the folds are computed once per line in their own projection and shared by every keyword
+    folded = lines.select(*ids, "page", "line", "line_text", T.fold_spaces("line_text").alias("_fs"),
+                          T.fold_strict("line_text").alias("_fst"))
     counts = F.array(
         *[
-            F.struct(F.lit(k).alias("keyword"), F.lit(m).alias("mode"), T.count_matches("line_text", k, m).alias("count"))
+            F.struct(F.lit(k).alias("keyword"), F.lit(m).alias("mode"),
+                     T.count_matches("line_text", k, m, folded_strict="_fst", folded_spaces="_fs").alias("count"))
             for k, m in keywords
         ]
     )
-    exploded = lines.select(*ids, "page", "line", "line_text", F.inline(counts))
+    exploded = folded.select(*ids, "page", "line", "line_text", F.inline(counts))
     out = exploded.filter(F.col("count") > 0)
     cols = [*ids, "keyword", "mode", "page", "line", "count"]
     if with_snippet:

@@ -11,8 +11,21 @@ TABLES = (
 )
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition a scan that has fewer input splits than the cluster has cores.
+
+    Text search is CPU-bound per row; a corpus stored as one large file or row group would
+    otherwise run on one core.  A scan that already has enough splits (the normal case at
+    scale) is returned unchanged, so no shuffle is added there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df) if spread_out else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
