@@ -29,8 +29,21 @@ def _symlinks(root: str) -> list[str]:
     return found
 
 
+def _empty_files(root: str) -> list[str]:
+    found = []
+    for dirpath, _dirnames, filenames in os.walk(root, followlinks=False):
+        for name in filenames:
+            p = os.path.join(dirpath, name)
+            if not os.path.islink(p) and os.path.getsize(p) == 0:
+                found.append("file:" + os.path.abspath(p))
+    return found
+
+
 def list_files(spark: SparkSession, folder: str, exclude_symlinks: bool = True) -> DataFrame:
-    """(path, length) of every regular file below ``folder`` (recursive), without reading content."""
+    """(path, length) of every regular file below ``folder`` (recursive), without reading content.
+
+    Spark's file scan skips zero-length files, so on a local tree those are added from the
+    driver's directory walk (paths only) to keep run statistics complete."""
     if not os.path.isdir(folder) and "://" not in folder:
         raise FileNotFoundError(f"Folder not found: {folder}")
     df = (
@@ -48,6 +61,10 @@ def list_files(spark: SparkSession, folder: str, exclude_symlinks: bool = True)
             for pre in prefixes:
                 cond = cond | F.col("path").startswith(pre)
             df = df.filter(~cond)
+    if "://" not in folder:
+        empty = _empty_files(folder)
+        if empty:
+            df = df.unionByName(spark.createDataFrame([(p, 0) for p in empty], "path string, length long"))
     return df
 
 
