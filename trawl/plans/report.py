@@ -47,9 +47,12 @@ def crawl_json(results: DataFrame, outcomes: DataFrame, blocked: DataFrame,
             )
         ).alias("line"),
     )
-    body = results.select(
+    from trawl.operators.stats import global_rank
+
+    ranked = global_rank(results.withColumn("_neg", F.negative("count")), ["_neg", "seq"], out_col="_rank")
+    body = ranked.select(
         F.lit(1).alias("section"),
-        F.col("seq").cast("long").alias("ord"),
+        F.col("_rank").cast("long").alias("ord"),
         _json(F.struct("url", "count", "snippets")).alias("line"),
     )
     blk = blocked.select(F.lit(2).alias("section"), F.col("seq").cast("long").alias("ord"), _json(F.struct("url", "reason")).alias("line"))
