@@ -95,10 +95,21 @@ def keyword_list(keywords_df: DataFrame, keyword_col: str = "keyword", mode_col:
     return [(r[0], r[1]) for r in rows]
 
 
+def with_computed(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """``keep`` columns plus ``cols`` computed inside a one-element generator.
+
+    A later filter on these columns cannot be pushed below the generator, so an expensive
+    expression (a match count over a whole document) is evaluated once, after any upstream
+    repartition, instead of being copied into a filter that Catalyst would push down to the
+    scan side of the shuffle."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select(*keep, F.inline(packed))
+
+
 def doc_counts(df: DataFrame, keyword: str, mode: str = "default", text_col: str = "text", id_cols=("doc_id",)) -> DataFrame:
     """Whole-text match count per row (rows with zero matches dropped)."""
     ids = _ids(id_cols)
-    counted = df.select(*ids, T.count_matches(text_col, keyword, mode).alias("count"))
+    counted = with_computed(df, ids, count=T.count_matches(text_col, keyword, mode))
     return counted.filter(F.col("count") > 0)
 
 

@@ -58,27 +58,27 @@ def _long(*names):
 # --- text scalar functions -------------------------------------------------------------------
 
 def count_exact(spark, sf):
-    d = _docs(spark, sf).select("doc_id", T.count_exact("text", KW_EXACT).alias("count"))
+    d = G.with_computed(_docs(spark, sf), ["doc_id"], count=T.count_exact("text", KW_EXACT))
     return d.filter("count > 0").select("doc_id", *_long("count"))
 
 
 def count_ci(spark, sf):
-    d = _docs(spark, sf).select("doc_id", T.count_ci("text", KW_CI).alias("count"))
+    d = G.with_computed(_docs(spark, sf), ["doc_id"], count=T.count_ci("text", KW_CI))
     return d.filter("count > 0").select("doc_id", *_long("count"))
 
 
 def count_default(spark, sf):
-    d = _docs(spark, sf).select("doc_id", T.count_default("text", KW_DEFAULT).alias("count"))
+    d = G.with_computed(_docs(spark, sf), ["doc_id"], count=T.count_default("text", KW_DEFAULT))
     return d.filter("count > 0").select("doc_id", *_long("count"))
 
 
 def count_fuzzy(spark, sf):
-    d = _docs(spark, sf).select("doc_id", T.count_fuzzy("text", KW_FUZZY).alias("count"))
+    d = G.with_computed(_docs(spark, sf), ["doc_id"], count=T.count_fuzzy("text", KW_FUZZY))
     return d.filter("count > 0").select("doc_id", *_long("count"))
 
 
 def fuzzy_words(spark, sf):
-    d = _docs(spark, sf).select("doc_id", T.fuzzy_word_hits("text", KW_FUZZY_WORDS).alias("count"))
+    d = G.with_computed(_docs(spark, sf), ["doc_id"], count=T.fuzzy_word_hits("text", KW_FUZZY_WORDS))
     return d.filter("count > 0").select("doc_id", *_long("count"))
 
 
@@ -166,7 +166,7 @@ def folder_stats(spark, sf):
 
 def _snip(spark, sf, kw, mode):
     d = _docs(spark, sf)
-    counted = d.select("doc_id", "text", T.count_matches("text", kw, mode).alias("count")).filter("count > 0")
+    counted = G.with_computed(d, ["doc_id", "text"], count=T.count_matches("text", kw, mode)).filter("count > 0")
     return counted.select("doc_id", *_long("count"), T.find_snippets(F.col("text"), kw, mode, 3).alias("snippets"))
 
 

@@ -38,8 +38,8 @@ def grep_pages(pages: DataFrame, keyword: str, mode: str = "default", with_snipp
                id_cols=("page_id", "url")) -> DataFrame:
     """Page text -> whole-page count -> up to 3 snippets for pages with matches."""
     ids = list(id_cols)
-    t = pages.select(*ids, H.page_text(F.col("html")).alias("text"))
-    counted = t.select(*ids, "text", T.count_matches(F.col("text"), keyword, mode).alias("count")).filter(F.col("count") > 0)
+    t = G.with_computed(pages, ids, text=H.page_text(F.col("html")))
+    counted = G.with_computed(t, [*ids, "text"], count=T.count_matches(F.col("text"), keyword, mode)).filter(F.col("count") > 0)
     if not with_snippets:
         return counted.drop("text")
     return counted.select(*ids, "count", T.find_snippets(F.col("text"), keyword, mode, T.PAGE_SNIPPETS).alias("snippets"))
