@@ -58,7 +58,10 @@ def bfs_levels(
         step = frontier.filter(F.col("kind") == "nav").select(F.col("node").alias("src")).join(e, "src")
         if level >= depth:
             step = step.filter(F.col("kind") == "doc")
-        cand = step.groupBy(F.col("dst").alias("node")).agg(F.min("kind").alias("kind"))
+        # kind as an int code so the per-node minimum is a hash aggregate (documents first)
+        cand = step.groupBy(F.col("dst").alias("node")).agg(
+            F.min(F.when(F.col("kind") == "doc", 0).otherwise(1)).alias("_k")
+        ).select("node", F.when(F.col("_k") == 0, F.lit("doc")).otherwise(F.lit("nav")).alias("kind"))
         new = cand.join(visited, "node", "left_anti").select("node", F.lit(level + 1).alias("depth"), "kind")
         new = new.repartition(n, "node").checkpoint()
         if new.isEmpty():
