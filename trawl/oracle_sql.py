@@ -552,16 +552,38 @@ fx_edges AS (SELECT e.* FROM _fx_edges0 e JOIN _hosts h ON h.node = e.dst WHERE
     s["bfs_scoped"] = _bfs(scoped_edges, Q.BFS_DEPTH, None, False, scope_ctes) + "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node"
     s["bfs_doc_leaves"] = _bfs(FX_EDGES, 2, None, True) + """SELECT node, CAST(depth AS BIGINT) AS depth, kind FROM (
   SELECT node, depth, kind, row_number() OVER (PARTITION BY node ORDER BY depth, kind) AS _r FROM r) WHERE _r = 1"""
+    links_html = _extract_links_sql("fx_html", with_base_tag=True)
+    s["merge_rendered"] = with_(FX_HTML) + f"""SELECT h.page_id, h.spa,
+  CAST(CASE WHEN h.spa THEN 2 ELSE coalesce(l.nav, 0) END AS BIGINT) AS nav_links,
+  CAST(coalesce(l.docs, 0) + CASE WHEN h.spa THEN 1 ELSE 0 END AS BIGINT) AS doc_links
+FROM (SELECT page_id, {is_spa('html')} AS spa FROM fx_html) h
+LEFT JOIN (SELECT page_id, count_if(NOT {is_doc('link')}) AS nav, count_if({is_doc('link')}) AS docs FROM ({links_html}) GROUP BY page_id) l
+USING (page_id)"""
+    seed_host = "(SELECT " + url_host("_nu") + " FROM (" + normalize_stage("(SELECT url FROM pages ORDER BY page_id LIMIT 1)", "url", None, "_nu") + "))"
+    first = normalize_stage("(SELECT final_url FROM outcomes WHERE outcome <> 'network_error' ORDER BY page_id LIMIT 1)", "final_url", None, "_fn")
+    s["scope_redirect"] = "WITH " + _outcomes_ctes() + f""", _sh AS (SELECT {seed_host} AS seed_host),
+_fh AS (SELECT {url_host('_fn')} AS first_host FROM ({first})),
+_x AS (SELECT seed_host, first_host,
+  CASE WHEN starts_with(seed_host, 'www.') THEN NOT (first_host = substr(seed_host, 5) OR ends_with(first_host, '.' || substr(seed_host, 5)))
+       ELSE NOT (first_host = seed_host OR first_host = 'www.' || seed_host) END AS moved FROM _sh, _fh)
+SELECT seed_host, first_host, moved,
+  CASE WHEN starts_with(CASE WHEN moved THEN first_host ELSE seed_host END, 'www.') THEN substr(CASE WHEN moved THEN first_host ELSE seed_host END, 5)
+       ELSE CASE WHEN moved THEN first_host ELSE seed_host END END AS scope_root,
+  starts_with(CASE WHEN moved THEN first_host ELSE seed_host END, 'www.') AS allow_subdomains FROM _x"""
     return s
 
 
-def _extract_links_sql(src: str, with_src: bool = False) -> str:
+def _extract_links_sql(src: str, with_src: bool = False, with_base_tag: bool = False) -> str:
     vals = f"regexp_extract_all({strip_non_text('html')}, {lit(ANCHOR)}, 1)"
-    hrefs = f"""SELECT page_id, url, generate_subscripts(_h, 1) AS _i, {decode_entities(unquote('unnest(_h)'))} AS raw
-FROM (SELECT page_id, url, {vals} AS _h FROM {src})"""
-    with_base = normalize_stage(f"({hrefs})", "url", None, "_base")
-    normed = normalize_stage(f"({with_base})", "raw", "_base", "link", query_fix=True)
-    keep = f"SELECT page_id, _base, _i, link FROM ({normed}) WHERE link <> '' AND NOT {is_ignored('link')}"
+    base_re = "(?is)<base\\b[^>]*\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+    raw_base = decode_entities(unquote(f"regexp_extract({strip_non_text('html')}, {lit(base_re)}, 1)")) if with_base_tag else "''"
+    pages = f"SELECT page_id, url, {vals} AS _h, {raw_base} AS _braw FROM {src}"
+    with_page = normalize_stage(f"({pages})", "url", None, "_page")
+    with_bres = normalize_stage(f"({with_page})", "_braw", "_page", "_bres", query_fix=True)
+    based = f"""SELECT *, CASE WHEN len(_h) > 0 AND _braw <> '' AND _bres <> '' THEN _bres ELSE _page END AS _base FROM ({with_bres})"""
+    hrefs = f"""SELECT page_id, _page, _base, generate_subscripts(_h, 1) AS _i, {decode_entities(unquote('unnest(_h)'))} AS raw FROM ({based})"""
+    normed = normalize_stage(f"({hrefs})", "raw", "_base", "link", query_fix=True)
+    keep = f"SELECT page_id, _page AS _base, _i, link FROM ({normed}) WHERE link <> '' AND NOT {is_ignored('link')}"
     if with_src:
         return f"""SELECT b._base AS src, d.pos, d.link FROM ({ordered_distinct(f'({keep})', 'page_id', 'link', '_i')}) d
 JOIN (SELECT DISTINCT page_id, _base FROM ({keep})) b USING (page_id)"""
