@@ -552,6 +552,16 @@ fx_edges AS (SELECT e.* FROM _fx_edges0 e JOIN _hosts h ON h.node = e.dst WHERE
     s["bfs_scoped"] = _bfs(scoped_edges, Q.BFS_DEPTH, None, False, scope_ctes) + "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node"
     s["bfs_doc_leaves"] = _bfs(FX_EDGES, 2, None, True) + """SELECT node, CAST(depth AS BIGINT) AS depth, kind FROM (
   SELECT node, depth, kind, row_number() OVER (PARTITION BY node ORDER BY depth, kind) AS _r FROM r) WHERE _r = 1"""
+    bs = f"SELECT doc_id, flat, length(flat) AS n, strpos(flat, 'elle') - 1 AS s, strpos(flat, 'elle') + 3 AS e FROM (SELECT doc_id, {flat_sql('text')} AS flat FROM documents)"
+    s["build_snippet"] = f"SELECT doc_id, snippet FROM ({snippet_stages('(' + bs + ' WHERE s >= 0)')})"
+    kw = Q.KW_EXACT
+    hits = f"""SELECT doc_id, flat, n, i, CAST(sum(length(pc)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {len(kw)} AS BIGINT) AS s, np
+FROM (SELECT doc_id, flat, n, unnest(pcs) AS pc, generate_subscripts(pcs, 1) AS i, len(pcs) AS np
+      FROM (SELECT doc_id, flat, length(flat) AS n, string_split(flat, {lit(kw)}) AS pcs FROM (SELECT doc_id, {flat_sql('text')} AS flat FROM documents)))"""
+    sn = snippet_stages(f"(SELECT *, s + {len(kw)} AS e FROM ({hits}) WHERE i < np)")
+    s["snippets_exact"] = f"""SELECT doc_id, CAST(max(np) - 1 AS BIGINT) AS count, string_agg(snippet, chr(10) ORDER BY mi) AS snippets FROM (
+  SELECT doc_id, snippet, np, mi, row_number() OVER (PARTITION BY doc_id ORDER BY mi) AS k FROM (
+    SELECT doc_id, snippet, max(np) AS np, min(i) AS mi FROM ({sn}) GROUP BY doc_id, snippet)) WHERE k <= 3 GROUP BY doc_id"""
     links_html = _extract_links_sql("fx_html", with_base_tag=True)
     s["merge_rendered"] = with_(FX_HTML) + f"""SELECT h.page_id, h.spa,
   CAST(CASE WHEN h.spa THEN 2 ELSE coalesce(l.nav, 0) END AS BIGINT) AS nav_links,
@@ -573,6 +583,24 @@ SELECT seed_host, first_host, moved,
     return s
 
 
+def flat_sql(x: str) -> str:
+    one = f"regexp_replace({x}, '[\\r\\n\\t\\x{{00A0}}]+', ' ', 'g')"
+    return java_trim(f"regexp_replace({one}, ' {{2,}}', ' ', 'g')")
+
+
+def snippet_stages(rel: str, out: str = "snippet") -> str:
+    """Relation with (flat, n, s, e) -> plus ``out``: the context excerpt of match [s, e)."""
+    s1 = f"SELECT *, greatest(s - 60, 0) AS _lo0, least(e + 60, n) AS _hi0 FROM {rel}"
+    s2 = f"""SELECT *, strpos(reverse(substr(flat, 1, _lo0)), ' ') AS _r, strpos(substr(flat, _hi0 + 1), ' ') AS _h FROM ({s1})"""
+    s3 = f"""SELECT *, CASE WHEN _lo0 = 0 OR _r = 0 THEN 0 ELSE _lo0 - _r + 1 END AS _lo,
+  CASE WHEN _hi0 >= n OR _h = 0 THEN n ELSE _hi0 + _h - 1 END AS _hi FROM ({s2})"""
+    body = java_trim("substr(flat, _lo + 1, _hi - _lo)")
+    s4 = f"""SELECT *, regexp_replace((CASE WHEN _lo > 0 THEN '...' ELSE '' END) || {body} || (CASE WHEN _hi < n THEN '...' ELSE '' END),
+  '[\\x00-\\x1f\\x7f]', '', 'g') AS _sn FROM ({s3})"""
+    return f"""SELECT * EXCLUDE (_lo0, _hi0, _r, _h, _lo, _hi, _sn),
+  CASE WHEN length(_sn) > 500 THEN substr(_sn, 1, 497) || '...' ELSE _sn END AS {out} FROM ({s4})"""
+
+
 def _extract_links_sql(src: str, with_src: bool = False, with_base_tag: bool = False) -> str:
     vals = f"regexp_extract_all({strip_non_text('html')}, {lit(ANCHOR)}, 1)"
     base_re = "(?is)<base\\b[^>]*\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"

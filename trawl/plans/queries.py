@@ -175,7 +175,8 @@ def snippets_default(spark, sf):
 
 
 def snippets_exact(spark, sf):
-    return _snip(spark, sf, KW_EXACT, "exact")
+    out = _snip(spark, sf, KW_EXACT, "exact")
+    return out.select("doc_id", "count", F.array_join("snippets", "\n").alias("snippets"))
 
 
 def snippets_fuzzy(spark, sf):
