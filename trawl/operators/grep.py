@@ -22,15 +22,26 @@ def normalize_newlines(c) -> Column:
     return F.regexp_replace(T._col(c), "\r\n?", "\n")
 
 
+def with_computed(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
+    """``keep`` columns plus ``cols`` computed inside a one-element generator.
+
+    A later filter on these columns cannot be pushed below the generator, so an expensive
+    expression (a match count over a whole document) is evaluated once, after any upstream
+    repartition, instead of being copied into a filter that Catalyst would push down to the
+    scan side of the shuffle."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select(*keep, F.inline(packed))
+
+
 def split_lines(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] | str = ("doc_id",)) -> DataFrame:
     """One row per line: ``page`` is 1-based when the text has form feeds, else 0; ``line``
     restarts at 1 on every page."""
     ids = _ids(id_cols)
-    norm = normalize_newlines(text_col)
-    paged = df.select(
+    normed = with_computed(df, ids, _norm=normalize_newlines(text_col))
+    paged = normed.select(
         *ids,
-        F.instr(norm, "\f").alias("_ff"),
-        F.posexplode(F.split(norm, "\f", -1)).alias("_p", "_page_text"),
+        F.instr("_norm", "\f").alias("_ff"),
+        F.posexplode(F.split("_norm", "\f", -1)).alias("_p", "_page_text"),
     )
     return paged.select(
         *ids,
@@ -49,7 +60,7 @@ def grep_lines(
     """(ids..., page, line, count, snippet) for every line with at least one match."""
     ids = _ids(id_cols)
     lines = split_lines(df, text_col, ids)
-    counted = lines.select(*ids, "page", "line", "line_text", T.count_matches("line_text", keyword, mode).alias("count"))
+    counted = with_computed(lines, [*ids, "page", "line", "line_text"], count=T.count_matches("line_text", keyword, mode))
     return counted.filter(F.col("count") > 0).select(
         *ids, "page", "line", "count", T.line_snippet("line_text").alias("snippet")
     )
@@ -95,17 +106,6 @@ def keyword_list(keywords_df: DataFrame, keyword_col: str = "keyword", mode_col:
     return [(r[0], r[1]) for r in rows]
 
 
-def with_computed(df: DataFrame, keep: Sequence[str], **cols: Column) -> DataFrame:
-    """``keep`` columns plus ``cols`` computed inside a one-element generator.
-
-    A later filter on these columns cannot be pushed below the generator, so an expensive
-    expression (a match count over a whole document) is evaluated once, after any upstream
-    repartition, instead of being copied into a filter that Catalyst would push down to the
-    scan side of the shuffle."""
-    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
-    return df.select(*keep, F.inline(packed))
-
-
 def doc_counts(df: DataFrame, keyword: str, mode: str = "default", text_col: str = "text", id_cols=("doc_id",)) -> DataFrame:
     """Whole-text match count per row (rows with zero matches dropped)."""
     ids = _ids(id_cols)

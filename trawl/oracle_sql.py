@@ -478,8 +478,7 @@ SELECT CAST(count_if(length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(
     pc = f"SELECT page_id, url, CAST(c AS BIGINT) AS count FROM (SELECT page_id, url, {count_default('_t', Q.KW_PAGES)} AS c FROM (SELECT page_id, url, {page_text('html')} AS _t FROM pages)) WHERE c > 0"
     s["grep_pages"] = pc
     s["grep_pages_ranked"] = f"SELECT CAST(row_number() OVER (ORDER BY count DESC, url, page_id) AS BIGINT) AS rank, page_id, url, count FROM ({pc})"
-    s["url_totals"] = f"SELECT url, CAST(sum(count) AS BIGINT) AS count FROM ({normalize_stage('(' + pc + ')', 'url', None, '_nu').replace('AS _nu', 'AS _nu')}) GROUP BY ALL".replace(
-        "SELECT url, CAST(sum(count) AS BIGINT) AS count FROM", "SELECT _nu AS url, CAST(sum(count) AS BIGINT) AS count FROM").replace("GROUP BY ALL", "GROUP BY _nu")
+    s["url_totals"] = f"SELECT _nu AS url, CAST(sum(count) AS BIGINT) AS count FROM ({normalize_stage('(' + pc + ')', 'url', None, '_nu')}) GROUP BY _nu"
     s["page_meta"] = with_(FX_HTML) + f"SELECT page_id, {meta_content('html', 'description')} AS description, {meta_content('html', 'keywords')} AS keywords FROM fx_html"
     s["spa_pages"] = with_(FX_HTML) + f"SELECT page_id, {is_spa('html')} AS is_spa FROM fx_html"
     href_re = "(?is)\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
