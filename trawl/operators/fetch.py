@@ -72,19 +72,27 @@ def fetch_outcomes(log: DataFrame, max_bytes: int) -> DataFrame:
     """(page_id, url, outcome, category, reason, kind) with the first matching rule winning:
     403/429 blocked; other HTTP >= 400 network error; exception network error; redirect to an
     already-queued URL; over size; bot challenge (HTML only); else ok."""
+    from trawl.operators.grep import with_computed
+
     dups = redirect_duplicates(log).withColumn("_redir_dup", F.lit(True))
-    j = log.join(dups, "page_id", "left")
+    j0 = log.join(dups, "page_id", "left")
+    # the size test and the (costly) challenge test are computed once per fetch, in a generator
+    # that later filters cannot be pushed through
+    j = with_computed(
+        j0, ["page_id", "url", "final_url", "status", "error_class", "content_type", "_redir_dup"],
+        _over=over_size(F.col("content_length"), F.col("body"), max_bytes),
+        _chall=(route_content(F.col("content_type")) == "html") & H.is_challenge(F.col("body")),
+    )
     status = F.col("status")
     kind = route_content(F.col("content_type"))
-    is_html = kind == "html"
-    challenge = is_html & H.is_challenge(F.col("body"))
+    challenge = F.col("_chall")
     http_err = status.isNotNull() & (status >= 400)
     outcome = (
         F.when(status.isin(*BLOCKED_STATUSES), F.lit("blocked"))
         .when(http_err, F.lit("network_error"))
         .when(F.col("error_class").isNotNull(), F.lit("network_error"))
         .when(F.coalesce(F.col("_redir_dup"), F.lit(False)), F.lit("redirect_duplicate"))
-        .when(over_size(F.col("content_length"), F.col("body"), max_bytes), F.lit("skipped_size"))
+        .when(F.col("_over"), F.lit("skipped_size"))
         .when(challenge, F.lit("challenge"))
         .otherwise(F.lit("ok"))
     )
