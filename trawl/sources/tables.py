@@ -17,8 +17,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Text search is CPU-bound per row; a corpus stored as one large file or row group would
     otherwise run on one core.  A scan that already has enough splits (the normal case at
     scale) is returned unchanged, so no shuffle is added there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
+        return df
+    if splits < target:
         return df.repartition(target)
     return df
 
