@@ -515,7 +515,7 @@ def file_scan(spark, sf):
     folder = _doc_folder(spark, sf)
     one = FS.list_files(spark, folder).orderBy(F.desc("length"), "path").select("path").first()[0]
     path = one.replace("file:", "")
-    return P.scan_file(spark, path, KW_CI).select("path", *_long("page", "line", "count"), "snippet")
+    return P.scan_file(spark, path, KW_PAGES).select("path", *_long("page", "line", "count"), "snippet")
 
 
 def decode_bytes(spark, sf):
