@@ -152,7 +152,8 @@ def crawl_frontier(
         if added == 0:
             break
         total += added
-        queued = queued.unionByName(new).checkpoint()
+        # a union of checkpointed parts: reading it back is cheap, so no further checkpoint
+        queued = queued.unionByName(new)
         canon = canon.unionByName(
             new.join(canon.select("base"), "base", "left_anti")
             .withColumn("_r", F.row_number().over(Window.partitionBy("base").orderBy("rank")))
