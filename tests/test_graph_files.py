@@ -119,7 +119,8 @@ def test_folder_max_hits(spark):
         _write(os.path.join(root, name), b"key one\nkey two")
     lines, per_file, stats = P.scan_folder(spark, root, "key", "default", max_hits=3)
     assert sorted(os.path.basename(r.path) for r in per_file.collect()) == ["f1.txt", "f2.txt"]
-    assert stats.first().total_matches == 4
+    st = stats.first()
+    assert (st.total_matches, st.files_scanned, st.stopped_early) == (4, 2, 3)
 
 
 def test_size_gate_is_pushed_to_file_scan(spark):

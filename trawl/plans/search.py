@@ -17,15 +17,25 @@ from trawl.sources import files as FS
 
 def scan_folder(spark: SparkSession, folder: str, keyword: str, mode: str = "default",
                 max_bytes: int = 10 * 1024 * 1024, max_hits: int = 0):
-    """Returns (line matches, per-file results, one-row stats)."""
+    """Returns (line matches, per-file results, one-row stats).
+
+    With ``max_hits`` the scan stops after the file (in path order) whose matches bring the
+    total to the limit: later files are neither reported nor counted as scanned or skipped,
+    and the stats row carries ``stopped_early`` = the limit."""
     listed = FS.list_files(spark, folder)
     texts = FS.read_files(spark, folder, max_bytes)
     lines = G.grep_lines(texts, keyword, mode, text_col="text", id_cols=("path",))
     per_file = G.grep_files(lines, ("path",))
+    stopped = 0
     if max_hits > 0:
         per_file = S.max_hits_cut(per_file, ["path"], "total_matches", max_hits)
         lines = lines.join(per_file.select("path"), "path", "left_semi")
-    stats = S.folder_stats(listed, per_file, max_bytes)
+        # one scalar to the driver: the path of the file that reached the limit, if any
+        last = per_file.agg(F.max("path").alias("p"), F.sum("total_matches").alias("t")).first()
+        if last is not None and last["t"] is not None and last["t"] >= max_hits:
+            listed = listed.filter(F.col("path") <= F.lit(last["p"]))
+            stopped = max_hits
+    stats = S.folder_stats(listed, per_file, max_bytes).withColumn("stopped_early", F.lit(stopped))
     return lines, per_file, stats
 
 
