@@ -18,6 +18,20 @@ def test_sql_functions_equal_model(spark):
     assert spark.sql("SELECT fold_strict('Café-Ünter 1') AS f").first().f == "cafeunter1"
 
 
+def test_sql_normalize_url_equals_column_version(spark):
+    from pyspark.sql import functions as F
+
+    from trawl.functions import urls as U
+    from trawl.sources import fixtures as FX
+
+    sql_functions.register(spark)
+    h = FX.fx_hrefs(spark, SF01)
+    rows = h.select(F.expr("normalize_url(href, url)").alias("a"), U.normalize_url(F.col("href"), F.col("url")).alias("b"),
+                    F.expr("normalize_url(url, '')").alias("c"), U.normalize_url(F.col("url")).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in rows)
+    assert spark.sql("SELECT normalize_url('../c', 'http://example.com/a/b/') AS v").first().v == "http://example.com/a/c"
+
+
 def test_sql_functions_have_no_python_in_plan(spark):
     sql_functions.register(spark)
     plan = spark.sql("SELECT count_matches(text, 'x', 'fuzzy') FROM docs_sql")._jdf.queryExecution().executedPlan().toString()

@@ -47,6 +47,7 @@ def _bodies() -> dict[str, tuple[str, str, str]]:
              f"WHEN {count_lit(fold_strict('t'), sk)} > 0 THEN {count_lit(fold_strict('t'), sk)} ELSE coalesce({words}, 0) END")
     exact = f"CASE WHEN t IS NULL OR k IS NULL OR k = '' THEN 0 ELSE {count_lit('t', 'k')} END"
     return {
+        "normalize_url": ("u STRING, b STRING", "STRING", _normalize_url_sql()),
         "fold_strict": ("x STRING", "STRING", fold_strict("x")),
         "fold_spaces": ("x STRING", "STRING", fold_spaces("x")),
         "count_exact": ("t STRING, k STRING", "INT", exact),
@@ -61,6 +62,58 @@ def _bodies() -> dict[str, tuple[str, str, str]]:
     }
 
 
+def _normalize_url_sql() -> str:
+    """The staged URL normalisation of :mod:`trawl.functions.urls`, written as SQL ``transform``
+    stages over ``named_struct`` values (each stage reads the previous one's fields)."""
+    from trawl.functions.urls import _ABS, _SCHEME
+
+    q = _sql_lit
+    a = q(_ABS)
+
+    def keep(*names):
+        return ", ".join(f"'{n}', x.{n}" for n in names)
+
+    dots = (
+        "element_at(transform(array(split(x.merged, '/')), segs -> element_at(transform(array(aggregate("
+        "slice(segs, 2, greatest(size(segs) - 1, 0)), cast(array() as array<string>), (acc, s) -> "
+        "CASE WHEN s = '.' THEN acc WHEN s = '..' AND size(acc) > 0 AND element_at(acc, -1) != '..' "
+        "THEN slice(acc, 1, greatest(size(acc) - 1, 0)) ELSE concat(acc, array(s)) END)), st -> "
+        "concat('/', array_join(st, '/'), CASE WHEN element_at(segs, -1) IN ('.', '..') AND size(st) > 0 "
+        "THEN '/' ELSE '' END)), 1)), 1)"
+    )
+    stages = [
+        f"x -> named_struct({keep('u0', 'b')}, 'u1', CASE WHEN startswith(x.u0, '//') THEN concat(CASE WHEN "
+        "startswith(x.b, 'https') THEN 'https:' ELSE 'http:' END, x.u0) ELSE x.u0 END)",
+        f"x -> named_struct({keep('u0', 'u1')}, 'bad', x.u1 rlike {q(_SCHEME)} AND lower(regexp_extract(x.u1, "
+        f"{q('^([a-zA-Z][a-zA-Z0-9+.-]*):')}, 1)) NOT IN ('http', 'https'), 'auth', x.u1 rlike {q(_SCHEME + '//')}, "
+        f"'bok', x.b rlike {q('(?i)^https?://')}, 'bs', regexp_extract(x.b, {a}, 1), 'ba', regexp_extract(x.b, {a}, 2), "
+        f"'bp', regexp_extract(x.b, {a}, 3), 'bq', regexp_extract(x.b, {a}, 4), 'nf', regexp_extract(x.u1, {q('(?s)^([^#]*)')}, 1))",
+        f"x -> named_struct({keep('u0', 'u1', 'bad', 'auth', 'bok', 'bs', 'ba', 'bp', 'bq')}, 'hq', contains(x.nf, '?'), "
+        f"'sp', regexp_extract(x.nf, {q('(?s)^([^?]*)')}, 1), 'sq', regexp_extract(x.nf, {q('(?s)(\\?.*)$')}, 1), "
+        f"'qo', startswith(x.nf, '?'), 'merged', CASE WHEN x.bp = '' THEN concat('/', regexp_extract(x.nf, {q('(?s)^([^?]*)')}, 1)) "
+        f"ELSE concat(regexp_extract(x.bp, {q('(?s)^(.*/)')}, 1), regexp_extract(x.nf, {q('(?s)^([^?]*)')}, 1)) END)",
+        f"x -> named_struct({keep('u0', 'bad')}, 'abs', CASE WHEN x.auth THEN x.u1 WHEN x.bok THEN concat(x.bs, '://', x.ba, "
+        f"CASE WHEN startswith(x.sp, '/') THEN x.sp WHEN x.sp != '' THEN {dots} WHEN x.qo THEN concat(regexp_extract(x.bp, "
+        f"{q('(?s)^(.*)/')}, 1), '/') ELSE x.bp END, CASE WHEN x.hq THEN x.sq WHEN x.sp = '' THEN x.bq ELSE '' END) "
+        "WHEN startswith(x.u1, 'http') THEN x.u1 ELSE concat('http://', x.u1) END)",
+        f"x -> named_struct({keep('u0', 'bad')}, 'ok', x.abs rlike {a}, 'proto', lower(regexp_extract(x.abs, {a}, 1)), "
+        f"'hp', regexp_extract(regexp_extract(x.abs, {a}, 2), {q('(?s)^(?:[^@]*@)?(.*)$')}, 1), 'path', regexp_extract(x.abs, {a}, 3), "
+        f"'query', regexp_extract(x.abs, {a}, 4))",
+        f"x -> named_struct({keep('u0', 'bad', 'ok', 'proto', 'path', 'query')}, 'host', lower(regexp_extract(x.hp, {q('(?s)^([^:]*)')}, 1)), "
+        f"'port', regexp_extract(x.hp, {q('(?s)^[^:]*:(.*)$')}, 1))",
+        f"x -> named_struct({keep('u0', 'bad', 'ok', 'proto', 'path', 'query', 'host')}, 'port_ok', x.port = '' OR x.port rlike "
+        f"{q('^[0-9]{1,9}$')}, 'port_n', CASE WHEN x.port = '' THEN -1 ELSE try_cast(x.port AS INT) END)",
+        "x -> CASE WHEN x.u0 = '' OR x.bad THEN '' WHEN x.ok AND x.proto IN ('http', 'https') AND x.host != '' AND x.port_ok "
+        "THEN concat(x.proto, '://', x.host, CASE WHEN x.port_n != -1 AND x.port_n != CASE WHEN x.proto = 'https' THEN 443 ELSE 80 END "
+        f"THEN concat(':', cast(x.port_n AS STRING)) ELSE '' END, regexp_replace(CASE WHEN x.path = '' THEN '/' ELSE x.path END, "
+        f"{q('/{2,}')}, '/'), x.query) ELSE '' END",
+    ]
+    arr = f"array(named_struct('u0', coalesce(regexp_replace(u, {q('^[\\x00-\\x20]+|[\\x00-\\x20]+$')}, ''), ''), 'b', coalesce(b, '')))"
+    for st in stages:
+        arr = f"transform({arr}, {st})"
+    return f"element_at({arr}, 1)"
+
+
 def register(spark: SparkSession) -> list[str]:
     names = []
     for name, (params, ret, body) in _bodies().items():
