@@ -80,7 +80,14 @@ def test_crawl_report_ranks_by_count_then_visit_order(spark):
     assert set(head["stats"]["errors"]) == {"network_error", "blocked", "parse_error", "skipped_size", "skipped_type"}
 
 
-def test_text_report_more_counter(spark):
-    rows = Q.report_text(spark, SF01).collect()
-    more = [r.line for r in rows if "more)" in r.line]
-    assert more and all(r.line.startswith("       (+ ") for r in rows if "more)" in r.line)
+def test_text_report_sections(spark):
+    rows = Q.report_text(spark, SF01).orderBy("section", "ord").collect()
+    lines = [r.line for r in rows]
+    assert lines[0].startswith("Total matches found: ") and lines[1].startswith("Pages visited: ")
+    assert "\nIssues:" in lines and "\nFound in:" in lines and "\nBlocked / inaccessible:" in lines
+    assert any(x.startswith("  Network errors: ") for x in lines)
+    assert any(x.startswith("    Timeout: ") for x in lines)
+    found = [x for x in lines if x.startswith("  http")]
+    counts = [int(x.rsplit("(", 1)[1].rstrip(")")) for x in found]
+    assert counts == sorted(counts, reverse=True)
+    assert all(x.startswith("    (+ ") for x in lines if x.endswith(" more)"))

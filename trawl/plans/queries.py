@@ -491,8 +491,13 @@ def report_json_crawl(spark, sf):
 
 
 def report_text(spark, sf):
-    hits = P.grep_pages(_pages(spark, sf), KW_PAGES, "default")
-    return R.text_lines(hits).select("url", *_long("count", "sub"), "line")
+    o = _outcomes(spark, sf)
+    f = FX.fx_fetch_log(spark, sf)
+    ok = o.filter("outcome = 'ok'").select("page_id").join(f, "page_id")
+    hits = P.grep_pages(ok.withColumn("html", F.col("body")), KW_PAGES, "default", id_cols=("page_id", "url"))
+    results = hits.select(F.col("page_id").alias("seq"), "url", "count", "snippets")
+    blocked = FE.blocked_by_reason(o)
+    return R.crawl_text(results, o, blocked).select("section", "ord", "line")
 
 
 # --- files (written from the documents table by Spark, then scanned as a folder) ------------

@@ -86,19 +86,92 @@ def folder_json(per_file: DataFrame, stats: DataFrame, folder: str, keyword: str
     return head.unionByName(body)
 
 
-def text_lines(results: DataFrame) -> DataFrame:
-    """Ranked text report lines: ``<count> matches  <url>`` then indented snippets and
-    ``(+ N more)`` when the count exceeds the snippets shown."""
+# Fixed values that must equal the search tool's text report: category labels in report order.
+ERROR_LABELS = (
+    ("network_error", "Network errors"), ("blocked", "Blocked"), ("parse_error", "Parse errors"),
+    ("skipped_size", "Skipped (size limit)"), ("skipped_type", "Skipped (type filter)"),
+)
+
+
+def text_lines(results: DataFrame, keep=()) -> DataFrame:
+    """Result lines of the text report: ``  <url> (<count>)``, each snippet quoted on its own
+    indented line, then ``(+ N more)`` when the count exceeds the snippets shown."""
     ranked = results.select(
-        "url", "count", "snippets",
+        *keep, "url", "count", "snippets",
         F.greatest(F.col("count") - F.size("snippets"), F.lit(0)).alias("more"),
     )
     lines = F.concat(
-        F.array(F.format_string("%5d  %s", F.col("count"), F.col("url"))),
-        F.transform("snippets", lambda s: F.concat(F.lit("       "), s)),
-        F.when(F.col("more") > 0, F.array(F.format_string("       (+ %d more)", F.col("more")))).otherwise(F.array().cast("array<string>")),
+        F.array(F.format_string("  %s (%d)", F.col("url"), F.col("count"))),
+        F.transform("snippets", lambda s: F.concat(F.lit('    "'), s, F.lit('"'))),
+        F.when((F.size("snippets") > 0) & (F.col("more") > 0), F.array(F.format_string("    (+ %d more)", F.col("more"))))
+        .otherwise(F.array().cast("array<string>")),
+    )
+    return ranked.select(*keep, "url", "count", F.posexplode(lines).alias("sub", "line"))
+
+
+def crawl_text(results: DataFrame, outcomes: DataFrame, blocked: DataFrame, stopped_early: int = 0,
+               shown: int = 10) -> DataFrame:
+    """The full text report as (section, ord, line) rows.
+
+    results: (seq, url, count, snippets); outcomes: fetch outcomes; blocked: output of
+    ``fetch.blocked_by_reason`` (reason, count, urls, more).  Sections: summary, issues, results
+    ranked by count then URL, blocked URLs by reason, early-stop note.  Every section is built
+    from its own aggregation or ranking; nothing is gathered into one row."""
+    from trawl.operators.fetch import error_counts, error_reasons
+    from trawl.operators.stats import global_rank
+
+    o = F.col("outcome")
+    summary = outcomes.agg(
+        F.count_if(o.isin("redirect_duplicate", "skipped_size", "challenge", "ok")).alias("v"),
+        F.count_if(o == "ok").alias("p"),
+        F.count_if((o == "ok") & (F.col("kind") == "document")).alias("d"),
+    ).select(F.inline(F.array(
+        F.struct(F.lit(1).alias("ord"), F.format_string("Pages visited: %d", "v").alias("line")),
+        F.struct(F.lit(2).alias("ord"), F.format_string("  HTML pages: %d", F.greatest(F.col("p") - F.col("d"), F.lit(0))).alias("line")),
+        F.struct(F.lit(3).alias("ord"), F.format_string("  Documents:  %d", "d").alias("line")),
+    )))
+    total = results.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("t"))
+    head = total.select(F.lit(0).alias("ord"), F.format_string("Total matches found: %d", "t").alias("line")).unionByName(summary)
+    head = head.select(F.lit(0).alias("section"), F.col("ord").cast("long").alias("ord"), "line")
+
+    labels = F.create_map(*[x for k, v in ERROR_LABELS for x in (F.lit(k), F.lit(v))])
+    errs = error_counts(outcomes).filter(F.col("count") > 0)
+    issue_lines = errs.select(
+        F.lit(1).alias("section"), ((F.col("ord") + 1) * 100000).cast("long").alias("ord"),
+        F.format_string("  %s: %d", F.element_at(labels, F.col("category")), F.col("count")).alias("line"),
+    )
+    reason_rank = global_rank(error_reasons(outcomes), ["reason"], out_col="_r")
+    reason_lines = reason_rank.select(
+        F.lit(1).alias("section"), (F.lit(100000) + F.col("_r")).cast("long").alias("ord"),
+        F.format_string("    %s: %d", F.col("reason"), F.col("count")).alias("line"),
+    )
+    issues_head = errs.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).select(
+        F.lit(1).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit("\nIssues:").alias("line"))
+
+    ranked = global_rank(results.withColumn("_neg", F.negative("count")), ["_neg", "url"], out_col="_rank")
+    per = text_lines(ranked, keep=("_rank",))
+    found = per.select(F.lit(2).alias("section"), (F.col("_rank") * 1000 + F.col("sub") + 1).cast("long").alias("ord"), "line")
+    found_head = total.filter(F.col("t") > 0).select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"),
+                                                      F.lit("\nFound in:").alias("line"))
+
+    b = global_rank(blocked, ["reason"], out_col="_br")
+    blines = F.concat(
+        F.array(F.format_string("  %s (%d):", F.col("reason"), F.col("count"))),
+        F.transform("urls", lambda u: F.concat(F.lit("    "), u)),
+        F.when(F.col("more") > 0, F.array(F.format_string("    ... and %d more", F.col("more")))).otherwise(F.array().cast("array<string>")),
     )
-    return ranked.select("url", "count", F.posexplode(lines).alias("sub", "line"))
+    blocked_lines = b.select("_br", F.posexplode(blines).alias("sub", "line")).select(
+        F.lit(3).alias("section"), (F.col("_br") * 1000 + F.col("sub") + 1).cast("long").alias("ord"), "line")
+    blocked_head = blocked.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).select(
+        F.lit(3).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit("\nBlocked / inaccessible:").alias("line"))
+
+    out = (head.unionByName(issues_head).unionByName(issue_lines).unionByName(reason_lines)
+           .unionByName(found_head).unionByName(found).unionByName(blocked_head).unionByName(blocked_lines))
+    if stopped_early:
+        note = total.select(F.lit(4).alias("section"), F.lit(0).cast("long").alias("ord"),
+                            F.lit(f"\nNote: Search stopped early - max-hits limit of {stopped_early} reached.").alias("line"))
+        out = out.unionByName(note)
+    return out
 
 
 def duration_label(ms_col) -> Column:
