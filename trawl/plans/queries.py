@@ -481,7 +481,8 @@ def report_json_folder(spark, sf):
 
 
 def report_json_crawl(spark, sf):
-    o = _outcomes(spark, sf)
+    ensure_checkpoint_dir(spark)
+    o = _outcomes(spark, sf).checkpoint()
     f = FX.fx_fetch_log(spark, sf)
     ok = o.filter("outcome = 'ok'").select("page_id").join(f, "page_id")
     hits = P.grep_pages(ok.withColumn("html", F.col("body")), KW_PAGES, "default", id_cols=("page_id", "url"))
@@ -491,11 +492,13 @@ def report_json_crawl(spark, sf):
 
 
 def report_text(spark, sf):
-    o = _outcomes(spark, sf)
+    ensure_checkpoint_dir(spark)
+    # outcomes and results feed several report sections: materialise each once
+    o = _outcomes(spark, sf).checkpoint()
     f = FX.fx_fetch_log(spark, sf)
     ok = o.filter("outcome = 'ok'").select("page_id").join(f, "page_id")
     hits = P.grep_pages(ok.withColumn("html", F.col("body")), KW_PAGES, "default", id_cols=("page_id", "url"))
-    results = hits.select(F.col("page_id").alias("seq"), "url", "count", "snippets")
+    results = hits.select(F.col("page_id").alias("seq"), "url", "count", "snippets").checkpoint()
     blocked = FE.blocked_by_reason(o)
     return R.crawl_text(results, o, blocked).select("section", "ord", "line")
 
