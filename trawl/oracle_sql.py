@@ -561,6 +561,11 @@ FROM (SELECT doc_id, flat, n, unnest(pcs) AS pc, generate_subscripts(pcs, 1) AS
     s["snippets_exact"] = f"""SELECT doc_id, CAST(max(np) - 1 AS BIGINT) AS count, string_agg(snippet, chr(10) ORDER BY mi) AS snippets FROM (
   SELECT doc_id, snippet, np, mi, row_number() OVER (PARTITION BY doc_id ORDER BY mi) AS k FROM (
     SELECT doc_id, snippet, max(np) AS np, min(i) AS mi FROM ({sn}) GROUP BY doc_id, snippet)) WHERE k <= 3 GROUP BY doc_id"""
+    first_doc = "(SELECT * FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents))"
+    s["report_json_file"] = f"""SELECT CAST(to_json({{'query': {{'file': 'doc', 'keyword': {lit(Q.KW_CI)}, 'mode': 'default'}},
+  'stats': {{'total_matches': CAST(sum(count) AS BIGINT)}},
+  'matches': list({{'page': CAST(page AS INTEGER), 'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}} ORDER BY page, line)}}) AS VARCHAR) AS line
+FROM ({grep_lines(first_doc, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
     links_html = _extract_links_sql("fx_html", with_base_tag=True)
     s["merge_rendered"] = with_(FX_HTML) + f"""SELECT h.page_id, h.spa,
   CAST(CASE WHEN h.spa THEN 2 ELSE coalesce(l.nav, 0) END AS BIGINT) AS nav_links,
