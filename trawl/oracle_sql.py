@@ -566,6 +566,23 @@ FROM (SELECT doc_id, flat, n, unnest(pcs) AS pc, generate_subscripts(pcs, 1) AS
   'stats': {{'total_matches': CAST(sum(count) AS BIGINT)}},
   'matches': list({{'page': CAST(page AS INTEGER), 'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}} ORDER BY page, line)}}) AS VARCHAR) AS line
 FROM ({grep_lines(first_doc, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
+    fm = Q.FOLDER_MAX_BYTES
+    fl = grep_lines(f"(SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE strlen(text) <= {fm})", ["path"], Q.KW_CI, "default")
+    m_np = "{'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}"
+    m_p = "{'page': CAST(page AS INTEGER), 'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}"
+    s["report_json_folder"] = f"""WITH l AS ({fl}),
+per AS (SELECT path, CAST(sum(count) AS BIGINT) AS total_matches, bool_or(page > 0) AS hp,
+  list({m_np} ORDER BY page, line) AS m_np, list({m_p} ORDER BY page, line) AS m_p FROM l GROUP BY path),
+f AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS length FROM documents),
+st AS (SELECT CAST(count_if(f.length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(f.length > {fm}) AS BIGINT) AS files_skipped,
+  CAST(0 AS BIGINT) AS files_failed, CAST(count_if(coalesce(per.total_matches, 0) > 0) AS BIGINT) AS files_with_matches,
+  CAST(coalesce(sum(per.total_matches), 0) AS BIGINT) AS total_matches FROM f LEFT JOIN per USING (path))
+SELECT 0 AS section, '' AS ord, CAST(to_json({{'query': {{'folder': 'documents', 'keyword': {lit(Q.KW_CI)}, 'mode': 'default'}},
+  'stats': {{'files_scanned': files_scanned, 'files_skipped': files_skipped, 'files_failed': files_failed,
+  'files_with_matches': files_with_matches, 'total_matches': total_matches}}}}) AS VARCHAR) AS line FROM st
+UNION ALL
+SELECT 1 AS section, path AS ord, CAST(CASE WHEN hp THEN to_json({{'file': path, 'total_matches': total_matches, 'matches': m_p}})
+  ELSE to_json({{'file': path, 'total_matches': total_matches, 'matches': m_np}}) END AS VARCHAR) AS line FROM per"""
     links_html = _extract_links_sql("fx_html", with_base_tag=True)
     s["merge_rendered"] = with_(FX_HTML) + f"""SELECT h.page_id, h.spa,
   CAST(CASE WHEN h.spa THEN 2 ELSE coalesce(l.nav, 0) END AS BIGINT) AS nav_links,
