@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.common import cut, fresh, held_out, ship, train_sample
@@ -29,6 +29,7 @@ QUOTES = "\"“”„«»‘’‹›"
 SAYING = frozenset("said says say called calls wrote writes quote quoted sagte sagt schrieb nannte zitat dit disait écrit appelé "
                    "cité dijo dice escribió llamó cita".split())
 N_FEATURES = 7
+STEM_LENGTHS = (4, 5, 6, 7)
 
 
 class Lexicon:
@@ -36,8 +37,10 @@ class Lexicon:
 
     MAX_STATES = 200_000
 
-    def __init__(self, terms: dict[str, float], known: frozenset[str], max_edits: int = 1, least_length: int = 5):
-        self.terms, self.known, self.max_edits, self.least_length = terms, known, max_edits, least_length
+    def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset(), stems: dict[str, float] | None = None,
+                 max_edits: int = 1, least_length: int = 5):
+        self.terms, self.known, self.stems = terms, known, stems or {}
+        self.max_edits, self.least_length = max_edits, least_length
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
         for term in sorted(terms):
@@ -112,6 +115,8 @@ class Hits(dict):
         found: tuple[float, bool] | None = None
         if word in lex.terms:
             found = (lex.terms[word], False)
+        elif stem := next((word[:n] for n in STEM_LENGTHS if word[:n] in lex.stems), None):
+            found = (lex.stems[stem], False)
         elif word not in lex.known and len(word) >= lex.least_length - lex.max_edits and (term := lex.near(word)):
             found = (lex.terms[term], True)
         if len(self) >= CACHE:
@@ -169,26 +174,46 @@ class Hits(dict):
 class Model:
     """A lexicon and the logistic weights of its features."""
 
-    def __init__(self, terms: dict[str, float], known: frozenset[str], weights: np.ndarray):
-        self.terms, self.known, self.weights = terms, known, weights
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
+        self.lexicon, self.weights = lexicon, weights
 
 
-def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_docs: int, least_odds: float) -> tuple[dict[str, float], frozenset[str]]:
-    """``train`` has text and label.  Terms are words of at least ``least_docs`` toxic documents whose log odds
-    of document frequency reach ``least_odds``, the ``max_terms`` with the most toxic documents; known are
-    the ``max_known`` words that most clean documents have."""
+def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_docs: int, least_odds: float) -> Lexicon:
+    """``train`` has text and label.  Terms are words of at least ``least_docs`` toxic documents whose log odds of
+    document frequency reach ``least_odds``, the ``max_terms`` with the most toxic documents.  Stems are word
+    beginnings that pass the same test with clearly more documents than any one word they begin, so that
+    they stand for a family of words.  Known are the ``max_known`` words that most clean documents have."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:[*@$!][\p{L}\p{N}]+)*"), F.lit(0)))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    df = cut(train.select("label", F.explode(words).alias("word")).groupBy("word").agg(
-        F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")
-    ))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    terms = df.filter(F.col("t") >= least_docs).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
-    found = terms.orderBy(F.desc("t"), F.desc("odds"), "word").limit(max_terms).select("word", "odds").collect()
+
+    def frequencies(strings: Column) -> DataFrame:
+        return train.select("label", F.explode(strings).alias("word")).groupBy("word").agg(
+            F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")
+        ).withColumn("odds", odds)
+
+    def telling(df: DataFrame) -> list:
+        found = df.filter((F.col("t") >= least_docs) & (F.col("odds") >= least_odds))
+        return found.orderBy(F.desc("t"), F.desc("odds"), "word").limit(max_terms).select("word", "t", "odds").collect()
+
+    lengths = F.array(*[F.lit(n) for n in STEM_LENGTHS])
+    beginnings = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
+        F.filter(lengths, lambda n: n < F.length(w)), lambda n: F.substr(w, F.lit(1), n)))))
+    df = cut(frequencies(words))
+    found, begun = telling(df), telling(frequencies(beginnings))
     known = df.filter(F.col("c") >= 2).orderBy(F.desc("c"), "word").limit(max_known).select("word").collect()
-    lexicon = {r["word"]: float(r["odds"]) for r in found}
-    return lexicon, frozenset(r["word"] for r in known) - set(lexicon)
+    most: dict[str, int] = {}
+    for r in found:
+        for n in STEM_LENGTHS:
+            most[r["word"][:n]] = max(most.get(r["word"][:n], 0), r["t"])
+    stems: dict[str, float] = {}
+    for r in sorted(begun, key=lambda r: (len(r["word"]), r["word"])):
+        shorter = any(r["word"][:n] in stems for n in STEM_LENGTHS if n < len(r["word"]))
+        if not shorter and r["t"] >= 1.5 * most.get(r["word"], 0):
+            stems[r["word"]] = float(r["odds"])
+    terms = {r["word"]: float(r["odds"]) for r in found}
+    return Lexicon(terms, frozenset(r["word"] for r in known) - set(terms), stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -207,13 +232,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def _features(df: DataFrame, text: str, terms: dict[str, float], known: frozenset[str], out: str) -> DataFrame:
+def _features(df: DataFrame, text: str, lexicon: Lexicon, out: str) -> DataFrame:
     ship(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast((terms, known))  # bounded by max_terms and max_known
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by max_terms and max_known
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hits = Hits(Lexicon(*sent.value))
+        hits = Hits(sent.value)
         for texts in batches:
             yield pd.Series([hits.features(t) for t in texts])
 
@@ -227,13 +252,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_terms: i
     came from.  Rows with null text or a label other than 0 and 1 are not used."""
     sample = cut(train_sample(docs, labels, "toxic", max_docs))
     half = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))
-    terms, known = learn_lexicon(sample.filter(half == 0), max_terms, max_known, least_docs, least_odds)
-    got = _features(sample.filter(half == 1), "text", terms, known, "x").select("label", "x").collect()  # about max_docs / 2 rows
+    lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, least_docs, least_odds)
+    got = _features(sample.filter(half == 1), "text", lexicon, "x").select("label", "x").collect()  # about max_docs / 2 rows
     y = np.array([r["label"] for r in got], dtype=float)
     x = np.array([r["x"] for r in got], dtype=float).reshape(-1, N_FEATURES)
     if len(set(y)) < 2:
-        return Model(terms, known, np.array([-3.0] + [0.0] * N_FEATURES))
-    return Model(terms, known, logistic(x, y))
+        return Model(lexicon, np.array([-3.0] + [0.0] * N_FEATURES))
+    return Model(lexicon, logistic(x, y))
 
 
 def score(docs: DataFrame, model: Model, out: str, text_col: str = "text") -> DataFrame:
@@ -241,7 +266,7 @@ def score(docs: DataFrame, model: Model, out: str, text_col: str = "text") -> Da
     w = [float(v) for v in model.weights]
     x = fresh(docs, "_features")
     z = sum((F.col(x)[i] * w[i + 1] for i in range(N_FEATURES)), F.lit(w[0]))
-    return _features(docs, text_col, model.terms, model.known, x).withColumn(out, 1 / (1 + F.exp(-z))).drop(x)
+    return _features(docs, text_col, model.lexicon, x).withColumn(out, 1 / (1 + F.exp(-z))).drop(x)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
