@@ -17,13 +17,25 @@ from pyspark.sql import functions as F
 from trawl.llm.common import ascii_lower, cut, fresh
 from trawl.operators.grep import with_computed
 
-WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What lies between words: ASCII without letters and digits.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmark tables whose words take no more bytes than this are sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
 
+def pieces(text: Column) -> Column:
+    """The words as they are written, with an empty piece before a leading gap and one after a trailing gap."""
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), GAP)
+
+
+def word_count(text: Column) -> Column:
+    p = pieces(text)
+    empty = (F.element_at(p, 1) == "").cast("int") + (F.element_at(p, -1) == "").cast("int")
+    return F.greatest(F.size(p) - empty, F.lit(0)).cast("long")
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.filter(pieces(ascii_lower(text.cast("string"))), lambda w: w != "")
 
 
 def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -46,33 +58,36 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
     size = distinct.agg(F.sum(F.octet_length("window_id") + 16 * F.size("window_words"))).first()[0] or 0
     send = (lambda df: F.broadcast(df)) if size <= BROADCAST_BYTES else (lambda df: df)
 
-    tokens = distinct.select("window_id", F.posexplode("window_words").alias("offset", "word"))
+    # Documents are cut but not rewritten: keys are compared in full lower case, which texts that are equal
+    # after A-Z to a-z share, and only the stretch a key points at is lower-cased by that rule.
+    tokens = distinct.select("window_id", F.posexplode(F.transform("window_words", F.lower)).alias("offset", "word"))
     doc_words = with_computed(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")),
-        ["doc_id", "_t"], _w=words(F.col("_t")),
+        ["doc_id", "_t"], _w=pieces(F.col("_t")),
     )
-    counts = (
-        doc_words.select(F.explode("_w").alias("word"))
+    counts = cut(
+        doc_words.select(F.explode("_w").alias("word")).select(F.lower("word").alias("word"))
         .join(send(tokens.select("word").distinct()), "word", "left_semi")
         .groupBy("word").count()
     )
     # A word that no document has rules its windows out; else the rarest word is the key.
-    ranked = tokens.join(counts, "word", "left").groupBy("window_id").agg(
+    ranked = tokens.join(send(counts), "word", "left").groupBy("window_id").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "offset")).alias("key")
     )
-    keys = (
+    keys = cut(
         ranked.filter(F.col("key.n") > 0)
         .select("window_id", F.col("key.word").alias("word"), F.col("key.offset").alias("offset"))
-        .join(distinct, "window_id")
+        .join(distinct.select("window_id", F.size("window_words").alias("n_window")), "window_id")
     )
     places = doc_words.select(
-        "doc_id", F.xxhash64("_t").alias("text_hash"), "_w", F.posexplode("_w").alias("pos", "word")
-    )
+        "doc_id", F.xxhash64("_t").alias("text_hash"), "_w", F.posexplode("_w").alias("pos", "piece")
+    ).withColumn("word", F.lower("piece"))
     start = F.col("pos") - F.col("offset")
+    stretch = ascii_lower(F.array_join(F.slice(F.col("_w"), start + 1, F.col("n_window")), " "))
     hits = (
         places.join(send(keys), "word")
-        .filter((start >= 0) & (start + F.size("window_words") <= F.size("_w")))
-        .filter(F.slice(F.col("_w"), start + 1, F.size("window_words")) == F.col("window_words"))
+        .filter((start >= 0) & (start + F.col("n_window") <= F.size("_w")))
+        .filter(stretch == F.col("window_id"))
         .select("doc_id", "text_hash", start.alias("start"), "window_id")
         .distinct()
     )
@@ -109,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
         n_hit.doc_id.alias("_hit_id"), n_hit.text_hash.alias("_hit_hash"), "n_hit", "item_ids"
     )
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")).select(
-        "doc_id", F.xxhash64("_t").alias("text_hash"), F.size(words(F.col("_t"))).cast("long").alias("n_words")
+        "doc_id", F.xxhash64("_t").alias("text_hash"), word_count(F.col("_t")).alias("n_words")
     )
     more, least = min_share[1], min_share[0]
     out = base.join(per_doc, on=[base.doc_id.eqNullSafe(F.col("_hit_id")), base.text_hash == F.col("_hit_hash")], how="left")
