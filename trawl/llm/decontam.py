@@ -56,7 +56,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
     windows = cut(item_windows(items, window, item_id_col, item_text_col))
     distinct = windows.select("window_words").distinct().withColumn("window_id", F.concat_ws(" ", "window_words"))
     size = distinct.agg(F.sum(F.octet_length("window_id") + 16 * F.size("window_words"))).first()[0] or 0
-    send = (lambda df: F.broadcast(df)) if size <= BROADCAST_BYTES else (lambda df: df)
+    small = size <= BROADCAST_BYTES
+    send = F.broadcast if small else (lambda df: df)
 
     # Documents are cut but not rewritten: keys are compared in full lower case, which texts that are equal
     # after A-Z to a-z share, and only the stretch a key points at is lower-cased by that rule.
@@ -79,18 +80,21 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str
         .select("window_id", F.col("key.word").alias("word"), F.col("key.offset").alias("offset"))
         .join(distinct.select("window_id", F.size("window_words").alias("n_window")), "window_id")
     )
-    places = doc_words.select(
-        "doc_id", F.xxhash64("_t").alias("text_hash"), "_w", F.posexplode("_w").alias("pos", "piece")
-    ).withColumn("word", F.lower("piece"))
     start = F.col("pos") - F.col("offset")
-    stretch = ascii_lower(F.array_join(F.slice(F.col("_w"), start + 1, F.col("n_window")), " "))
-    hits = (
-        places.join(send(keys), "word")
-        .filter((start >= 0) & (start + F.col("n_window") <= F.size("_w")))
-        .filter(stretch == F.col("window_id"))
-        .select("doc_id", "text_hash", start.alias("start"), "window_id")
-        .distinct()
-    )
+    stretch = ascii_lower(F.array_join(F.slice(F.col("_w"), F.col("start") + 1, F.col("n_window")), " "))
+    inside = (F.col("start") >= 0) & (F.col("start") + F.col("n_window") <= F.col("n_words"))
+    hashed = doc_words.select("doc_id", F.xxhash64("_t").alias("text_hash"), "_w", F.size("_w").alias("n_words"))
+    if small:  # a document's words stay beside their places: the join is within the task
+        places = hashed.select("*", F.posexplode("_w").alias("pos", "piece")).withColumn("word", F.lower("piece"))
+        found = places.join(F.broadcast(keys), "word").withColumn("start", start).filter(inside)
+    else:  # places travel without the words, and what they point at is fetched once per document
+        places = hashed.select("doc_id", "text_hash", "n_words", F.posexplode("_w").alias("pos", "piece"))
+        near = places.select("*", F.lower("piece").alias("word")).join(keys, "word").withColumn("start", start).filter(inside)
+        per_doc = near.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+            F.collect_set(F.struct("start", "window_id", "n_window")).alias("_near"))
+        same = [hashed["doc_id"].eqNullSafe(per_doc["_id"]), hashed["text_hash"] == per_doc["_hash"]]
+        found = hashed.join(per_doc, on=same).select("doc_id", "text_hash", "_w", F.inline("_near"))
+    hits = found.filter(stretch == F.col("window_id")).select("doc_id", "text_hash", "start", "window_id").distinct()
     return hits, windows.select(
         F.concat_ws(" ", "window_words").alias("window_id"), F.size("window_words").alias("n_window"), "item_id"
     )
