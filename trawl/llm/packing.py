@@ -8,6 +8,7 @@ among all pieces of its length.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from array import array
 from collections import defaultdict
@@ -16,31 +17,66 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.common import cut, global_index, ship
+from trawl.llm.tokens import byte_symbols
 
 LENGTH = 4096
 END_ID = 2
-CACHE = 400_000  # words whose ids a worker remembers; the table starts anew when full
+CACHE = 600_000  # words, and pre-tokens, whose ids a worker remembers; the table starts anew when full
 #: Python splits at these, the tokenizers library does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+class TokenIds(dict):
+    """Pre-token (lower case) to the bytes of its ids (little-endian unsigned 32 bit), merged when first met."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.merge, self.symbols = model.tokenize, byte_symbols()
+
+    def __missing__(self, token: str) -> bytes:
+        ids = array("I", [t.id for t in self.merge("".join([self.symbols[b] for b in token.encode()]))])
+        if len(self) >= CACHE:
+            self.clear()
+        found = _little(ids)
+        if len(token) <= 48:
+            self[token] = found
+        return found
+
+
 class WordIds(dict):
-    """Word to the bytes of its ids (little-endian unsigned 32 bit), encoded when first met."""
+    """Word to the bytes of its ids.  Latin-1 words, which normalising leaves as they are but for case, are cut into
+    pre-tokens here; others go through the library whole."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, pattern: str):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.pre_tokens, self.tokens = tokenizer, regex.compile(pattern).findall, TokenIds(tokenizer.model)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return np.frombuffer(ids, dtype=np.uint32).astype("<u4").tobytes()
+        return _little(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _cut(self, word: str) -> bytes:
+        if not word.isascii():
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.encode(word)
+        low = word.lower()
+        if low.isalpha():
+            return self.tokens[low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.tokens[low[:-1]] + self.tokens[low[-1]]
+        if any(a in word for a in self.added):
+            return self.encode(word)
+        return b"".join(map(self.tokens.__getitem__, self.pre_tokens(low)))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self._cut(word)
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 48:
@@ -48,6 +84,12 @@ class WordIds(dict):
         return ids
 
 
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class Encoder:
     """Ids of whole texts for a vocabulary that drops white space, so that words can be encoded one by one."""
 
@@ -57,11 +99,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"].get("pretokenizers", [])
-        split = next((s for s in steps if s["type"] == "Split"), {})
-        if split.get("behavior") != "Removed" or not split.get("invert") or r"[^\s" not in split["pattern"].get("Regex", ""):
-            raise ValueError("a vocabulary that drops white space is needed")
-        self.words = WordIds(Tokenizer.from_file(path))
+            spec = json.load(f)
+        split = next((s for s in spec["pre_tokenizer"].get("pretokenizers", []) if s["type"] == "Split"), {})
+        pattern = split.get("pattern", {}).get("Regex", "")
+        names = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        if split.get("behavior") != "Removed" or not split.get("invert") or r"[^\s" not in pattern or names != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("a lower-case vocabulary that drops white space is needed")
+        self.words = WordIds(Tokenizer.from_file(path), pattern)
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACE):
