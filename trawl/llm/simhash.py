@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.common import cut, fresh, ship
@@ -250,16 +250,20 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col
     last), then the smallest text hash; of rows equal in both, any one."""
     prints, classes = _clusters(docs, shingle, max_bits, id_col, text_col, block)
     rows = prints.groupBy("doc_id", "text_hash", "fp").count().join(classes.select("fp", "root"), "fp")
-    rows = cut(rows.select("root", "count", F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash").alias("key")))
-    heads = rows.groupBy("root").agg(F.min("key").alias("head"))
-    judged = rows.join(heads, "root").select("key", "count", (F.col("key") == F.col("head")).alias("first"))
-    judged = judged.select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_hash"),
-                           F.coalesce("first", F.lit(True)).alias("_first"), F.col("count").alias("_count"))
+    rows = cut(rows.select("root", "doc_id", "text_hash", "count"))
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
+    heads = rows.groupBy("root").agg(F.min(order).alias("head")).select(
+        F.col("head.doc_id").alias("_head_id"), F.col("head.text_hash").alias("_head_hash"))
+    # Rows meet their heads by the row and not by the group, which may hold a third of all rows.
+    is_head = [F.col("doc_id").eqNullSafe(F.col("_head_id")), F.col("text_hash").eqNullSafe(F.col("_head_hash"))]
+    judged = rows.join(heads.withColumn("_first", F.lit(True)), on=is_head, how="left").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.coalesce("_first", F.lit(False)).alias("_first"),
+        F.col("count").alias("_count"))
     judged = cut(judged.filter(~F.col("_first") | (F.col("_count") > 1)))
     h = fresh(docs, "_text_hash")
     hashed = docs.withColumn(h, F.xxhash64(F.col(text_col).cast("string")))
 
-    def match(keys: DataFrame):
+    def match(keys: DataFrame) -> list[Column]:
         return [hashed[id_col].eqNullSafe(keys["_id"]), hashed[h] == keys["_hash"]]
 
     kept = hashed.join(judged, on=match(judged), how="left_anti").drop(h)
