@@ -26,7 +26,7 @@ from trawl.llm.tokens import byte_symbols
 
 LENGTH = 4096
 END_ID = 2
-CACHE = 600_000  # words, and pre-tokens, whose ids a worker remembers; the table starts anew when full
+CACHE = 200_000  # words, and pre-tokens, whose ids a worker remembers; the table starts anew when full
 #: Python splits at these, the tokenizers library does not.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
