@@ -39,8 +39,8 @@ def test_language_reads_only_the_text(docs_of, odd_pairs, small):
 
 
 def test_backoff_goes_from_words_to_shorter_grams():
-    v = {k: np.array(x, dtype=float) for k, x in {"ab": (-1, -5), "b": (-4, -2), " ": (-9, -9)}.items()}
-    model = langid.Model(["x", "y"], {"word": np.array([-3.0, -1.0])}, v)
+    matrix = np.array([(-3, -1), (-1, -5), (-4, -2), (-9, -9)], dtype=float)
+    model = langid.Model(["x", "y"], {"word": 0}, {"ab": 1, "b": 2, " ": 3}, matrix)
     scores = langid.Scores(model)
     assert scores.judge("word")[0] == "y"
     assert scores.judge("zabz")[0] == "x"  # the bigram is known, shorter grams are not asked

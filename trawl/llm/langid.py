@@ -20,24 +20,24 @@ from trawl.llm.common import fresh, held_out, ship
 
 LONGEST = 5
 MAX_LANGS = 400
-CACHE = 300_000  # words a worker remembers; the table starts anew when full
+CACHE = 200_000  # words a worker remembers; the table starts anew when full
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Model:
-    """Score vectors (one number per language) of words and n-grams; small enough to send to every worker:
+    """Rows of a score matrix (a column per language) for words and n-grams; small enough to send to every worker:
     its size is bounded by the parameters of ``fit``."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], matrix: np.ndarray):
+        self.langs, self.words, self.grams, self.matrix = langs, words, grams, matrix
 
     def unseen(self, word: str) -> np.ndarray | None:
-        marked = f" {word} "
+        marked, known = f" {word} ", self.grams.get
         for n in range(LONGEST, 0, -1):
-            found = [v for i in range(len(marked) - n + 1) if (v := self.grams.get(marked[i : i + n])) is not None]
+            found = [r for i in range(len(marked) - n + 1) if (r := known(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.matrix[found].mean(axis=0)
         return None
 
 
@@ -51,13 +51,12 @@ class Scores(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.rows = np.zeros((1024, len(self.model.langs)))
+        self.rows = np.zeros((1024, len(self.model.langs)), dtype=np.float32)
         self.n = 1
 
     def __missing__(self, word: str) -> int:
-        vector = self.model.words.get(word)
-        if vector is None:
-            vector = self.model.unseen(word)
+        known = self.model.words.get(word)
+        vector = self.model.unseen(word) if known is None else self.model.matrix[known]
         if vector is None:
             self[word] = 0
             return 0
@@ -76,22 +75,23 @@ class Scores(dict):
             self.reset()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         known = np.count_nonzero(at)
-        mean = self.rows[at].sum(axis=0) / max(1, known)
+        mean = self.rows[at].sum(axis=0, dtype=np.float64) / max(1, known)
         share = np.exp(mean - mean.max())
         best = int(np.argmax(mean))
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def _vectors(counts: pd.DataFrame, key: str, langs: list[str], totals: dict[str, float]) -> dict[str, np.ndarray]:
-    """Log relative frequencies; a language without the key gets the frequency of half an occurrence."""
+def _vectors(counts: pd.DataFrame, key: str, langs: list[str], totals: dict[str, float], rows: list[np.ndarray]) -> dict[str, int]:
+    """Adds a row of log relative frequencies per key to ``rows``; a language without the key gets the frequency of
+    half an occurrence.  Returns the keys' rows."""
     at = {lang: i for i, lang in enumerate(langs)}
     blank = np.array([math.log(0.5 / max(1.0, totals.get(lang, 0.0))) for lang in langs])
-    out: dict[str, np.ndarray] = {}
+    out: dict[str, int] = {}
     for k, lang, n in zip(counts[key], counts["lang"], counts["n"], strict=True):
-        v = out.get(k)
-        if v is None:
-            v = out[k] = blank.copy()
-        v[at[lang]] = math.log(n / totals[lang])
+        if k not in out:
+            out[k] = len(rows)
+            rows.append(blank.copy())
+        rows[out[k]][at[lang]] = math.log(n / totals[lang])
     return out
 
 
@@ -105,7 +105,7 @@ def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 40_000, ma
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([UNKNOWN], {}, {})
+        return Model([UNKNOWN], {}, {}, np.zeros((0, 1)))
     steps = 1 << 30
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(steps * min(1.0, docs_per_lang / r["count"]))))])
     sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < share[F.col("lang")])
@@ -127,10 +127,12 @@ def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 40_000, ma
         grams_by_length = [({r["lang"]: float(r["n"]) for r in t.collect()}, g.toPandas()) for t, g in tables]
     finally:
         words.unpersist()
-    gram_vectors: dict[str, np.ndarray] = {}
+    rows_of: list[np.ndarray] = []
+    known_words = _vectors(seen, "word", langs, totals, rows_of)
+    known_grams: dict[str, int] = {}
     for gram_totals, g in grams_by_length:
-        gram_vectors |= _vectors(g, "gram", langs, gram_totals)
-    return Model(langs, _vectors(seen, "word", langs, totals), gram_vectors)
+        known_grams |= _vectors(g, "gram", langs, gram_totals, rows_of)
+    return Model(langs, known_words, known_grams, np.array(rows_of, dtype=np.float32).reshape(-1, len(langs)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
