@@ -41,7 +41,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1].split(",") if len(sys.argv) > 1 else list(HEADLINE)
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="trawl-bench")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="trawl-bench", scan_partitions=int(cpus))
     timings = {}
     for name in names:
         run(spark, name, sf_dir)

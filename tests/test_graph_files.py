@@ -1,7 +1,7 @@
 import os
 import tempfile
-from collections import deque
 
+import pytest
 from conftest import SF01
 from pyspark.sql import functions as F
 
@@ -12,30 +12,24 @@ from trawl.operators import stats as S
 from trawl.plans import search as P
 
 
-def _queue_model(links, seed, depth, max_pages, scope=None):
-    """Sequential breadth-first crawl: doc links then nav links of each page, smart dedup."""
+def _crawl_order(links, seed, depth, max_pages=None):
+    """(url, depth, kind) in the order a breadth-first crawl queues them, level by level: the candidates of a level
+    follow everything queued before, and the dedup's definition over that sequence says which are queued."""
     by_src = {}
     for src, pos, dst, kind in links:
-        by_src.setdefault(src, []).append((pos, dst, kind))
-    d = model.Dedup(False)
-    d.mark(seed)
-    queue, order = deque([(seed, 0, "nav")]), [(seed, 0, "nav")]
-    while queue:
-        url, dep, kind = queue.popleft()
-        if kind == "doc":
-            continue
-        out = sorted(by_src.get(url, []))
-        for want in ("doc", "nav"):
-            if want == "nav" and dep >= depth:
-                continue
-            for pos, dst, k in out:
-                if k != want or (scope and not scope(dst)):
-                    continue
-                if not d.is_dup(dst) and len(order) < max_pages:
-                    d.mark(dst)
-                    queue.append((dst, dep + 1, k))
-                    order.append((dst, dep + 1, k))
-    return order
+        by_src.setdefault(src, []).append((kind != "doc", pos, dst, kind))
+    queued, level = [(seed, 0, "nav")], [(seed, 0, "nav")]
+    while level:
+        found = []
+        for url, dep, kind in level:
+            if kind == "nav":
+                found += [(dst, dep + 1, k) for _, _, dst, k in sorted(by_src.get(url, [])) if k == "doc" or dep < depth]
+        kept = model.accepted([u for u, _, _ in queued + found])[len(queued):]
+        level = [x for x, ok in zip(found, kept) if ok]
+        queued += level
+        if max_pages is not None and len(queued) >= max_pages:
+            return queued[:max_pages]
+    return queued
 
 
 def _edges(spark):
@@ -54,10 +48,30 @@ def _edges(spark):
 def test_crawl_order_equals_queue_model(spark):
     urls, links = _edges(spark)
     df = spark.createDataFrame(links, "src string, pos int, dst string, kind string")
-    for depth, max_pages in [(2, 5000), (4, 30), (3, 7)]:
+    for depth, max_pages in [(2, None), (4, 30), (3, 7)]:
         got = [(r.url, r.depth, r.kind) for r in
                GR.crawl_frontier(df, urls[0], depth, max_pages, allow_external=True).orderBy("rank").collect()]
-        assert got == _queue_model(links, urls[0], depth, max_pages), (depth, max_pages)
+        assert got == _crawl_order(links, urls[0], depth, max_pages), (depth, max_pages)
+
+
+def test_crawl_has_no_page_limit_of_its_own(spark):
+    """A page with 6,000 links, each to a page with a link of its own."""
+    n = 6000
+    html = "<body>" + "".join(f'<a href="/p{i}">x</a>' for i in range(n)) + "</body>"
+    pages = [("http://a.com/", html)] + [(f"http://a.com/p{i}", f'<body>key <a href="/q{i}">y</a></body>') for i in range(n)]
+    df = spark.createDataFrame(pages, "url string, html string").repartition(4)
+    links = GR.page_links(df.filter("url = 'http://a.com/'"))
+    assert links.count() == n
+    got = P.crawl_grep(df.withColumn("page_id", F.lit(1)), "http://a.com/", "key", depth=2)
+    assert got.count() == n
+    assert GR.crawl_frontier(GR.stored_page_links(df), "http://a.com/", depth=2).count() == 1 + 2 * n
+
+
+def test_hub_page_is_split(spark):
+    edges = [(0, i, "nav") for i in range(1, 5001)] + [(i, i + 5000, "nav") for i in range(1, 101)]
+    df = spark.createDataFrame(edges, "src long, dst long, kind string")
+    got = GR.bfs_levels(df, spark.createDataFrame([(0,)], "node long"), 2, doc_leaves=False)
+    assert {d: got.filter(F.col("depth") == d).count() for d in (0, 1, 2)} == {0: 1, 1: 5000, 2: 100}
 
 
 def test_bfs_levels_equal_python_bfs(spark):
@@ -97,20 +111,36 @@ def _write(path, data: bytes):
 
 def test_folder_scan(spark):
     root = tempfile.mkdtemp(prefix="trawl-folder-")
-    os.makedirs(os.path.join(root, "sub"))
+    os.makedirs(os.path.join(root, "sub", "_deep"))
     _write(os.path.join(root, "a.txt"), b"one key\ntwo\nkey key")
+    _write(os.path.join(root, "_b.txt"), b"key")
+    _write(os.path.join(root, ".c.txt"), b"key")
     _write(os.path.join(root, "sub", "b.txt"), b"nothing here")
+    _write(os.path.join(root, "sub", "_deep", "d.txt"), b"deep key")
     _write(os.path.join(root, "bad.bin"), bytes([0x61, 0xFF, 0x62]) + b" key")
     _write(os.path.join(root, "empty.txt"), b"")
     _write(os.path.join(root, "big.txt"), b"key " * 100)
     os.symlink(os.path.join(root, "a.txt"), os.path.join(root, "link.txt"))
-    lines, per_file, stats = P.scan_folder(spark, root, "key", "default", max_bytes=100)
-    st = stats.first()
-    assert (st.files_scanned, st.files_skipped, st.files_failed, st.files_with_matches, st.total_matches) == (4, 1, 0, 2, 4)
-    paths = sorted(os.path.basename(r.path) for r in per_file.collect())
-    assert paths == ["a.txt", "bad.bin"]
-    snip = [r.snippet for r in lines.collect() if r.path.endswith("bad.bin")][0]
-    assert snip == "a�b key"
+    os.symlink(os.path.join(root, "sub"), os.path.join(root, "linked"))
+    for folder in (root, f"file://{root}"):
+        lines, per_file, stats = P.scan_folder(spark, folder, "key", "default", max_bytes=100)
+        st = stats.first()
+        assert (st.files_scanned, st.files_skipped, st.files_failed, st.files_with_matches, st.total_matches) == (7, 1, 0, 5, 7)
+        paths = sorted(os.path.basename(r.path) for r in per_file.collect())
+        assert paths == [".c.txt", "_b.txt", "a.txt", "bad.bin", "d.txt"]
+        snip = [r.snippet for r in lines.collect() if r.path.endswith("bad.bin")][0]
+        assert snip == "a\ufffdb key"
+
+
+def test_unreadable_files_count_as_failed(spark):
+    from trawl.sources import files as FS
+
+    listed = spark.createDataFrame([("/nowhere/at/all.txt", 3)], "path string, length long")
+    assert FS.read_listed(listed, 10).first().text is None
+    with pytest.raises(FileNotFoundError):
+        FS.list_files(spark, "/nowhere")
+    with pytest.raises(FileNotFoundError):
+        P.scan_file(spark, "/nowhere/x.txt", "key")
 
 
 def test_folder_max_hits(spark):
@@ -123,13 +153,14 @@ def test_folder_max_hits(spark):
     assert (st.total_matches, st.files_scanned, st.stopped_early) == (4, 2, 3)
 
 
-def test_size_gate_is_pushed_to_file_scan(spark):
-    root = tempfile.mkdtemp(prefix="trawl-push-")
-    _write(os.path.join(root, "a.txt"), b"key")
+def test_large_files_are_not_opened(spark):
     from trawl.sources import files as FS
 
-    plan = FS.read_files(spark, root, 10, exclude_symlinks=False)._jdf.queryExecution().executedPlan().toString()
-    assert "length" in plan and "LessThanOrEqual" in plan
+    root = tempfile.mkdtemp(prefix="trawl-gate-")
+    _write(os.path.join(root, "a.txt"), b"key")
+    _write(os.path.join(root, "b.txt"), b"key " * 10)
+    assert FS.list_files(spark, root).count() == 2
+    assert [r.text for r in FS.read_files(spark, root, 10).collect()] == ["key"]
 
 
 def test_scan_prunes_columns(spark):

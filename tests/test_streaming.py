@@ -41,13 +41,23 @@ def test_stream_keyword_totals(spark):
     assert got == {r.keyword: r.n for r in batch.collect()}
 
 
-def test_stream_smart_dedup_equals_sequential(spark):
+def test_stream_smart_dedup_equals_definition(spark):
+    """Three batches; one base path holds 50,000 URLs."""
     urls = ["https://a.com/p?id=1", "http://a.com/p?id=1&sort=asc", "https://a.com/p?id=2", "https://a.com/q",
             "https://a.com/q?x=1", "https://a.com/q", "https://b.com/?", "https://b.com/?z=1"]
+    few = [*urls, "https://a.com/p?id=1", "https://a.com/p?id=3", "https://b.com/", "https://c.com/x", "https://a.com/q?x=1"]
+    many = [(100 + i, f"https://hot.com/search?n={i}") for i in range(50_000)]
+    rows = [list(enumerate(urls)), many[:30_000] + [(8, few[8]), (9, few[9])], many[30_000:] + many[:10] + [(10 + i, u) for i, u in enumerate(few[10:])]]
+    rows[2] = [(200_000 + i, u) if s >= 100 and i >= 20_000 else (s, u) for i, (s, u) in enumerate(rows[2])]  # the ten repeats
     src = tempfile.mkdtemp(prefix="trawl-stream3-")
-    spark.createDataFrame(list(enumerate(urls)), "seq long, url string").write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema("seq long, url string").parquet(src)
-    _drain(S.stream_dedup(stream), "t2_dedup")
+    for i, r in enumerate(rows):
+        spark.createDataFrame(r, "seq long, url string").coalesce(1).write.parquet(os.path.join(src, f"batch{i}"))
+    stream = spark.readStream.schema("seq long, url string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    query = S.stream_dedup(stream).writeStream.format("memory").queryName("t2_dedup").outputMode("append").start()
+    query.processAllAvailable()
+    assert query.lastProgress.batchId >= 2
+    query.stop()
     got = {r.seq: r.accepted for r in spark.sql("SELECT * FROM t2_dedup").collect()}
-    m = model.Dedup(False)
-    assert [got[i] for i in range(len(urls))] == [m.offer(u) for u in urls]
+    assert [got[i] for i in range(len(few))] == model.accepted(few)
+    assert all(got[s] for s, _ in many[:5]) and sum(got[s] for s, _ in many) == 50_000
+    assert sum(v for s, v in got.items() if s >= 200_000) == 0  # repeats of the hot path

@@ -55,7 +55,8 @@ def _bodies() -> dict[str, tuple[str, str, str]]:
         "count_fuzzy": ("t STRING, k STRING", "INT", fuzzy),
         "count_matches": (
             "t STRING, k STRING, mode STRING", "INT",
-            f"CASE mode WHEN 'exact' THEN ({exact}) WHEN 'fuzzy' THEN ({fuzzy}) ELSE ({default}) END",
+            f"CASE mode WHEN 'exact' THEN ({exact}) WHEN 'fuzzy' THEN ({fuzzy}) WHEN 'default' THEN ({default}) "
+            "ELSE raise_error(concat('unknown mode ', coalesce(mode, 'null'))) END",
         ),
         "url_scheme_key": ("u STRING", "STRING",
                            "CASE WHEN startswith(u, 'http://') THEN concat('https://', substring(u, 8)) ELSE u END"),

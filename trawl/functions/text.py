@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 MODES = ("default", "exact", "fuzzy")
 
 # Fixed values that must equal the search tool's: snippet context radius, snippet length cap,
-# line-snippet cap, snippets kept per page, and the spans examined before the exact fallback.
+# line-snippet cap and snippets kept per page.
 SNIPPET_RADIUS = 60
 SNIPPET_CAP = 500
 LINE_SNIPPET_CAP = 120
 PAGE_SNIPPETS = 3
-SNIPPET_SPAN_PREFETCH = 8
 
 
 @functools.lru_cache(maxsize=1)
@@ -182,8 +181,9 @@ def count_fuzzy(c, keyword: str, folded_strict=None, folded_spaces=None) -> Colu
     sk = fold_strict_py(keyword)
     if len(sk) < 2:
         return F.lit(0)
-    sub = count_literal(fold_strict(c) if folded_strict is None else T_col(folded_strict), sk)
-    return F.when(sub > 0, sub).otherwise(fuzzy_word_hits(c, keyword, folded_spaces))
+    folded = fold_strict(c) if folded_strict is None else T_col(folded_strict)
+    sub = F.transform(F.array(count_literal(folded, sk)), lambda n: F.when(n > 0, n).otherwise(fuzzy_word_hits(c, keyword, folded_spaces)))
+    return F.element_at(sub, 1)
 
 
 def count_matches(c, keyword: str, mode: str = "default", folded_strict=None, folded_spaces=None) -> Column:
@@ -248,47 +248,72 @@ def build_snippet(flat: Column, rev: Column, n: Column, start: Column, end: Colu
     )
 
 
-def _prefix_starts(piece_lens: Column, match_lens: Column) -> Column:
-    """Start offsets of matches given the lengths of the pieces between them and of the matches.
+CHUNK = 256  # code points of the pieces a text is cut into for local context
 
-    start_i = sum(piece_lens[0..i]) + sum(match_lens[0..i-1]).
-    """
-    n_hits = F.size(piece_lens) - F.lit(1)
-
-    def start_of(_x, i):
-        pieces = F.aggregate(F.slice(piece_lens, 1, i + 1), F.lit(0), lambda a, b: a + b)
-        matches = F.aggregate(F.slice(match_lens, 1, i), F.lit(0), lambda a, b: a + b)
-        return F.struct((pieces + matches).alias("start"), i.alias("i"))
-
-    idx = F.slice(piece_lens, 1, F.greatest(n_hits, F.lit(0)))
-    return F.transform(idx, lambda x, i: start_of(x, i))
-
-
-def _spans_literal(flat: Column, pattern: str, length: int, limit: int) -> Column:
-    """(start, end) of the first ``limit`` matches (all when ``limit`` < 0) of a fixed-length pattern."""
-    pieces = F.split(flat, pattern, limit + 1 if limit > 0 else -1)
-    piece_lens = F.transform(pieces, lambda p: F.length(p))
-    starts = _prefix_starts(piece_lens, F.array_repeat(F.lit(length), F.greatest(F.size(pieces) - 1, F.lit(0))))
-    return F.transform(starts, lambda s: F.struct(s["start"].alias("s"), (s["start"] + F.lit(length)).alias("e")))
-
-
-def _spans_variable(text: Column, pattern: str, limit: int) -> Column:
-    """(start, end) of the first ``limit`` matches (all when ``limit`` < 0) of a variable-length
-    pattern.  With a limit, the matches are read from the text before the last split point, so
-    work stops after ``limit`` matches instead of scanning for all of them."""
-    pieces = F.split(text, pattern, limit + 1 if limit > 0 else -1)
-    piece_lens = F.transform(pieces, lambda p: F.length(p))
-    if limit > 0:
-        head_len = F.length(text) - F.coalesce(F.element_at(piece_lens, -1), F.lit(0))
-        head = F.when(F.size(pieces) > F.lit(limit), F.substring(text, 1, head_len)).otherwise(text)
-        matches = F.slice(F.regexp_extract_all(head, F.lit(pattern), 0), 1, limit)
-    else:
-        matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    match_lens = F.transform(matches, lambda m: F.length(m))
-    starts = _prefix_starts(piece_lens, match_lens)
-    return F.transform(
-        starts, lambda s: F.struct(s["start"].alias("s"), (s["start"] + F.element_at(match_lens, s["i"] + 1)).alias("e"))
-    )
+
+def _chunks(flat: Column) -> Column:
+    return F.regexp_extract_all(flat, F.lit("(?s).{1,%d}" % CHUNK), 0)
+
+
+def _local_snippet(x: Column, start: Column, end: Column) -> Column:
+    """:func:`build_snippet` from the chunks around one match, at a cost that does not depend on the text's length.
+
+    ``x``: struct(flat, n, chunks).  The chunks reach at least ``CHUNK`` characters before the window and twice
+    that after it, so what the snippet shows lies inside them, unless the text has no space there on
+    the left or has control characters (which do not count towards the cap); then the whole text is used."""
+    def window(w):
+        lo0, hi0 = F.greatest(w["s"] - F.lit(SNIPPET_RADIUS), F.lit(0)), F.least(w["e"] + F.lit(SNIPPET_RADIUS), w["n"])
+        first = F.greatest(F.floor(lo0 / CHUNK).cast("int") - 1, F.lit(0))
+        last = F.floor(hi0 / CHUNK).cast("int") + 2
+        local = F.array_join(F.slice(w["chunks"], first + 1, last - first + 1), "")
+        return F.struct(w["s"].alias("s"), w["e"].alias("e"), w["n"].alias("n"), w["flat"].alias("flat"), local.alias("local"),
+                        (first * CHUNK).alias("off"), (lo0 - first * CHUNK).alias("lo0"), (hi0 - first * CHUNK).alias("hi0"))
+
+    def spaces(w):
+        r = _locate(" ", F.reverse(F.substring(w["local"], F.lit(1), w["lo0"])), F.lit(1))
+        h = _locate(" ", w["local"], w["hi0"] + F.lit(1))
+        return F.struct(*[w[f].alias(f) for f in ("s", "e", "n", "flat", "local", "off", "lo0", "hi0")], r.alias("r"), h.alias("h"),
+                        F.length(w["local"]).alias("len"))
+
+    def text(w):
+        at_start = w["off"] + w["lo0"] == 0
+        lo = F.when((w["r"] == 0) | at_start, F.lit(0)).otherwise(w["lo0"] - w["r"] + F.lit(1))
+        hi = F.when((w["off"] + w["hi0"] >= w["n"]) | (w["h"] == 0), w["len"]).otherwise(w["h"] - F.lit(1))
+        body = java_trim(F.substring(w["local"], lo + F.lit(1), hi - lo))
+        snip = F.concat(F.when(w["off"] + lo > 0, F.lit("...")).otherwise(F.lit("")), body,
+                        F.when(w["off"] + hi < w["n"], F.lit("...")).otherwise(F.lit("")))
+        cut = F.when(F.length(snip) > SNIPPET_CAP, F.concat(F.substring(snip, 1, SNIPPET_CAP - 3), F.lit("..."))).otherwise(snip)
+        odd = ((w["r"] == 0) & (w["off"] > 0)) | w["local"].rlike(r"[\x00-\x1F\x7F]")
+        return F.when(odd, build_snippet(w["flat"], F.reverse(w["flat"]), w["n"], w["s"], w["e"])).otherwise(cut)
+
+    arr = F.array(F.struct(start.alias("s"), end.alias("e"), x["n"].alias("n"), x["flat"].alias("flat"), x["chunks"].alias("chunks")))
+    for stage in (window, spaces, text):
+        arr = F.transform(arr, stage)
+    return F.element_at(arr, 1)
+
+
+def _collect_snippets(x: Column, searched: Column, pattern: str, prior: Column, most: int) -> Column:
+    """``prior`` and the distinct snippets of the matches of ``pattern`` in ``searched`` (as long as the text), in
+    order, up to ``most``: one pass over the matches that carries the position, and stops working when full."""
+    pieces = F.transform(F.split(searched, pattern, -1), lambda p: F.length(p))
+    lengths = F.transform(F.regexp_extract_all(searched, F.lit(pattern), 0), lambda m: F.length(m))
+    hits = F.zip_with(pieces, lengths, lambda gap, m: F.struct(gap.alias("gap"), m.alias("len")))  # the last gap has no match
+
+    def step(acc, h):
+        start = acc["pos"] + h["gap"]
+        more = F.array_distinct(F.concat(acc["out"], F.array(_local_snippet(x, start, start + h["len"]))))
+        return F.struct((start + h["len"]).alias("pos"), F.when((F.size(acc["out"]) >= most) | h["len"].isNull(), acc["out"]).otherwise(more).alias("out"))
+
+    return F.aggregate(hits, F.struct(F.lit(0).alias("pos"), prior.alias("out")), step, lambda acc: acc["out"])
+
+
+def literal_starts(flat: Column, keyword: str) -> Column:
+    """0-based starts of all matches of a literal, for callers that explode them."""
+    lengths = F.transform(F.split(flat, java_quote(keyword), -1), lambda p: F.length(p))
+    gaps = F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))
+    grown = F.aggregate(gaps, F.array().cast("array<int>"),
+                        lambda acc, g: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(keyword), F.lit(0)) + g)))
+    return grown
 
 
 def _folded_pattern(keyword: str, mode: str) -> str | None:
@@ -312,71 +337,43 @@ def find_snippets(c, keyword: str, mode: str = "default", max_snippets: int = PA
 
     The folded pass runs a regex on ``lower(translate(flat))`` whose keyword characters are
     joined by a class of skipped characters; since the fold is length-preserving its match span
-    is the span in the original text, so excerpts show the original accented characters.
-
-    Cost control without approximation: each pass first builds excerpts for its first few hits
-    only, and examines every hit only when those yield fewer than ``max_snippets`` distinct
-    excerpts and more hits exist; the folded pass runs only when the literal pass has not
-    already filled the list.  The work runs as ``transform`` stages over one-element arrays of
-    context structs, so the flattened text, its reverse and its fold are computed once per row
-    and read as struct fields by the per-match lambdas.
+    is the span in the original text, so excerpts show the original accented characters.  It runs
+    only when the literal pass has not filled the list.
+
+    Each pass goes once over its matches and takes an excerpt from the chunks around a match, so the cost
+    grows with the text and not with its square.  The work runs as ``transform`` stages over one-element
+    arrays of context structs: the flattened text, its chunks and its fold are computed once per row.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    none = F.array().cast("array<string>")
     if not keyword:
-        return F.array().cast("array<string>")
+        return none
     src, dst = fold_table()
     lit_pat = keyword_regex(keyword, "exact" if mode == "exact" else "default")
     fold_pat = _folded_pattern(keyword, mode)
-    k = SNIPPET_SPAN_PREFETCH
-    n_max = max_snippets
-
-    def snippets_of(x, sp, prior=None):
-        snips = F.transform(sp, lambda s: build_snippet(x["flat"], x["rev"], x["n"], s["s"], s["e"]))
-        if prior is not None:
-            snips = F.concat(prior, snips)
-        return F.slice(F.array_distinct(snips), 1, n_max)
-
-    def ctx0(x):
-        flat = x["flat"]
-        return F.struct(flat.alias("flat"), F.reverse(flat).alias("rev"), F.length(flat).alias("n"))
-
-    def ctx1(x):
-        more = F.size(F.split(x["flat"], lit_pat, k + 1)) > F.lit(k)
-        fast = snippets_of(x, _spans_literal(x["flat"], lit_pat, len(keyword), k))
-        return F.struct(*[x[f].alias(f) for f in ("flat", "rev", "n")], fast.alias("fast"), more.alias("more"))
-
-    def ctx2(x):
-        full = snippets_of(x, _spans_literal(x["flat"], lit_pat, len(keyword), -1))
-        lit_snips = F.when((F.size(x["fast"]) < F.lit(n_max)) & x["more"], full).otherwise(x["fast"])
-        return F.struct(*[x[f].alias(f) for f in ("flat", "rev", "n")], lit_snips.alias("lit"))
-
-    def fold_pass(x):
-        def f0(y):
-            return F.struct(*[y[f].alias(f) for f in ("flat", "rev", "n", "lit")], F.lower(F.translate(y["flat"], src, dst)).alias("folded"))
-
-        def f1(y):
-            more = F.size(F.split(y["folded"], fold_pat, k + 1)) > F.lit(k)
-            fast = snippets_of(y, _spans_variable(y["folded"], fold_pat, k), y["lit"])
-            return F.struct(*[y[f].alias(f) for f in ("flat", "rev", "n", "lit", "folded")], fast.alias("fast"), more.alias("more"))
-
-        def f2(y):
-            full = snippets_of(y, _spans_variable(y["folded"], fold_pat, -1), y["lit"])
-            return F.when((F.size(y["fast"]) < F.lit(n_max)) & y["more"], full).otherwise(y["fast"])
-
-        arr = F.array(x)
-        for st in (f0, f1, f2):
-            arr = F.transform(arr, st)
-        return F.element_at(arr, 1)
-
-    def ctx3(x):
-        out = x["lit"]
-        if fold_pat:
-            out = F.when(F.size(x["lit"]) >= F.lit(n_max), x["lit"]).otherwise(fold_pass(x))
-        return F.when(x["flat"].isNull() | (x["n"] == 0), F.array().cast("array<string>")).otherwise(out)
+
+    def context(x):
+        return F.struct(x["flat"].alias("flat"), F.length(x["flat"]).alias("n"), _chunks(x["flat"]).alias("chunks"))
+
+    def literal(x):
+        found = _collect_snippets(x, x["flat"], lit_pat, none, max_snippets)
+        return F.struct(*[x[f].alias(f) for f in ("flat", "n", "chunks")], found.alias("lit"))
+
+    def folded(x):
+        def fold(y):
+            return F.struct(*[y[f].alias(f) for f in ("flat", "n", "chunks", "lit")],
+                            F.lower(F.translate(y["flat"], src, dst)).alias("folded"))
+
+        arr = F.transform(F.array(x), fold)
+        return F.element_at(F.transform(arr, lambda y: _collect_snippets(y, y["folded"], fold_pat, y["lit"], max_snippets)), 1)
+
+    def both(x):
+        out = F.when(F.size(x["lit"]) >= max_snippets, x["lit"]).otherwise(folded(x)) if fold_pat else x["lit"]
+        return F.when(x["flat"].isNull() | (x["n"] == 0), none).otherwise(out)
 
     arr = F.array(F.struct(flatten_whitespace(c).alias("flat")))
-    for stage in (ctx0, ctx1, ctx2, ctx3):
+    for stage in (context, literal, both):
         arr = F.transform(arr, stage)
     return F.element_at(arr, 1)
 

@@ -47,10 +47,13 @@ def url_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def first_per_key(df: DataFrame, url_col: str = "url", seq_col: str = "seq") -> DataFrame:
-    """Exact (scheme-insensitive) dedup: the first URL of every key, as (seq, url, key)."""
+    """Exact (scheme-insensitive) dedup: the first URL of every key, as (seq, url, key).  ``seq`` is unique.
+
+    The minimum is a long, so it is a hash aggregate that is combined before the shuffle; the URLs of the
+    survivors are joined back on ``seq``."""
     keyed = df.select(F.col(seq_col).alias("seq"), F.col(url_col).alias("url")).withColumn("key", scheme_key(F.col("url")))
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("seq", "url")).alias("_f"))
-    return firsts.select(F.col("_f.seq").alias("seq"), F.col("_f.url").alias("url"), "key")
+    firsts = keyed.groupBy("key").agg(F.min("seq").alias("seq")).select("seq")
+    return keyed.join(firsts, "seq", "left_semi").select("seq", "url", "key")
 
 
 def smart_dedup(df: DataFrame, url_col: str = "url", seq_col: str = "seq", all_urls: bool = False) -> DataFrame:
@@ -59,9 +62,8 @@ def smart_dedup(df: DataFrame, url_col: str = "url", seq_col: str = "seq", all_u
     if all_urls:
         return firsts
     parts = url_parts(firsts.drop("key"), "url")
-    canon = parts.groupBy("base").agg(F.min(F.struct("seq", "params")).alias("_c")).select(
-        "base", F.col("_c.seq").alias("canon_seq"), F.col("_c.params").alias("canon")
-    )
+    first_seq = parts.groupBy("base").agg(F.min("seq").alias("canon_seq"))
+    canon = parts.select("seq", F.col("params").alias("canon")).join(first_seq, F.col("seq") == F.col("canon_seq")).select("base", "canon_seq", "canon")
     j = parts.join(canon, "base")
     dup = (F.col("seq") != F.col("canon_seq")) & (
         (F.col("has_q") & (F.size("canon") > 0) & (F.size(F.array_except("canon", "params")) == 0))

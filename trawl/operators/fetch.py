@@ -2,7 +2,8 @@
 challenges, redirect dedup, scope moves, and the crawl statistics built from them.
 
 Input schema (``fetch_log``): ``page_id`` (fetch order), ``url``, ``final_url``, ``status``,
-``error_class``, ``content_type``, ``content_length`` (header text), ``body``.
+``error_class``, ``error_message``, ``content_type``, ``content_length`` (header text), ``body``.
+Bodies are reduced to flags in the stage that scans them; only narrow rows are shuffled.
 """
 
 from __future__ import annotations
@@ -34,10 +35,8 @@ def classify_error(error_class: Column, message: Column | None = None) -> Column
     for cls, label in ERROR_REASONS:
         cond = error_class == cls
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
-    fallback = error_class
-    if message is not None:
-        fallback = F.coalesce(F.regexp_extract(message, "^([^\n]*)", 1), error_class)
-    return out.otherwise(fallback)
+    first_line = error_class if message is None else F.coalesce(F.regexp_extract(message, "^([^\n]*)", 1), error_class)
+    return out.otherwise(first_line)
 
 
 def route_content(content_type: Column) -> Column:
@@ -53,68 +52,75 @@ def over_size(content_length: Column, body: Column, max_bytes: int) -> Column:
 
 
 def redirect_duplicates(log: DataFrame) -> DataFrame:
-    """page_ids whose redirect target was already queued (requested URLs come first at each
-    step: requested URL of fetch i has order 2i, its final URL 2i+1)."""
-    events = log.select(
-        (F.col("page_id") * 2).alias("seq"), U.normalize_url(F.col("url")).alias("url")
-    ).unionByName(
-        log.filter(F.col("final_url") != F.col("url")).select(
-            (F.col("page_id") * 2 + 1).alias("seq"), U.normalize_url(F.col("final_url")).alias("url")
-        )
-    ).filter(F.col("url") != "")
+    """page_ids whose redirect target was already queued (requested URLs come first at each step: the requested
+    URL of fetch i has order 2i, its final URL 2i+1).  A final URL that is the requested page itself, up to
+    scheme and fragment, is no redirect.  Only fetches that returned have a final URL."""
+    asked, got = U.normalize_url(F.col("url")), U.normalize_url(F.col("final_url"))
+    returned = F.coalesce(F.col("status") < 400, F.lit(False)) & F.col("error_class").isNull()
+    both = log.select("page_id", asked.alias("_asked"), F.when(returned, got).alias("_got"))
+    moved = F.col("_got").isNotNull() & (U.scheme_key(F.col("_got")) != U.scheme_key(F.col("_asked")))
+    events = both.select(F.inline(F.array(
+        F.struct((F.col("page_id") * 2).alias("seq"), F.col("_asked").alias("url")),
+        F.struct((F.col("page_id") * 2 + 1).alias("seq"), F.when(moved, F.col("_got")).otherwise(F.lit("")).alias("url")),
+    ))).filter(F.col("url") != "")
     accepted = smart_dedup(events, "url", "seq").select("seq")
-    finals = events.filter(F.col("seq") % 2 == 1)
-    dup = finals.join(accepted, "seq", "left_anti")
+    dup = events.filter(F.col("seq") % 2 == 1).join(accepted, "seq", "left_anti")
     return dup.select((F.col("seq") / 2).cast("long").alias("page_id"))
 
 
-def fetch_outcomes(log: DataFrame, max_bytes: int) -> DataFrame:
-    """(page_id, url, outcome, category, reason, kind) with the first matching rule winning:
-    403/429 blocked; other HTTP >= 400 network error; exception network error; redirect to an
-    already-queued URL; over size; bot challenge (HTML only); else ok."""
+def fetch_flags(log: DataFrame, max_bytes: int) -> DataFrame:
+    """The fetch log without bodies: kind, over (size), lost (HTML without a body) and challenge."""
     from trawl.operators.grep import with_computed
 
-    dups = redirect_duplicates(log).withColumn("_redir_dup", F.lit(True))
-    j0 = log.join(dups, "page_id", "left")
-    # the size test and the (costly) challenge test are computed once per fetch, in a generator
-    # that later filters cannot be pushed through
-    j = with_computed(
-        j0, ["page_id", "url", "final_url", "status", "error_class", "content_type", "_redir_dup"],
-        _over=over_size(F.col("content_length"), F.col("body"), max_bytes),
-        _chall=(route_content(F.col("content_type")) == "html") & H.is_challenge(F.col("body")),
+    html = route_content(F.col("content_type")) == "html"
+    # The costly tests are computed once per fetch, in a generator that later filters cannot be pushed through.
+    return with_computed(
+        log, ["page_id", "url", "final_url", "status", "error_class", "error_message"],
+        kind=route_content(F.col("content_type")),
+        over=over_size(F.col("content_length"), F.col("body"), max_bytes),
+        lost=html & F.col("body").isNull(),
+        challenge=F.coalesce(html & H.is_challenge(F.col("body")), F.lit(False)),
     )
+
+
+def fetch_outcomes(log: DataFrame, max_bytes: int) -> DataFrame:
+    """(page_id, url, final_url, kind, outcome, reason, category) with the first matching rule winning: 403/429
+    blocked; other HTTP >= 400 network error; exception network error; redirect to an already-queued URL;
+    over size; HTML that could not be parsed; bot challenge (HTML only); else ok."""
+    dups = redirect_duplicates(log).withColumn("_redir_dup", F.lit(True))
+    j = fetch_flags(log, max_bytes).join(dups, "page_id", "left")
     status = F.col("status")
-    kind = route_content(F.col("content_type"))
-    challenge = F.col("_chall")
     http_err = status.isNotNull() & (status >= 400)
     outcome = (
         F.when(status.isin(*BLOCKED_STATUSES), F.lit("blocked"))
         .when(http_err, F.lit("network_error"))
         .when(F.col("error_class").isNotNull(), F.lit("network_error"))
         .when(F.coalesce(F.col("_redir_dup"), F.lit(False)), F.lit("redirect_duplicate"))
-        .when(F.col("_over"), F.lit("skipped_size"))
-        .when(challenge, F.lit("challenge"))
+        .when(F.col("over"), F.lit("skipped_size"))
+        .when(F.col("lost"), F.lit("parse_error"))
+        .when(F.col("challenge"), F.lit("challenge"))
         .otherwise(F.lit("ok"))
     )
+    out = j.select("page_id", "url", "final_url", "kind", outcome.alias("outcome"), "status", "error_class", "error_message")
     reason = (
-        F.when(status.isin(*BLOCKED_STATUSES), F.format_string("HTTP %d (Access Denied/Rate Limited)", status))
+        F.when(F.col("outcome") == "blocked", F.format_string("HTTP %d (Access Denied/Rate Limited)", status))
         .when(http_err, F.format_string("HTTP %d", status))
-        .when(F.col("error_class").isNotNull(), classify_error(F.col("error_class")))
-        .when(challenge, F.lit(H.CHALLENGE_REASON))
-    )
-    out = j.select("page_id", "url", "final_url", kind.alias("kind"), outcome.alias("outcome"), reason.alias("reason"))
-    category = (
-        F.when(F.col("outcome").isin("blocked", "challenge"), F.lit("blocked"))
-        .when(F.col("outcome") == "network_error", F.lit("network_error"))
-        .when(F.col("outcome") == "skipped_size", F.lit("skipped_size"))
+        .when(F.col("outcome") == "network_error", classify_error(F.col("error_class"), F.col("error_message")))
+        .when(F.col("outcome") == "challenge", F.lit(H.CHALLENGE_REASON))
     )
-    return out.withColumn("category", category)
+    category = F.when(F.col("outcome") == "challenge", F.lit("blocked")).when(
+        F.col("outcome").isin("blocked", "network_error", "skipped_size", "parse_error"), F.col("outcome"))
+    return out.select("page_id", "url", "final_url", "kind", "outcome", reason.alias("reason"), category.alias("category"))
+
+
+#: Outcomes of fetches that returned and count as visited.
+VISITED = ("redirect_duplicate", "skipped_size", "parse_error", "challenge", "ok")
 
 
 def crawl_stats(outcomes: DataFrame) -> DataFrame:
     """visited (fetches that returned), parsed, docs, html pages = max(0, parsed - docs), blocked."""
     o = F.col("outcome")
-    visited = o.isin("redirect_duplicate", "skipped_size", "challenge", "ok")
+    visited = o.isin(*VISITED)
     return outcomes.agg(
         F.count_if(visited).cast("long").alias("pages_visited"),
         F.count_if(o == "ok").cast("long").alias("pages_parsed"),
@@ -124,11 +130,11 @@ def crawl_stats(outcomes: DataFrame) -> DataFrame:
 
 
 def error_counts(outcomes: DataFrame) -> DataFrame:
-    """Count per error category, zero rows included (5-row dimension, broadcast)."""
+    """Count per error category, zero rows included."""
     spark = outcomes.sparkSession
     dim = spark.createDataFrame([(i, t) for i, t in enumerate(ERROR_TYPES)], "ord int, category string")
     counts = outcomes.filter(F.col("category").isNotNull()).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(dim).join(counts, "category", "left").select(
+    return dim.join(counts, "category", "left").select(
         "ord", "category", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("count")
     )
 
@@ -164,20 +170,29 @@ def blocked_by_reason(outcomes: DataFrame, shown: int = 10) -> DataFrame:
     )
 
 
-def scope_redirect(outcomes: DataFrame, seed_url: str) -> DataFrame:
-    """Scope after the first fetch: moves to the redirect target's host when the first visited
-    page left the seed's scope."""
-    seed_host = U.url_host(U.normalize_url(F.lit(seed_url)))
-    first = outcomes.filter(F.col("outcome") != "network_error").agg(
-        F.min(F.struct("page_id", "final_url")).alias("_f")
-    )
-    target_host = U.url_host(U.normalize_url(F.col("_f.final_url")))
-    moved = ~U.in_scope(target_host, seed_host)
-    host = F.when(moved, target_host).otherwise(seed_host)
-    return first.select(
-        seed_host.alias("seed_host"),
-        target_host.alias("first_host"),
-        moved.alias("moved"),
-        U.scope_root(host).alias("scope_root"),
-        host.startswith("www.").alias("allow_subdomains"),
-    )
+def scope_redirect(outcomes: DataFrame, seed_url: str | Column) -> DataFrame:
+    """Scope after the first visited fetch: it moves to the host where that fetch ended if that is outside the
+    seed's scope.  Blocked and failed fetches are not visits, and a redirect duplicate moves nothing."""
+    seed = seed_url if isinstance(seed_url, Column) else F.lit(seed_url)
+    first = outcomes.filter(F.col("outcome").isin(*VISITED)).agg(F.min(F.struct("page_id", "final_url", "outcome")).alias("_f"))
+    x = first.select("_f", seed.alias("_seed")).select(U.url_host(U.normalize_url(F.col("_seed"))).alias("seed_host"),
+                     U.url_host(U.normalize_url(F.col("_f.final_url"))).alias("first_host"),
+                     (F.col("_f.outcome") != "redirect_duplicate").alias("_may"))
+    moved = F.col("_may") & ~U.in_scope(F.col("first_host"), F.col("seed_host"))
+    x = x.select("seed_host", "first_host", moved.alias("moved"), F.when(moved, F.col("first_host")).otherwise(F.col("seed_host")).alias("_host"))
+    return x.select("seed_host", "first_host", "moved", U.scope_root(F.col("_host")).alias("scope_root"),
+                    F.col("_host").startswith("www.").alias("allow_subdomains"))
+
+
+def page_hits(log: DataFrame, keyword: str, mode: str = "default", max_bytes: int | None = None, snippets: int = 3) -> DataFrame:
+    """(page_id, kind, count, snippets) of the fetches with matches, in the stage that scans the bodies: page text of
+    HTML, decoded text of documents.  Join it with ``fetch_outcomes`` to keep the fetches that count."""
+    from trawl.functions import text as T
+    from trawl.operators.grep import with_computed
+
+    kind = route_content(F.col("content_type"))
+    read = log.filter(F.col("body").isNotNull() & F.coalesce(F.col("status") < 400, F.lit(False)))
+    text = F.when(kind == "html", H.page_text(F.col("body"))).otherwise(F.col("body"))
+    t = with_computed(read, ["page_id"], text=text)
+    counted = with_computed(t, ["page_id", "text"], count=T.count_matches(F.col("text"), keyword, mode)).filter(F.col("count") > 0)
+    return counted.select("page_id", "count", T.find_snippets(F.col("text"), keyword, mode, snippets).alias("snippets"))

@@ -1,14 +1,15 @@
 """Link graph and breadth-first traversal.
 
-The traversal is level-synchronous: each level is one join of the frontier with the edge table
-(pre-partitioned on ``src`` once, so only the frontier shuffles), a scope filter, an anti-join
-against what is already queued, and a checkpoint to the shared checkpoint folder that cuts the
-lineage.  The number of driver iterations is the depth limit, never the data size.
+The traversal is level-synchronous: each level is one join of the frontier with the edges of its nodes, a
+scope filter, an anti-join against what is already queued, and a checkpoint to the shared checkpoint
+folder that cuts the lineage.  The number of driver iterations is the depth limit, never the data size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.functions import html as H
@@ -18,6 +19,10 @@ from trawl.operators.stats import global_rank
 from trawl.session import ensure_checkpoint_dir
 
 
+#: (parents (src, parent_rank), whether they are few) to their links (src, parent_rank, pos, dst, kind).
+LinksOf = Callable[[DataFrame, bool], DataFrame]
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, pos, dst, kind) for every extracted link, ``kind`` in {doc, nav}."""
     base = U.normalize_url(F.col(url_col))
@@ -26,6 +31,9 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     F.when(U.is_document_link(F.col("dst")), F.lit("doc")).otherwise(F.lit("nav")).alias("kind"))
 
 
+HUB_SPLIT = 16
+
+
 def bfs_levels(
     edges: DataFrame,
     seeds: DataFrame,
@@ -34,13 +42,18 @@ def bfs_levels(
     doc_leaves: bool = True,
     scope=None,
     partitions: int | None = None,
+    hub_split: int = HUB_SPLIT,
 ) -> DataFrame:
     """Minimum depth of every node reachable from ``seeds`` (column ``node_col``).
 
     ``edges``: (src, dst, kind).  Nav edges are followed from nodes at depth < ``depth``; doc
     edges from any reached nav node (documents bypass the depth limit) and doc targets are
     leaves.  ``scope``: optional Column predicate on ``dst`` applied to every edge.
-    Returns (node, depth, kind)."""
+    Returns (node, depth, kind).
+
+    The edges are partitioned once, by ``src`` and one of ``hub_split`` salts taken from ``dst``, so a page
+    with very many links lies in that many partitions; each level only the frontier is shuffled,
+    once per salt."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,13 +62,14 @@ def bfs_levels(
         e = e.filter(scope)
     if not doc_leaves:
         e = e.withColumn("kind", F.lit("nav"))
-    e = e.repartition(n, "src").checkpoint()
+    e = e.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(hub_split)).cast("int")).repartition(n, "src", "salt").checkpoint()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(hub_split - 1)))
     visited = seeds.select(F.col(node_col).alias("node")).distinct().select(
         "node", F.lit(0).alias("depth"), F.lit("nav").alias("kind")
     ).repartition(n, "node").checkpoint()
     frontier = visited
     for level in range(depth + 1):
-        step = frontier.filter(F.col("kind") == "nav").select(F.col("node").alias("src")).join(e, "src")
+        step = frontier.filter(F.col("kind") == "nav").select(F.col("node").alias("src"), salts.alias("salt")).join(e, ["src", "salt"])
         if level >= depth:
             step = step.filter(F.col("kind") == "doc")
         # kind as an int code so the per-node minimum is a hash aggregate (documents first)
@@ -66,35 +80,54 @@ def bfs_levels(
         new = new.repartition(n, "node").checkpoint()
         if new.isEmpty():
             break
-        visited = visited.unionByName(new).repartition(n, "node").checkpoint()
+        # a union of checkpointed parts: reading it back is cheap, so no further checkpoint
+        visited = visited.unionByName(new)
         frontier = new
     return visited
 
 
+#: A level of no more URLs than this is sent to every executor to find its pages; a larger one is shuffled.
+BROADCAST_URLS = 100_000
+
+
+def table_links(links: DataFrame) -> LinksOf:
+    """Links of a frontier from a stored table (src, pos, dst, kind) over normalised URLs."""
+    stored = links.select("src", "pos", "dst", "kind")
+    return lambda parents, few: (F.broadcast(parents) if few else parents).join(stored, "src")
+
+
+def stored_page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> LinksOf:
+    """Links of a frontier from stored pages: only the pages of the frontier have their links extracted, and their
+    HTML is not shuffled while the frontier is small."""
+    keyed = pages.select(U.normalize_url(F.col(url_col)).alias("src"), F.col(html_col).alias("_html"))
+
+    def links_of(parents: DataFrame, few: bool) -> DataFrame:
+        found = (F.broadcast(parents) if few else parents).join(keyed, "src")
+        x = found.select("src", "parent_rank", F.posexplode(H.extract_links("_html", F.col("src"))).alias("pos", "dst"))
+        return x.withColumn("kind", F.when(U.is_document_link(F.col("dst")), F.lit("doc")).otherwise(F.lit("nav")))
+
+    return links_of
+
+
 def crawl_frontier(
-    links: DataFrame,
-    seed_url: str,
+    links: DataFrame | LinksOf,
+    seed_url: str | Column,
     depth: int = 1,
-    max_pages: int = 5000,
+    max_pages: int | None = None,
     allow_external: bool = False,
     all_urls: bool = False,
 ) -> DataFrame:
     """URLs a breadth-first crawl from ``seed_url`` queues, in visit order.
 
-    ``links``: (src, pos, dst, kind) over normalised URLs.  Within a level, candidates are
-    discovered in (parent rank, documents before navigation links, link position) order; a
-    candidate is queued when it is in scope, not a duplicate under the smart dedup rules of
-    everything queued before it, and fewer than ``max_pages`` URLs are queued.  Returns
+    ``links``: (src, pos, dst, kind) over normalised URLs, or what ``stored_page_links`` returns.  Within
+    a level, candidates are discovered in (parent rank, documents before navigation links, link position)
+    order; a candidate is queued when it is in scope, not a duplicate under the smart dedup rules of
+    everything queued before it, and, if ``max_pages`` is given, fewer than that are queued.  Returns
     (rank, url, depth, kind)."""
-    spark = links.sparkSession
+    links_of = table_links(links) if isinstance(links, DataFrame) else links
+    spark = SparkSession.getActiveSession()
     ensure_checkpoint_dir(spark)
-    seed = U.normalize_url(F.lit(seed_url))
-    seed_host = U.url_host(seed)
-    e = links.select("src", "pos", "dst", "kind")
-    if not allow_external:
-        e = e.filter(U.in_scope(U.url_host(F.col("dst")), seed_host))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = e.repartition(n, "src").checkpoint()
+    start = spark.range(1).select((seed_url if isinstance(seed_url, Column) else F.lit(seed_url)).alias("_seed"))
 
     def with_parts(df):
         key = U.scheme_key(F.col("url"))
@@ -107,17 +140,20 @@ def crawl_frontier(
         )
 
     queued = with_parts(
-        spark.range(1).select(F.lit(1).cast("long").alias("rank"), seed.alias("url"), F.lit(0).alias("depth"), F.lit("nav").alias("kind"))
+        start.select(F.lit(1).cast("long").alias("rank"), U.normalize_url(F.col("_seed")).alias("url"), F.lit(0).alias("depth"), F.lit("nav").alias("kind"))
     ).checkpoint()
+    seed_host = U.url_host(F.lit(queued.first()["url"]))
     # canonical parameter set of every base path seen so far
     canon = queued.select("base", F.col("params").alias("canon")).checkpoint()
-    frontier = queued
+    frontier, added = queued, 1
     total = 1
     for level in range(depth + 1):
-        if total >= max_pages:
+        if max_pages is not None and total >= max_pages:
             break
         parents = frontier.filter(F.col("kind") == "nav").select(F.col("url").alias("src"), F.col("rank").alias("parent_rank"))
-        cand = parents.join(e, "src")
+        cand = links_of(parents, added <= BROADCAST_URLS)
+        if not allow_external:
+            cand = cand.filter(U.in_scope(U.url_host(F.col("dst")), seed_host))
         if level >= depth:
             cand = cand.filter(F.col("kind") == "doc")
         cand = cand.select(
@@ -144,7 +180,8 @@ def crawl_frontier(
             dup = F.lit(False)
         accepted = j.filter(~dup).select("parent_rank", "kind_ord", "pos", "url", "kind", "key", "has_q", "base", "params")
         ranked = global_rank(accepted, ["parent_rank", "kind_ord", "pos"], out_col="_lr")
-        ranked = ranked.filter(F.col("_lr") <= F.lit(max_pages - total))
+        if max_pages is not None:
+            ranked = ranked.filter(F.col("_lr") <= F.lit(max_pages - total))
         new = ranked.select(
             (F.col("_lr") + F.lit(total)).alias("rank"), "url", F.lit(level + 1).alias("depth"), "kind", "key", "has_q", "base", "params"
         ).checkpoint()

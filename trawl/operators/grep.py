@@ -75,9 +75,8 @@ def multi_keyword_grep(
 ) -> DataFrame:
     """Many (keyword, mode) searches in one scan: every line gets an array of per-keyword
     counts that is exploded and filtered — no join, no rescan per keyword.  The keyword list is
-    a plan-time parameter; its size is checked so the projection stays bounded."""
-    if len(keywords) > 1000:
-        raise ValueError("keyword list too large for one projection; split it into batches")
+    part of the plan, so this is for the few keywords of one search, on tables and streams alike;
+    :func:`keyword_table_grep` takes keyword tables of any size."""
     ids = _ids(id_cols)
     lines = split_lines(df, text_col, ids)
     # the folds are computed once per line in their own projection and shared by every keyword
@@ -98,12 +97,112 @@ def multi_keyword_grep(
     return out.select(*cols)
 
 
-def keyword_list(keywords_df: DataFrame, keyword_col: str = "keyword", mode_col: str = "mode", limit: int = 1000):
-    """Fetch a keyword table as a plan parameter, refusing tables beyond ``limit`` rows."""
-    rows = keywords_df.select(keyword_col, mode_col).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"keyword table has more than {limit} rows")
-    return [(r[0], r[1]) for r in rows]
+GRAM = 3  # code points of the grams that lines and keywords are joined on
+#: Keyword tables with no more rows than this are sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_KEYWORDS = 200_000
+
+
+def _casefold(c: Column) -> Column:
+    """A form that is equal for texts which are equal up to case."""
+    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+
+
+def _grams(c: Column, space: str, lengths: Sequence[int]) -> Column:
+    """Distinct grams of the given lengths, marked with the form of the text they are from."""
+    def cut(n):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(space), F.substr(c, i, F.lit(n))))
+
+    return F.array_distinct(F.concat(*[cut(n) for n in lengths]))
+
+
+def _middle_gram(c: Column, space: str) -> Column:
+    """One gram of a keyword: its middle ``GRAM`` code points, or all of a shorter one."""
+    start = F.greatest(F.floor((F.length(c) - GRAM) / 2).cast("int"), F.lit(0)) + 1
+    return F.concat(F.lit(space), F.substr(c, start, F.lit(GRAM)))
+
+
+def _without(c: Column, times: int) -> Column:
+    """``c`` and what is left of it after deleting up to ``times`` characters."""
+    out = F.array(c)
+    for _ in range(times):
+        shorter = F.flatten(F.transform(out, lambda w: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: i <= F.length(w)),
+            lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, shorter))
+    return out
+
+
+def keyword_forms(keywords: DataFrame) -> DataFrame:
+    """Distinct (keyword, mode) with what the modes compare: folded forms, threshold, whether the fold is used."""
+    k = keywords.select("keyword", "mode").filter((F.col("keyword") != "") & F.col("mode").isin(*T.MODES)).distinct()
+    special = F.col("keyword").rlike(r"[\x00-\x7F&&[^a-zA-Z0-9 ]]")
+    x = k.withColumn("_ks", F.trim(T.fold_spaces("keyword"))).withColumn("_kt", T.fold_strict("keyword"))
+    return x.select(
+        "keyword", "mode", "_ks", "_kt", F.when(F.length("_kt") <= 4, 1).otherwise(2).alias("_t"),
+        ((F.col("mode") == "default") & ~special & (F.length("_ks") >= 2)).alias("_folds"),
+        F.concat(F.lit("(?iu)\\Q"), F.replace("keyword", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")).alias("_regex"),
+    ).filter((F.col("mode") != "fuzzy") | (F.length("_kt") >= 2))
+
+
+def _count_with_columns() -> Column:
+    """Match count of ``line_text`` for the keyword of the row, by its mode."""
+    def literal(c: Column, needle: Column) -> Column:
+        return F.floor((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / F.length(needle)).cast("int")
+
+    ci = F.regexp_count("line_text", F.col("_regex"))
+    default = F.when(F.col("_folds"), F.greatest(ci, literal(F.col("_fs"), F.col("_ks")))).otherwise(ci)
+    near = F.size(F.filter(F.split("_fs", " "), lambda w: (w != "") & (F.abs(F.length(w) - F.length("_kt")) <= F.col("_t")) & (
+        F.levenshtein(w, F.col("_kt")) <= F.col("_t"))))
+    inside = literal(F.col("_fst"), F.col("_kt"))
+    return (
+        F.when(F.col("mode") == "exact", literal(F.col("line_text"), F.col("keyword")))
+        .when(F.col("mode") == "default", default)
+        .otherwise(F.when(inside > 0, inside).otherwise(near))
+    )
+
+
+def keyword_table_grep(df: DataFrame, keywords: DataFrame, text_col: str = "text", id_cols: Sequence[str] | str = ("doc_id",)) -> DataFrame:
+    """(ids..., keyword, mode, page, line, count, snippet) for every line and every keyword of a table (keyword, mode)
+    with a match; the plan does not grow with the table.
+
+    A line can match only keywords one of whose grams it has, in the form the mode compares, or, for fuzzy
+    words, keywords that share what is left after few deletions with one of its words; such pairs come
+    from equality joins and are then counted.  Deletions are made for the distinct words of the corpus,
+    once each.  ``id_cols`` identify rows."""
+    ids = _ids(id_cols)
+    k = keyword_forms(keywords)
+    send = F.broadcast if k.count() <= BROADCAST_KEYWORDS else (lambda x: x)
+    lines = split_lines(df, text_col, ids).filter(F.col("line_text") != "")
+    lines = lines.select(*ids, "page", "line", "line_text", T.fold_spaces("line_text").alias("_fs"), T.fold_strict("line_text").alias("_fst"))
+    place = [*ids, "page", "line"]
+
+    grams = F.array_compact(F.array(
+        F.when(F.col("mode") != "fuzzy", _middle_gram(_casefold(F.col("keyword")), "c")),
+        F.when(F.col("_folds"), _middle_gram(F.col("_ks"), "s")),
+        F.when(F.col("mode") == "fuzzy", _middle_gram(F.col("_kt"), "t")),
+    ))
+    by_gram = k.select("keyword", "mode", F.explode(grams).alias("gram"))
+    # The forms and lengths that the table's grams have (nine kinds at most); lines are cut into no others.
+    kinds = by_gram.select(F.substring("gram", 1, 1).alias("form"), (F.length("gram") - 1).alias("n")).distinct().collect()
+    forms = {"c": _casefold(F.col("line_text")), "s": F.col("_fs"), "t": F.col("_fst")}
+    cuts = [_grams(c, form, sorted(r["n"] for r in kinds if r["form"] == form)) for form, c in forms.items() if any(r["form"] == form for r in kinds)]
+    in_lines = F.concat(*cuts) if cuts else F.array().cast("array<string>")
+    pairs = lines.select(*place, F.explode(in_lines).alias("gram")).join(send(by_gram), "gram").select(*place, "keyword", "mode")
+
+    fuzzy = k.filter(F.col("mode") == "fuzzy")
+    words = lines.select(*place, F.explode(F.array_distinct(F.split("_fs", " "))).alias("word")).filter(F.col("word") != "")
+    sizes = fuzzy.agg(F.min(F.length("_kt")), F.max(F.length("_kt"))).first()
+    like = F.length("word").between((sizes[0] or 0) - 2, (sizes[1] or 0) + 2)  # others are too short or too long for any keyword
+    left = words.select("word").distinct().filter(like).select("word", F.explode(_without(F.col("word"), 2)).alias("rest"))
+    right = fuzzy.select("keyword", "mode", "_kt", "_t", F.explode(_without(F.col("_kt"), 2)).alias("rest"))
+    near = left.join(send(right), "rest").filter(F.levenshtein("word", "_kt") <= F.col("_t")).select("word", "keyword", "mode").distinct()
+    pairs = pairs.unionByName(words.join(near, "word").select(*place, "keyword", "mode")).distinct()
+
+    asked = pairs.select(*[F.col(c).alias(f"_at_{c}") for c in place], "keyword", "mode")
+    both = lines.join(asked, on=[F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]).drop(*[f"_at_{c}" for c in place])
+    counted = with_computed(both.join(send(k), ["keyword", "mode"]), [*place, "keyword", "mode", "line_text"], count=_count_with_columns())
+    return counted.filter(F.col("count") > 0).select(*ids, "keyword", "mode", "page", "line", "count", T.line_snippet("line_text").alias("snippet"))
 
 
 def doc_counts(df: DataFrame, keyword: str, mode: str = "default", text_col: str = "text", id_cols=("doc_id",)) -> DataFrame:

@@ -1,22 +1,38 @@
 """DuckDB statements that recompute each registered query independently of Spark.
 
-They run on the same parquet tables (registered as views by the checker).  Folding uses DuckDB's
-own ``strip_accents`` instead of the translate table, counts use ``regexp_extract_all`` and
-``replace``, lines come from ``string_split`` + ``generate_subscripts``, dedup uses window
-functions and ``list_has_all``, traversal uses a recursive CTE — so agreement is a real check,
-not the same plan twice.  Regexes are RE2 here and java.util.regex in Spark; the patterns used
-are in their common subset.
+They run on the same parquet tables (registered as views by the checker) and state every rule, list and
+fixture on their own: from the queries they take only the parameters (keywords, limits, depths).  Folding
+uses DuckDB's own ``strip_accents`` and folds the keywords in SQL too, counts use ``regexp_extract_all`` and
+``replace``, lines come from ``string_split`` + ``generate_subscripts``, dedup uses window functions and
+``list_has_all``, traversal uses recursive CTEs.  Regexes are RE2 here and java.util.regex in Spark.
 """
 
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
-from trawl.functions import html as H
-from trawl.functions import text as T
-from trawl.functions import urls as U
 from trawl.plans import queries as Q
-from trawl.sources import fixtures as FX
+
+# Fixed values that must equal the search tool's or an HTML5 parser's.
+DOC_SUFFIXES = "pdf doc docx txt xlsx odt pptx csv".split()
+ASSET_SUFFIXES = "css js png jpg jpeg gif svg ico woff woff2 ttf otf mp3 mp4 wav avi mov wmv zip rar 7z tar.gz".split()
+IGNORED_PARTS = ("googleads", "doubleclick", "facebook.com/sharer", "twitter.com/intent/tweet", "linkedin.com/share",
+                 "pinterest.com/pin", "/tag/", "/tags/", "/author/")
+JSON_SUFFIXES = "pdf docx xlsx odt doc pptx csv".split()
+SEPARATING_TAGS = (
+    "html head body frameset script noscript style meta link title frame noframes section nav aside hgroup header footer "
+    "p h1 h2 h3 h4 h5 h6 ul ol pre div blockquote hr address figure figcaption form fieldset ins del dl dt dd li table "
+    "caption thead tfoot tbody colgroup col tr th td video audio canvas details menu plaintext template article main svg "
+    "math center dir applet marquee listing br"
+).split()
+FAILURES = {
+    "SocketTimeoutException": "Timeout", "UnknownHostException": "DNS failure", "ConnectException": "Connection refused",
+    "SSLException": "SSL error", "SSLHandshakeException": "SSL error", "SSLPeerUnverifiedException": "SSL error",
+    "UnsupportedMimeTypeException": "Unsupported content type",
+}
+CATEGORIES = ("network_error", "blocked", "parse_error", "skipped_size", "skipped_type")
+CATEGORY_LABELS = ("Network errors", "Blocked", "Parse errors", "Skipped (size limit)", "Skipped (type filter)")
 
 
 def lit(s: str) -> str:
@@ -40,7 +56,8 @@ def fold_strict(x: str) -> str:
 
 
 def count_lit(x: str, needle: str) -> str:
-    return f"coalesce((length({x}) - length(replace({x}, {lit(needle)}, ''))) // {len(needle)}, 0)"
+    """Non-overlapping occurrences; ``needle`` is an SQL expression."""
+    return f"coalesce((length({x}) - length(replace({x}, {needle}, ''))) // length({needle}), 0)"
 
 
 def count_ci(x: str, kw: str) -> str:
@@ -48,40 +65,32 @@ def count_ci(x: str, kw: str) -> str:
 
 
 def count_exact(x: str, kw: str) -> str:
-    return count_lit(x, kw)
+    return count_lit(x, lit(kw))
 
 
 def count_default(x: str, kw: str) -> str:
-    ci = count_ci(x, kw)
-    if T.has_ascii_special(kw):
-        return ci
-    sk = T.fold_spaces_py(kw).strip()
-    if len(sk) < 2:
-        return ci
-    return f"greatest({ci}, {count_lit(fold_spaces(x), sk)})"
+    folded = f"trim({fold_spaces(lit(kw))})"
+    usable = f"NOT regexp_matches({lit(kw)}, '[\\x00-\\x1F!-/:-@\\[-`{{-\\x7F]') AND length({folded}) >= 2"
+    return f"(CASE WHEN {usable} THEN greatest({count_ci(x, kw)}, {count_lit(fold_spaces(x), folded)}) ELSE {count_ci(x, kw)} END)"
 
 
 def fuzzy_words(x: str, kw: str) -> str:
-    sk = T.fold_strict_py(kw)
-    if len(sk) < 2:
-        return "0"
-    t = T.fuzzy_threshold(sk)
+    k = fold_strict(lit(kw))
+    near = f"CASE WHEN length({k}) <= 4 THEN 1 ELSE 2 END"
     return (
-        f"coalesce(len(list_filter(string_split({fold_spaces(x)}, ' '), lambda w: w <> '' AND abs(length(w) - {len(sk)}) <= {t} "
-        f"AND levenshtein(w, {lit(sk)}) <= {t})), 0)"
+        f"(CASE WHEN length({k}) < 2 THEN 0 ELSE coalesce(len(list_filter(string_split({fold_spaces(x)}, ' '), lambda w: w <> '' AND "
+        f"abs(length(w) - length({k})) <= {near} AND levenshtein(w, {k}) <= {near})), 0) END)"
     )
 
 
 def count_fuzzy(x: str, kw: str) -> str:
-    sk = T.fold_strict_py(kw)
-    if len(sk) < 2:
-        return "0"
-    sub = count_lit(fold_strict(x), sk)
-    return f"(CASE WHEN {sub} > 0 THEN {sub} ELSE {fuzzy_words(x, kw)} END)"
+    k = fold_strict(lit(kw))
+    sub = count_lit(fold_strict(x), k)
+    return f"(CASE WHEN length({k}) < 2 THEN 0 WHEN {sub} > 0 THEN {sub} ELSE {fuzzy_words(x, kw)} END)"
 
 
 def count_matches(x: str, kw: str, mode: str) -> str:
-    return {"exact": count_exact, "fuzzy": count_fuzzy}.get(mode, count_default)(x, kw)
+    return {"exact": count_exact, "fuzzy": count_fuzzy, "default": count_default}[mode](x, kw)
 
 
 def java_trim(x: str) -> str:
@@ -112,44 +121,56 @@ FROM (SELECT *, {count_matches('line_text', kw, mode)} AS count FROM {lines_rel(
 
 # --- HTML ----------------------------------------------------------------------------------------
 
+#: The rest of a tag: quoted values may hold ``>``; a tag with an odd quote ends at the next ``>``.
+REST = """(?:[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*>|[^>]*>)"""
+#: From a tag's name to one of its attributes, over whole quoted values.
+TO_ATTR = """(?:[\\s/](?:[^"'>]|"[^"]*"|'[^']*')*?)??[\\s/]"""
+VALUE = """\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>"']+)"""
+
+
 def strip_non_text(x: str) -> str:
-    h = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    h = f"regexp_replace({h}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
-    return f"regexp_replace({h}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
+    h = f"regexp_replace({x}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    for tag in ("script", "style"):
+        h = f"regexp_replace({h}, {lit('(?is)<' + tag + '(?:>|[' + chr(92) + 's/]' + REST + ').*?(?:</' + tag + chr(92) + 's*>|' + chr(92) + 'z)')}, ' ', 'g')"
+    return h
 
 
 def decode_entities(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return x
+    """Each reference once: numbers by ``chr``, names by the HTML5 table."""
+    legacy = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    pattern = lit("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;|" + "|".join(legacy) + ")")
+    named = "MAP {" + ", ".join(f"{lit('&' + k)}: {lit(v)}" for k, v in sorted(html5.items())) + "}"
+    one = (
+        "CASE WHEN r IS NULL THEN '' WHEN regexp_matches(r, '^&#[0-9]') THEN chr(regexp_extract(r, '[0-9]+')::INTEGER) "
+        "WHEN starts_with(r, '&#') THEN chr(('0x' || regexp_extract(r, '[xX]([0-9a-fA-F]+)', 1))::INTEGER) "
+        f"ELSE coalesce({named}[r], r) END"
+    )
+    refs = f"list_transform(list_append(regexp_extract_all({x}, {pattern}), NULL), lambda r: {one})"
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, {pattern}), {refs}), lambda p: p[1] || p[2]), '')"
 
 
 def squash(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[ \\t\\n\\f\\r\\x{{00A0}}]+', ' ', 'g'))"
 
 
 def markup_to_text(x: str) -> str:
-    block = "(?i)</?(?:" + "|".join(H.BLOCK_TAGS) + ")\\b[^>]*>"
+    block = "(?i)</?(?:" + "|".join(SEPARATING_TAGS) + ")(?:>|[\\s/]" + REST + ")"
     h = f"regexp_replace({x}, {lit(block)}, ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<[^>]*>', '', 'g')"
+    h = f"regexp_replace({h}, {lit('(?s)<[/!?]?[a-zA-Z]' + REST)}, '', 'g')"
     return squash(decode_entities(h))
 
 
 def body_html(x: str) -> str:
-    after_body = f"regexp_extract({x}, '(?is)<body\\b[^>]*>(.*)$', 1)"
+    after_body = f"regexp_extract({x}, {lit('(?is)<body(?:>|[' + chr(92) + 's/]' + REST + ')(.*)$')}, 1)"
     inner = f"regexp_replace({after_body}, '(?is)</body\\s*>.*$', '')"
     after_head = f"regexp_extract({x}, '(?is)</head\\s*>(.*)$', 1)"
-    return (f"(CASE WHEN regexp_matches({x}, '(?i)<body\\b') THEN {inner} "
+    return (f"(CASE WHEN regexp_matches({x}, '(?i)<body[\\s/>]') THEN {inner} "
             f"WHEN regexp_matches({x}, '(?i)</head\\s*>') THEN {after_head} ELSE {x} END)")
 
 
-def page_title(x: str) -> str:
-    t = f"regexp_extract({strip_non_text(x)}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)"
-    return squash(decode_entities(t))
-
-
-def body_text(x: str) -> str:
-    return markup_to_text(body_html(strip_non_text(x)))
+def title_of(clean: str) -> str:
+    title = "(?is)<title(?:>|[\\s/]" + REST + ")(.*?)</title\\s*>"
+    return squash(decode_entities(f"regexp_extract({clean}, {lit(title)}, 1)"))
 
 
 def unquote(v: str) -> str:
@@ -157,22 +178,24 @@ def unquote(v: str) -> str:
             f"(starts_with({v}, '''') AND ends_with({v}, ''''))) THEN substr({v}, 2, length({v}) - 2) ELSE {v} END)")
 
 
-def meta_content(x: str, name: str) -> str:
-    tag = f"regexp_extract({strip_non_text(x)}, {lit('(?is)(<meta\\b[^>]*\\bname\\s*=\\s*[\"' + chr(39) + ']?' + name + '[\"' + chr(39) + ']?[\\s/>][^>]*>?)')}, 1)"
-    val = f"regexp_extract({tag}, {lit('(?is)\\bcontent\\s*=\\s*(\"[^\"]*\"|' + chr(39) + '[^' + chr(39) + ']*' + chr(39) + '|[^\\s>]+)')}, 1)"
-    return decode_entities(unquote(val))
+def meta_of(clean: str, name: str) -> str:
+    quoted = f"""(?:"{name}"|'{name}'|{name}[\\s/]|{name}>)"""
+    tag = f"regexp_extract({clean} || '>', {lit('(?is)(<meta' + TO_ATTR + 'name' + chr(92) + 's*=' + chr(92) + 's*' + quoted + '[^>]*)')}, 1)"
+    return decode_entities(unquote(f"regexp_extract({tag}, {lit('(?is)^<meta' + TO_ATTR + 'content' + VALUE)}, 1)"))
 
 
-def page_text(x: str) -> str:
-    return f"concat_ws(' ', {page_title(x)}, {body_text(x)}, {meta_content(x, 'description')}, {meta_content(x, 'keywords')})"
+def text_of(clean: str) -> str:
+    return f"concat_ws(' ', {title_of(clean)}, {markup_to_text(body_html(clean))}, {meta_of(clean, 'description')}, {meta_of(clean, 'keywords')})"
 
 
-ANCHOR = H._ANCHOR
-ANCHOR_TAG = H._ANCHOR_TAG
+def with_clean(rel: str, html: str = "html") -> str:
+    """Relation ``rel`` plus ``_clean``, the page without comments, scripts and styles, computed once."""
+    return f"(SELECT *, {strip_non_text(html)} AS _clean FROM {rel})"
 
 
-def is_challenge(x: str) -> str:
-    return f"(contains({page_title(x)}, {lit(H.CHALLENGE_TITLE)}) OR contains({page_text(x)}, {lit(H.CHALLENGE_TEXT)}))"
+ANCHOR = "(?is)<a" + TO_ATTR + "href" + VALUE
+BASE_TAG = "(?is)<base" + TO_ATTR + "href" + VALUE
+CHALLENGED = f"(contains({title_of('_clean')}, 'Just a moment...') OR contains({text_of('_clean')}, 'Enable JavaScript and cookies to continue'))"
 
 
 # --- URLs ----------------------------------------------------------------------------------------
@@ -242,16 +265,16 @@ def path_lower(x: str) -> str:
 
 
 def suffix_re(sfx) -> str:
-    return "(" + "|".join(s.replace(".", "\\.") for s in sfx) + ")$"
+    return "\\.(" + "|".join(s.replace(".", "\\.") for s in sfx) + ")$"
 
 
 def is_doc(x: str) -> str:
-    return f"regexp_matches({path_lower(x)}, {lit(suffix_re(U.DOC_SUFFIXES))})"
+    return f"regexp_matches({path_lower(x)}, {lit(suffix_re(DOC_SUFFIXES))})"
 
 
 def is_ignored(x: str) -> str:
-    parts = "(" + "|".join(p.replace(".", "\\.") for p in U.IGNORED_PARTS) + ")"
-    return (f"(NOT {is_doc(x)} AND (regexp_matches({path_lower(x)}, {lit(suffix_re(U.IGNORED_SUFFIXES))}) "
+    parts = "(" + "|".join(p.replace(".", "\\.") for p in IGNORED_PARTS) + ")"
+    return (f"(NOT {is_doc(x)} AND (regexp_matches({path_lower(x)}, {lit(suffix_re(ASSET_SUFFIXES))}) "
             f"OR regexp_matches({path_lower(x)}, {lit(parts)})))")
 
 
@@ -272,44 +295,44 @@ FROM (SELECT {key}, {val}, min({pos}) AS _mp FROM {rel} GROUP BY {key}, {val})""
 # derived views
 # ---------------------------------------------------------------------------------------------
 
-def _variant_case() -> str:
-    parts = []
-    for v, s in enumerate(FX.URL_VARIANTS):
-        parts.append(f"WHEN {v} THEN " + (f"sw || {lit(s[4:])}" if s.startswith("SWAP") else f"b || {lit(s)}"))
-    return "CASE v " + " ".join(parts) + " END"
-
-
-FX_URLS = f"""fx_urls AS (
-  SELECT page_id * 8 + (v * 5 + page_id) % 8 AS seq, {_variant_case()} AS url
+FX_URLS = """fx_urls AS (
+  SELECT page_id * 8 + (v * 5 + page_id) % 8 AS seq,
+    CASE v WHEN 0 THEN b || '?id=1' WHEN 1 THEN b || '?id=1&sort=asc' WHEN 2 THEN b || '?sort=asc&id=1' WHEN 3 THEN b || '?id=2'
+      WHEN 4 THEN b WHEN 5 THEN sw || '?id=1' WHEN 6 THEN b || '?' ELSE b || '?&' END AS url
   FROM (SELECT page_id, b, CASE WHEN starts_with(b, 'https://') THEN 'http://' || substr(b, 9)
                              WHEN starts_with(b, 'http://') THEN 'https://' || substr(b, 8) ELSE b END AS sw
         FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS b FROM pages)) p, range(8) t(v))"""
 
 
 def raw_hrefs_sql(src: str = "pages") -> str:
-    vals = f"regexp_extract_all({strip_non_text('html')}, {lit(ANCHOR)}, 1)"
+    vals = f"regexp_extract_all(_clean, {lit(ANCHOR)}, 1)"
     return f"""SELECT page_id, url, CAST(generate_subscripts(_h, 1) - 1 AS BIGINT) AS pos, {decode_entities(unquote('unnest(_h)'))} AS href
-FROM (SELECT page_id, url, {vals} AS _h FROM {src})"""
+FROM (SELECT page_id, url, {vals} AS _h FROM {with_clean(src)})"""
 
 
 FX_LINKS = f"""fx_links AS (
-  SELECT page_id, pos, href || ({'[' + ', '.join(lit(s) for s in FX.LINK_SUFFIXES) + ']'})[CAST((page_id + pos) % 8 + 1 AS INTEGER)] AS href
+  SELECT page_id, pos, href || (['', '.pdf', '.css', '.docx?v=2', '.PNG', '/tag/x', '#top', '?q=/tag/'])[CAST((page_id + pos) % 8 + 1 AS INTEGER)] AS href
   FROM ({raw_hrefs_sql()}))"""
 
-FX_HREFS = f"""fx_hrefs AS (
-  SELECT page_id, url, ({'[' + ', '.join(lit(s) for s in FX.TEST_HREFS) + ']'})[CAST(page_id % 10 + 1 AS INTEGER)] AS href FROM pages)"""
+FX_HREFS = """fx_hrefs AS (
+  SELECT page_id, url, (['/a/../b', '//cdn.example.org/x', 'b', '?x=1', 'HTTP://EX.example.com:80//a//b', 'https://e.example.com:443',
+    'javascript:void(0)', 'mailto:a@b.c', 'host.example.com:8080/x', './c#f'])[CAST(page_id % 10 + 1 AS INTEGER)] AS href FROM pages)"""
 
 FX_FETCH_LOG = """fx_fetch_log AS (
-  SELECT p.page_id, p.url,
-    CASE WHEN p.page_id % 10 = 4 AND q.url IS NOT NULL THEN q.url ELSE p.url END AS final_url,
-    CAST(CASE p.page_id % 20 WHEN 3 THEN 403 WHEN 7 THEN 429 WHEN 11 THEN 404 WHEN 13 THEN 500 WHEN 17 THEN NULL ELSE 200 END AS INTEGER) AS status,
-    CASE WHEN p.page_id % 20 = 17 THEN 'SocketTimeoutException' END AS error_class,
-    CASE WHEN p.page_id % 6 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
-    CASE WHEN p.page_id % 9 = 0 THEN NULL ELSE CAST(strlen(p.body) AS VARCHAR) END AS content_length,
-    p.body
-  FROM (SELECT *, CASE WHEN page_id % 25 = 2 THEN regexp_replace(html, '(?s)<title>.*?</title>', '<title>Just a moment...</title>', 'g')
-                  ELSE html END AS body FROM pages) p
-  LEFT JOIN pages q ON q.page_id = p.page_id - 1)"""
+  SELECT page_id, url,
+    CASE WHEN page_id % 20 = 0 THEN 'https://blocked.example.org/' || page_id
+         WHEN page_id % 10 = 4 THEN regexp_extract(b, '^([a-zA-Z]+://[^/]*)', 1) || '/landing'
+         WHEN page_id % 10 = 6 AND starts_with(b, 'https://') THEN 'http://' || substr(b, 9)
+         WHEN page_id % 10 = 6 AND starts_with(b, 'http://') THEN 'https://' || substr(b, 8)
+         WHEN page_id % 10 = 8 THEN url || '#top' ELSE url END AS final_url,
+    CAST(CASE page_id % 20 WHEN 0 THEN 403 WHEN 3 THEN 403 WHEN 7 THEN 429 WHEN 11 THEN 404 WHEN 13 THEN 500 WHEN 15 THEN NULL
+         WHEN 17 THEN NULL WHEN 19 THEN NULL ELSE 200 END AS INTEGER) AS status,
+    CASE page_id % 20 WHEN 15 THEN 'EOFException' WHEN 17 THEN 'SocketTimeoutException' WHEN 19 THEN 'IOException' END AS error_class,
+    CASE WHEN page_id % 20 = 19 THEN 'stream closed' || chr(10) || 'at byte 7' END AS error_message,
+    CASE WHEN page_id % 6 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+    CASE WHEN page_id % 9 <> 0 THEN CAST(strlen(body) AS VARCHAR) END AS content_length, body
+  FROM (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS b, CASE WHEN page_id % 20 = 9 THEN NULL WHEN page_id % 25 = 2
+          THEN regexp_replace(html, '(?s)<title>.*?</title>', '<title>Just a moment...</title>', 'g') ELSE html END AS body FROM pages))"""
 
 FX_PAGED = """fx_paged AS (
   SELECT doc_id // 3 AS doc_group, string_agg(text, chr(12) ORDER BY doc_id) AS text FROM documents GROUP BY doc_id // 3)"""
@@ -318,17 +341,25 @@ FX_CRLF = """fx_crlf AS (
   SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(13))
                  ELSE text END AS text FROM documents)"""
 
-
-def _html_case() -> str:
-    parts = []
-    for i, (pat, rep) in enumerate(FX.HTML_INJECT):
-        if pat is None:
-            continue
-        parts.append(f"WHEN {i} THEN regexp_replace(html, {lit(pat)}, {lit(rep)}, 'g')")
-    return "CASE page_id % 8 " + " ".join(parts) + " ELSE html END"
-
-
-FX_HTML = f"""fx_html AS (SELECT page_id, url, {_html_case()} AS html FROM pages)"""
+_INJECTED = (
+    ("<html", '<html ng-version="17.3.0"'),
+    ("<body>", '<body><div id="root"></div>'),
+    ("<body>", '<body><div data-reactroot="">Loading...</div>'),
+    ("<body>", '<body><script id="__NEXT_DATA__" type="application/json">{}</script>'),
+    ("</head>", '<script src="/static/app.js"></script></head>'),
+    ("</head>", '<meta name="description" content="Notes &amp; reviews"><meta name="keywords" content="alpha, beta"></head>'),
+    ("<body>", '<base href="/app/"><body><a download href="files/report.pdf">Report</a>'),
+    None,
+    ("<body>", '<body><p title="a > b">caf&eacute; it&#8217;s &#x41;&amp;lt; &notin; &copy 2024 &unknown; 1 < 2</p>'),
+    ("</article>", '</article><script type="a>b">var leaked = 1;'),
+    ("<body>", '<body><a data-href="/wrong" href="/right">x</a><a title="q href=/no" href=\'/yes?a=1&amp;b\'>y</a>'),
+    ("</head>", '<meta data-name="x" content="Second &mdash; order" name=description></head>'),
+    ("<body>", '<body><p>open <!-- never closed <a href="/hidden">z</a>'),
+    None,
+)
+FX_HTML = "fx_html AS (SELECT page_id, url, CASE page_id % 14 " + " ".join(
+    f"WHEN {i} THEN replace(html, {lit(x[0])}, {lit(x[1])})" for i, x in enumerate(_INJECTED) if x
+) + " ELSE html END AS html FROM pages)"
 
 FX_JSON = """fx_json AS (
   SELECT page_id, url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS url_base,
@@ -340,6 +371,16 @@ FX_EDGES = """fx_edges AS (
   FROM (SELECT page_id AS src, (page_id * 7 + k * 13 + 1) % (SELECT count(*) FROM pages) AS dst, k AS pos
         FROM pages, range(4) t(k)))"""
 
+FX_SITE = FX_EDGES + """,
+fx_site AS (
+  SELECT page_id, 'http://site.example.com/' || page_id AS url, replace(html, '<body>', '<body>' || links) AS html
+  FROM pages JOIN (SELECT src AS page_id, string_agg('<a href="/' || dst || CASE WHEN kind = 'doc' THEN '.pdf' ELSE '' END || '">l</a>', '' ORDER BY pos) AS links
+                   FROM fx_edges GROUP BY src) USING (page_id))"""
+
+FX_KEYWORDS = """fx_keywords AS (
+  SELECT DISTINCT keyword, CASE length(keyword) % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'exact' ELSE 'fuzzy' END AS mode
+  FROM (SELECT unnest(regexp_split_to_array(text, '[\\s.,]+')) AS keyword FROM benchmark) WHERE length(keyword) >= 7)"""
+
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
@@ -363,64 +404,80 @@ def _per_doc_lines(kw: str, mode: str) -> str:
 
 
 def _dedup(src_cte: str, all_urls: bool) -> str:
+    if not all_urls:
+        return f"{src_cte},\n{_smart_ctes('fx_urls', '_')}\n"
+    key = "CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END"
+    return f"{src_cte},\n_acc AS (SELECT min(seq) AS seq, arg_min(url, seq) AS url FROM fx_urls GROUP BY {key})\n"
+
+
+def _smart_ctes(rel: str, pre: str) -> str:
+    """CTEs that dedup ``rel`` (seq, url) by the smart rules; ``{pre}acc`` has the accepted rows."""
     tokens = ("(CASE WHEN _q = '' THEN [''] WHEN regexp_replace(_q, '&+$', '') = '' THEN []::VARCHAR[] "
               "ELSE list_distinct(string_split(regexp_replace(_q, '&+$', ''), '&')) END)")
-    return f"""{src_cte},
-_u AS (SELECT seq, url, CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END AS key FROM fx_urls),
-_f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS _rk FROM _u) WHERE _rk = 1),
-_p AS (SELECT *, strpos(key, '?') > 0 AS has_q,
+    return f"""{pre}u AS (SELECT seq, url, CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END AS key FROM {rel}),
+{pre}f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS _rk FROM {pre}u) WHERE _rk = 1),
+{pre}p AS (SELECT *, strpos(key, '?') > 0 AS has_q,
          CASE WHEN strpos(key, '?') > 0 THEN substr(key, 1, strpos(key, '?') - 1) ELSE key END AS base,
-         CASE WHEN strpos(key, '?') > 0 THEN substr(key, strpos(key, '?') + 1) ELSE NULL END AS _q FROM _f),
-_t AS (SELECT *, CASE WHEN has_q THEN {tokens} ELSE []::VARCHAR[] END AS params FROM _p),
-_g AS (SELECT *, first_value(params) OVER (PARTITION BY base ORDER BY seq) AS canon,
-         row_number() OVER (PARTITION BY base ORDER BY seq) AS _rb FROM _t),
-_acc AS (SELECT seq, url FROM _g WHERE {'TRUE' if all_urls else "_rb = 1 OR NOT ((has_q AND len(canon) > 0 AND list_has_all(params, canon)) OR (NOT has_q AND len(canon) = 0))"})
-"""
+         CASE WHEN strpos(key, '?') > 0 THEN substr(key, strpos(key, '?') + 1) ELSE NULL END AS _q FROM {pre}f),
+{pre}t AS (SELECT *, CASE WHEN has_q THEN {tokens} ELSE []::VARCHAR[] END AS params FROM {pre}p),
+{pre}g AS (SELECT *, first_value(params) OVER (PARTITION BY base ORDER BY seq) AS canon,
+         row_number() OVER (PARTITION BY base ORDER BY seq) AS _rb FROM {pre}t),
+{pre}acc AS (SELECT seq, url FROM {pre}g WHERE _rb = 1 OR NOT ((has_q AND len(canon) > 0 AND list_has_all(params, canon)) OR (NOT has_q AND len(canon) = 0)))"""
 
 
 def _redirect_dups_ctes() -> str:
-    events = f"""_ev0 AS (SELECT page_id * 2 AS seq, url AS raw FROM fx_fetch_log
-          UNION ALL SELECT page_id * 2 + 1 AS seq, final_url AS raw FROM fx_fetch_log WHERE final_url <> url),
-_ev AS (SELECT seq, url FROM ({normalize_stage('_ev0', 'raw', None, 'url')}) WHERE url <> '')"""
-    tokens = ("(CASE WHEN _q = '' THEN [''] WHEN regexp_replace(_q, '&+$', '') = '' THEN []::VARCHAR[] "
-              "ELSE list_distinct(string_split(regexp_replace(_q, '&+$', ''), '&')) END)")
-    return f"""{events},
-_ru AS (SELECT seq, url, CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END AS key FROM _ev),
-_rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS _rk FROM _ru) WHERE _rk = 1),
-_rp AS (SELECT *, strpos(key, '?') > 0 AS has_q,
-         CASE WHEN strpos(key, '?') > 0 THEN substr(key, 1, strpos(key, '?') - 1) ELSE key END AS base,
-         CASE WHEN strpos(key, '?') > 0 THEN substr(key, strpos(key, '?') + 1) ELSE NULL END AS _q FROM _rf),
-_rt AS (SELECT *, CASE WHEN has_q THEN {tokens} ELSE []::VARCHAR[] END AS params FROM _rp),
-_rg AS (SELECT *, first_value(params) OVER (PARTITION BY base ORDER BY seq) AS canon,
-         row_number() OVER (PARTITION BY base ORDER BY seq) AS _rb FROM _rt),
-_racc AS (SELECT seq FROM _rg WHERE _rb = 1 OR NOT ((has_q AND len(canon) > 0 AND list_has_all(params, canon)) OR (NOT has_q AND len(canon) = 0))),
+    """A fetch that returned and ended on another page (beyond scheme and fragment) than it asked for arrives there at
+    odd order numbers; it is a duplicate if that page is not accepted then."""
+    asked = normalize_stage("fx_fetch_log", "url", None, "_asked")
+    both = normalize_stage(f"({asked})", "final_url", None, "_got")
+    key = "regexp_replace({0}, '^http://', 'https://')"
+    return f"""_both AS (SELECT page_id, _asked, CASE WHEN status < 400 AND error_class IS NULL AND {key.format('_got')} <> {key.format('_asked')} THEN _got END AS _got FROM ({both})),
+_ev AS (SELECT page_id * 2 AS seq, _asked AS url FROM _both WHERE _asked <> '' UNION ALL SELECT page_id * 2 + 1, _got FROM _both WHERE _got <> ''),
+{_smart_ctes('_ev', '_r')},
 _rdup AS (SELECT CAST(seq // 2 AS BIGINT) AS page_id FROM _ev WHERE seq % 2 = 1 AND seq NOT IN (SELECT seq FROM _racc))"""
 
 
+KIND = "(CASE WHEN regexp_matches(coalesce(content_type, ''), 'text/html|application/xhtml[+]xml') THEN 'html' ELSE 'document' END)"
+
+
 def _outcomes_ctes() -> str:
     lim = Q.FETCH_LIMIT
-    kind = "(CASE WHEN contains(coalesce(content_type, ''), 'text/html') OR contains(coalesce(content_type, ''), 'application/xhtml+xml') THEN 'html' ELSE 'document' END)"
     over = f"(coalesce(TRY_CAST(content_length AS BIGINT) > {lim}, false) OR coalesce(strlen(body) > {lim}, false))"
-    chall = f"({kind} = 'html' AND {is_challenge('body')})"
-    reasons = " ".join(f"WHEN error_class = {lit(c)} THEN {lit(l)}" for c, l in
-                       __import__('trawl.operators.fetch', fromlist=['ERROR_REASONS']).ERROR_REASONS)
+    reasons = " ".join(f"WHEN {lit(c)} THEN {lit(l)}" for c, l in FAILURES.items())
     return f"""{FX_FETCH_LOG},
 {_redirect_dups_ctes()},
-_o1 AS (SELECT page_id, url, final_url, status, error_class, {kind} AS kind, {over} AS _over, {chall} AS _chall,
-          page_id IN (SELECT page_id FROM _rdup) AS _rd FROM fx_fetch_log),
-_oc AS (SELECT page_id, url, final_url, kind,
+_o1 AS (SELECT page_id, url, final_url, status, error_class, error_message, {KIND} AS kind, {over} AS _over, body IS NULL AS _none,
+          {KIND} = 'html' AND coalesce({CHALLENGED}, false) AS _chall, page_id IN (SELECT page_id FROM _rdup) AS _rd FROM {with_clean('fx_fetch_log', 'body')}),
+_oc AS (SELECT page_id, url, final_url, kind, status, error_class, error_message,
    CASE WHEN status IN (403, 429) THEN 'blocked' WHEN status >= 400 THEN 'network_error'
         WHEN error_class IS NOT NULL THEN 'network_error' WHEN _rd THEN 'redirect_duplicate'
-        WHEN _over THEN 'skipped_size' WHEN _chall THEN 'challenge' ELSE 'ok' END AS outcome,
-   CASE WHEN status IN (403, 429) THEN 'HTTP ' || CAST(status AS VARCHAR) || ' (Access Denied/Rate Limited)'
-        WHEN status >= 400 THEN 'HTTP ' || CAST(status AS VARCHAR)
-        WHEN error_class IS NOT NULL THEN (CASE {reasons} ELSE error_class END)
-        WHEN _chall THEN {lit(H.CHALLENGE_REASON)} END AS reason FROM _o1),
-outcomes AS (SELECT *, CASE WHEN outcome IN ('blocked', 'challenge') THEN 'blocked' WHEN outcome = 'network_error' THEN 'network_error'
-        WHEN outcome = 'skipped_size' THEN 'skipped_size' END AS category FROM _oc)
+        WHEN _over THEN 'skipped_size' WHEN kind = 'html' AND _none THEN 'parse_error' WHEN _chall THEN 'challenge' ELSE 'ok' END AS outcome FROM _o1),
+outcomes AS (SELECT *, CASE outcome WHEN 'blocked' THEN 'blocked' WHEN 'challenge' THEN 'blocked' WHEN 'network_error' THEN 'network_error'
+        WHEN 'skipped_size' THEN 'skipped_size' WHEN 'parse_error' THEN 'parse_error' END AS category,
+   CASE WHEN outcome = 'blocked' THEN 'HTTP ' || status || ' (Access Denied/Rate Limited)' WHEN outcome = 'network_error' AND status >= 400 THEN 'HTTP ' || status
+        WHEN outcome = 'network_error' THEN CASE error_class {reasons} ELSE coalesce(string_split(error_message, chr(10))[1], error_class) END
+        WHEN outcome = 'challenge' THEN 'Cloudflare/Bot protection challenge' END AS reason FROM _oc)
 """
 
 
+VISITED = "outcome IN ('redirect_duplicate', 'skipped_size', 'parse_error', 'challenge', 'ok')"
+
+
+def _crawl_ctes() -> str:
+    """Outcomes and ``results`` (url, seq, count, snippets as a list): page text of HTML, the body of documents, summed per final URL."""
+    lim = Q.FETCH_LIMIT
+    text = f"(CASE WHEN {KIND} = 'html' THEN {text_of('_clean')} ELSE body END)"
+    hits = f"""SELECT page_id, {count_default('_t', Q.KW_PAGES)} AS c, _t FROM (SELECT page_id, {text} AS _t FROM {with_clean('fx_fetch_log', 'body')}
+  WHERE body IS NOT NULL AND page_id IN (SELECT page_id FROM outcomes WHERE outcome = 'ok'))"""
+    final = normalize_stage("(SELECT page_id, final_url FROM outcomes)", "final_url", None, "_fn")
+    return f"""{_outcomes_ctes()},
+_hits AS MATERIALIZED (SELECT page_id, c, _t FROM ({hits}) WHERE c > 0),
+_fin AS (SELECT page_id, CASE WHEN _fn <> '' THEN _fn ELSE final_url END AS url FROM ({final})),
+_snip AS ({find_snippets('_hits', 'page_id', '_t', Q.KW_PAGES, 'default')}),
+results AS (SELECT url, min(page_id) AS seq, CAST(sum(c) AS BIGINT) AS count, arg_min(coalesce(snippets, []), page_id) AS snippets
+  FROM _hits JOIN _fin USING (page_id) LEFT JOIN _snip USING (page_id) GROUP BY url)"""
+
+
 def _bfs(edges_cte: str, depth: int, scope: str | None, doc_leaves: bool, extra_ctes: str = "") -> str:
     kind = "e.kind" if doc_leaves else "'nav'"
     scope_cond = f" AND {scope}" if scope else ""
@@ -459,7 +516,7 @@ def statements() -> dict[str, str]:
     s["grep_files"] = _per_doc_lines(Q.KW_DEFAULT, "default")
     s["file_totals"] = f"SELECT doc_id, CAST(c AS BIGINT) AS total_matches FROM (SELECT doc_id, {count_default('text', Q.KW_TOTALS)} AS c FROM documents) WHERE c > 0"
     parts = []
-    for kw, mode in FX.KEYWORDS:
+    for kw, mode in (("elle", "default"), ("ete", "default"), ("that the", "exact"), ("hten", "fuzzy"), ("C++", "default")):
         parts.append(f"SELECT doc_id, {lit(kw)} AS keyword, {lit(mode)} AS mode, page, line, count, snippet FROM ({grep_lines('documents', ['doc_id'], kw, mode)})")
     s["multi_keyword_grep"] = "\nUNION ALL\n".join(parts)
     per_doc = f"SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches FROM ({grep_lines('documents', ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"
@@ -472,29 +529,49 @@ SELECT CAST(count_if(length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(
   CAST(0 AS BIGINT) AS files_failed, CAST(count_if(coalesce(total_matches, 0) > 0) AS BIGINT) AS files_with_matches,
   CAST(coalesce(sum(total_matches), 0) AS BIGINT) AS total_matches FROM f LEFT JOIN m USING (doc_id)"""
 
+    # keyword table: every line against every keyword
+    k_lines = lines_rel("documents", ["doc_id"])
+    s["keyword_table_grep"] = with_(FX_KEYWORDS) + f"""SELECT doc_id, keyword, mode, page, line, CAST(count AS BIGINT) AS count, {line_snippet('line_text')} AS snippet FROM (
+  SELECT *, CASE mode WHEN 'exact' THEN {count_lit('line_text', 'keyword')}
+    WHEN 'default' THEN greatest({count_lit('lower(line_text)', 'lower(keyword)')}, CASE WHEN length(ks) >= 2 THEN {count_lit('fs', 'ks')} ELSE 0 END)
+    ELSE CASE WHEN length(kt) < 2 THEN 0 WHEN {count_lit('ft', 'kt')} > 0 THEN {count_lit('ft', 'kt')}
+      ELSE coalesce(len(list_filter(words, lambda w: w <> '' AND abs(length(w) - length(kt)) <= 2 AND levenshtein(w, kt) <= CASE WHEN length(kt) <= 4 THEN 1 ELSE 2 END)), 0) END END AS count
+  FROM (SELECT *, {fold_spaces('line_text')} AS fs, {fold_strict('line_text')} AS ft, string_split({fold_spaces('line_text')}, ' ') AS words FROM {k_lines}),
+    (SELECT *, trim({fold_spaces('keyword')}) AS ks, {fold_strict('keyword')} AS kt FROM fx_keywords)) WHERE count > 0"""
+
     # pages
-    s["page_text"] = f"SELECT page_id, {page_text('html')} AS text FROM pages"
-    s["page_title"] = f"SELECT page_id, {page_title('html')} AS title FROM pages"
-    pc = f"SELECT page_id, url, CAST(c AS BIGINT) AS count FROM (SELECT page_id, url, {count_default('_t', Q.KW_PAGES)} AS c FROM (SELECT page_id, url, {page_text('html')} AS _t FROM pages)) WHERE c > 0"
-    s["grep_pages"] = pc
-    s["grep_pages_ranked"] = f"SELECT CAST(row_number() OVER (ORDER BY count DESC, url, page_id) AS BIGINT) AS rank, page_id, url, count FROM ({pc})"
-    s["url_totals"] = f"SELECT _nu AS url, CAST(sum(count) AS BIGINT) AS count FROM ({normalize_stage('(' + pc + ')', 'url', None, '_nu')}) GROUP BY _nu"
-    s["page_meta"] = with_(FX_HTML) + f"SELECT page_id, {meta_content('html', 'description')} AS description, {meta_content('html', 'keywords')} AS keywords FROM fx_html"
+    html_clean = with_clean("fx_html")
+    s["page_text"] = with_(FX_HTML) + f"SELECT page_id, {text_of('_clean')} AS text FROM {html_clean}"
+    s["page_title"] = with_(FX_HTML) + f"SELECT page_id, {title_of('_clean')} AS title FROM {html_clean}"
+    s["main_content_text"] = with_(FX_HTML) + f"SELECT page_id, {main_content_text('html')} AS text FROM fx_html"
+    texts = f"(SELECT page_id, url, {text_of('_clean')} AS _t FROM {with_clean('pages')})"
+    counted = f"_c AS MATERIALIZED (SELECT * FROM (SELECT page_id, url, _t, {count_default('_t', Q.KW_PAGES)} AS c FROM {texts}) WHERE c > 0)"
+    shown = f"""WITH {counted},
+_sn AS ({find_snippets('_c', 'page_id', '_t', Q.KW_PAGES, 'default')}),
+_r AS (SELECT page_id, url, CAST(c AS BIGINT) AS count, coalesce(array_to_string(snippets, chr(10)), '') AS snippets,
+  CAST(greatest(c - coalesce(len(snippets), 0), 0) AS BIGINT) AS more FROM _c LEFT JOIN _sn USING (page_id))
+"""
+    s["grep_pages"] = f"WITH {counted} SELECT page_id, url, CAST(c AS BIGINT) AS count FROM _c"
+    s["grep_pages_snippets"] = shown + "SELECT * FROM _r"
+    s["grep_pages_ranked"] = shown + "SELECT CAST(row_number() OVER (ORDER BY count DESC, url, page_id) AS BIGINT) AS rank, * FROM _r"
+    s["url_totals"] = f"WITH {counted} SELECT _nu AS url, CAST(sum(c) AS BIGINT) AS count FROM ({normalize_stage('_c', 'url', None, '_nu')}) GROUP BY _nu"
+    s["page_meta"] = with_(FX_HTML) + f"SELECT page_id, {meta_of('_clean', 'description')} AS description, {meta_of('_clean', 'keywords')} AS keywords FROM {html_clean}"
     s["spa_pages"] = with_(FX_HTML) + f"SELECT page_id, {is_spa('html')} AS is_spa FROM fx_html"
-    href_re = "(?is)\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
+    anchor_tag = "(?is)(<a" + TO_ATTR + "href" + VALUE + REST + ")"
     s["anchor_rules"] = with_(FX_HTML) + f"""SELECT page_id, pos, href, is_download FROM (
-  SELECT page_id, pos, {decode_entities(unquote(f"regexp_extract(tag, {lit(href_re)}, 1)"))} AS href,
-         regexp_matches(tag, '(?i)<a\\b[^>]*\\sdownload(\\s|=|>|/)') AS is_download
+  SELECT page_id, pos, {decode_entities(unquote(f"regexp_extract(tag, {lit(ANCHOR)}, 1)"))} AS href,
+         regexp_matches(tag, {lit('(?is)^<a' + TO_ATTR + 'download[' + chr(92) + 's=>/]')}) AS is_download
   FROM (SELECT page_id, CAST(generate_subscripts(_t, 1) - 1 AS BIGINT) AS pos, unnest(_t) AS tag
-        FROM (SELECT page_id, regexp_extract_all({strip_non_text('html')}, {lit(ANCHOR_TAG)}, 1) AS _t FROM fx_html)))
+        FROM (SELECT page_id, regexp_extract_all(_clean, {lit(anchor_tag)}, 1) AS _t FROM {html_clean})))
 WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:') AND NOT starts_with(href, 'mailto:')"""
-    fb = f"""SELECT page_id, url, generate_subscripts(_h, 1) AS _i, unnest(_h) AS raw FROM (SELECT page_id, url,
-  list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda v: {decode_entities('v')}) AS _h FROM fx_html)"""
+    no_anchors = "(SELECT page_id, url, regexp_replace(html, '(?i)<a([[:space:]])', '<area\\1', 'g') AS html FROM fx_html)"
+    fb = f"""SELECT page_id, url, generate_subscripts(_h, 1) AS _i, {decode_entities('unnest(_h)')} AS raw FROM (SELECT page_id, url,
+  regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1) AS _h FROM {no_anchors})"""
     fb_base = normalize_stage(f"({fb})", "url", None, "_base")
-    fb_norm = normalize_stage(f"({fb_base})", "raw", "_base", "link")
+    fb_norm = normalize_stage(f"({fb_base})", "raw", "_base", "link", query_fix=False)
     fb_keep = f"SELECT page_id, _i, link FROM ({fb_norm}) WHERE link <> '' AND NOT {is_ignored('link')}"
     s["extract_links_fallback"] = with_(FX_HTML) + ordered_distinct(f"({fb_keep})", "page_id", "link", "_i")
-    s["extract_links"] = _extract_links_sql("pages")
+    s["extract_links"] = with_(FX_HTML) + _extract_links_sql("fx_html", with_base_tag=True)
     s["link_graph"] = f"""WITH l AS ({_extract_links_sql('pages', with_src=True)})
 SELECT src, pos, link AS dst, CASE WHEN {is_doc('link')} THEN 'doc' ELSE 'nav' END AS kind FROM l"""
     s["host_rollup"] = f"""WITH l AS ({_extract_links_sql('pages', with_src=True)})
@@ -506,8 +583,12 @@ SELECT src, pos, link AS dst FROM l WHERE link NOT IN (SELECT _k FROM k)"""
     s["resolve_links"] = with_(FX_HREFS) + f"SELECT page_id, href, resolved FROM ({normalize_stage('fx_hrefs', 'href', 'url', 'resolved')})"
     s["classify_links"] = with_(FX_LINKS) + f"SELECT page_id, pos, href, {is_doc('href')} AS is_doc, {is_ignored('href')} AS is_ignored FROM fx_links"
     hn = normalize_stage("pages", "url", None, "_nu")
-    s["site_scope"] = f"""SELECT page_id, host, {in_scope('host', 'www.example.com')} AS in_www_scope, {in_scope('host', 'ththre.example.com')} AS in_bare_scope
-FROM (SELECT page_id, {url_host('_nu')} AS host FROM ({hn}))"""
+    s["site_scope"] = f"""WITH h AS (SELECT page_id, {url_host('_nu')} AS host FROM ({hn})),
+seeds AS (SELECT seed_id, CASE WHEN seed_id % 2 = 1 THEN 'www.' || regexp_replace(host, '^www[.]', '') ELSE host END AS seed_host
+  FROM (SELECT host, min(page_id) AS seed_id FROM h GROUP BY host)),
+r AS (SELECT *, regexp_replace(seed_host, '^www[.]', '') AS root, starts_with(seed_host, 'www.') AS wide FROM seeds)
+SELECT page_id, host, seed_id, seed_host FROM h JOIN r ON host <> '' AND (CASE WHEN wide THEN host = root OR ends_with(host, '.' || root)
+  ELSE host = root OR host = 'www.' || root END)"""
 
     # dedup
     s["dedup_smart"] = "WITH " + _dedup(FX_URLS, False) + "SELECT CAST(seq AS BIGINT) AS seq, url FROM _acc"
@@ -522,25 +603,26 @@ FROM (SELECT page_id, {url_host('_nu')} AS host FROM ({hn}))"""
     s["fetch_outcomes"] = oc + "SELECT page_id, outcome, category, reason FROM outcomes"
     lim = Q.FETCH_LIMIT
     s["size_gate"] = with_(FX_FETCH_LOG) + f"SELECT page_id, (coalesce(TRY_CAST(content_length AS BIGINT) > {lim}, false) OR coalesce(strlen(body) > {lim}, false)) AS skipped FROM fx_fetch_log"
-    s["route_content"] = with_(FX_FETCH_LOG) + "SELECT page_id, CASE WHEN contains(coalesce(content_type, ''), 'text/html') OR contains(coalesce(content_type, ''), 'application/xhtml+xml') THEN 'html' ELSE 'document' END AS kind FROM fx_fetch_log"
-    s["bot_challenge"] = with_(FX_FETCH_LOG) + f"SELECT page_id, url FROM fx_fetch_log WHERE {is_challenge('body')}"
-    from trawl.operators.fetch import ERROR_TYPES
-    dim = " UNION ALL ".join(f"SELECT {i} AS ord, {lit(t)} AS category" for i, t in enumerate(ERROR_TYPES))
+    s["route_content"] = with_(FX_FETCH_LOG) + f"SELECT page_id, {KIND} AS kind FROM fx_fetch_log"
+    s["bot_challenge"] = with_(FX_FETCH_LOG) + f"SELECT page_id, url FROM {with_clean('fx_fetch_log', 'body')} WHERE {CHALLENGED}"
+    dim = " UNION ALL ".join(f"SELECT {i} AS ord, {lit(t)} AS category" for i, t in enumerate(CATEGORIES))
     s["error_counts"] = oc + f", dim AS ({dim}) SELECT d.category, CAST(count(o.page_id) AS BIGINT) AS count FROM dim d LEFT JOIN outcomes o ON o.category = d.category GROUP BY d.category"
     s["error_reasons"] = oc + "SELECT reason, CAST(count(*) AS BIGINT) AS count FROM outcomes WHERE outcome = 'network_error' GROUP BY reason"
     s["blocked_by_reason"] = oc + """, b AS (SELECT reason, page_id, CASE WHEN outcome = 'challenge' THEN final_url ELSE url END AS url FROM outcomes WHERE outcome IN ('blocked', 'challenge'))
 SELECT reason, CAST(count(*) AS BIGINT) AS count, CAST(greatest(count(*) - 10, 0) AS BIGINT) AS more,
   array_to_string(list(url ORDER BY page_id)[1:10], ' ') AS first_urls FROM b GROUP BY reason"""
-    s["crawl_stats"] = oc + """SELECT CAST(count_if(outcome IN ('redirect_duplicate', 'skipped_size', 'challenge', 'ok')) AS BIGINT) AS pages_visited,
+    s["crawl_stats"] = oc + """SELECT CAST(count_if(outcome IN ('redirect_duplicate', 'skipped_size', 'parse_error', 'challenge', 'ok')) AS BIGINT) AS pages_visited,
   CAST(count_if(outcome = 'ok') AS BIGINT) AS pages_parsed, CAST(count_if(outcome = 'ok' AND kind = 'document') AS BIGINT) AS docs_parsed,
   CAST(greatest(count_if(outcome = 'ok') - count_if(outcome = 'ok' AND kind = 'document'), 0) AS BIGINT) AS html_pages,
   CAST(count_if(outcome IN ('blocked', 'challenge')) AS BIGINT) AS pages_blocked FROM outcomes"""
     s["dedup_redirects"] = "WITH " + FX_FETCH_LOG + ",\n" + _redirect_dups_ctes() + "\nSELECT page_id FROM _rdup"
-    jl = f"""SELECT page_id, CAST(generate_subscripts(_f, 1) - 1 AS BIGINT) AS pos,
+    docs = "(?i)^(https?://.+|/[^\\s?]+)[.](" + "|".join(JSON_SUFFIXES) + ")([?].*)?$"
+    s["json_doc_links"] = with_(FX_JSON) + f"""SELECT page_id, CAST(generate_subscripts(_f, 1) - 1 AS BIGINT) AS pos,
   CASE WHEN starts_with(unnest(_f), '//') THEN (CASE WHEN starts_with(url_base, 'https') THEN 'https:' ELSE 'http:' END) || unnest(_f)
        WHEN starts_with(unnest(_f), '/') THEN url_base || unnest(_f) ELSE unnest(_f) END AS link
-FROM (SELECT page_id, url_base, list_concat(regexp_extract_all(body, {lit(H.JSON_DOC_URL)}, 1), regexp_extract_all(body, {lit(H.JSON_DOWNLOAD_URL)}, 1)) AS _f FROM fx_json)"""
-    s["json_doc_links"] = with_(FX_JSON) + jl
+FROM (SELECT page_id, url_base, list_concat(list_filter(_s, lambda v: regexp_matches(v, {lit(docs)})),
+        list_filter(_s, lambda v: regexp_matches(v, '(?i)^(https?://|/)[^\\s]{{4,}}/download$'))) AS _f
+      FROM (SELECT page_id, url_base, regexp_extract_all(body, '"([^"]*)"', 1) AS _s FROM fx_json))"""
 
     # traversal
     s["bfs_depth"] = _bfs(FX_EDGES, Q.BFS_DEPTH, None, False) + "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node"
@@ -551,56 +633,13 @@ fx_edges AS (SELECT e.* FROM _fx_edges0 e JOIN _hosts h ON h.node = e.dst WHERE
     s["bfs_scoped"] = _bfs(scoped_edges, Q.BFS_DEPTH, None, False, scope_ctes) + "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node"
     s["bfs_doc_leaves"] = _bfs(FX_EDGES, 2, None, True) + """SELECT node, CAST(depth AS BIGINT) AS depth, kind FROM (
   SELECT node, depth, kind, row_number() OVER (PARTITION BY node ORDER BY depth, kind) AS _r FROM r) WHERE _r = 1"""
-    bs = f"SELECT doc_id, flat, length(flat) AS n, strpos(flat, 'elle') - 1 AS s, strpos(flat, 'elle') + 3 AS e FROM (SELECT doc_id, {flat_sql('text')} AS flat FROM documents)"
-    s["build_snippet"] = f"SELECT doc_id, snippet FROM ({snippet_stages('(' + bs + ' WHERE s >= 0)')})"
-    kw = Q.KW_EXACT
-    hits = f"""SELECT doc_id, flat, n, i, CAST(sum(length(pc)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {len(kw)} AS BIGINT) AS s, np
-FROM (SELECT doc_id, flat, n, unnest(pcs) AS pc, generate_subscripts(pcs, 1) AS i, len(pcs) AS np
-      FROM (SELECT doc_id, flat, length(flat) AS n, string_split(flat, {lit(kw)}) AS pcs FROM (SELECT doc_id, {flat_sql('text')} AS flat FROM documents)))"""
-    sn = snippet_stages(f"(SELECT *, s + {len(kw)} AS e FROM ({hits}) WHERE i < np)")
-    s["snippets_exact"] = f"""SELECT doc_id, CAST(max(np) - 1 AS BIGINT) AS count, string_agg(snippet, chr(10) ORDER BY mi) AS snippets FROM (
-  SELECT doc_id, snippet, np, mi, row_number() OVER (PARTITION BY doc_id ORDER BY mi) AS k FROM (
-    SELECT doc_id, snippet, max(np) AS np, min(i) AS mi FROM ({sn}) GROUP BY doc_id, snippet)) WHERE k <= 3 GROUP BY doc_id"""
-    first_doc = "(SELECT * FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents))"
-    s["report_json_file"] = f"""SELECT CAST(to_json({{'query': {{'file': 'doc', 'keyword': {lit(Q.KW_CI)}, 'mode': 'default'}},
-  'stats': {{'total_matches': CAST(sum(count) AS BIGINT)}},
-  'matches': list({{'page': CAST(page AS INTEGER), 'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}} ORDER BY page, line)}}) AS VARCHAR) AS line
-FROM ({grep_lines(first_doc, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
-    fm = Q.FOLDER_MAX_BYTES
-    fl = grep_lines(f"(SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE strlen(text) <= {fm})", ["path"], Q.KW_CI, "default")
-    m_np = "{'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}"
-    m_p = "{'page': CAST(page AS INTEGER), 'line': CAST(line AS INTEGER), 'count': CAST(count AS INTEGER), 'snippet': snippet}"
-    s["report_json_folder"] = f"""WITH l AS ({fl}),
-per AS (SELECT path, CAST(sum(count) AS BIGINT) AS total_matches, bool_or(page > 0) AS hp,
-  list({m_np} ORDER BY page, line) AS m_np, list({m_p} ORDER BY page, line) AS m_p FROM l GROUP BY path),
-f AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS length FROM documents),
-st AS (SELECT CAST(count_if(f.length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(f.length > {fm}) AS BIGINT) AS files_skipped,
-  CAST(0 AS BIGINT) AS files_failed, CAST(count_if(coalesce(per.total_matches, 0) > 0) AS BIGINT) AS files_with_matches,
-  CAST(coalesce(sum(per.total_matches), 0) AS BIGINT) AS total_matches FROM f LEFT JOIN per USING (path))
-SELECT 0 AS section, '' AS ord, CAST(to_json({{'query': {{'folder': 'documents', 'keyword': {lit(Q.KW_CI)}, 'mode': 'default'}},
-  'stats': {{'files_scanned': files_scanned, 'files_skipped': files_skipped, 'files_failed': files_failed,
-  'files_with_matches': files_with_matches, 'total_matches': total_matches}}}}) AS VARCHAR) AS line FROM st
-UNION ALL
-SELECT 1 AS section, path AS ord, CAST(CASE WHEN hp THEN to_json({{'file': path, 'total_matches': total_matches, 'matches': m_p}})
-  ELSE to_json({{'file': path, 'total_matches': total_matches, 'matches': m_np}}) END AS VARCHAR) AS line FROM per"""
-    links_html = _extract_links_sql("fx_html", with_base_tag=True)
-    s["merge_rendered"] = with_(FX_HTML) + f"""SELECT h.page_id, h.spa,
-  CAST(CASE WHEN h.spa THEN 2 ELSE coalesce(l.nav, 0) END AS BIGINT) AS nav_links,
-  CAST(coalesce(l.docs, 0) + CASE WHEN h.spa THEN 1 ELSE 0 END AS BIGINT) AS doc_links
-FROM (SELECT page_id, {is_spa('html')} AS spa FROM fx_html) h
-LEFT JOIN (SELECT page_id, count_if(NOT {is_doc('link')}) AS nav, count_if({is_doc('link')}) AS docs FROM ({links_html}) GROUP BY page_id) l
-USING (page_id)"""
-    seed_host = "(SELECT " + url_host("_nu") + " FROM (" + normalize_stage("(SELECT url FROM pages ORDER BY page_id LIMIT 1)", "url", None, "_nu") + "))"
-    first = normalize_stage("(SELECT final_url FROM outcomes WHERE outcome <> 'network_error' ORDER BY page_id LIMIT 1)", "final_url", None, "_fn")
-    s["scope_redirect"] = "WITH " + _outcomes_ctes() + f""", _sh AS (SELECT {seed_host} AS seed_host),
-_fh AS (SELECT {url_host('_fn')} AS first_host FROM ({first})),
-_x AS (SELECT seed_host, first_host,
-  CASE WHEN starts_with(seed_host, 'www.') THEN NOT (first_host = substr(seed_host, 5) OR ends_with(first_host, '.' || substr(seed_host, 5)))
-       ELSE NOT (first_host = seed_host OR first_host = 'www.' || seed_host) END AS moved FROM _sh, _fh)
-SELECT seed_host, first_host, moved,
-  CASE WHEN starts_with(CASE WHEN moved THEN first_host ELSE seed_host END, 'www.') THEN substr(CASE WHEN moved THEN first_host ELSE seed_host END, 5)
-       ELSE CASE WHEN moved THEN first_host ELSE seed_host END END AS scope_root,
-  starts_with(CASE WHEN moved THEN first_host ELSE seed_host END, 'www.') AS allow_subdomains FROM _x"""
+    hit_rows = literal_hits("(SELECT doc_id, " + flat_sql("text") + " AS flat FROM documents)", "doc_id", "flat", lit(Q.KW_SNIPPET))
+    s["build_snippet"] = f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS hit, snippet FROM ({snippet_stages('(' + hit_rows + ')')})"
+    for name, kw, mode in (("snippets_exact", Q.KW_EXACT, "exact"), ("snippets_default", Q.KW_DEFAULT, "default"), ("snippets_fuzzy", Q.KW_SNIPPETS_FUZZY, "fuzzy")):
+        s[name] = f"""WITH _c AS MATERIALIZED (SELECT * FROM (SELECT doc_id, text, {count_matches('text', kw, mode)} AS c FROM documents) WHERE c > 0),
+_sn AS ({find_snippets('_c', 'doc_id', 'text', kw, mode)})
+SELECT doc_id, CAST(c AS BIGINT) AS count, coalesce(array_to_string(snippets, chr(10)), '') AS snippets FROM _c LEFT JOIN _sn USING (doc_id)"""
+    s |= _report_statements() | _crawl_statements()
     return s
 
 
@@ -622,15 +661,56 @@ def snippet_stages(rel: str, out: str = "snippet") -> str:
   CASE WHEN length(_sn) > 500 THEN substr(_sn, 1, 497) || '...' ELSE _sn END AS {out} FROM ({s4})"""
 
 
+def match_rows(rel: str, key: str, flat: str, searched: str, pattern: str) -> str:
+    """(key, flat, n, i, s, e): the matches of ``pattern`` in ``searched``, which is as long as ``flat``, 0-based."""
+    return f"""SELECT {key}, flat, n, i, s, s + ml AS e FROM (
+  SELECT *, CAST(sum(pl) OVER (PARTITION BY {key} ORDER BY i) + coalesce(sum(ml) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+  FROM (SELECT {key}, flat, length(flat) AS n, generate_subscripts(ms, 1) AS i, length(unnest(ms)) AS ml, length(unnest(ps[1:len(ms)])) AS pl
+        FROM (SELECT {key}, {flat} AS flat, regexp_extract_all({searched}, {pattern}) AS ms, regexp_split_to_array({searched}, {pattern}) AS ps FROM {rel}) WHERE len(ms) > 0))"""
+
+
+def literal_hits(rel: str, key: str, flat: str, needle: str) -> str:
+    return match_rows(rel, key, flat, flat, f"regexp_escape({needle})")
+
+
+def find_snippets(rel: str, key: str, text: str, kw: str, mode: str, most: int = 3) -> str:
+    """(key, snippets): the first distinct excerpts of literal matches, then of matches of the folded keyword."""
+    assert kw.isascii() and kw.replace(" ", "").isalnum(), "the keywords of the catalogue need no folding of their own"
+    flat = f"(SELECT {key}, {flat_sql(text)} AS flat FROM {rel})"
+    literal = lit(("" if mode == "exact" else "(?i)") + re2_escape(kw))
+    passes = [snippet_stages("(SELECT *, 1 AS pass FROM (" + match_rows(flat, key, "flat", "flat", literal) + "))")]
+    if mode != "exact":
+        gap, word = ("[^a-z0-9 ]*", kw.lower()) if mode == "default" else ("[^a-z0-9]*", kw.lower().replace(" ", ""))
+        folded = match_rows(flat, key, "flat", "lower(strip_accents(flat))", lit(gap.join(word)))
+        passes.append(snippet_stages(f"(SELECT *, 2 AS pass FROM ({folded}))"))
+    union = " UNION ALL ".join(f"SELECT {key}, pass, i, snippet FROM ({p})" for p in passes)
+    return f"""SELECT {key}, list(snippet ORDER BY o) AS snippets FROM (
+  SELECT {key}, snippet, o, row_number() OVER (PARTITION BY {key} ORDER BY o) AS k FROM (
+    SELECT {key}, snippet, min((pass, i)) AS o FROM ({union}) GROUP BY {key}, snippet)) WHERE k <= {most} GROUP BY {key}"""
+
+
+def main_content_text(x: str) -> str:
+    def value(names: str) -> str:
+        return f"""\\s*=\\s*(?:"(?:{names})"|'(?:{names})'|(?:{names})[\\s>/])"""
+
+    named = "(?:main|app-root)(?:>|[\\s/]" + REST + ")"
+    marked = "[a-z][a-z0-9-]*" + TO_ATTR + "(?:role" + value("main|content") + "|id" + value("app|root|content") + ")" + REST
+    clean = strip_non_text(f"regexp_replace({x}, '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', ' ', 'g')")
+    tag = f"regexp_extract({clean}, {lit('(?is)(<(?:' + named + '|' + marked + '))')}, 1)"
+    after = f"substr({clean}, strpos({clean}, {tag}) + length({tag}))"
+    inner = f"regexp_extract({after}, '(?is)^(.*?)</' || regexp_extract({tag}, '^<([a-zA-Z0-9-]+)', 1) || '\\s*>', 1)"
+    return markup_to_text(f"(CASE WHEN {tag} <> '' THEN {inner} ELSE {body_html(clean)} END)")
+
+
 def _extract_links_sql(src: str, with_src: bool = False, with_base_tag: bool = False) -> str:
-    vals = f"regexp_extract_all({strip_non_text('html')}, {lit(ANCHOR)}, 1)"
-    base_re = "(?is)<base\\b[^>]*\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>\"']+)"
-    raw_base = decode_entities(unquote(f"regexp_extract({strip_non_text('html')}, {lit(base_re)}, 1)")) if with_base_tag else "''"
-    pages = f"SELECT page_id, url, {vals} AS _h, {raw_base} AS _braw FROM {src}"
+    raw_base = decode_entities(unquote(f"regexp_extract(_clean, {lit(BASE_TAG)}, 1)")) if with_base_tag else "''"
+    plain = "regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)"
+    pages = f"""SELECT page_id, url, _a, CASE WHEN len(_a) > 0 THEN list_transform(_a, lambda v: {unquote('v')}) ELSE {plain} END AS _h, _braw FROM (
+  SELECT page_id, url, html, regexp_extract_all(_clean, {lit(ANCHOR)}, 1) AS _a, {raw_base} AS _braw FROM {with_clean(src)})"""
     with_page = normalize_stage(f"({pages})", "url", None, "_page")
     with_bres = normalize_stage(f"({with_page})", "_braw", "_page", "_bres", query_fix=True)
-    based = f"""SELECT *, CASE WHEN len(_h) > 0 AND _braw <> '' AND _bres <> '' THEN _bres ELSE _page END AS _base FROM ({with_bres})"""
-    hrefs = f"""SELECT page_id, _page, _base, generate_subscripts(_h, 1) AS _i, {decode_entities(unquote('unnest(_h)'))} AS raw FROM ({based})"""
+    based = f"""SELECT *, CASE WHEN len(_a) > 0 AND _braw <> '' AND _bres <> '' THEN _bres ELSE _page END AS _base FROM ({with_bres})"""
+    hrefs = f"""SELECT page_id, _page, _base, generate_subscripts(_h, 1) AS _i, {decode_entities('unnest(_h)')} AS raw FROM ({based})"""
     normed = normalize_stage(f"({hrefs})", "raw", "_base", "link", query_fix=True)
     keep = f"SELECT page_id, _page AS _base, _i, link FROM ({normed}) WHERE link <> '' AND NOT {is_ignored('link')}"
     if with_src:
@@ -641,17 +721,169 @@ JOIN (SELECT DISTINCT page_id, _base FROM ({keep})) b USING (page_id)"""
 
 def is_spa(x: str) -> str:
     clean = strip_non_text(x)
-    html_tag = f"regexp_extract({x}, '(?is)(<html\\b[^>]*>)', 1)"
-    attrs = "(?i)\\s(" + "|".join(H.SPA_HTML_ATTRS) + ")(\\s|=|>|/)"
-    react = "(?is)<[a-z][^>]*\\sdata-reactroot(\\s|=|>|/)"
-    nxt = "(?is)<script\\b[^>]*\\bid\\s*=\\s*[\"']?__NEXT_DATA__[\"']?[\\s>/]"
-    app_root = f"regexp_extract({clean}, '(?is)<app-root\\b[^>]*>(.*?)</app-root\\s*>', 1)"
-    root_re = "(?is)<div\\b[^>]*\\bid\\s*=\\s*[\"']?(?:root|app)[\"']?[\\s>/][^>]*>(.*?)</div\\s*>"
-    root_has = "(?is)<div\\b[^>]*\\bid\\s*=\\s*[\"']?(?:root|app)[\"']?[\\s>/]"
-    root_div = f"regexp_extract({clean}, {lit(root_re)}, 1)"
-    scripts = f"len(regexp_extract_all({x}, {lit(chr(40) + '?is)(<script' + chr(92) + 'b[^>]*' + chr(92) + 'bsrc' + chr(92) + 's*=' + chr(92) + 's*[' + chr(34) + chr(39) + ']?[^' + chr(34) + chr(39) + '>' + chr(92) + 's]*' + chr(92) + '.js)')}, 1))"
-    blen = f"length({body_text(x)})"
-    return f"""(regexp_matches({html_tag}, {lit(attrs)}) OR regexp_matches({x}, {lit(react)}) OR regexp_matches({x}, {lit(nxt)})
-  OR (regexp_matches({clean}, '(?i)<app-root\\b') AND length({markup_to_text(app_root)}) < 100)
-  OR (regexp_matches({clean}, {lit(root_has)}) AND length({markup_to_text(root_div)}) < 100)
+    tag = "(?is)<html(?:[\\s/][^>]*)?[\\s/](ng-version|data-beasties-container|data-n-head)[\\s=>/]"
+    react = "(?is)<[a-z][a-z0-9-]*" + TO_ATTR + "data-reactroot[\\s=>/]"
+    nxt = "(?is)<script" + TO_ATTR + "id\\s*=\\s*[\"']?__NEXT_DATA__[\"']?[\\s>/]"
+    app_root = f"regexp_extract({clean}, {lit('(?is)<app-root(?:>|[' + chr(92) + 's/]' + REST + ')(.*?)</app-root' + chr(92) + 's*>')}, 1)"
+    root = "(?is)<div" + TO_ATTR + """id\\s*=\\s*(?:"(?:root|app)"|'(?:root|app)')"""
+    root_div = f"regexp_extract({clean}, {lit(root + REST + '(.*?)</div' + chr(92) + 's*>')}, 1)"
+    source = "(?is)(<script" + TO_ATTR + "src\\s*=\\s*[\"']?[^\"'>\\s]*[.]js)"
+    scripts = f"len(regexp_extract_all({x}, {lit(source)}, 1))"
+    blen = f"length({markup_to_text(body_html(clean))})"
+    return f"""(regexp_matches({x}, {lit(tag)}) OR regexp_matches({x}, {lit(react)}) OR regexp_matches({x}, {lit(nxt)})
+  OR (regexp_matches({clean}, '(?i)<app-root[\\s/>]') AND length({markup_to_text(app_root)}) < 100)
+  OR (regexp_matches({clean}, {lit(root)}) AND length({markup_to_text(root_div)}) < 100)
   OR ({blen} < 100 AND {scripts} >= 1) OR ({blen} < 300 AND {scripts} >= 2))"""
+
+
+# ---------------------------------------------------------------------------------------------
+# reports
+# ---------------------------------------------------------------------------------------------
+
+_FILES = "(SELECT printf('doc-%08d.txt', doc_id) AS path, strlen(text) AS length, text FROM documents)"
+_JSON_MATCH = """CAST(CASE WHEN hp THEN to_json({'page': page::INTEGER, 'line': line::INTEGER, 'count': count::INTEGER, 'snippet': snippet})
+    ELSE to_json({'line': line::INTEGER, 'count': count::INTEGER, 'snippet': snippet}) END AS VARCHAR)"""
+_TEXT_MATCH = """'  ' || rpad(CASE WHEN hp THEN 'p.' || page || ', l.' || line ELSE 'l.' || line END, 16, ' ') || '  ' ||
+    CASE WHEN count = 1 THEN '(1 match)' ELSE '(' || count || ' matches)' END || '  "' || snippet || '"'"""
+
+
+def _line(section: int, line: str, ord_: str = "0", sub: str = "0", pos: str = "0", first: str = "") -> str:
+    return f"SELECT {first}{section} AS section, CAST({ord_} AS BIGINT) AS ord, CAST({sub} AS BIGINT) AS sub, CAST({pos} AS BIGINT) AS pos, {line} AS line"
+
+
+def _listed(section: int, lines: list[str], rel: str, first: str = "") -> str:
+    return " UNION ALL ".join(f"{_line(section, x, str(i), first=first)} FROM {rel} WHERE {x} IS NOT NULL" for i, x in enumerate(lines))
+
+
+def _report_statements() -> dict[str, str]:
+    s: dict[str, str] = {}
+    fm = Q.FOLDER_MAX_BYTES
+
+    def ctes(limit: int | None) -> str:
+        files = f"(SELECT * FROM {_FILES} WHERE length <= {limit})" if limit else _FILES
+        return f"""WITH l AS MATERIALIZED ({grep_lines(files, ['path'], Q.KW_CI, 'default')}),
+per AS (SELECT path, CAST(sum(count) AS BIGINT) AS total_matches, bool_or(page > 0) AS hp, row_number() OVER (ORDER BY path) AS rk FROM l GROUP BY path),
+m AS (SELECT l.*, hp, rk FROM l JOIN per USING (path)),
+st AS (SELECT CAST(count_if(f.length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(f.length > {fm}) AS BIGINT) AS files_skipped,
+  CAST(0 AS BIGINT) AS files_failed, CAST(count_if(coalesce(per.total_matches, 0) > 0) AS BIGINT) AS files_with_matches,
+  CAST(coalesce(sum(per.total_matches), 0) AS BIGINT) AS total_matches FROM {_FILES} f LEFT JOIN per USING (path))
+"""
+
+    query = f"'keyword': {lit(Q.KW_CI)}, 'mode': 'default'"
+    head = f"CAST(to_json({{'query': {{'file': path, {query}}}, 'stats': {{'total_matches': total_matches}}}}) AS VARCHAR)"
+    s["report_json_file"] = ctes(None) + f"{_line(0, head, first='path, ')} FROM per UNION ALL {_line(1, _JSON_MATCH, '0', 'page', 'line', 'path, ')} FROM m"
+    titles = ["'--- Results ---'", "'File: ' || path", "'Total matches found: ' || coalesce(total_matches, 0)", "CASE WHEN total_matches > 0 THEN chr(10) || 'Matches:' END"]
+    every = f"(SELECT path, total_matches FROM {_FILES} LEFT JOIN per USING (path))"
+    s["report_text_file"] = ctes(None) + f"{_listed(0, titles, every, 'path, ')} UNION ALL {_line(1, _TEXT_MATCH, '0', 'page', 'line', 'path, ')} FROM m"
+
+    head = f"""CAST(to_json({{'query': {{'folder': 'documents', {query}}}, 'stats': {{'files_scanned': files_scanned, 'files_skipped': files_skipped,
+  'files_failed': files_failed, 'files_with_matches': files_with_matches, 'total_matches': total_matches}}}}) AS VARCHAR)"""
+    one = "CAST(to_json({'file': path, 'total_matches': total_matches}) AS VARCHAR)"
+    s["report_json_folder"] = ctes(fm) + f"""{_line(0, head)} FROM st UNION ALL {_line(1, one, 'rk')} FROM per
+UNION ALL {_line(1, _JSON_MATCH, 'rk', 'page', 'line')} FROM m"""
+    summary = ["'--- Results ---'", "'Folder: documents'", "'Files scanned: ' || files_scanned", "CASE WHEN files_skipped > 0 THEN '  Skipped (too large): ' || files_skipped END",
+               "CASE WHEN files_failed > 0 THEN '  Failed (unreadable): ' || files_failed END", "'  With matches: ' || files_with_matches", "'Total matches found: ' || total_matches"]
+    title = "chr(10) || path || '  (' || total_matches || CASE WHEN total_matches = 1 THEN ' match)' ELSE ' matches)' END"
+    s["report_text_folder"] = ctes(fm) + f"""{_listed(0, summary, 'st')} UNION ALL {_line(1, title, 'rk')} FROM per
+UNION ALL {_line(1, _TEXT_MATCH, 'rk', 'page', 'line')} FROM m"""
+
+    crawl = f"""WITH {_crawl_ctes()},
+err AS (SELECT c.i - 1 AS ord, c.category, c.label, count(o.page_id) AS n FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS category, unnest(b) AS label FROM
+   (SELECT {list(CATEGORIES)} AS a, {list(CATEGORY_LABELS)} AS b)) c LEFT JOIN outcomes o ON o.category = c.category GROUP BY ALL),
+why AS (SELECT reason, count(*) AS n, row_number() OVER (ORDER BY reason) AS rk FROM outcomes WHERE outcome = 'network_error' GROUP BY reason),
+st AS (SELECT CAST(count_if({VISITED}) AS BIGINT) AS v, CAST(count_if(outcome = 'ok') AS BIGINT) AS p, CAST(count_if(outcome = 'ok' AND kind = 'document') AS BIGINT) AS d,
+   CAST(count_if(outcome IN ('blocked', 'challenge')) AS BIGINT) AS b, (SELECT CAST(coalesce(sum(count), 0) AS BIGINT) FROM results) AS t FROM outcomes),
+blk AS (SELECT page_id, reason, CASE WHEN outcome = 'challenge' THEN _fin.url ELSE o.url END AS url, CASE WHEN outcome = 'challenge' THEN final_url ELSE o.url END AS raw_url
+   FROM outcomes o JOIN _fin USING (page_id) WHERE outcome IN ('blocked', 'challenge'))
+"""
+    errors = ", ".join(f"'{c}': (SELECT n FROM err WHERE category = '{c}')" for c in CATEGORIES)
+    head = f"""CAST(to_json({{'query': {{'url': 'fetch_log', 'depth': 1, 'keyword': {lit(Q.KW_PAGES)}, 'mode': 'default'}},
+  'stats': {{'total_matches': t, 'pages_visited': v, 'pages_parsed': p, 'docs_parsed': d, 'pages_blocked': b, 'errors': {{{errors}}}}}}}) AS VARCHAR)"""
+    reason = "'{\"network_error_reasons\":{' || to_json(reason) || ':' || n || '}}'"
+    result = """CAST(CASE WHEN len(snippets) > 0 THEN to_json({'url': url, 'count': count, 'snippets': snippets}) ELSE to_json({'url': url, 'count': count}) END AS VARCHAR)"""
+    s["report_json_crawl"] = crawl + f"""{_line(0, head)} FROM st UNION ALL {_line(0, reason, 'rk')} FROM why
+UNION ALL {_line(1, result, 'row_number() OVER (ORDER BY count DESC, seq)')} FROM results
+UNION ALL {_line(2, "CAST(to_json({'url': url, 'reason': reason}) AS VARCHAR)", 'page_id')} FROM blk"""
+    summary = ["'--- Results ---'", "'Total matches found: ' || t", "'Pages visited: ' || v", "'  HTML pages: ' || greatest(p - d, 0)", "'  Documents:  ' || d"]
+    found = """list_concat(list_concat(['  ' || url || ' (' || count || ')'], list_transform(snippets, lambda x: '    "' || x || '"')),
+  CASE WHEN len(snippets) > 0 AND count > len(snippets) THEN ['    (+ ' || (count - len(snippets)) || ' more)'] ELSE [] END)"""
+    blocked = """list_concat(list_concat(['  ' || reason || ' (' || n || '):'], list_transform(urls[1:10], lambda x: '    ' || x)),
+  CASE WHEN n > 10 THEN ['    ... and ' || (n - 10) || ' more'] ELSE [] END)"""
+    s["report_text"] = crawl + f""", fl AS (SELECT row_number() OVER (ORDER BY count DESC, url) AS rk, {found} AS x FROM results),
+bl AS (SELECT row_number() OVER (ORDER BY reason) AS rk, {blocked} AS x FROM (SELECT reason, count(*) AS n, list(raw_url ORDER BY page_id) AS urls FROM blk GROUP BY reason))
+{_listed(0, summary, 'st')}
+UNION ALL {_line(1, "chr(10) || 'Issues:'")} WHERE EXISTS (SELECT * FROM err WHERE n > 0)
+UNION ALL {_line(1, "'  ' || label || ': ' || n", 'ord + 1')} FROM err WHERE n > 0
+UNION ALL {_line(1, "'    ' || reason || ': ' || n", '1', 'rk')} FROM why
+UNION ALL {_line(2, "chr(10) || 'Found in:'")} WHERE EXISTS (SELECT * FROM results)
+UNION ALL SELECT 2, CAST(rk AS BIGINT), CAST(generate_subscripts(x, 1) - 1 AS BIGINT), 0, unnest(x) FROM fl
+UNION ALL {_line(3, "chr(10) || 'Blocked / inaccessible:'")} WHERE EXISTS (SELECT * FROM blk)
+UNION ALL SELECT 3, CAST(rk AS BIGINT), CAST(generate_subscripts(x, 1) - 1 AS BIGINT), 0, unnest(x) FROM bl"""
+    return s
+
+
+# ---------------------------------------------------------------------------------------------
+# crawls, rendered pages, folders
+# ---------------------------------------------------------------------------------------------
+
+def _frontier(links: str, seed: str, depth: int) -> str:
+    """CTEs: ``queued`` (rank, url, depth, kind) of a breadth-first crawl over ``links`` (src, pos, dst, kind).  Every path is
+    walked; the order of a level is that of its paths, step by step documents first, then by position."""
+    return f"""_walk(url, depth, path, kind) AS (
+  SELECT {seed}, 0, []::BIGINT[], 'nav'
+  UNION
+  SELECT l.dst, w.depth + 1, list_append(w.path, CASE WHEN l.kind = 'doc' THEN 0 ELSE 1000000 END + l.pos), l.kind
+  FROM _walk w JOIN {links} l ON l.src = w.url WHERE w.kind = 'nav' AND (w.depth < {depth} OR l.kind = 'doc')),
+_order AS (SELECT *, row_number() OVER (ORDER BY depth, path) AS seq FROM _walk),
+{_smart_ctes('_order', '_q')},
+queued AS (SELECT row_number() OVER (ORDER BY seq) AS rank, o.url, depth, kind FROM _order o JOIN _qacc USING (seq))"""
+
+
+def _crawl_statements() -> dict[str, str]:
+    s: dict[str, str] = {}
+    urls = normalize_stage("pages", "url", None, "u")
+    edge_urls = f"""WITH RECURSIVE {FX_EDGES}, _urls AS (SELECT page_id, u FROM ({urls})),
+_links AS (SELECT a.u AS src, e.pos, CASE WHEN e.kind = 'doc' THEN b.u || '/file.pdf' ELSE b.u END AS dst, e.kind
+  FROM fx_edges e JOIN _urls a ON a.page_id = e.src JOIN _urls b ON b.page_id = e.dst)"""
+    seed = "(SELECT u FROM _urls ORDER BY page_id LIMIT 1)"
+    s["bfs_rank"] = f"{edge_urls}, {_frontier('_links', seed, 3)} SELECT CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth, kind FROM queued"
+    s["max_pages_cut"] = f"{edge_urls}, {_frontier('_links', seed, 5)} SELECT CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth FROM queued WHERE rank <= {Q.MAX_PAGES}"
+    site_links = f"""SELECT src, pos, link AS dst, CASE WHEN {is_doc('link')} THEN 'doc' ELSE 'nav' END AS kind FROM ({_extract_links_sql('fx_site', with_src=True)})
+  WHERE {in_scope(url_host('link'), 'site.example.com')}"""
+    s["crawl_grep"] = f"""WITH RECURSIVE {FX_SITE}, _links AS MATERIALIZED ({site_links}), {_frontier('_links', "'http://site.example.com/0'", 2)},
+_c AS MATERIALIZED (SELECT * FROM (SELECT rank, url, depth, _t, {count_default('_t', Q.KW_PAGES)} AS c FROM (SELECT rank, q.url, depth, {text_of('_clean')} AS _t FROM queued q
+  JOIN {with_clean('fx_site')} p ON p.url = q.url)) WHERE c > 0),
+_sn AS ({find_snippets('_c', 'rank', '_t', Q.KW_PAGES, 'default')})
+SELECT CAST(rank AS BIGINT) AS rank, url, CAST(depth AS BIGINT) AS depth, CAST(c AS BIGINT) AS count, coalesce(array_to_string(snippets, chr(10)), '') AS snippets FROM _c LEFT JOIN _sn USING (rank)"""
+
+    seed_host = "(SELECT " + url_host("_nu") + " FROM (" + normalize_stage("(SELECT url FROM pages ORDER BY page_id LIMIT 1)", "url", None, "_nu") + "))"
+    first = normalize_stage(f"(SELECT final_url, outcome FROM outcomes WHERE {VISITED} ORDER BY page_id LIMIT 1)", "final_url", None, "_fn")
+    s["scope_redirect"] = "WITH " + _outcomes_ctes() + f""", _x AS (SELECT {seed_host} AS seed_host, {url_host('_fn')} AS first_host, outcome FROM ({first})),
+_y AS (SELECT *, outcome <> 'redirect_duplicate' AND NOT (CASE WHEN starts_with(seed_host, 'www.') THEN first_host = substr(seed_host, 5) OR ends_with(first_host, substr(seed_host, 4))
+    ELSE first_host = seed_host OR first_host = 'www.' || seed_host END) AS moved FROM _x),
+_z AS (SELECT *, CASE WHEN moved THEN first_host ELSE seed_host END AS h FROM _y)
+SELECT seed_host, first_host, moved, regexp_replace(h, '^www[.]', '') AS scope_root, starts_with(h, 'www.') AS allow_subdomains FROM _z"""
+
+    own = _extract_links_sql("fx_html", with_base_tag=True)
+    base = normalize_stage("fx_html", "url", None, "_base")
+    rendered = """SELECT page_id, _base, unnest(['/r/' || page_id, '/s.css', '/r/' || page_id, 'mailto:x@y.z', 'files/' || page_id || '.pdf']) AS raw,
+  unnest([1, 2, 3, 4, 5]) AS i FROM flags JOIN based USING (page_id) WHERE spa AND page_id % 3 <> 0"""
+    r_links = normalize_stage(f"({rendered})", "raw", "_base", "link")
+    s["merge_rendered"] = with_(FX_HTML) + f""", own AS MATERIALIZED ({own}), based AS (SELECT page_id, _base FROM ({base})),
+flags AS MATERIALIZED (SELECT page_id, {is_spa('html')} AS spa FROM fx_html),
+texts AS (SELECT page_id, {text_of('_clean')} AS text FROM {with_clean('fx_html')}),
+rl AS (SELECT page_id, link, min(i) AS i, max(i) = 5 AS is_file FROM ({r_links}) WHERE link <> '' AND NOT {is_ignored('link')} GROUP BY page_id, link),
+o AS (SELECT page_id, coalesce(string_agg(link, ' ' ORDER BY pos) FILTER (NOT {is_doc('link')}), '') AS nav, coalesce(string_agg(link, ' ' ORDER BY pos) FILTER ({is_doc('link')}), '') AS docs FROM own GROUP BY page_id),
+r AS (SELECT page_id, coalesce(string_agg(link, ' ' ORDER BY i) FILTER (NOT is_file), '') AS nav, coalesce(string_agg(link, ' ' ORDER BY i) FILTER (is_file), '') AS docs FROM rl GROUP BY page_id)
+SELECT page_id, r.page_id IS NOT NULL AS rendered, CASE WHEN r.page_id IS NOT NULL THEN r.nav ELSE coalesce(o.nav, '') END AS nav_links,
+  CASE WHEN r.page_id IS NOT NULL THEN trim(coalesce(o.docs, '') || ' ' || r.docs) ELSE coalesce(o.docs, '') END AS doc_links,
+  CASE WHEN r.page_id IS NOT NULL THEN 'rendered text of ' || page_id ELSE text END AS text
+FROM texts LEFT JOIN o USING (page_id) LEFT JOIN r USING (page_id)"""
+    s["merge_rendered"] = s["merge_rendered"].replace("\n, own AS", ", own AS", 1)
+
+    small = f"(SELECT * FROM documents WHERE strlen(text) + 1 <= {Q.FOLDER_MAX_BYTES})"
+    s["folder_scan"] = f"""SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches, CAST(count(*) AS BIGINT) AS matching_lines
+FROM ({grep_lines(small, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
+    s["file_scan"] = grep_lines("documents", ["doc_id"], Q.KW_PAGES, "default")
+    s["decode_bytes"] = "SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS chars, CAST(strlen(text) + 1 AS BIGINT) AS bytes FROM documents"
+    return s

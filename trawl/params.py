@@ -1,4 +1,4 @@
-"""Job parameters with the same defaults and validation rules as the search tool's options."""
+"""Job parameters with the validation rules of the search tool's options.  A page limit applies only when asked for."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ class SearchParams:
     file: str | None = None
     folder: str | None = None
     depth: int = 1
-    max_pages: int = 5000
+    max_pages: int | None = None
     max_bytes: int = 10 * 1024 * 1024
     max_hits: int = 0
     delay_ms: int = 100
@@ -37,7 +37,7 @@ class SearchParams:
             raise ValueError("delay must be >= 0")
         if self.max_hits < 0:
             raise ValueError("max hits must be >= 0")
-        if self.max_pages <= 0:
+        if self.max_pages is not None and self.max_pages <= 0:
             raise ValueError("max pages must be > 0")
         if self.max_bytes <= 0:
             raise ValueError("max bytes must be > 0")

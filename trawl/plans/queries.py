@@ -4,7 +4,6 @@ same job can be re-run against its DuckDB statement in :mod:`trawl.oracle_sql`."
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,8 @@ from trawl.operators import dedup as D
 from trawl.operators import fetch as FE
 from trawl.operators import graph as GR
 from trawl.operators import grep as G
+from trawl.operators import rendered as RE
+from trawl.operators import scope as SC
 from trawl.operators import stats as S
 from trawl.plans import report as R
 from trawl.plans import search as P
@@ -34,13 +35,15 @@ KW_FUZZY_WORDS = "elephnt"
 KW_LINES_FUZZY = "thingtion"
 KW_TOTALS = "that the"
 KW_PAGES = "the"
+KW_SNIPPETS_FUZZY = "thatthe"
+KW_SNIPPET = "elle"
 FETCH_LIMIT = FX.FETCH_SIZE_LIMIT
 MAX_HITS = 100
 FOLDER_MAX_BYTES = 20000
+MAX_BYTES = 10 * 1024 * 1024
+MAX_PAGES = 25
 BFS_DEPTH = 3
 SCOPE_HOST_REGEX = r"\.example\.(com|net)$"
-SEED_WWW = "https://www.example.com/"
-SEED_BARE = "http://ththre.example.com/"
 
 
 def _docs(spark, sf):
@@ -141,6 +144,11 @@ def multi_keyword_grep(spark, sf):
     return out.select("doc_id", "keyword", "mode", *_long("page", "line", "count"), "snippet")
 
 
+def keyword_table_grep(spark, sf):
+    out = G.keyword_table_grep(_docs(spark, sf), FX.fx_keywords(spark, sf))
+    return out.select("doc_id", "keyword", "mode", *_long("page", "line", "count"), "snippet")
+
+
 def max_hits_cut(spark, sf):
     lines = G.grep_lines(_docs(spark, sf), KW_CI, "default")
     per_doc = G.grep_files(lines).select("doc_id", "total_matches")
@@ -167,42 +175,41 @@ def folder_stats(spark, sf):
 def _snip(spark, sf, kw, mode):
     d = _docs(spark, sf)
     counted = G.with_computed(d, ["doc_id", "text"], count=T.count_matches("text", kw, mode)).filter("count > 0")
-    return counted.select("doc_id", *_long("count"), T.find_snippets(F.col("text"), kw, mode, 3).alias("snippets"))
+    snippets = T.find_snippets(F.col("text"), kw, mode, 3)
+    return counted.select("doc_id", *_long("count"), F.array_join(snippets, "\n").alias("snippets"))
 
 
 def snippets_default(spark, sf):
-    return _snip(spark, sf, KW_CI, "default")
+    return _snip(spark, sf, KW_DEFAULT, "default")
 
 
 def snippets_exact(spark, sf):
-    out = _snip(spark, sf, KW_EXACT, "exact")
-    return out.select("doc_id", "count", F.array_join("snippets", "\n").alias("snippets"))
+    return _snip(spark, sf, KW_EXACT, "exact")
 
 
 def snippets_fuzzy(spark, sf):
-    return _snip(spark, sf, "thatthe", "fuzzy")
+    return _snip(spark, sf, KW_SNIPPETS_FUZZY, "fuzzy")
 
 
 def build_snippet(spark, sf):
-    d = _docs(spark, sf)
-    flat = T.flatten_whitespace(F.col("text"))
-    x = d.select("doc_id", flat.alias("flat")).select(
-        "doc_id", "flat", (F.call_function("locate", F.lit("elle"), F.col("flat")) - 1).alias("s")
-    ).filter("s >= 0")
+    """The excerpt of every case-sensitive hit of every text."""
+    flat = _docs(spark, sf).select("doc_id", T.flatten_whitespace(F.col("text")).alias("flat"))
+    x = flat.select("doc_id", "flat", F.posexplode(T.literal_starts(F.col("flat"), KW_SNIPPET)).alias("hit", "s"))
+    n = len(KW_SNIPPET)
     return x.select(
-        "doc_id",
-        T.build_snippet(F.col("flat"), F.reverse("flat"), F.length("flat"), F.col("s"), F.col("s") + 4).alias("snippet"),
+        "doc_id", *_long("hit"),
+        T.build_snippet(F.col("flat"), F.reverse("flat"), F.length("flat"), F.col("s"), F.col("s") + n).alias("snippet"),
     )
 
 
 # --- pages ------------------------------------------------------------------------------------
 
 def page_text(spark, sf):
-    return _pages(spark, sf).select("page_id", H.page_text(F.col("html")).alias("text"))
+    return FX.fx_html(spark, sf).select("page_id", H.page_text(F.col("html")).alias("text"))
 
 
 def page_title(spark, sf):
-    return _pages(spark, sf).select("page_id", H.page_title(F.col("html")).alias("title"))
+    return FX.fx_html(spark, sf).select("page_id", H.page_title(F.col("html")).alias("title"))
 
 
 def grep_pages(spark, sf):
@@ -211,15 +218,18 @@ def grep_pages(spark, sf):
 
 
 def grep_pages_ranked(spark, sf):
-    out = P.grep_pages(_pages(spark, sf), KW_PAGES, "default", with_snippets=False)
-    ranked = S.global_rank(out.select("page_id", "url", "count", F.negative("count").alias("_neg")), ["_neg", "url", "page_id"])
-    return ranked.select(*_long("rank"), "page_id", "url", *_long("count"))
+    out = P.grep_pages(_pages(spark, sf), KW_PAGES, "default")
+    ranked = S.global_rank(out.withColumn("_neg", F.negative("count")), ["_neg", "url", "page_id"])
+    return ranked.select(*_long("rank"), "page_id", "url", *_long("count"), F.array_join("snippets", "\n").alias("snippets"), _more())
+
+
+def _more():
+    return F.greatest(F.col("count") - F.size("snippets"), F.lit(0)).cast("long").alias("more")
 
 
 def grep_pages_snippets(spark, sf):
     out = P.grep_pages(_pages(spark, sf), KW_PAGES, "default", with_snippets=True)
-    return out.select("page_id", "url", *_long("count"), "snippets",
-                      F.greatest(F.col("count") - F.size("snippets"), F.lit(0)).cast("long").alias("more"))
+    return out.select("page_id", "url", *_long("count"), F.array_join("snippets", "\n").alias("snippets"), _more())
 
 
 def url_totals(spark, sf):
@@ -239,12 +249,9 @@ def spa_pages(spark, sf):
 def anchor_rules(spark, sf):
     h = FX.fx_html(spark, sf)
     tags = h.select("page_id", F.posexplode(H.anchor_tags(F.col("html"))).alias("pos", "tag"))
-    href = H.decode_entities(H._unquote(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)))
-    x = tags.select("page_id", F.col("pos").cast("long").alias("pos"), href.alias("href"),
-                    F.col("tag").rlike(r"(?i)<a\b[^>]*\sdownload(\s|=|>|/)").alias("is_download"))
-    keep = (F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").startswith("javascript:") & ~F.col(
-        "href").startswith("mailto:")
-    return x.filter(keep)
+    x = tags.select("page_id", F.col("pos").cast("long").alias("pos"), H.tag_href("tag").alias("href"),
+                    H.is_download("tag").alias("is_download"))
+    return x.filter(H.is_followed(F.col("href")))
 
 
 def main_content_text(spark, sf):
@@ -252,18 +259,15 @@ def main_content_text(spark, sf):
 
 
 def extract_links_fallback(spark, sf):
-    h = FX.fx_html(spark, sf)
+    """Links of pages without anchors: the anchors of every page are turned into other elements first."""
+    h = FX.fx_html(spark, sf).withColumn("html", F.regexp_replace("html", r"(?i)<a(?=\s)", "<area"))
     base = U.normalize_url(F.col("url"))
-    links = F.filter(
-        F.transform(H.fallback_hrefs(F.col("html")), lambda x: U.normalize_url(x, base)),
-        lambda u: (u != "") & ~U.is_ignored_link(u),
-    )
-    x = h.select("page_id", F.posexplode(F.array_distinct(links)).alias("pos", "link"))
+    x = h.select("page_id", F.posexplode(H.extract_links(F.col("html"), base)).alias("pos", "link"))
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
 def extract_links(spark, sf):
-    p = _pages(spark, sf)
+    p = FX.fx_html(spark, sf)
     base = U.normalize_url(F.col("url"))
     x = p.select("page_id", F.posexplode(H.extract_links(F.col("html"), base)).alias("pos", "link"))
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
@@ -303,12 +307,12 @@ def classify_links(spark, sf):
 
 
 def site_scope(spark, sf):
-    p = _pages(spark, sf)
-    host = U.url_host(U.normalize_url(F.col("url")))
-    www_host = U.url_host(U.normalize_url(F.lit(SEED_WWW)))
-    bare_host = U.url_host(U.normalize_url(F.lit(SEED_BARE)))
-    return p.select("page_id", host.alias("host"), U.in_scope(host, www_host).alias("in_www_scope"),
-                    U.in_scope(host, bare_host).alias("in_bare_scope"))
+    """Pages in the scope of seeds from a table: the first page of every host, and its ``www.`` form for odd hosts."""
+    p = _pages(spark, sf).select("page_id", U.url_host(U.normalize_url(F.col("url"))).alias("host"))
+    bare = U.scope_root(F.col("host"))
+    seeds = p.groupBy("host").agg(F.min("page_id").alias("seed_id")).select(
+        "seed_id", F.when(F.col("seed_id") % 2 == 1, F.concat(F.lit("www."), bare)).otherwise(F.col("host")).alias("seed_host"))
+    return SC.in_scope_of(p, seeds).select("page_id", "host", "seed_id", "seed_host")
 
 
 # --- dedup --------------------------------------------------------------------------------------
@@ -377,9 +381,13 @@ def dedup_redirects(spark, sf):
     return FE.redirect_duplicates(FX.fx_fetch_log(spark, sf)).select(*_long("page_id"))
 
 
+def _first_url(pages):
+    """The URL of the first page, as a scalar subquery."""
+    return pages.agg(F.min_by("url", "page_id")).scalar()
+
+
 def scope_redirect(spark, sf):
-    seed = _pages(spark, sf).orderBy("page_id").select("url").first()[0]
-    return FE.scope_redirect(_outcomes(spark, sf), seed)
+    return FE.scope_redirect(_outcomes(spark, sf), _first_url(_pages(spark, sf)))
 
 
 def json_doc_links(spark, sf):
@@ -389,20 +397,8 @@ def json_doc_links(spark, sf):
 
 
 def merge_rendered(spark, sf):
-    """Pages detected as client-rendered get a rendered snapshot (synthetic links derived from
-    the page); rendered links replace the page's nav links, rendered doc links are added."""
-    h = FX.fx_html(spark, sf)
-    base = U.normalize_url(F.col("url"))
-    x = h.select("page_id", base.alias("base"), H.extract_links(F.col("html"), base).alias("links"), H.is_spa(F.col("html")).alias("spa"))
-    nav = F.filter("links", lambda u: ~U.is_document_link(u))
-    docs = F.filter("links", lambda u: U.is_document_link(u))
-    origin = F.regexp_extract("base", r"^([a-z]+://[^/]+)", 1)
-    pid = F.col("page_id").cast("string")
-    r_links = F.array(F.concat(origin, F.lit("/r/"), pid, F.lit("/a")), F.concat(origin, F.lit("/r/"), pid, F.lit("/b")))
-    r_docs = F.array(F.concat(origin, F.lit("/r/"), pid, F.lit("/file.pdf")))
-    merged_nav = F.when(F.col("spa"), r_links).otherwise(nav)
-    merged_docs = F.when(F.col("spa"), F.array_union(docs, r_docs)).otherwise(docs)
-    return x.select("page_id", "spa", F.size(merged_nav).cast("long").alias("nav_links"), F.size(merged_docs).cast("long").alias("doc_links"))
+    out = RE.merge_rendered(FX.fx_html(spark, sf), FX.fx_rendered(spark, sf))
+    return out.select("page_id", "rendered", F.array_join("nav_links", " ").alias("nav_links"), F.array_join("doc_links", " ").alias("doc_links"), "text")
 
 
 # --- traversal ------------------------------------------------------------------------------
@@ -444,92 +440,128 @@ def _edge_urls(spark, sf):
 
 def bfs_rank(spark, sf):
     links = _edge_urls(spark, sf)
-    seed = _pages(spark, sf).orderBy("page_id").select("url").first()[0]
-    return GR.crawl_frontier(links, seed, depth=3, allow_external=True).select(*_long("rank"), "url", *_long("depth"), "kind")
+    out = GR.crawl_frontier(links, _first_url(_pages(spark, sf)), depth=3, allow_external=True)
+    return out.select(*_long("rank"), "url", *_long("depth"), "kind")
 
 
 def max_pages_cut(spark, sf):
     links = _edge_urls(spark, sf)
-    seed = _pages(spark, sf).orderBy("page_id").select("url").first()[0]
-    return GR.crawl_frontier(links, seed, depth=5, max_pages=25, allow_external=True).select(*_long("rank"), "url", *_long("depth"))
+    out = GR.crawl_frontier(links, _first_url(_pages(spark, sf)), depth=5, max_pages=MAX_PAGES, allow_external=True)
+    return out.select(*_long("rank"), "url", *_long("depth"))
 
 
 def crawl_grep(spark, sf):
-    p = _pages(spark, sf)
-    seed = p.orderBy("page_id").select("url").first()[0]
-    out = P.crawl_grep(p, seed, KW_PAGES, "default", depth=2)
-    return out.select(*_long("rank"), "url", *_long("depth", "count"), "snippets")
+    site = FX.fx_site(spark, sf)
+    out = P.crawl_grep(site, _first_url(site), KW_PAGES, "default", depth=2)
+    return out.select(*_long("rank"), "url", *_long("depth", "count"), F.array_join("snippets", "\n").alias("snippets"))
 
 
 # --- reports --------------------------------------------------------------------------------
 
+def _doc_paths(spark, sf):
+    return _docs(spark, sf).select(F.format_string("doc-%08d.txt", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("length"), "text")
+
+
+def _folder_lines(spark, sf):
+    """Line matches of the documents within the size limit, as files of a folder, and the run's statistics."""
+    d = _doc_paths(spark, sf)
+    lines = G.grep_lines(d.filter(F.col("length") <= FOLDER_MAX_BYTES), KW_CI, "default", id_cols=("path",))
+    return lines, S.folder_stats(d, G.grep_files(lines, ("path",)), FOLDER_MAX_BYTES)
+
+
 def report_json_file(spark, sf):
-    d = _docs(spark, sf)
-    one = d.join(d.agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi")
-    lines = G.grep_lines(one, KW_CI, "default")
-    nested = G.nest_matches(lines)
-    return nested.select(F.to_json(F.struct(F.struct(F.lit("doc").alias("file"), F.lit(KW_CI).alias("keyword"), F.lit("default").alias("mode")).alias("query"),
-                                            F.struct(F.col("total_matches")).alias("stats"), "matches")).alias("line"))
+    """The JSON report of every document as a searched file."""
+    lines = G.grep_lines(_doc_paths(spark, sf), KW_CI, "default", id_cols=("path",))
+    return R.file_json(lines, F.col("path"), KW_CI, "default").select("path", "section", *R.KEYS, "line")
+
+
+def report_text_file(spark, sf):
+    d = _doc_paths(spark, sf)
+    lines = G.grep_lines(d, KW_CI, "default", id_cols=("path",))
+    return R.file_text(lines, d).select("path", "section", *R.KEYS, "line")
 
 
 def report_json_folder(spark, sf):
-    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("length"), "text")
-    lines = G.grep_lines(d.filter(F.col("length") <= FOLDER_MAX_BYTES), KW_CI, "default", id_cols=("path",))
-    nested = G.nest_matches(lines, ("path",))
-    stats = S.folder_stats(d, nested.select("path", "total_matches"), FOLDER_MAX_BYTES)
-    return R.folder_json(nested, stats, "documents", KW_CI, "default")
+    lines, stats = _folder_lines(spark, sf)
+    return R.folder_json(lines, stats, "documents", KW_CI, "default")
 
 
-def report_json_crawl(spark, sf):
+def report_text_folder(spark, sf):
+    lines, stats = _folder_lines(spark, sf)
+    return R.folder_text(lines, stats, "documents")
+
+
+def _crawl(spark, sf):
+    """(results, outcomes, blocked) of the fetch log: hits are found in the stage that scans the bodies, summed per
+    final URL, and narrow rows are joined."""
     ensure_checkpoint_dir(spark)
     o = _outcomes(spark, sf).checkpoint()
-    f = FX.fx_fetch_log(spark, sf)
-    ok = o.filter("outcome = 'ok'").select("page_id").join(f, "page_id")
-    hits = P.grep_pages(ok.withColumn("html", F.col("body")), KW_PAGES, "default", id_cols=("page_id", "url"))
-    results = hits.select(F.col("page_id").alias("seq"), "url", "count", "snippets")
-    blocked = o.filter(F.col("outcome").isin("blocked", "challenge")).select(F.col("page_id").alias("seq"), "url", "reason")
+    hits = FE.page_hits(FX.fx_fetch_log(spark, sf), KW_PAGES, "default", FETCH_LIMIT)
+    final = U.normalize_url(F.col("final_url"))
+    ok = o.filter("outcome = 'ok'").select("page_id", F.when(final != "", final).otherwise(F.col("final_url")).alias("url"))
+    results = ok.join(hits, "page_id").groupBy("url").agg(
+        F.min("page_id").alias("seq"), F.sum("count").cast("long").alias("count"), F.min_by("snippets", "page_id").alias("snippets"))
+    where = F.when(F.col("outcome") == "challenge", F.when(final != "", final).otherwise(F.col("final_url"))).otherwise(F.col("url"))
+    blocked = o.filter(F.col("outcome").isin("blocked", "challenge")).select(F.col("page_id").alias("seq"), where.alias("url"), "reason")
+    return results.checkpoint(), o, blocked
+
+
+def report_json_crawl(spark, sf):
+    results, o, blocked = _crawl(spark, sf)
     return R.crawl_json(results, o, blocked, "fetch_log", 1, KW_PAGES, "default")
 
 
 def report_text(spark, sf):
-    ensure_checkpoint_dir(spark)
-    # outcomes and results feed several report sections: materialise each once
-    o = _outcomes(spark, sf).checkpoint()
-    f = FX.fx_fetch_log(spark, sf)
-    ok = o.filter("outcome = 'ok'").select("page_id").join(f, "page_id")
-    hits = P.grep_pages(ok.withColumn("html", F.col("body")), KW_PAGES, "default", id_cols=("page_id", "url"))
-    results = hits.select(F.col("page_id").alias("seq"), "url", "count", "snippets").checkpoint()
-    blocked = FE.blocked_by_reason(o)
-    return R.crawl_text(results, o, blocked).select("section", "ord", "line")
+    results, o, _ = _crawl(spark, sf)
+    return R.crawl_text(results, o, FE.blocked_by_reason(o))
+
+
+# --- files (one per document, written by Spark, then scanned as a folder) ----------------------
+
+def _from_folder(spark, sf, job):
+    """``job`` over a folder with one file per document, below ``doc_id=<n>/``; the result is cut into the checkpoint folder
+    and the files are removed."""
+    folder = f"{ensure_checkpoint_dir(spark)}/trawl-docs-{uuid.uuid4().hex}"
+    _docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    try:
+        return job(folder).checkpoint()
+    finally:
+        FS.remove_folder(spark, folder)
 
 
-# --- files (written from the documents table by Spark, then scanned as a folder) ------------
+def _doc_id():
+    return F.regexp_extract("path", r"/doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
 
-def _doc_folder(spark, sf) -> str:
-    ckpt = ensure_checkpoint_dir(spark)
-    root = ckpt.replace("file:", "") if ckpt.startswith("file:") else ckpt
-    out = os.path.join(root, f"trawl-docs-{uuid.uuid4().hex}")
-    _docs(spark, sf).select("source", "text").write.partitionBy("source").text(out)
-    return out
+
+def _parts(df):
+    """Rows of the documents' files, without the markers and checksums that Spark writes beside them."""
+    return df.filter(F.col("path").rlike(r"/doc_id=-?\d+/part-"))
 
 
 def folder_scan(spark, sf):
-    folder = _doc_folder(spark, sf)
-    lines, per_file, stats = P.scan_folder(spark, folder, KW_CI, "default")
-    return per_file.select("path", *_long("total_matches", "matching_lines"))
+    def job(folder):
+        _, per_file, _ = P.scan_folder(spark, folder, KW_CI, "default", max_bytes=FOLDER_MAX_BYTES)
+        return _parts(per_file).select(_doc_id(), *_long("total_matches", "matching_lines"))
+
+    return _from_folder(spark, sf, job)
 
 
 def file_scan(spark, sf):
-    folder = _doc_folder(spark, sf)
-    one = FS.list_files(spark, folder).orderBy(F.desc("length"), "path").select("path").first()[0]
-    path = one.replace("file:", "")
-    return P.scan_file(spark, path, KW_PAGES).select("path", *_long("page", "line", "count"), "snippet")
+    """Line matches of every file of the folder."""
+    def job(folder):
+        files = FS.read_listed(_parts(FS.list_files(spark, folder)), MAX_BYTES)
+        lines = G.grep_lines(files, KW_PAGES, "default", id_cols=("path",))
+        return lines.select(_doc_id(), *_long("page", "line", "count"), "snippet")
+
+    return _from_folder(spark, sf, job)
 
 
 def decode_bytes(spark, sf):
-    folder = _doc_folder(spark, sf)
-    texts = FS.read_files(spark, folder, 10 * 1024 * 1024)
-    return texts.select("path", F.length("text").cast("long").alias("chars"), F.col("length").alias("bytes"))
+    def job(folder):
+        texts = FS.read_listed(_parts(FS.list_files(spark, folder)), MAX_BYTES)
+        return texts.select(_doc_id(), F.length("text").cast("long").alias("chars"), F.col("length").alias("bytes"))
+
+    return _from_folder(spark, sf, job)
 
 
 QUERIES = {

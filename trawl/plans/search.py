@@ -3,7 +3,7 @@ crawl — here over stored pages and their link graph instead of live HTTP."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions import html as H
@@ -23,7 +23,9 @@ def scan_folder(spark: SparkSession, folder: str, keyword: str, mode: str = "def
     total to the limit: later files are neither reported nor counted as scanned or skipped,
     and the stats row carries ``stopped_early`` = the limit."""
     listed = FS.list_files(spark, folder)
-    texts = FS.read_files(spark, folder, max_bytes)
+    texts = FS.read_listed(listed, max_bytes).checkpoint()
+    failed = texts.filter(F.col("text").isNull()).select(F.col("path").alias("_failed_path"), F.lit(True).alias("_failed"))
+    listed = listed.join(failed, F.col("path") == F.col("_failed_path"), "left").select("path", "length", F.coalesce("_failed", F.lit(False)).alias("failed"))
     lines = G.grep_lines(texts, keyword, mode, text_col="text", id_cols=("path",))
     per_file = G.grep_files(lines, ("path",))
     stopped = 0
@@ -35,7 +37,7 @@ def scan_folder(spark: SparkSession, folder: str, keyword: str, mode: str = "def
         if last is not None and last["t"] is not None and last["t"] >= max_hits:
             listed = listed.filter(F.col("path") <= F.lit(last["p"]))
             stopped = max_hits
-    stats = S.folder_stats(listed, per_file, max_bytes).withColumn("stopped_early", F.lit(stopped))
+    stats = S.folder_stats(listed, per_file, max_bytes, failed_col="failed").withColumn("stopped_early", F.lit(stopped))
     return lines, per_file, stats
 
 
@@ -55,19 +57,13 @@ def grep_pages(pages: DataFrame, keyword: str, mode: str = "default", with_snipp
     return counted.select(*ids, "count", T.find_snippets(F.col("text"), keyword, mode, T.PAGE_SNIPPETS).alias("snippets"))
 
 
-def rank_pages(results: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Count descending; ties by URL (text report) or by visit order when ``seq_col`` is given."""
-    tie = F.col(seq_col) if seq_col else F.col("url")
-    return results.orderBy(F.desc("count"), tie)
-
-
-def crawl_grep(pages: DataFrame, seed_url: str, keyword: str, mode: str = "default", depth: int = 1,
-               max_pages: int = 5000, allow_external: bool = False, all_urls: bool = False) -> DataFrame:
+def crawl_grep(pages: DataFrame, seed_url: str | Column, keyword: str, mode: str = "default", depth: int = 1,
+               max_pages: int | None = None, allow_external: bool = False, all_urls: bool = False) -> DataFrame:
     """Breadth-first reach from ``seed_url`` over the stored pages' links, then page grep on the
     reached pages.  Returns (rank, url, depth, count, snippets)."""
-    links = GR.page_links(pages)
-    reached = GR.crawl_frontier(links, seed_url, depth, max_pages, allow_external, all_urls)
+    reached = GR.crawl_frontier(GR.stored_page_links(pages), seed_url, depth, max_pages, allow_external, all_urls).checkpoint()
+    small = F.broadcast(reached) if reached.count() <= GR.BROADCAST_URLS else reached
     keyed = pages.select(U.normalize_url(F.col("url")).alias("url"), "html")
-    joined = reached.join(keyed, "url")
-    hits = grep_pages(joined.withColumnRenamed("rank", "seq"), keyword, mode, id_cols=("seq", "url", "depth"))
+    joined = keyed.join(small.select(F.col("rank").alias("seq"), "url", "depth"), "url")
+    hits = grep_pages(joined, keyword, mode, id_cols=("seq", "url", "depth"))
     return hits.withColumnRenamed("seq", "rank")

@@ -8,7 +8,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trawl") -> SparkSession:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "trawl",
+                  scan_partitions: int | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -19,7 +23,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if scan_partitions:
+        builder = builder.config("spark.trawl.scan.partitions", str(scan_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -1,90 +1,127 @@
-"""File sources: folders and single files read with Spark's ``binaryFile`` source.
+"""File sources: every regular file below a folder, on any file system that Arrow can open.
 
-The size gate is a filter on ``length`` that Spark pushes into the file listing, so files over
-the limit are counted but never read.  Symbolic links are excluded like the search tool does:
-the listing is compared against a link-free listing of the same tree (driver-side metadata
-only; file contents never pass through the driver).
+Folders are listed and files read by tasks, level by level and file by file; the driver only learns how
+many folders the next level has.  Hidden files (``_x``, ``.x``) and empty ones are files like any other,
+symbolic links are left out, and files over the size limit are listed but never opened.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.session import ensure_checkpoint_dir
+
+_ENTRY = "path string, length long, is_dir boolean"
+
 
 def decode_utf8(content: Column) -> Column:
     """Bytes to text; malformed UTF-8 sequences become U+FFFD."""
     return F.call_function("make_valid_utf8", content.cast("string"))
 
 
-def _symlinks(root: str) -> list[str]:
-    found = []
-    for dirpath, dirnames, filenames in os.walk(root, followlinks=False):
-        for name in filenames + dirnames:
-            p = os.path.join(dirpath, name)
-            if os.path.islink(p):
-                found.append(p)
-    return found
+def _opener():
+    """A function from a path or URI to (Arrow file system, path on it); self-contained, so that it travels to tasks."""
+    def open_path(path):
+        from pyarrow import fs
+
+        if path.startswith("file:"):
+            path = "/" + path[5:].lstrip("/")
+        return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+
+    return open_path
+
+
+def _info(path: str):
+    system, place = _opener()(path)
+    return system.get_file_info(place)
+
+
+def _listing():
+    opener = _opener()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        import pandas as pd
+        from pyarrow import fs
 
+        for batch in batches:
+            for folder in batch["path"]:
+                system, place = opener(folder)
+                local = isinstance(system, fs.LocalFileSystem)
+                rows = []
+                for x in system.get_file_info(fs.FileSelector(place)):
+                    if local and os.path.islink(x.path):
+                        continue
+                    if x.type in (fs.FileType.File, fs.FileType.Directory):
+                        is_dir = x.type == fs.FileType.Directory
+                        rows.append((f"{folder.rstrip('/')}/{x.base_name}", None if is_dir else x.size, is_dir))
+                yield pd.DataFrame(rows, columns=["path", "length", "is_dir"]).astype({"length": "Int64", "is_dir": bool})
 
-def _empty_files(root: str) -> list[str]:
-    found = []
-    for dirpath, _dirnames, filenames in os.walk(root, followlinks=False):
-        for name in filenames:
-            p = os.path.join(dirpath, name)
-            if not os.path.islink(p) and os.path.getsize(p) == 0:
-                found.append("file:" + os.path.abspath(p))
-    return found
+    return run
 
 
-def list_files(spark: SparkSession, folder: str, exclude_symlinks: bool = True) -> DataFrame:
-    """(path, length) of every regular file below ``folder`` (recursive), without reading content.
+def _reading():
+    opener = _opener()
 
-    Spark's file scan skips zero-length files, so on a local tree those are added from the
-    driver's directory walk (paths only) to keep run statistics complete."""
-    if not os.path.isdir(folder) and "://" not in folder:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for batch in batches:
+            for path, length in zip(batch["path"], batch["length"], strict=True):  # one file in memory at a time
+                system, place = opener(path)
+                try:
+                    with system.open_input_stream(place) as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [content]})
+
+    return run
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of every regular file below ``folder``, without reading content."""
+    if _info(folder).type.name != "Directory":
         raise FileNotFoundError(f"Folder not found: {folder}")
-    df = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select("path", "length")
-    )
-    if exclude_symlinks and "://" not in folder:
-        links = _symlinks(folder)
-        if links:
-            bad = [("file:" + os.path.abspath(p)) for p in links]
-            prefixes = [b + "/" for b in bad]
-            cond = F.col("path").isin(bad)
-            for pre in prefixes:
-                cond = cond | F.col("path").startswith(pre)
-            df = df.filter(~cond)
-    if "://" not in folder:
-        empty = _empty_files(folder)
-        if empty:
-            df = df.unionByName(spark.createDataFrame([(p, 0) for p in empty], "path string, length long"))
-    return df
-
-
-def read_files(spark: SparkSession, folder: str, max_bytes: int, exclude_symlinks: bool = True) -> DataFrame:
-    """(path, length, text) for files within the size limit; the limit is pushed to the scan."""
-    listed = list_files(spark, folder, exclude_symlinks).filter(F.col("length") <= F.lit(max_bytes)).select("path")
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .filter(F.col("length") <= F.lit(max_bytes))
-    )
-    if exclude_symlinks:
-        raw = raw.join(listed, "path", "left_semi")
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(folder,)], "path string")
+    found: DataFrame | None = None
+    while True:  # one round per level of folders
+        level = folders.repartition(n).mapInPandas(_listing(), _ENTRY).checkpoint()
+        files = level.filter(~F.col("is_dir")).select("path", "length")
+        found = files if found is None else found.unionByName(files)
+        folders = level.filter("is_dir").select("path")
+        if folders.isEmpty():
+            return found
+
+
+def read_listed(files: DataFrame, max_bytes: int) -> DataFrame:
+    """(path, length, text) of the listed files within the size limit; ``text`` is null for files that can't be read."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = files.filter(F.col("length") <= F.lit(max_bytes)).repartition(n)
+    raw = small.mapInPandas(_reading(), "path string, length long, content binary")
     return raw.select("path", "length", decode_utf8(F.col("content")).alias("text"))
 
 
+def read_files(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
+    return read_listed(list_files(spark, folder), max_bytes)
+
+
 def read_file(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     """One file as (path, length, text); empty when it is over the limit."""
-    if not os.path.isfile(path) and "://" not in path:
+    info = _info(path)
+    if info.type.name != "File":
         raise FileNotFoundError(f"File not found: {path}")
-    raw = spark.read.format("binaryFile").load(path).filter(F.col("length") <= F.lit(max_bytes))
-    return raw.select("path", "length", decode_utf8(F.col("content")).alias("text"))
+    return read_listed(spark.createDataFrame([(path, info.size)], "path string, length long"), max_bytes)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this library wrote, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

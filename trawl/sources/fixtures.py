@@ -78,30 +78,36 @@ def fx_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fetch per page, row-local: redirects to a landing page that pages of a host share, to the other
+    scheme and to a fragment of the same page; blocked fetches that end on a foreign host; failures
+    with and without a message; HTML fetches whose body was lost."""
     p = tables.pages(spark, sf_dir)
-    prev = p.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("_prev_url"))
-    m20 = F.col("page_id") % 20
+    i = F.col("page_id")
+    m20, m10 = i % 20, i % 10
+    base = p.withColumn("_b", _base(F.col("url")))
+    origin = F.regexp_extract("_b", "^([a-zA-Z]+://[^/]*)", 1)
+    final = (
+        F.when(m20 == 0, F.concat(F.lit("https://blocked.example.org/"), i.cast("string")))
+        .when(m10 == 4, F.concat(origin, F.lit("/landing")))
+        .when(m10 == 6, _swap_scheme(F.col("_b")))
+        .when(m10 == 8, F.concat("url", F.lit("#top")))
+        .otherwise(F.col("url"))
+    )
     status = (
-        F.when(m20 == 3, 403).when(m20 == 7, 429).when(m20 == 11, 404).when(m20 == 13, 500).when(m20 == 17, None)
-        .otherwise(200)
+        F.when(m20.isin(0, 3), 403).when(m20 == 7, 429).when(m20 == 11, 404).when(m20 == 13, 500)
+        .when(m20.isin(15, 17, 19), None).otherwise(200)
     )
-    body = F.when(
-        F.col("page_id") % 25 == 2,
-        F.regexp_replace("html", "(?s)<title>.*?</title>", "<title>Just a moment...</title>"),
+    html = F.when(
+        i % 25 == 2, F.regexp_replace("html", "(?s)<title>.*?</title>", "<title>Just a moment...</title>")
     ).otherwise(F.col("html"))
-    j = p.join(prev, "page_id", "left")
-    return j.select(
-        "page_id",
-        "url",
-        F.when((F.col("page_id") % 10 == 4) & F.col("_prev_url").isNotNull(), F.col("_prev_url")).otherwise(F.col("url")).alias(
-            "final_url"
-        ),
-        status.cast("int").alias("status"),
-        F.when(m20 == 17, F.lit("SocketTimeoutException")).alias("error_class"),
-        F.when(F.col("page_id") % 6 == 5, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias(
-            "content_type"
-        ),
-        F.when(F.col("page_id") % 9 == 0, F.lit(None)).otherwise(F.octet_length(body).cast("string")).alias("content_length"),
+    body = F.when(m20 == 9, F.lit(None)).otherwise(html)
+    return base.select(
+        "page_id", "url", final.alias("final_url"), status.cast("int").alias("status"),
+        F.when(m20 == 17, F.lit("SocketTimeoutException")).when(m20 == 15, F.lit("EOFException")).when(m20 == 19, F.lit("IOException"))
+        .alias("error_class"),
+        F.when(m20 == 19, F.lit("stream closed\nat byte 7")).alias("error_message"),
+        F.when(i % 6 == 5, F.lit("application/pdf")).otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        F.when(i % 9 == 0, F.lit(None)).otherwise(F.octet_length(body).cast("string")).alias("content_length"),
         body.alias("body"),
     )
 
@@ -125,17 +131,23 @@ HTML_INJECT = (
     ("<html", '<html ng-version="17.3.0"'),
     ("<body>", '<body><div id="root"></div>'),
     ("<body>", '<body><div data-reactroot="">Loading...</div>'),
-    ("</body>", '<script id="__NEXT_DATA__" type="application/json">{}</script></body>'),
+    ("<body>", '<body><script id="__NEXT_DATA__" type="application/json">{}</script>'),
     ("</head>", '<script src="/static/app.js"></script></head>'),
     ("</head>", '<meta name="description" content="Notes &amp; reviews"><meta name="keywords" content="alpha, beta"></head>'),
     ("<body>", '<base href="/app/"><body><a download href="files/report.pdf">Report</a>'),
     (None, None),
+    ("<body>", '<body><p title="a > b">caf&eacute; it&#8217;s &#x41;&amp;lt; &notin; &copy 2024 &unknown; 1 < 2</p>'),
+    ("</article>", '</article><script type="a>b">var leaked = 1;'),
+    ("<body>", '<body><a data-href="/wrong" href="/right">x</a><a title="q href=/no" href=\'/yes?a=1&amp;b\'>y</a>'),
+    ("</head>", '<meta data-name="x" content="Second &mdash; order" name=description></head>'),
+    ("<body>", '<body><p>open <!-- never closed <a href="/hidden">z</a>'),
+    (None, None),
 )
 
 
 def fx_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.pages(spark, sf_dir)
-    m = F.col("page_id") % 8
+    m = F.col("page_id") % len(HTML_INJECT)
     expr = F.col("html")
     out = None
     for i, (pat, rep) in enumerate(HTML_INJECT):
@@ -159,10 +171,42 @@ def fx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four edges a page, by arithmetic on its id: a well-connected graph on the pages."""
     p = tables.pages(spark, sf_dir)
-    n = p.count()
+    n = p.agg(F.count(F.lit(1))).scalar()
     ks = F.array(*[F.lit(k) for k in range(4)])
     e = p.select(F.col("page_id").alias("src"), F.posexplode(ks).alias("pos", "k"))
-    dst = ((F.col("src") * 7 + F.col("k") * 13 + 1) % F.lit(n)).cast("long")
+    dst = ((F.col("src") * 7 + F.col("k") * 13 + 1) % n).cast("long")
     return e.select("src", dst.alias("dst"), F.col("pos").cast("int").alias("pos"),
                     F.when(dst % 5 == 0, F.lit("doc")).otherwise(F.lit("nav")).alias("kind"))
+
+
+def fx_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as one site whose links resolve: page n lies at ``/n`` and its HTML gains links to the pages
+    that ``fx_edges`` names, as relative links, and to a document."""
+    e = fx_edges(spark, sf_dir).groupBy("src").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "dst", "kind"))).alias("_e")
+    )
+    p = tables.pages(spark, sf_dir)
+    links = F.transform("_e", lambda x: F.concat(F.lit('<a href="/'), x["dst"].cast("string"),
+                                                 F.when(x["kind"] == "doc", F.lit(".pdf")).otherwise(F.lit("")), F.lit('">l</a>')))
+    site = p.join(e, p["page_id"] == e["src"])
+    return site.select("page_id", F.concat(F.lit("http://site.example.com/"), F.col("page_id").cast("string")).alias("url"),
+                       F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.array_join(links, ""))).alias("html"))
+
+
+def fx_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered snapshots of some of the client-rendered pages: text, navigation links and document links."""
+    p = fx_html(spark, sf_dir).filter(H.is_spa("html") & (F.col("page_id") % 3 != 0))
+    i = F.col("page_id").cast("string")
+    return p.select("page_id", F.concat(F.lit("rendered text of "), i).alias("text"),
+                    F.array(F.concat(F.lit("/r/"), i), F.lit("/s.css"), F.concat(F.lit("/r/"), i), F.lit("mailto:x@y.z")).alias("links"),
+                    F.array(F.concat(F.lit("files/"), i, F.lit(".pdf"))).alias("doc_links"))
+
+
+def fx_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword table: the words of seven letters or more of the benchmark items, one mode each."""
+    words = tables.load(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[\s.,]+")).alias("keyword"))
+    distinct = words.filter(F.length("keyword") >= 7).distinct()
+    m = F.length("keyword") % 3
+    return distinct.select("keyword", F.when(m == 0, F.lit("default")).when(m == 1, F.lit("exact")).otherwise(F.lit("fuzzy")).alias("mode"))

@@ -11,25 +11,16 @@ TABLES = (
 )
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition a scan that has fewer input splits than the cluster has cores.
-
-    Text search is CPU-bound per row; a corpus stored as one large file or row group would
-    otherwise run on one core.  A scan that already has enough splits (the normal case at
-    scale) is returned unchanged, so no shuffle is added there."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave the scan as it is
-        return df
-    if splits < target:
-        return df.repartition(target)
-    return df
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+SCAN_PARTITIONS = "spark.trawl.scan.partitions"
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as its files split it.  Text search is CPU-bound per row, so for a corpus stored in fewer row
+    groups than there are cores the caller can set ``spark.trawl.scan.partitions``: every table is then dealt
+    to that many partitions after the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if spread_out else df
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

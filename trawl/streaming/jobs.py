@@ -2,9 +2,8 @@
 
 * :func:`stream_grep_lines` — new documents in, line matches out (stateless, append).
 * :func:`stream_dedup` — URL dedup over an unbounded stream: exact mode is ``dropDuplicates``
-  on the scheme-insensitive key; smart mode keeps per-base-path state (canonical parameter set
-  and the keys seen) in ``applyInPandasWithState``, so each base path is processed by one task
-  per micro-batch with its rows in ``seq`` order.
+  on the scheme-insensitive key; smart mode keeps state per base path (canonical parameter set and
+  a map entry per key seen) with ``transformWithState``, which needs the RocksDB state store.
 * :func:`stream_keyword_totals` — running match totals per keyword (update/complete mode).
 """
 
@@ -15,7 +14,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from trawl.functions.urls import scheme_key
 from trawl.operators import grep as G
@@ -41,40 +41,42 @@ def stream_keyword_totals(stream: DataFrame, keywords: Sequence[tuple[str, str]]
 
 
 _OUT = "seq long, url string, accepted boolean"
-_STATE = "canon array<string>, seen array<string>"
-
-
-def _smart_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        canon_list, seen_list = state.get
-        canon = set(canon_list) if canon_list is not None else None
-        seen = set(seen_list or [])
-    else:
-        canon, seen = None, set()
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-    accepted = []
-    for has_q, k, params in zip(rows["has_q"], rows["key"], rows["params"]):
-        if k in seen:
-            accepted.append(False)
-            continue
-        p = set(params) if params is not None else set()
-        if canon is None:
-            canon = p if has_q else set()
-            ok = True
-        elif has_q:
-            ok = not (len(canon) > 0 and canon <= p)
-        else:
-            ok = len(canon) != 0
-        if ok:
-            seen.add(k)
-        accepted.append(ok)
-    state.update((sorted(canon) if canon is not None else None, sorted(seen)))
-    yield pd.DataFrame({"seq": rows["seq"].astype("int64"), "url": rows["url"], "accepted": accepted})
+
+
+class SmartDedup(StatefulProcessor):
+    """Smart dedup of one base path: its canonical parameters, and a map entry per key seen, so a batch reads and writes
+    only the entries of its own keys however many URLs the base path has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.canon = handle.getValueState("canon", "params array<string>")
+        self.seen = handle.getMapState("seen", "key string", "accepted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        canon = frozenset(self.canon.get()[0]) if self.canon.exists() else None
+        accepted = []
+        for has_q, k, params in zip(batch["has_q"], batch["key"], batch["params"], strict=True):
+            if self.seen.containsKey((k,)):
+                accepted.append(False)
+                continue
+            own = frozenset(params)
+            if canon is None:  # the first URL on the base path
+                canon, ok = own, True
+                self.canon.update((sorted(own),))
+            else:
+                ok = not (canon and canon <= own) if has_q else bool(canon)
+            self.seen.updateValue((k,), (ok,))
+            accepted.append(ok)
+        yield pd.DataFrame({"seq": batch["seq"].astype("int64"), "url": batch["url"], "accepted": accepted})
+
+    def close(self) -> None:
+        pass
 
 
 def stream_dedup(stream: DataFrame, url_col: str = "url", seq_col: str = "seq", all_urls: bool = False) -> DataFrame:
     """Accept/reject every arriving URL.  Within a micro-batch rows are taken in ``seq`` order;
-    across batches arrival order is the batch order."""
+    across batches arrival order is the batch order.  Smart mode needs a session whose
+    ``spark.sql.streaming.stateStore.providerClass`` is the RocksDB provider (``local_session`` sets it)."""
     key = scheme_key(F.col(url_col))
     keyed = stream.select(F.col(seq_col).cast("long").alias("seq"), F.col(url_col).alias("url"), key.alias("key"))
     if all_urls:
@@ -86,6 +88,4 @@ def stream_dedup(stream: DataFrame, url_col: str = "url", seq_col: str = "seq",
         F.when(q > 0, query_tokens(F.expr("substring(key, instr(key, '?') + 1)"))).otherwise(
             F.array().cast("array<string>")).alias("params"),
     )
-    return parts.groupBy("base").applyInPandasWithState(
-        _smart_state, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return parts.groupBy("base").transformWithStateInPandas(SmartDedup(), StructType.fromDDL(_OUT), "Append", "None")
