@@ -249,7 +249,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, id_col
     """One row of each group of near copies, columns unchanged: the one with the smallest id (a null id comes
     last), then the smallest text hash; of rows equal in both, any one."""
     prints, classes = _clusters(docs, shingle, max_bits, id_col, text_col, block)
-    rows = prints.groupBy("doc_id", "text_hash", "fp").count().join(classes.select("fp", "root"), "fp")
+    # Dealt out anew before the cut: two freshly shuffled sides let Spark split a fingerprint that many rows share.
+    classes = cut(classes.select("fp", "root").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = prints.groupBy("doc_id", "text_hash", "fp").count().join(classes, "fp")
     rows = cut(rows.select("root", "doc_id", "text_hash", "count"))
     order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_hash")
     heads = rows.groupBy("root").agg(F.min(order).alias("head")).select(
