@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -56,5 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once per application: functions and classes that run in Python tasks
+    need it where the package is not installed on the workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        made = tempfile.mkdtemp(prefix=f"{package.name}-code-")
+        sc.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", package.parent, package.name))
+        _SHIPPED.add(sc.applicationId)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

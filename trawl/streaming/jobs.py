@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from trawl.functions.urls import scheme_key
 from trawl.operators import grep as G
 from trawl.operators.dedup import query_tokens
+from trawl.session import ship_code
 
 
 def stream_grep_lines(spark: SparkSession, source_dir: str, schema: str, keyword: str, mode: str = "default",
@@ -88,4 +89,5 @@ def stream_dedup(stream: DataFrame, url_col: str = "url", seq_col: str = "seq",
         F.when(q > 0, query_tokens(F.expr("substring(key, instr(key, '?') + 1)"))).otherwise(
             F.array().cast("array<string>")).alias("params"),
     )
+    ship_code(stream.sparkSession)
     return parts.groupBy("base").transformWithStateInPandas(SmartDedup(), StructType.fromDDL(_OUT), "Append", "None")
