@@ -60,14 +60,14 @@ def test_keyword_with_quote_end(spark):
 
 
 SNIPPET_CASES = [
-    ("x " * 80 + "Tomáš went home" + " y" * 80, "Tomas", "default"),
-    ("cafe latte then " + "z " * 70 + "Café au lait", "cafe", "default"),
-    ("alpha beta " * 30 + "gamma", "beta", "default"),
-    ("One hit here. " + "filler " * 40 + "another hit there", "hit", "exact"),
-    ("no match at all", "zzz", "default"),
-    ("that, the thing " * 3, "thatthe", "fuzzy"),
-    ("a" * 700 + " key " + "b" * 700, "key", "default"),
-    ("\x01ctl\x02 key\tword x", "key", "default"),
+    ("m " * 80 + "Zoë Brontë read aloud" + " n" * 80, "Bronte", "default"),
+    ("resume the walk then " + "q " * 70 + "Résumé of the year", "resume", "default"),
+    ("north south " * 30 + "west", "south", "default"),
+    ("First oak here. " + "padding " * 40 + "second oak there", "oak", "exact"),
+    ("nothing of the kind", "qqq", "default"),
+    ("in, side door " * 3, "inside", "fuzzy"),
+    ("c" * 700 + " key " + "d" * 700, "key", "default"),
+    ("\x01ctl\x02 key\tword x", "key", "default"),
 ]
 
 

@@ -183,12 +183,6 @@ def normalize_url_structs(items: Column) -> Column:
     return arr
 
 
-def normalize_urls(urls: Column, base=None, query_fix=False) -> Column:
-    """Normalise every element of an array of URL strings against one base."""
-    b = _col(base) if base is not None else _s("")
-    qf = F.lit(bool(query_fix)) if isinstance(query_fix, bool) else query_fix
-    return normalize_url_structs(F.transform(urls, lambda u: F.struct(u.alias("u"), b.alias("b"), qf.alias("qf"))))
-
 
 def normalize_url(u, base=None, query_fix: bool = False) -> Column:
     """Canonical http(s) URL or ``''``.  ``query_fix`` keeps the base path for ``?query``
@@ -221,9 +215,6 @@ def is_ignored_link(u) -> Column:
     return ~is_document_link(u) & (p.rlike(_suffix_regex(IGNORED_SUFFIXES)) | p.rlike(parts))
 
 
-def link_kind(u) -> Column:
-    return F.when(is_document_link(u), _s("doc")).when(is_ignored_link(u), _s("ignored")).otherwise(_s("nav"))
-
 
 def scheme_key(u) -> Column:
     """Scheme-insensitive dedup key: ``http://`` becomes ``https://``."""

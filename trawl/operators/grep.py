@@ -220,13 +220,3 @@ def grep_files(lines: DataFrame, id_cols=("doc_id",)) -> DataFrame:
         F.count(F.lit(1)).cast("long").alias("matching_lines"),
         F.bool_or(F.col("page") > 0).alias("has_pages"),
     )
-
-
-def nest_matches(lines: DataFrame, id_cols=("doc_id",)) -> DataFrame:
-    """Per-document array of (page, line, count, snippet) in page/line order."""
-    ids = _ids(id_cols)
-    return lines.groupBy(*ids).agg(
-        F.sum("count").cast("long").alias("total_matches"),
-        F.array_sort(F.collect_list(F.struct("page", "line", "count", "snippet"))).alias("matches"),
-        F.bool_or(F.col("page") > 0).alias("has_pages"),
-    )
