@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.session import ensure_checkpoint_dir
+from trawl.session import ship_code as ship  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SHIPPED: set[str] = set()
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition here
 
 
@@ -20,16 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once per application: functions that run in Python tasks need it."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        made = tempfile.mkdtemp(prefix=f"{package.name}-code-")
-        sc.addPyFile(shutil.make_archive(f"{made}/{package.name}", "zip", package.parent, package.name))
-        _SHIPPED.add(sc.applicationId)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, kept if executors go."""
     ensure_checkpoint_dir(df.sparkSession)

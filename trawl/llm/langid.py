@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from trawl.llm.common import fresh, held_out, ship
 
 LONGEST = 5
-MAX_LANGS = 400
 CACHE = 200_000  # words a worker remembers; the table starts anew when full
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -95,14 +94,15 @@ def _vectors(counts: pd.DataFrame, key: str, langs: list[str], totals: dict[str,
     return out
 
 
-def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 40_000, max_grams: int = 30_000,
+def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 40_000, max_grams: int = 30_000, max_langs: int = 400,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from about ``docs_per_lang`` rows of each language, chosen by a hash of the id; of their words the
-    ``max_words`` most frequent and of the n-grams of each length the ``max_grams`` most frequent are kept.
+    """Learns from about ``docs_per_lang`` rows of each of the ``max_langs`` most frequent languages, chosen by a hash of
+    the id; of their words the ``max_words`` most frequent and of the n-grams of each length the ``max_grams`` most
+    frequent are kept.
     Rows with null text or language are not used."""
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([UNKNOWN], {}, {}, np.zeros((0, 1)))

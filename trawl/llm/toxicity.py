@@ -178,14 +178,15 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
 
-def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_docs: int, least_odds: float) -> Lexicon:
-    """``train`` has text and label.  Terms are words of at least ``least_docs`` toxic documents whose log odds of
-    document frequency reach ``least_odds``, the ``max_terms`` with the most toxic documents.  Stems are word
+def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_share: float, least_odds: float) -> Lexicon:
+    """``train`` has text and label.  Terms are words of at least ``least_share`` of the toxic documents, three at
+    least, whose log odds of document frequency reach ``least_odds``, the ``max_terms`` with the most toxic documents.  Stems are word
     beginnings that pass the same test with clearly more documents than any one word they begin, so that
     they stand for a family of words.  Known are the ``max_known`` words that most clean documents have."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:[*@$!][\p{L}\p{N}]+)*"), F.lit(0)))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    least_docs = max(3.0, least_share * toxic)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
 
     def frequencies(strings: Column) -> DataFrame:
@@ -246,13 +247,13 @@ def _features(df: DataFrame, text: str, lexicon: Lexicon, out: str) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_terms: int = 1500, max_known: int = 150_000,
-        least_docs: int = 8, least_odds: float = 2.5) -> Model:
+        least_share: float = 0.02, least_odds: float = 2.5) -> Model:
     """Learns from the toxic labels of about ``max_docs`` documents chosen by a hash of the id: words of one half make
     the lexicon, features of the other half fit the weights, so that no term is weighed by the documents it
     came from.  Rows with null text or a label other than 0 and 1 are not used."""
     sample = cut(train_sample(docs, labels, "toxic", max_docs))
     half = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))
-    lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, least_docs, least_odds)
+    lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, least_share, least_odds)
     got = _features(sample.filter(half == 1), "text", lexicon, "x").select("label", "x").collect()  # about max_docs / 2 rows
     y = np.array([r["label"] for r in got], dtype=float)
     x = np.array([r["x"] for r in got], dtype=float).reshape(-1, N_FEATURES)
