@@ -90,15 +90,15 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
         raise FileNotFoundError(f"Folder not found: {folder}")
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = spark.createDataFrame([(folder,)], "path string")
+    folders, count = spark.createDataFrame([(folder,)], "path string"), 1
     found: DataFrame | None = None
-    while True:  # one round per level of folders
-        level = folders.repartition(n).mapInPandas(_listing(), _ENTRY).checkpoint()
+    while count:  # one round per level of folders
+        level = folders.repartition(min(n, count)).mapInPandas(_listing(), _ENTRY).checkpoint()
         files = level.filter(~F.col("is_dir")).select("path", "length")
         found = files if found is None else found.unionByName(files)
         folders = level.filter("is_dir").select("path")
-        if folders.isEmpty():
-            return found
+        count = folders.count()
+    return found
 
 
 def read_listed(files: DataFrame, max_bytes: int) -> DataFrame:
