@@ -6,9 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -17,12 +14,3 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="trawl-tests")
     yield s
     s.stop()
-
-
-def one(spark, col_expr, **values):
-    """Evaluate one Column expression over a one-row DataFrame built from ``values``."""
-    import pandas as pd  # noqa: F401
-
-    names = list(values)
-    df = spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} string" for n in names))
-    return df.select(col_expr.alias("v")).first()["v"]

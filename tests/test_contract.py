@@ -1,4 +1,4 @@
-from conftest import SF001
+from helpers import SF001
 
 import __spark_entry__ as E
 

@@ -2,7 +2,7 @@ import os
 import tempfile
 
 import pytest
-from conftest import SF01
+from helpers import SF01
 from pyspark.sql import functions as F
 
 import model

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import SF01
+from helpers import SF01
 
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from conftest import SF01
+from helpers import SF01
 from pyspark.sql import functions as F
 
 import model

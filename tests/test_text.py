@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF01, one
+from helpers import SF01, one
 from pyspark.sql import functions as F
 
 import model

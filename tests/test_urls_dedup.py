@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import one
+from helpers import one
 from pyspark.sql import functions as F
 
 import model
