@@ -105,6 +105,58 @@ def test_licences_of_tables(spark, small):
     assert got == brute_licenses(pairs, licenses.TEMPLATES.items(), 80)
 
 
+#: Licences as they stand in files: paragraphs, comment signs with separator lines.
+MIT_PARAGRAPHS = re.sub(r"(conditions:|of the Software\.) (?=The above|THE SOFT)", r"\1\n\n", licenses.TEMPLATES["MIT"])
+GPL_PARAGRAPHS = re.sub(r"(version\.|details\.) (?=This program|You)", r"\1\n\n", licenses.TEMPLATES["GPL-3.0-header"])
+CODE = "\n".join(f"def function_{i}(a, b): return a * {i} + b" for i in range(60))
+
+
+def best_stretch(text, template, percent=80):
+    """The best Dice of any stretch of words with a template, if it is enough."""
+    def words(t):
+        return re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    def grams(w):
+        return list(zip(w, w[1:]))
+    a, b = grams(words(text)), Counter(grams(words(template)))
+    t, best = sum(b.values()), 0
+    for i in range(len(a)):
+        seen, common = Counter(), 0
+        for size, g in enumerate(a[i : i + 2 * t], 1):
+            seen[g] += 1
+            common += seen[g] <= b[g]
+            if 200 * common >= percent * (size + t):
+                best = max(best, 2 * common / (size + t))
+    return round(best, 6) or None
+
+
+def test_licences_inside_documents(spark, docs_of):
+    assert MIT_PARAGRAPHS.count("\n\n") == 2 and GPL_PARAGRAPHS.count("\n\n") == 1
+    wrapped = "/*\n" + "\n".join(" * " + " ".join(p[i : i + 9]) for q in GPL_PARAGRAPHS.split("\n\n") for p in [q.split()] for i in range(0, len(p), 9)) + "\n *\n */\n"
+    separated = "/*\n" + "\n *\n".join(" * " + q for q in MIT_PARAGRAPHS.split("\n\n")) + "\n */\n"
+    notice = "Some sentence here about the code. Released under the MIT License. See details."
+    pairs = [
+        (1, CODE + "\n\n" + MIT_PARAGRAPHS + "\n\n" + CODE), (2, wrapped + CODE), (3, separated + CODE), (4, notice), (4, notice), (None, notice),
+        (5, notice + "\n" + CODE + "\n" + notice), (6, "Released under the MIT License.\n" + CODE + "\n" + notice), (7, CODE), (8, "the software and the software or the " * 300),
+        (9, CODE + " " + MIT_PARAGRAPHS.replace("free of charge", "gratis") + " " + CODE + "\n\n" + GPL_PARAGRAPHS + "\n" + CODE),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(pairs), licenses.templates(spark)).collect()}
+    for doc, text in pairs:
+        want = {k: d for k, t in licenses.TEMPLATES.items() if (d := best_stretch(text, t))}
+        r = got[doc]
+        assert r["license_ids"] == ",".join(sorted(want)), doc
+        assert (r["license_id"], r["dice"]) == min(((k, d) for k, d in want.items()), key=lambda x: (-x[1], x[0]), default=(None, None)), doc
+    assert {k: r["license_ids"] for k, r in got.items()} == {1: "MIT", 2: "GPL-3.0-header", 3: "MIT", 4: "MIT-notice", None: "MIT-notice", 5: "MIT-notice",
+                                                             6: "MIT-notice", 7: "", 8: "", 9: "GPL-3.0-header,MIT"}
+    assert {k: r["n_matches"] for k, r in got.items() if r["n_matches"]} == {1: 1, 2: 1, 3: 1, 4: 1, None: 1, 5: 2, 6: 2, 9: 2}
+
+
+def test_licences_inside_documents_by_shuffle(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_WANTED", 0)
+    monkeypatch.setattr(licenses, "BROADCAST_BIGRAMS", 0)
+    got = licenses.scan(docs_of([(1, CODE + MIT_PARAGRAPHS + CODE), (2, CODE)]), licenses.templates(spark)).collect()
+    assert {r["doc_id"]: r["license_ids"] for r in got} == {1: "MIT", 2: ""}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1001])
 def test_permutation(n):
     assert sorted(sharding.permute_py(x, n, 3) for x in range(n)) == list(range(n))
