@@ -132,6 +132,16 @@ def test_folder_scan(spark):
         assert snip == "a\ufffdb key"
 
 
+def test_folder_scan_query_reads_long_documents(spark):
+    from trawl.plans import queries as Q
+
+    root = tempfile.mkdtemp(prefix="trawl-long-")
+    rows = [(1, "one elle"), (2, "x " * 15_000 + "elle\nelle elle"), (3, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+    got = sorted(tuple(r) for r in Q.folder_scan(spark, root).collect())
+    assert got == [(1, 1, 1), (2, 3, 2)]
+
+
 def test_unreadable_files_count_as_failed(spark):
     from trawl.sources import files as FS
 

@@ -540,7 +540,7 @@ def _parts(df):
 
 def folder_scan(spark, sf):
     def job(folder):
-        _, per_file, _ = P.scan_folder(spark, folder, KW_CI, "default", max_bytes=FOLDER_MAX_BYTES)
+        _, per_file, _ = P.scan_folder(spark, folder, KW_CI, "default", max_bytes=MAX_BYTES)
         return _parts(per_file).select(_doc_id(), *_long("total_matches", "matching_lines"))
 
     return _from_folder(spark, sf, job)
