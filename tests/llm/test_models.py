@@ -89,6 +89,16 @@ def test_misspelled_quoted_and_known_words():
     assert hits.features(None) == hits.features("") == [0.0] * toxicity.N_FEATURES
 
 
+def test_lexicon_has_words_of_few_but_telling_documents(spark):
+    rnd = random.Random(3)
+    noise = ["w" + "".join(rnd.choices("abcdefgh", k=6)) for _ in range(400)]
+    texts = [(" ".join(rnd.sample(noise, 5)) + (" blargon" if i < 1200 else ""), 1) for i in range(1200)]
+    texts += [(" ".join(rnd.sample(noise, 5)) + " zuvanek mirtolo", 1) for _ in range(15)]  # another language, 1.2 %
+    texts += [(" ".join(rnd.sample(noise, 5)), 0) for _ in range(4000)]
+    lex = toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, label int"), 1500, 1000, 1.0, 2.5)
+    assert set(lex.terms) == {"blargon", "zuvanek", "mirtolo"}
+
+
 def test_toxicity_on_held_out_documents(small):
     docs, labels = small("documents", "0.1"), small("labels", "0.1")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()

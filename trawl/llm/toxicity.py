@@ -178,15 +178,18 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
 
-def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_share: float, least_odds: float) -> Lexicon:
-    """``train`` has text and label.  Terms are words of at least ``least_share`` of the toxic documents, three at
-    least, whose log odds of document frequency reach ``least_odds``, the ``max_terms`` with the most toxic documents.  Stems are word
+def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, chance_terms: float, least_odds: float) -> Lexicon:
+    """``train`` has text and label.  Terms are words whose log odds of document frequency reach ``least_odds`` and whose
+    two document counts differ too much for chance: by the Chernoff bound, about ``chance_terms`` of all words tested would
+    pass if labels had nothing to do with words.  The ``max_terms`` with the most toxic documents are kept.  Stems are word
     beginnings that pass the same test with clearly more documents than any one word they begin, so that
     they stand for a family of words.  Known are the ``max_known`` words that most clean documents have."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:[*@$!][\p{L}\p{N}]+)*"), F.lit(0)))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    least_docs = max(3.0, least_share * toxic)
+    if not toxic or not clean:
+        return Lexicon({})
+    share = toxic / max(1, toxic + clean)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
 
     def frequencies(strings: Column) -> DataFrame:
@@ -195,14 +198,22 @@ def learn_lexicon(train: DataFrame, max_terms: int, max_known: int, least_share:
         ).withColumn("odds", odds)
 
     def telling(df: DataFrame) -> list:
-        found = df.filter((F.col("t") >= least_docs) & (F.col("odds") >= least_odds))
+        n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
+        surprise = F.when(t > 0, t * F.log(t / (n * share))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
+        # Words of too few documents to pass even if all are toxic are not tested: one row per number of documents.
+        tested, least = 0, math.inf
+        for r in sorted(df.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
+            if (level := math.log((tested + r["words"]) / chance_terms)) > r["n"] * -math.log(share):
+                break
+            tested, least = tested + r["words"], level
+        found = df.filter((t > 0) & (F.col("odds") >= least_odds) & (surprise >= least))
         return found.orderBy(F.desc("t"), F.desc("odds"), "word").limit(max_terms).select("word", "t", "odds").collect()
 
     lengths = F.array(*[F.lit(n) for n in STEM_LENGTHS])
     beginnings = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
         F.filter(lengths, lambda n: n < F.length(w)), lambda n: F.substr(w, F.lit(1), n)))))
     df = cut(frequencies(words))
-    found, begun = telling(df), telling(frequencies(beginnings))
+    found, begun = telling(df), telling(cut(frequencies(beginnings)))
     known = df.filter(F.col("c") >= 2).orderBy(F.desc("c"), "word").limit(max_known).select("word").collect()
     most: dict[str, int] = {}
     for r in found:
@@ -247,13 +258,13 @@ def _features(df: DataFrame, text: str, lexicon: Lexicon, out: str) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_terms: int = 1500, max_known: int = 150_000,
-        least_share: float = 0.02, least_odds: float = 2.5) -> Model:
+        chance_terms: float = 5.0, least_odds: float = 2.5) -> Model:
     """Learns from the toxic labels of about ``max_docs`` documents chosen by a hash of the id: words of one half make
     the lexicon, features of the other half fit the weights, so that no term is weighed by the documents it
     came from.  Rows with null text or a label other than 0 and 1 are not used."""
     sample = cut(train_sample(docs, labels, "toxic", max_docs))
     half = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))
-    lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, least_share, least_odds)
+    lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, chance_terms, least_odds)
     got = _features(sample.filter(half == 1), "text", lexicon, "x").select("label", "x").collect()  # about max_docs / 2 rows
     y = np.array([r["label"] for r in got], dtype=float)
     x = np.array([r["x"] for r in got], dtype=float).reshape(-1, N_FEATURES)
