@@ -122,9 +122,90 @@ FROM {last}
 """
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS w
+  FROM documents
+), docs AS (SELECT r, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+stats AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+items AS (
+  SELECT row_number() OVER () AS q, item_id,
+    list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS w
+  FROM benchmark
+), asked AS (SELECT q, item_id, unnest(w) AS t FROM items),
+postings AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, stats GROUP BY t, big_n
+), scored AS (
+  SELECT q, item_id, r, doc_id, sum(weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN postings USING (t) JOIN weights USING (t) JOIN docs USING (r), stats GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def prefix_trie() -> str:
+    """Prefixes as running concatenations of turn digests; every subtree is summed by taking each node's share to all of
+    its ancestors, which are the prefixes of its least member."""
+    def nibble(v: int) -> int:
+        for _ in range(4):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        return v
+
+    nibbles = [nibble(i) for i in range(16)]
+    crc = f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, [strpos('0123456789ABCDEF', x[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1 for i in range(1, length(x) + 1)]),
+    lambda a, v: xor(a >> 4, ({nibbles})[xor(a & 15, v) + 1])))"""
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (SELECT conv_id, m, length(text)::BIGINT AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS i FROM said),
+convs AS (SELECT c, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id AS c, hex(encode(conv_id::VARCHAR)) AS x FROM turns)),
+rebuilt AS (
+  SELECT c, m, len, row_number() OVER (PARTITION BY c ORDER BY i) AS d FROM (
+    SELECT c, m, len, i FROM convs JOIN turns ON conv_id = c - c % 100 AND i <= h
+    UNION ALL SELECT c, m, len, i FROM convs JOIN turns ON conv_id = c AND i > h)
+), steps AS (
+  SELECT c, 0 AS d, '' AS k, NULL AS up, 0 AS len FROM convs
+  UNION ALL SELECT c, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), ''), len
+  FROM (SELECT c, d, len, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM rebuilt)
+), nodes AS (SELECT k, min(c) AS c, any_value(d) AS d, any_value(up) AS up, count(*) AS n, any_value(len) AS len FROM steps GROUP BY k),
+below AS (SELECT up AS k, count(*) AS children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+shares AS (
+  SELECT s.k, sum(CASE WHEN b.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.len) AS saved
+  FROM nodes n LEFT JOIN below b ON b.k = n.k JOIN steps s ON s.c = n.c AND s.d <= n.d GROUP BY s.k
+), ends AS (
+  SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM steps WHERE (c, d) IN (SELECT (c, max(d)) FROM steps GROUP BY c) GROUP BY k
+)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, p.c AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(children, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.k = n.up LEFT JOIN below b ON b.k = n.k JOIN shares s ON s.k = n.k LEFT JOIN ends e ON e.k = n.k
+"""
+
+
+TOP_K = """
+WITH good AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS cr, list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)])::BIGINT AS score
+  FROM good q JOIN good c ON c.r <> q.r WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+
 STATEMENTS = {
     "op3_chat_format": CHAT,
     "op5_license_scan": licence_scan(),
     "op6_decontamination": DECONTAMINATION,
     "op8_sharding": sharding(),
+    "op11_lexical_search": LEXICAL,
+    "op12_conversation_trie": prefix_trie(),
+    "op13_topk_search": TOP_K,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import chat, decontam, langid, licenses, packing, quality, sharding, simhash, tokens, toxicity
+from trawl.llm import (chat, decontam, langid, lexical, licenses, packing, prefix_trie, quality, sharding, simhash, tokens, topk,
+                       toxicity)
 from trawl.llm.common import table
 
 SHARDS = 40
@@ -68,8 +69,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_packing, op2_language_id, op3_chat_format, op4_toxicity, op5_license_scan, op6_decontamination,
-              op7_simhash, op8_sharding, op9_quality_rules, op10_token_counts)
+              op7_simhash, op8_sharding, op9_quality_rules, op10_token_counts, op11_lexical_search, op12_conversation_trie,
+              op13_topk_search)
 }
