@@ -61,3 +61,43 @@ def test_stream_smart_dedup_equals_definition(spark):
     assert [got[i] for i in range(len(few))] == model.accepted(few)
     assert all(got[s] for s, _ in many[:5]) and sum(got[s] for s, _ in many) == 50_000
     assert sum(v for s, v in got.items() if s >= 200_000) == 0  # repeats of the hot path
+
+
+def test_batches_count_once_after_a_repeat(spark, tmp_path):
+    table = S.BatchTable(spark, str(tmp_path))
+    table.write(spark.createDataFrame([(1, 5), (2, 7)], "k long, n long"), 0)
+    table.write(spark.createDataFrame([(1, 6)], "k long, n long"), 1)
+    table.write(spark.createDataFrame([(1, 8)], "k long, n long"), 1)  # the batch runs again after a restart
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 5, 0), (1, 8, 1), (2, 7, 0)]
+    assert sorted(tuple(r) for r in table.latest(["k"]).collect()) == [(1, 8), (2, 7)]
+
+
+def test_dedup_state_holds_active_base_paths_only(spark, tmp_path):
+    """Ten base paths an hour; each is forgotten ten minutes after the watermark has passed it."""
+    sink, sizes, hours = S.BatchTable(spark, str(tmp_path / "out")), [], 4
+    for hour in range(hours):
+        rows = [(hour * 100 + i, f"http://a.com/{hour}-{i}", hour * 3600 + i) for i in range(10)]
+        if hour == hours - 1:
+            rows.append((hour * 100 + 50, "http://a.com/0-3", hour * 3600 + 50))  # long forgotten, so new again
+            rows.append((hour * 100 + 51, f"http://a.com/{hour}-3", hour * 3600 + 51))
+        spark.createDataFrame(rows, "seq long, url string, s long").select("seq", "url", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(
+            str(tmp_path / "in" / f"h{hour}"))
+        stream = spark.readStream.schema("seq long, url string, at timestamp").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = S.run_available(S.stream_dedup(stream, time_col="at", keep_ms=600_000), sink, str(tmp_path / "state"))
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    got = {r.seq: r.accepted for r in sink.read().collect()}
+    assert got.pop((hours - 1) * 100 + 51) is False
+    assert len(got) == 10 * hours + 1 and all(got.values())
+    assert sizes[-1] <= 1.6 * sizes[0]
+
+
+def test_window_totals_drop_closed_windows(spark, tmp_path):
+    sink, totals = S.BatchTable(spark, str(tmp_path / "out")), []
+    for hour in range(4):
+        spark.createDataFrame([(hour, "elle elle", hour * 3600)], "doc_id long, text string, s long").select("doc_id", "text", F.timestamp_seconds("s").alias("at")).coalesce(
+            1).write.parquet(str(tmp_path / "in" / f"h{hour}"))
+        stream = spark.readStream.schema("doc_id long, text string, at timestamp").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = S.run_available(S.stream_window_totals(stream, [("elle", "default")], "at", "1 hour", "5 minutes"), sink, str(tmp_path / "state"), "update")
+        totals.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert [r.total_matches for r in sink.latest(["window_start", "keyword", "mode"]).collect()] == [2] * 4
+    assert max(totals) <= 2

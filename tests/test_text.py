@@ -188,3 +188,34 @@ def test_no_python_udf_in_plans(spark):
     df = G.grep_lines(docs, "elle", "fuzzy")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "PythonUDF" not in plan
+
+
+def test_keyword_tables_equal_single_searches_for_keywords_of_any_length(spark, monkeypatch):
+    import random
+
+    from trawl.operators import grep as G
+
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abé", k=rnd.randint(1, 40))) for _ in range(60)]
+    def typo(w):
+        at = rnd.randrange(len(w) or 1)
+        return rnd.choice([w[:at] + w[at + 1:], w[:at] + "b" + w[at:], w[:at] + "a" + w[at + 1:], w])
+    lines = [" ".join(typo(typo(rnd.choice(words))) or "a" for _ in range(8)) for _ in range(60)] + ["an i++ loop", "an İ++ loop", "STRASSE straße ſo"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keys = [(w, m) for w in words[:24] for m in ("default", "exact", "fuzzy")] + [("İ++", "default"), ("i++", "default"), ("SO", "default"), ("straße", "default")]
+    keys = list(dict.fromkeys(keys))
+    want = sorted(tuple(r) for r in G.multi_keyword_grep(docs, keys).collect())
+    table = spark.createDataFrame(keys, "keyword string, mode string")
+    assert sorted(tuple(r) for r in G.keyword_table_grep(docs, table).collect()) == want
+    monkeypatch.setattr(G, "BROADCAST_KEYWORDS", 0)
+    assert sorted(tuple(r) for r in G.keyword_table_grep(docs, table).collect()) == want
+
+
+def test_a_very_long_fuzzy_keyword(spark):
+    from trawl.operators import grep as G
+
+    word = "abcdefghij" * 300
+    near = word[:700] + "x" + word[700:2000] + word[2001:]
+    docs = spark.createDataFrame([(1, "some " + near + " here"), (2, word[:-9])], "doc_id long, text string")
+    got = G.keyword_table_grep(docs, spark.createDataFrame([(word, "fuzzy")], "keyword string, mode string")).collect()
+    assert [(r["doc_id"], r["count"]) for r in got] == [(1, 1)]

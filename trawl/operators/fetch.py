@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import urls as U
 from trawl.operators.dedup import smart_dedup
+from trawl.session import ensure_checkpoint_dir
 
 # Fixed values that must equal the search tool's: error categories (report order) and the
 # labels for network error classes.
@@ -63,6 +64,8 @@ def redirect_duplicates(log: DataFrame) -> DataFrame:
         F.struct((F.col("page_id") * 2).alias("seq"), F.col("_asked").alias("url")),
         F.struct((F.col("page_id") * 2 + 1).alias("seq"), F.when(moved, F.col("_got")).otherwise(F.lit("")).alias("url")),
     ))).filter(F.col("url") != "")
+    ensure_checkpoint_dir(log.sparkSession)
+    events = events.checkpoint()  # narrow rows, read several times below
     accepted = smart_dedup(events, "url", "seq").select("seq")
     dup = events.filter(F.col("seq") % 2 == 1).join(accepted, "seq", "left_anti")
     return dup.select((F.col("seq") / 2).cast("long").alias("page_id"))
@@ -88,7 +91,11 @@ def fetch_outcomes(log: DataFrame, max_bytes: int) -> DataFrame:
     blocked; other HTTP >= 400 network error; exception network error; redirect to an already-queued URL;
     over size; HTML that could not be parsed; bot challenge (HTML only); else ok."""
     dups = redirect_duplicates(log).withColumn("_redir_dup", F.lit(True))
-    j = fetch_flags(log, max_bytes).join(dups, "page_id", "left")
+    return judge(fetch_flags(log, max_bytes).join(dups, "page_id", "left"))
+
+
+def judge(j: DataFrame) -> DataFrame:
+    """Outcome, reason and category of fetches with their flags and ``_redir_dup``."""
     status = F.col("status")
     http_err = status.isNotNull() & (status >= 400)
     outcome = (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import urls as U
 from trawl.operators.dedup import query_tokens
+from trawl.operators.shelf import BUCKETS, Shelf, bucket_of, in_buckets, sent
 from trawl.operators.stats import global_rank
 from trawl.session import ensure_checkpoint_dir
 
@@ -31,7 +32,16 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     F.when(U.is_document_link(F.col("dst")), F.lit("doc")).otherwise(F.lit("nav")).alias("kind"))
 
 
-HUB_SPLIT = 16
+#: Links of one page that lie in one partition; a page with more is spread over as many as it needs.
+HUB_LINKS = 100_000
+
+
+def _salted(edges: DataFrame, hub_links: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with a salt per ``hub_links`` links of their page, and (src, salts) of the pages that have more than one."""
+    hubs = edges.groupBy("src").count().filter(F.col("count") > hub_links).select("src", F.ceil(F.col("count") / hub_links).cast("int").alias("salts"))
+    hubs = hubs.checkpoint()
+    j = edges.join(sent(hubs), "src", "left")
+    return j.withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"), hubs
 
 
 def bfs_levels(
@@ -42,7 +52,7 @@ def bfs_levels(
     doc_leaves: bool = True,
     scope=None,
     partitions: int | None = None,
-    hub_split: int = HUB_SPLIT,
+    hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """Minimum depth of every node reachable from ``seeds`` (column ``node_col``).
 
@@ -51,9 +61,9 @@ def bfs_levels(
     leaves.  ``scope``: optional Column predicate on ``dst`` applied to every edge.
     Returns (node, depth, kind).
 
-    The edges are partitioned once, by ``src`` and one of ``hub_split`` salts taken from ``dst``, so a page
-    with very many links lies in that many partitions; each level only the frontier is shuffled,
-    once per salt."""
+    The edges are partitioned once, by ``src`` and a salt; a page gets one salt per ``hub_links`` links it has, so a hub lies in
+    as many partitions as it needs and every other page in one.  Each level shuffles the frontier only, once per salt.
+    What is visited lies in files, one scan for all levels."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -62,27 +72,26 @@ def bfs_levels(
         e = e.filter(scope)
     if not doc_leaves:
         e = e.withColumn("kind", F.lit("nav"))
-    e = e.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(hub_split)).cast("int")).repartition(n, "src", "salt").checkpoint()
-    salts = F.explode(F.sequence(F.lit(0), F.lit(hub_split - 1)))
-    visited = seeds.select(F.col(node_col).alias("node")).distinct().select(
-        "node", F.lit(0).alias("depth"), F.lit("nav").alias("kind")
-    ).repartition(n, "node").checkpoint()
-    frontier = visited
+    e, hubs = _salted(e.checkpoint(), hub_links)
+    e, hubs = e.repartition(n, "src", "salt").checkpoint(), sent(hubs)
+    shelf = Shelf(spark)
+    start = seeds.select(F.col(node_col).alias("node")).distinct()
+    frontier = shelf.add("visited", start.select("node", F.lit(0).alias("depth"), F.lit("nav").alias("kind")))
     for level in range(depth + 1):
-        step = frontier.filter(F.col("kind") == "nav").select(F.col("node").alias("src"), salts.alias("salt")).join(e, ["src", "salt"])
+        step = frontier.filter(F.col("kind") == "nav").select(F.col("node").alias("src")).join(hubs, "src", "left")
+        step = step.select("src", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")).join(e, ["src", "salt"])
         if level >= depth:
             step = step.filter(F.col("kind") == "doc")
         # kind as an int code so the per-node minimum is a hash aggregate (documents first)
         cand = step.groupBy(F.col("dst").alias("node")).agg(
             F.min(F.when(F.col("kind") == "doc", 0).otherwise(1)).alias("_k")
         ).select("node", F.when(F.col("_k") == 0, F.lit("doc")).otherwise(F.lit("nav")).alias("kind"))
-        new = cand.join(visited, "node", "left_anti").select("node", F.lit(level + 1).alias("depth"), "kind")
-        new = new.repartition(n, "node").checkpoint()
-        if new.isEmpty():
+        new = cand.join(shelf.read("visited"), "node", "left_anti").select("node", F.lit(level + 1).alias("depth"), "kind")
+        frontier = shelf.add("visited", new)
+        if frontier.isEmpty():
             break
-        # a union of checkpointed parts: reading it back is cheap, so no further checkpoint
-        visited = visited.unionByName(new)
-        frontier = new
+    visited = shelf.read("visited").checkpoint()
+    shelf.remove()
     return visited
 
 
@@ -109,6 +118,29 @@ def stored_page_links(pages: DataFrame, url_col: str = "url", html_col: str = "h
     return links_of
 
 
+class PageStore:
+    """Stored pages by the hash of their normalised URL: written once, for any number of crawls.  A level of a crawl reads
+    the files of its URLs' hash values only."""
+
+    def __init__(self, pages: DataFrame, url_col: str = "url", html_col: str = "html", buckets: int = BUCKETS):
+        self.shelf, self.buckets = Shelf(pages.sparkSession), buckets
+        keyed = pages.select(U.normalize_url(F.col(url_col)).alias("src"), F.col(html_col).alias("html"))
+        keyed = keyed.withColumn("bucket", bucket_of(F.col("src"), buckets))
+        self.pages = self.shelf.add("pages", keyed.repartition(buckets, "bucket", F.pmod(F.xxhash64("html"), F.lit(4))), bucketed=True)
+
+    def of(self, urls: DataFrame, few: bool) -> DataFrame:
+        """The pages of ``urls`` (src, ...), with their columns."""
+        wanted = urls.withColumn("bucket", bucket_of(F.col("src"), self.buckets))
+        return in_buckets(self.pages, wanted).join(F.broadcast(wanted) if few else wanted, ["bucket", "src"]).drop("bucket")
+
+    def links_of(self, parents: DataFrame, few: bool) -> DataFrame:
+        x = self.of(parents, few).select("src", "parent_rank", F.posexplode(H.extract_links("html", F.col("src"))).alias("pos", "dst"))
+        return x.withColumn("kind", F.when(U.is_document_link(F.col("dst")), F.lit("doc")).otherwise(F.lit("nav")))
+
+    def remove(self) -> None:
+        self.shelf.remove()
+
+
 def crawl_frontier(
     links: DataFrame | LinksOf,
     seed_url: str | Column,

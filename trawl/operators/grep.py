@@ -5,12 +5,14 @@ All jobs are narrow (generate + project + filter) until a caller groups; nothing
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import text as T
+from trawl.session import ensure_checkpoint_dir
 
 
 def _ids(id_cols) -> list[str]:
@@ -102,9 +104,21 @@ GRAM = 3  # code points of the grams that lines and keywords are joined on
 BROADCAST_KEYWORDS = 200_000
 
 
+@functools.lru_cache(maxsize=1)
+def _case_table() -> tuple[str, str]:
+    """Characters and the form that case-insensitive regexes compare them by: upper, then lower, one code point to one."""
+    found = {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        upper = c.upper()
+        lower = (upper if len(upper) == 1 else c).lower()
+        if lower[0] != c:
+            found[c] = lower[0]  # the one lower form of two code points starts with its plain letter
+    return "".join(found), "".join(found.values())
+
+
 def _casefold(c: Column) -> Column:
-    """A form that is equal for texts which are equal up to case."""
-    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+    """A form that is equal for exactly the texts that a case-insensitive literal takes as equal."""
+    return F.translate(c, *_case_table())
 
 
 def _grams(c: Column, space: str, lengths: Sequence[int]) -> Column:
@@ -133,6 +147,45 @@ def _without(c: Column, times: int) -> Column:
     return out
 
 
+SHORT = 12  # folded keywords up to this length are met by deletions, longer ones by segments
+EDITS = 2
+
+
+def _segment(n: Column, k: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the k-th of the ``EDITS`` + 1 segments of a word of length ``n``."""
+    part = F.floor(n / (EDITS + 1)).cast("int")
+    return part * k, (n - part * EDITS if k == EDITS else part)
+
+
+def _keyword_marks(c: Column) -> Column:
+    """Keys that a folded keyword shares with every word within ``EDITS`` edits of it: what few deletions leave of a short one; of
+    a long one its segments, one of which the edits have left whole."""
+    n = F.length(c)
+    segments = []
+    for k in range(EDITS + 1):
+        start, size = _segment(n, k)
+        segments.append(F.concat_ws(":", F.lit("s"), n.cast("string"), F.lit(str(k)), F.substr(c, start + 1, size)))
+    return F.when(n <= SHORT, F.transform(_without(c, EDITS), lambda x: F.concat(F.lit("d:"), x))).otherwise(F.array(*segments))
+
+
+def _word_marks(c: Column) -> Column:
+    """The keys of a word: for every keyword length within ``EDITS``, each segment's place shifted by up to ``EDITS`` characters; their
+    number does not depend on the word's length."""
+    m = F.length(c)
+    lengths = F.filter(F.sequence(m - EDITS, m + EDITS), lambda n: n > SHORT)
+
+    def of_length(n):
+        def places(k):
+            start, size = _segment(n, k)
+            shifts = F.filter(F.sequence(start - EDITS, start + EDITS), lambda at: (at >= 0) & (at + size <= m))
+            return F.transform(shifts, lambda at: F.concat_ws(":", F.lit("s"), n.cast("string"), F.lit(str(k)), F.substr(c, at + 1, size)))
+
+        return F.concat(*[places(k) for k in range(EDITS + 1)])
+
+    deleted = F.when(m <= SHORT + EDITS, F.transform(_without(c, EDITS), lambda x: F.concat(F.lit("d:"), x))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(deleted, F.flatten(F.transform(lengths, of_length))))
+
+
 def keyword_forms(keywords: DataFrame) -> DataFrame:
     """Distinct (keyword, mode) with what the modes compare: folded forms, threshold, whether the fold is used."""
     k = keywords.select("keyword", "mode").filter((F.col("keyword") != "") & F.col("mode").isin(*T.MODES)).distinct()
@@ -140,69 +193,90 @@ def keyword_forms(keywords: DataFrame) -> DataFrame:
     x = k.withColumn("_ks", F.trim(T.fold_spaces("keyword"))).withColumn("_kt", T.fold_strict("keyword"))
     return x.select(
         "keyword", "mode", "_ks", "_kt", F.when(F.length("_kt") <= 4, 1).otherwise(2).alias("_t"),
-        ((F.col("mode") == "default") & ~special & (F.length("_ks") >= 2)).alias("_folds"),
-        F.concat(F.lit("(?iu)\\Q"), F.replace("keyword", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")).alias("_regex"),
+        ((F.col("mode") == "default") & ~special & (F.length("_ks") >= 2)).alias("_folds"), _casefold(F.col("keyword")).alias("_kc"),
     ).filter((F.col("mode") != "fuzzy") | (F.length("_kt") >= 2))
 
 
-def _count_with_columns() -> Column:
-    """Match count of ``line_text`` for the keyword of the row, by its mode."""
-    def literal(c: Column, needle: Column) -> Column:
-        return F.floor((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / F.length(needle)).cast("int")
+def _literal_count(c: Column, needle: Column) -> Column:
+    return F.floor((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / F.length(needle)).cast("int")
+
 
-    ci = F.regexp_count("line_text", F.col("_regex"))
-    default = F.when(F.col("_folds"), F.greatest(ci, literal(F.col("_fs"), F.col("_ks")))).otherwise(ci)
-    near = F.size(F.filter(F.split("_fs", " "), lambda w: (w != "") & (F.abs(F.length(w) - F.length("_kt")) <= F.col("_t")) & (
-        F.levenshtein(w, F.col("_kt")) <= F.col("_t"))))
-    inside = literal(F.col("_fst"), F.col("_kt"))
+def _count_inside() -> Column:
+    """Match count of ``line_text`` for the keyword of the row, by its mode; for fuzzy ones the folded occurrences."""
+    ci = _literal_count(F.col("_cf"), F.col("_kc"))
+    default = F.when(F.col("_folds"), F.greatest(ci, _literal_count(F.col("_fs"), F.col("_ks")))).otherwise(ci)
     return (
-        F.when(F.col("mode") == "exact", literal(F.col("line_text"), F.col("keyword")))
+        F.when(F.col("mode") == "exact", _literal_count(F.col("line_text"), F.col("keyword")))
         .when(F.col("mode") == "default", default)
-        .otherwise(F.when(inside > 0, inside).otherwise(near))
+        .otherwise(_literal_count(F.col("_fst"), F.col("_kt")))
     )
 
 
+def _near_words(lines: DataFrame, fuzzy: DataFrame, send) -> DataFrame:
+    """(word, keyword, mode, _kt): distinct words of the lines within the edit bound of a fuzzy keyword."""
+    sizes = fuzzy.agg(F.min(F.length("_kt")), F.max(F.length("_kt"))).first()
+    like = F.length("word").between((sizes[0] or 0) - EDITS, (sizes[1] or 0) + EDITS)  # others are too short or too long for any
+    words = lines.select(F.explode(F.split("_fs", " ")).alias("word")).filter((F.col("word") != "") & like).distinct()
+    left = words.select("word", F.explode(_word_marks(F.col("word"))).alias("mark"))
+    right = fuzzy.select("keyword", "mode", "_kt", "_t", F.explode(_keyword_marks(F.col("_kt"))).alias("mark"))
+    near = left.join(send(right), "mark").filter(F.levenshtein(F.col("word"), F.col("_kt"), EDITS).between(0, F.col("_t")))
+    return near.select("word", "keyword", "mode", "_kt").distinct()
+
+
 def keyword_table_grep(df: DataFrame, keywords: DataFrame, text_col: str = "text", id_cols: Sequence[str] | str = ("doc_id",)) -> DataFrame:
     """(ids..., keyword, mode, page, line, count, snippet) for every line and every keyword of a table (keyword, mode)
     with a match; the plan does not grow with the table.
 
-    A line can match only keywords one of whose grams it has, in the form the mode compares, or, for fuzzy
-    words, keywords that share what is left after few deletions with one of its words; such pairs come
-    from equality joins and are then counted.  Deletions are made for the distinct words of the corpus,
-    once each.  ``id_cols`` identify rows."""
+    A line that holds a keyword has the keyword's middle gram, in the form that the mode compares.  Lines meet the
+    keywords by those grams in the task that reads them and are counted there; only a table of more than
+    ``BROADCAST_KEYWORDS`` rows is joined by a shuffle, of narrow rows first.  A fuzzy keyword that a line does not hold
+    counts its near words: those are found once for the distinct words of the corpus, by shared deletions or
+    segments.  ``id_cols`` identify rows."""
     ids = _ids(id_cols)
     k = keyword_forms(keywords)
-    send = F.broadcast if k.count() <= BROADCAST_KEYWORDS else (lambda x: x)
+    small = k.count() <= BROADCAST_KEYWORDS
+    send = F.broadcast if small else (lambda x: x)
     lines = split_lines(df, text_col, ids).filter(F.col("line_text") != "")
-    lines = lines.select(*ids, "page", "line", "line_text", T.fold_spaces("line_text").alias("_fs"), T.fold_strict("line_text").alias("_fst"))
+    forms = ["line_text", "_fs", "_fst", "_cf"]
+    lines = with_computed(lines, [*ids, "page", "line", "line_text"], _fs=T.fold_spaces("line_text"), _fst=T.fold_strict("line_text"),
+                          _cf=_casefold(F.col("line_text")))  # once per line
     place = [*ids, "page", "line"]
 
+    literal = _middle_gram(F.col("_kc"), "c")
     grams = F.array_compact(F.array(
-        F.when(F.col("mode") != "fuzzy", _middle_gram(_casefold(F.col("keyword")), "c")),
+        F.when(F.col("mode") != "fuzzy", literal),
         F.when(F.col("_folds"), _middle_gram(F.col("_ks"), "s")),
         F.when(F.col("mode") == "fuzzy", _middle_gram(F.col("_kt"), "t")),
     ))
-    by_gram = k.select("keyword", "mode", F.explode(grams).alias("gram"))
+    by_gram = k.select("*", F.explode(grams).alias("gram"), F.substr(literal, F.lit(2), F.lit(GRAM)).alias("_literal"))
     # The forms and lengths that the table's grams have (nine kinds at most); lines are cut into no others.
     kinds = by_gram.select(F.substring("gram", 1, 1).alias("form"), (F.length("gram") - 1).alias("n")).distinct().collect()
-    forms = {"c": _casefold(F.col("line_text")), "s": F.col("_fs"), "t": F.col("_fst")}
-    cuts = [_grams(c, form, sorted(r["n"] for r in kinds if r["form"] == form)) for form, c in forms.items() if any(r["form"] == form for r in kinds)]
+    texts = {"c": F.col("_cf"), "s": F.col("_fs"), "t": F.col("_fst")}
+    cuts = [_grams(c, form, sorted(r["n"] for r in kinds if r["form"] == form)) for form, c in texts.items() if any(r["form"] == form for r in kinds)]
     in_lines = F.concat(*cuts) if cuts else F.array().cast("array<string>")
-    pairs = lines.select(*place, F.explode(in_lines).alias("gram")).join(send(by_gram), "gram").select(*place, "keyword", "mode")
+    if small:
+        both = lines.select(*place, *forms, F.explode(in_lines).alias("gram")).join(F.broadcast(by_gram), "gram")
+    else:
+        pairs = lines.select(*place, F.explode(in_lines).alias("gram")).join(by_gram, "gram")
+        pairs = pairs.select(*[F.col(c).alias(f"_at_{c}") for c in place], "gram", *k.columns, "_literal")
+        both = lines.join(pairs, on=[F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place])
+    # A default keyword has grams of two forms; where a line has both, the literal one stands.
+    once = ~(F.startswith("gram", F.lit("s")) & F.contains("_cf", "_literal"))
+    counted = with_computed(both.filter(once), [*place, "keyword", "mode", "line_text"], count=_count_inside()).filter(F.col("count") > 0)
+    out = [*ids, "keyword", "mode", "page", "line"]
+    inside = counted.select(*out, "count", T.line_snippet("line_text").alias("snippet"))
 
     fuzzy = k.filter(F.col("mode") == "fuzzy")
-    words = lines.select(*place, F.explode(F.array_distinct(F.split("_fs", " "))).alias("word")).filter(F.col("word") != "")
-    sizes = fuzzy.agg(F.min(F.length("_kt")), F.max(F.length("_kt"))).first()
-    like = F.length("word").between((sizes[0] or 0) - 2, (sizes[1] or 0) + 2)  # others are too short or too long for any keyword
-    left = words.select("word").distinct().filter(like).select("word", F.explode(_without(F.col("word"), 2)).alias("rest"))
-    right = fuzzy.select("keyword", "mode", "_kt", "_t", F.explode(_without(F.col("_kt"), 2)).alias("rest"))
-    near = left.join(send(right), "rest").filter(F.levenshtein("word", "_kt") <= F.col("_t")).select("word", "keyword", "mode").distinct()
-    pairs = pairs.unionByName(words.join(near, "word").select(*place, "keyword", "mode")).distinct()
-
-    asked = pairs.select(*[F.col(c).alias(f"_at_{c}") for c in place], "keyword", "mode")
-    both = lines.join(asked, on=[F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in place]).drop(*[f"_at_{c}" for c in place])
-    counted = with_computed(both.join(send(k), ["keyword", "mode"]), [*place, "keyword", "mode", "line_text"], count=_count_with_columns())
-    return counted.filter(F.col("count") > 0).select(*ids, "keyword", "mode", "page", "line", "count", T.line_snippet("line_text").alias("snippet"))
+    if fuzzy.isEmpty():
+        return inside
+    ensure_checkpoint_dir(df.sparkSession)
+    near = _near_words(lines, fuzzy, send).checkpoint()
+    near = F.broadcast(near) if near.count() <= BROADCAST_KEYWORDS else near
+    words = lines.select(*place, "line_text", "_fst", F.explode(F.split("_fs", " ")).alias("word")).filter(F.col("word") != "")
+    hits = words.join(near, "word").filter(~F.contains("_fst", "_kt"))
+    # A line's words are in one task, so most of the sum is made before the shuffle.
+    hits = hits.groupBy(*out, "line_text").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    return inside.unionByName(hits.select(*out, "count", T.line_snippet("line_text").alias("snippet")))
 
 
 def doc_counts(df: DataFrame, keyword: str, mode: str = "default", text_col: str = "text", id_cols=("doc_id",)) -> DataFrame:

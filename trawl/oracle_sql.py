@@ -356,8 +356,11 @@ _INJECTED = (
     ("</head>", '<meta data-name="x" content="Second &mdash; order" name=description></head>'),
     ("<body>", '<body><p>open <!-- never closed <a href="/hidden">z</a>'),
     None,
+    ("<body>", '<body><div id="app"><div>one</div>two<div><div>three</div></div></div>'),
+    ("<body>", '<body><DIV class="a" id=root><div><p>' + "nested words " * 12 + "</p></div><div>and more of them</div></DIV>"),
+    ("<body>", '<body><main><main>inner</main>outer<mainly>x</mainly>'),
 )
-FX_HTML = "fx_html AS (SELECT page_id, url, CASE page_id % 14 " + " ".join(
+FX_HTML = "fx_html AS (SELECT page_id, url, CASE page_id % 17 " + " ".join(
     f"WHEN {i} THEN replace(html, {lit(x[0])}, {lit(x[1])})" for i, x in enumerate(_INJECTED) if x
 ) + " ELSE html END AS html FROM pages)"
 
@@ -377,9 +380,32 @@ fx_site AS (
   FROM pages JOIN (SELECT src AS page_id, string_agg('<a href="/' || dst || CASE WHEN kind = 'doc' THEN '.pdf' ELSE '' END || '">l</a>', '' ORDER BY pos) AS links
                    FROM fx_edges GROUP BY src) USING (page_id))"""
 
+def _site_url(t: str, scheme: str = "'http'") -> str:
+    return f"""{scheme} || '://' || CASE WHEN site % 3 = 1 AND {t} > 0 THEN CASE WHEN {t} % 2 = 1 THEN 'en.m' ELSE 'www.m' END || site || '.example.org'
+    ELSE 's' || site || '.example.com' END || '/' || {t} || CASE WHEN {t} > 0 AND {t} % 5 = 0 THEN '.pdf' ELSE '' END"""
+
+
+FX_CRAWL_LOG = f"""_cl AS (SELECT page_id, page_id // 32 AS site, page_id % 32 AS j, html FROM pages),
+_cl_links AS (
+  SELECT page_id, string_agg('<a href="' || {_site_url('t', "CASE WHEN (j + k) % 4 = 2 THEN 'https' ELSE 'http' END")} ||
+    CASE WHEN (t % 5 <> 0 OR t = 0) AND (j + k) % 4 = 1 THEN '?id=1' WHEN (t % 5 <> 0 OR t = 0) AND (j + k) % 4 = 3 THEN '?id=1&x=' || k ELSE '' END || '">l</a>', '' ORDER BY k)
+    || '<a href="http://other.example.net/x">o</a>' AS links
+  FROM (SELECT *, (j * 7 + k * 13 + 1) % 32 AS t FROM _cl, range(6) r(k)) GROUP BY page_id),
+_cl_body AS (SELECT *, replace(html, '<body>', '<body>' || links) AS h, (j + 9) % 32 AS e FROM _cl JOIN _cl_links USING (page_id)),
+_cl_rows AS (SELECT *, CASE WHEN page_id % 29 = 9 THEN NULL WHEN page_id % 23 = 6 THEN regexp_replace(h, '(?s)<title>.*?</title>', '<title>Just a moment...</title>', 'g') ELSE h END AS body FROM _cl_body),
+fx_crawl_log AS (
+  SELECT page_id, site, {_site_url('j')} AS url,
+    CASE WHEN j = 0 AND site % 3 = 1 THEN 'http://www.m' || site || '.example.org/home' WHEN j % 7 = 2 THEN {_site_url('e')}
+      WHEN j % 19 = 4 THEN {_site_url('j', "'https'")} ELSE {_site_url('j')} END AS final_url,
+    CAST(CASE WHEN page_id % 11 = 3 THEN 404 WHEN page_id % 13 = 5 THEN 403 WHEN page_id % 17 <> 7 THEN 200 END AS INTEGER) AS status,
+    CASE WHEN page_id % 17 = 7 THEN 'SocketTimeoutException' END AS error_class, CAST(NULL AS VARCHAR) AS error_message,
+    CASE WHEN j > 0 AND j % 5 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_type, CAST(strlen(body) AS VARCHAR) AS content_length, body
+  FROM _cl_rows)"""
+
 FX_KEYWORDS = """fx_keywords AS (
   SELECT DISTINCT keyword, CASE length(keyword) % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'exact' ELSE 'fuzzy' END AS mode
-  FROM (SELECT unnest(regexp_split_to_array(text, '[\\s.,]+')) AS keyword FROM benchmark) WHERE length(keyword) >= 7)"""
+  FROM (SELECT unnest(regexp_split_to_array(text, '[\\s.,]+')) AS keyword FROM benchmark UNION ALL SELECT unnest([chr(304) || '++', 'i++'])) WHERE keyword <> ''),
+fx_noted AS (SELECT doc_id, text || CASE doc_id % 50 WHEN 7 THEN chr(10) || 'an i++ loop' WHEN 8 THEN chr(10) || 'an ' || chr(304) || '++ loop' ELSE '' END AS text FROM documents)"""
 
 
 def with_(*ctes: str) -> str:
@@ -515,10 +541,13 @@ def statements() -> dict[str, str]:
     s["grep_conversations"] = grep_lines("conversations", ["conv_id", "turn"], Q.KW_CI, "default")
     s["grep_files"] = _per_doc_lines(Q.KW_DEFAULT, "default")
     s["file_totals"] = f"SELECT doc_id, CAST(c AS BIGINT) AS total_matches FROM (SELECT doc_id, {count_default('text', Q.KW_TOTALS)} AS c FROM documents) WHERE c > 0"
+    s["stream_grep"] = s["grep_lines"]
     parts = []
     for kw, mode in (("elle", "default"), ("ete", "default"), ("that the", "exact"), ("hten", "fuzzy"), ("C++", "default")):
         parts.append(f"SELECT doc_id, {lit(kw)} AS keyword, {lit(mode)} AS mode, page, line, count, snippet FROM ({grep_lines('documents', ['doc_id'], kw, mode)})")
     s["multi_keyword_grep"] = "\nUNION ALL\n".join(parts)
+    s["stream_totals"] = f"""SELECT doc_id * 60 // 3600 * 3600 AS window_start, keyword, mode, sum(count)::BIGINT AS total_matches, count(*) AS matching_lines
+FROM ({s["multi_keyword_grep"]}) GROUP BY ALL"""
     per_doc = f"SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches FROM ({grep_lines('documents', ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"
     s["max_hits_cut"] = f"""SELECT doc_id, total_matches FROM (SELECT *, coalesce(sum(total_matches) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _b FROM ({per_doc})) WHERE _b < {Q.MAX_HITS}"""
     s["running_matches"] = f"SELECT doc_id, total_matches, CAST(sum(total_matches) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running FROM ({per_doc})"
@@ -530,7 +559,7 @@ SELECT CAST(count_if(length <= {fm}) AS BIGINT) AS files_scanned, CAST(count_if(
   CAST(coalesce(sum(total_matches), 0) AS BIGINT) AS total_matches FROM f LEFT JOIN m USING (doc_id)"""
 
     # keyword table: every line against every keyword
-    k_lines = lines_rel("documents", ["doc_id"])
+    k_lines = lines_rel("fx_noted", ["doc_id"])
     s["keyword_table_grep"] = with_(FX_KEYWORDS) + f"""SELECT doc_id, keyword, mode, page, line, CAST(count AS BIGINT) AS count, {line_snippet('line_text')} AS snippet FROM (
   SELECT *, CASE mode WHEN 'exact' THEN {count_lit('line_text', 'keyword')}
     WHEN 'default' THEN greatest({count_lit('lower(line_text)', 'lower(keyword)')}, CASE WHEN length(ks) >= 2 THEN {count_lit('fs', 'ks')} ELSE 0 END)
@@ -594,6 +623,7 @@ SELECT page_id, host, seed_id, seed_host FROM h JOIN r ON host <> '' AND (CASE W
     s["dedup_smart"] = "WITH " + _dedup(FX_URLS, False) + "SELECT CAST(seq AS BIGINT) AS seq, url FROM _acc"
     s["dedup_all_urls"] = "WITH " + _dedup(FX_URLS, True) + "SELECT CAST(seq AS BIGINT) AS seq, url FROM _acc"
     s["dedup_exact"] = "WITH " + _dedup(FX_URLS, True) + "SELECT CAST(u.seq AS BIGINT) AS seq, u.url, a.seq IS NULL AS duplicate FROM fx_urls u LEFT JOIN _acc a ON a.seq = u.seq"
+    s["stream_url_dedup"] = "WITH " + _dedup(FX_URLS, False) + "SELECT CAST(u.seq AS BIGINT) AS seq, u.url, a.seq IS NOT NULL AS accepted FROM fx_urls u LEFT JOIN _acc a ON a.seq = u.seq"
     s["dedup_size"] = ("WITH " + _dedup(FX_URLS, False) + ", _s AS (SELECT count(*) AS n FROM _acc)\n"
                        + "SELECT 'smart' AS mode, CAST(n AS BIGINT) AS accepted FROM _s UNION ALL "
                        + "SELECT 'all_urls', CAST(count(DISTINCT CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END) AS BIGINT) FROM fx_urls")
@@ -689,17 +719,27 @@ def find_snippets(rel: str, key: str, text: str, kw: str, mode: str, most: int =
     SELECT {key}, snippet, min((pass, i)) AS o FROM ({union}) GROUP BY {key}, snippet)) WHERE k <= {most} GROUP BY {key}"""
 
 
+def element_inner(clean: str, tag: str) -> str:
+    """What stands between the start tag ``tag`` (its first occurrence) and the first end tag of its name up to which there are
+    as many end tags as start tags, the own one included; up to the end of the body if there is none."""
+    rest = f"regexp_replace(substr({clean}, strpos({clean}, {tag}) + length({tag})), '(?is)</body\\s*>.*$', '')"
+    pattern = f"('(?i)</?' || regexp_extract({tag}, '^<([a-zA-Z0-9-]+)', 1) || {lit('(?:>|[' + chr(92) + 's/]' + REST + ')')})"
+    walk = "[list_sum([CASE WHEN starts_with(t, '</') THEN -1 ELSE 1 END for t in z.tags[1:i]]) for i in range(1, len(z.tags) + 1)]"
+    upto = f"coalesce(list_position({walk}, -1), len(z.tags) + 1)"
+    joined = f"[array_to_string([z.pieces[k] || CASE WHEN k < e THEN z.tags[k] ELSE '' END for k in range(1, e + 1)], '') for e in [{upto}]][1]"
+    return (f"list_transform([{{'pieces': regexp_split_to_array(y.rest, y.p), 'tags': regexp_extract_all(y.rest, y.p)}} "
+            f"for y in [{{'rest': {rest}, 'p': {pattern}}}]], lambda z: {joined})[1]")
+
+
 def main_content_text(x: str) -> str:
     def value(names: str) -> str:
-        return f"""\\s*=\\s*(?:"(?:{names})"|'(?:{names})'|(?:{names})[\\s>/])"""
+        return f"""\\s*=\\s*(?:(?:"(?:{names})"|'(?:{names})')""" + REST + f"|(?:{names})(?:>|[\\s/]" + REST + "))"
 
     named = "(?:main|app-root)(?:>|[\\s/]" + REST + ")"
-    marked = "[a-z][a-z0-9-]*" + TO_ATTR + "(?:role" + value("main|content") + "|id" + value("app|root|content") + ")" + REST
+    marked = "[a-z][a-z0-9-]*" + TO_ATTR + "(?:role" + value("main|content") + "|id" + value("app|root|content") + ")"
     clean = strip_non_text(f"regexp_replace({x}, '(?is)<noscript\\b[^>]*>.*?</noscript\\s*>', ' ', 'g')")
     tag = f"regexp_extract({clean}, {lit('(?is)(<(?:' + named + '|' + marked + '))')}, 1)"
-    after = f"substr({clean}, strpos({clean}, {tag}) + length({tag}))"
-    inner = f"regexp_extract({after}, '(?is)^(.*?)</' || regexp_extract({tag}, '^<([a-zA-Z0-9-]+)', 1) || '\\s*>', 1)"
-    return markup_to_text(f"(CASE WHEN {tag} <> '' THEN {inner} ELSE {body_html(clean)} END)")
+    return markup_to_text(f"(CASE WHEN {tag} <> '' THEN {element_inner(clean, tag)} ELSE {body_html(clean)} END)")
 
 
 def _extract_links_sql(src: str, with_src: bool = False, with_base_tag: bool = False) -> str:
@@ -724,15 +764,15 @@ def is_spa(x: str) -> str:
     tag = "(?is)<html(?:[\\s/][^>]*)?[\\s/](ng-version|data-beasties-container|data-n-head)[\\s=>/]"
     react = "(?is)<[a-z][a-z0-9-]*" + TO_ATTR + "data-reactroot[\\s=>/]"
     nxt = "(?is)<script" + TO_ATTR + "id\\s*=\\s*[\"']?__NEXT_DATA__[\"']?[\\s>/]"
-    app_root = f"regexp_extract({clean}, {lit('(?is)<app-root(?:>|[' + chr(92) + 's/]' + REST + ')(.*?)</app-root' + chr(92) + 's*>')}, 1)"
-    root = "(?is)<div" + TO_ATTR + """id\\s*=\\s*(?:"(?:root|app)"|'(?:root|app)')"""
-    root_div = f"regexp_extract({clean}, {lit(root + REST + '(.*?)</div' + chr(92) + 's*>')}, 1)"
+    app_root = f"regexp_extract({clean}, {lit('(?is)(<app-root(?:>|[' + chr(92) + 's/]' + REST + '))')}, 1)"
+    root = "(?is)(<div" + TO_ATTR + """id\\s*=\\s*(?:(?:"(?:root|app)"|'(?:root|app)')""" + REST + "|(?:root|app)(?:>|[\\s/]" + REST + ")))"
+    root_div = f"regexp_extract({clean}, {lit(root)}, 1)"
     source = "(?is)(<script" + TO_ATTR + "src\\s*=\\s*[\"']?[^\"'>\\s]*[.]js)"
     scripts = f"len(regexp_extract_all({x}, {lit(source)}, 1))"
     blen = f"length({markup_to_text(body_html(clean))})"
     return f"""(regexp_matches({x}, {lit(tag)}) OR regexp_matches({x}, {lit(react)}) OR regexp_matches({x}, {lit(nxt)})
-  OR (regexp_matches({clean}, '(?i)<app-root[\\s/>]') AND length({markup_to_text(app_root)}) < 100)
-  OR (regexp_matches({clean}, {lit(root)}) AND length({markup_to_text(root_div)}) < 100)
+  OR (CASE WHEN {app_root} <> '' THEN length({markup_to_text(element_inner(clean, app_root))}) < 100 ELSE false END)
+  OR (CASE WHEN {root_div} <> '' THEN length({markup_to_text(element_inner(clean, root_div))}) < 100 ELSE false END)
   OR ({blen} < 100 AND {scripts} >= 1) OR ({blen} < 300 AND {scripts} >= 2))"""
 
 
@@ -839,8 +879,83 @@ _order AS (SELECT *, row_number() OVER (ORDER BY depth, path) AS seq FROM _walk)
 queued AS (SELECT row_number() OVER (ORDER BY seq) AS rank, o.url, depth, kind FROM _order o JOIN _qacc USING (seq))"""
 
 
+def _url_parts(u: str, pre: str) -> str:
+    """Scheme-insensitive key, base path, query flag, query tokens and host of the URL column ``u``."""
+    key = f"regexp_replace({u}, '^http://', 'https://')"
+    q = f"substr({key}, strpos({key}, '?') + 1)"
+    tokens = (f"CASE WHEN strpos({key}, '?') = 0 THEN []::VARCHAR[] WHEN {q} = '' THEN [''] WHEN regexp_replace({q}, '&+$', '') = '' THEN []::VARCHAR[] "
+              f"ELSE list_distinct(string_split(regexp_replace({q}, '&+$', ''), '&')) END")
+    return (f"{key} AS {pre}key, CASE WHEN strpos({key}, '?') > 0 THEN substr({key}, 1, strpos({key}, '?') - 1) ELSE {key} END AS {pre}base, "
+            f"strpos({key}, '?') > 0 AS {pre}has, {tokens} AS {pre}params, {url_host(u)} AS {pre}host")
+
+
+def _crawl_log_ctes(max_pages: int | None, max_hits: int) -> str:
+    """The crawls step by step: a row of ``_st`` is the whole state of a crawl (queue, known keys, first token set of every
+    base path, counts, scope), and a step takes one link of the present page or, if none is left, one fetch."""
+    lim = Q.CRAWL_BYTES
+    over = f"(coalesce(TRY_CAST(content_length AS BIGINT) > {lim}, false) OR coalesce(strlen(body) > {lim}, false))"
+    text = f"(CASE WHEN {KIND} = 'html' THEN {text_of('_clean')} ELSE body END)"
+    reasons = " ".join(f"WHEN {lit(c)} THEN {lit(l)}" for c, l in FAILURES.items())
+    judged = f"""SELECT *, {KIND} AS kind, CASE WHEN status IN (403, 429) THEN 'blocked' WHEN status >= 400 OR error_class IS NOT NULL THEN 'network_error'
+    WHEN {over} THEN 'skipped_size' WHEN {KIND} = 'html' AND body IS NULL THEN 'parse_error' WHEN {KIND} = 'html' AND {CHALLENGED} THEN 'challenge' ELSE 'ok' END AS outcome,
+    {count_default(text, Q.KW_PAGES)} AS c FROM {with_clean('fx_crawl_log', 'body')}"""
+    asked = normalize_stage(f"({judged})", "url", None, "_asked")
+    got = normalize_stage(f"({asked})", "final_url", None, "_got")
+    links = _extract_links_sql("_crawl_pages", with_base_tag=True)
+    same = "(CASE WHEN starts_with({0}, 'www.') THEN {1} = substr({0}, 5) OR ends_with({1}, substr({0}, 4)) ELSE {1} = {0} OR {1} = 'www.' || {0} END)"
+    def dup(k, base, has, params):
+        canon = f"canons[list_position(bases, {base})]"
+        return (f"(list_contains(keys, {k}) OR coalesce(CASE WHEN {has} THEN len({canon}) > 0 AND list_has_all({params}, {canon}) ELSE len({canon}) = 0 END, false))")
+    limit = f" AND NOT hits >= {max_hits}" if max_hits else ""
+    room = f" AND len(queue) - failed < {max_pages}" if max_pages else ""
+    failing = "fo IN ('missing', 'blocked', 'network_error')"
+    return f"""{FX_CRAWL_LOG},
+_judged AS MATERIALIZED ({got}),
+_fetch AS MATERIALIZED (SELECT *, {_url_parts('_got', 'e_')} FROM (
+  SELECT *, regexp_replace(_asked, '^http://', 'https://') AS key, row_number() OVER (PARTITION BY regexp_replace(_asked, '^http://', 'https://') ORDER BY page_id) AS _n FROM _judged) WHERE _n = 1),
+_crawl_pages AS (SELECT page_id, _got AS url, body AS html FROM _fetch WHERE outcome = 'ok' AND kind = 'html'),
+_parted AS (SELECT page_id, pos, link, {is_doc('link')} AS doc, {_url_parts('link', 'l_')} FROM ({links})),
+_links AS MATERIALIZED (SELECT page_id, list({{'u': link, 'doc': doc, 'k': l_key, 'b': l_base, 'q': l_has, 'p': l_params, 'h': l_host}} ORDER BY doc DESC, pos) AS ls FROM _parted GROUP BY page_id),
+_all AS MATERIALIZED (SELECT f.*, coalesce(ls, []) AS ls FROM _fetch f LEFT JOIN _links USING (page_id)),
+_seeds AS (SELECT site AS crawl, _asked AS url, {_url_parts('_asked', 's_')} FROM _judged WHERE page_id % 32 = 0),
+_st AS (
+  SELECT crawl, [{{'u': url, 'k': s_key, 'd': 0}}] AS queue, 0 AS head, [s_key] AS keys, [s_base] AS bases, [s_params] AS canons, 0 AS failed, 0::BIGINT AS hits, s_host AS scope,
+    (SELECT any_value(ls) FROM _all WHERE false) AS ls, 0 AS li, 0 AS depth, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason, NULL::VARCHAR AS final_url, 0::BIGINT AS count
+  FROM _seeds
+  UNION ALL
+  SELECT crawl, CASE WHEN take THEN list_append(queue, {{'u': x.u, 'k': x.k, 'd': depth + 1}}) ELSE queue END,
+    CASE WHEN pop THEN head + 1 ELSE head END,
+    CASE WHEN take THEN list_append(keys, x.k) WHEN arrives AND NOT lost THEN list_append(keys, e_key) ELSE keys END,
+    CASE WHEN take AND NOT list_contains(bases, x.b) THEN list_append(bases, x.b) WHEN arrives AND NOT lost AND NOT list_contains(bases, e_base) THEN list_append(bases, e_base) ELSE bases END,
+    CASE WHEN take AND NOT list_contains(bases, x.b) THEN list_append(canons, x.p) WHEN arrives AND NOT lost AND NOT list_contains(bases, e_base) THEN list_append(canons, e_params) ELSE canons END,
+    failed + CASE WHEN pop AND {failing} THEN 1 ELSE 0 END, hits + CASE WHEN pop AND fo = 'ok' AND NOT lost THEN c ELSE 0 END,
+    CASE WHEN pop AND head = 0 AND arrives AND NOT lost AND NOT {same.format('scope', 'e_host')} THEN e_host ELSE scope END,
+    CASE WHEN pop THEN CASE WHEN fo = 'ok' AND kind = 'html' AND NOT lost THEN fls ELSE [] END ELSE ls END, CASE WHEN pop THEN 0 ELSE li + 1 END, CASE WHEN pop THEN queue[head + 1].d ELSE depth END,
+    CASE WHEN pop THEN CASE WHEN lost THEN 'redirect_duplicate' ELSE fo END END,
+    CASE WHEN NOT pop OR lost THEN NULL WHEN fo = 'missing' THEN 'Not in the fetch log' WHEN fo = 'blocked' THEN 'HTTP ' || status || ' (Access Denied/Rate Limited)'
+      WHEN fo = 'network_error' AND status >= 400 THEN 'HTTP ' || status WHEN fo = 'network_error' THEN CASE error_class {reasons} END
+      WHEN fo = 'challenge' THEN 'Cloudflare/Bot protection challenge' END,
+    CASE WHEN pop THEN _got END, CASE WHEN pop AND fo = 'ok' AND NOT lost THEN c ELSE 0 END
+  FROM (
+    SELECT *, arrives AND {dup('e_key', 'e_base', 'e_has', 'e_params')} AS lost,
+      NOT pop AND (x.doc OR depth < {Q.CRAWL_DEPTH}) AND {same.format('scope', 'x.h')} AND NOT {dup('x.k', 'x.b', 'x.q', 'x.p')}{room} AS take
+    FROM (
+      SELECT s.* EXCLUDE (outcome, reason, final_url, count), coalesce(f.outcome, 'missing') AS fo, f.kind, f.c, f.status, f.error_class, f._got, f.ls AS fls, f.e_key, f.e_base, f.e_has, f.e_params, f.e_host,
+        coalesce(pop AND f.outcome NOT IN ('blocked', 'network_error') AND f.e_key <> f.key, false) AS arrives
+      FROM (SELECT *, li >= coalesce(len(ls), 0) AS pop, ls[li + 1] AS x FROM _st WHERE li < coalesce(len(ls), 0) OR (head < len(queue){limit})) s
+      LEFT JOIN _all f ON s.pop AND f.key = s.queue[s.head + 1].k))
+), units AS (SELECT crawl, head::BIGINT AS rank, depth::BIGINT AS depth, queue[head].u AS url, final_url, outcome, reason, count FROM _st WHERE outcome IS NOT NULL)"""
+
+
 def _crawl_statements() -> dict[str, str]:
     s: dict[str, str] = {}
+    s["crawl_fetch_log"] = f"WITH RECURSIVE {_crawl_log_ctes(None, Q.CRAWL_HITS)}\nSELECT * FROM units"
+    limited = f"WITH RECURSIVE {_crawl_log_ctes(Q.LIMITED_PAGES, Q.LIMITED_HITS)}\n"
+    s["crawl_fetch_log_limits"] = limited + "SELECT * FROM units"
+    s["crawl_log_totals"] = limited + f"""SELECT crawl, count_if({VISITED}) AS pages_visited, count_if(outcome = 'ok') AS pages_parsed,
+  count_if(outcome = 'ok' AND ends_with(regexp_replace(url, '[?].*', ''), '.pdf')) AS docs_parsed,
+  count_if(outcome IN ('blocked', 'challenge')) AS pages_blocked, count_if(outcome IN ('missing', 'network_error')) AS network_errors,
+  sum(count)::BIGINT AS total_matches, CASE WHEN sum(count) >= {Q.LIMITED_HITS} THEN {Q.LIMITED_HITS} ELSE 0 END::BIGINT AS stopped_early FROM units GROUP BY crawl"""
     urls = normalize_stage("pages", "url", None, "u")
     edge_urls = f"""WITH RECURSIVE {FX_EDGES}, _urls AS (SELECT page_id, u FROM ({urls})),
 _links AS (SELECT a.u AS src, e.pos, CASE WHEN e.kind = 'doc' THEN b.u || '/file.pdf' ELSE b.u END AS dst, e.kind
@@ -881,7 +996,7 @@ SELECT page_id, r.page_id IS NOT NULL AS rendered, CASE WHEN r.page_id IS NOT NU
 FROM texts LEFT JOIN o USING (page_id) LEFT JOIN r USING (page_id)"""
     s["merge_rendered"] = s["merge_rendered"].replace("\n, own AS", ", own AS", 1)
 
-    small = f"(SELECT * FROM documents WHERE strlen(text) + 1 <= {Q.FOLDER_MAX_BYTES})"
+    small = f"(SELECT * FROM documents WHERE strlen(text) + 1 <= {Q.MAX_BYTES})"
     s["folder_scan"] = f"""SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches, CAST(count(*) AS BIGINT) AS matching_lines
 FROM ({grep_lines(small, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
     s["file_scan"] = grep_lines("documents", ["doc_id"], Q.KW_PAGES, "default")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trawl.functions import html as H
 from trawl.functions import text as T
 from trawl.functions import urls as U
+from trawl.operators import crawl as CR
 from trawl.operators import dedup as D
 from trawl.operators import fetch as FE
 from trawl.operators import graph as GR
@@ -21,10 +22,11 @@ from trawl.operators import scope as SC
 from trawl.operators import stats as S
 from trawl.plans import report as R
 from trawl.plans import search as P
-from trawl.session import ensure_checkpoint_dir
+from trawl.session import ROCKSDB, ensure_checkpoint_dir
 from trawl.sources import files as FS
 from trawl.sources import fixtures as FX
 from trawl.sources import tables as TB
+from trawl.streaming import jobs as ST
 
 # Fixed query parameters shared with the oracle statements.
 KW_CI = "elle"
@@ -43,6 +45,13 @@ FOLDER_MAX_BYTES = 20000
 MAX_BYTES = 10 * 1024 * 1024
 MAX_PAGES = 25
 BFS_DEPTH = 3
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+STREAM_WINDOW = "1 hour"
+CRAWL_DEPTH = 3
+CRAWL_HITS = 250
+CRAWL_BYTES = 16 * 1024
+LIMITED_PAGES = 9
+LIMITED_HITS = 120
 SCOPE_HOST_REGEX = r"\.example\.(com|net)$"
 
 
@@ -145,7 +154,7 @@ def multi_keyword_grep(spark, sf):
 
 
 def keyword_table_grep(spark, sf):
-    out = G.keyword_table_grep(_docs(spark, sf), FX.fx_keywords(spark, sf))
+    out = G.keyword_table_grep(FX.fx_noted(spark, sf), FX.fx_keywords(spark, sf))
     return out.select("doc_id", "keyword", "mode", *_long("page", "line", "count"), "snippet")
 
 
@@ -456,6 +465,30 @@ def crawl_grep(spark, sf):
     return out.select(*_long("rank"), "url", *_long("depth", "count"), F.array_join("snippets", "\n").alias("snippets"))
 
 
+def _crawl_log(spark, sf, **limits):
+    ensure_checkpoint_dir(spark)
+    log = FX.fx_crawl_log(spark, sf).checkpoint()  # stands for a stored log
+    seeds = log.filter(F.col("page_id") % FX.SITE == 0).select(F.col("site").cast("long").alias("crawl"), "url")
+    return CR.crawl_log(log, seeds, KW_PAGES, "default", CRAWL_DEPTH, max_bytes=CRAWL_BYTES, **limits)
+
+
+def crawl_fetch_log(spark, sf):
+    """One crawl per site over the fetch log, stopped by matches only."""
+    units = _crawl_log(spark, sf, max_hits=CRAWL_HITS)
+    return units.select("crawl", "rank", *_long("depth"), "url", "final_url", "outcome", "reason", "count")
+
+
+def crawl_fetch_log_limits(spark, sf):
+    """The same crawls under a page limit and a smaller limit of matches."""
+    units = _crawl_log(spark, sf, max_pages=LIMITED_PAGES, max_hits=LIMITED_HITS)
+    return units.select("crawl", "rank", *_long("depth"), "url", "final_url", "outcome", "reason", "count")
+
+
+def crawl_log_totals(spark, sf):
+    """Statistics of every crawl, with the limit that stopped it."""
+    return CR.crawl_totals(_crawl_log(spark, sf, max_pages=LIMITED_PAGES, max_hits=LIMITED_HITS), LIMITED_HITS)
+
+
 # --- reports --------------------------------------------------------------------------------
 
 def _doc_paths(spark, sf):
@@ -564,6 +597,52 @@ def decode_bytes(spark, sf):
     return _from_folder(spark, sf, job)
 
 
+# --- streams (three micro-batches, each a run of its own that goes on from the last one's checkpoint) --------------
+
+def _streamed(spark, parts, job, mode="append", keys=None):
+    """The table that ``job`` over a folder leaves after each of ``parts`` has arrived there and been processed."""
+    place = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = ST.BatchTable(spark, f"{place}/out")
+    provider = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        for i, part in enumerate(parts):
+            part.write.parquet(f"{place}/in/part-{i}")
+            arriving = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+            ST.run_available(job(arriving), sink, f"{place}/state", mode)
+        return (sink.latest(keys) if keys else sink.read().drop("batch")).checkpoint()
+    finally:
+        spark.conf.set(STATE_STORE, provider)
+        FS.remove_folder(spark, place)
+
+
+def _thirds(df, order):
+    """``df`` in three parts of about equal ranges of the number ``order``."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    return [df.filter(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(step)) == i) for i in range(3)]
+
+
+def stream_grep(spark, sf):
+    """Line matches of documents that arrive in three batches."""
+    parts = _thirds(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+    return _streamed(spark, parts, lambda s: _lines_out(G.grep_lines(s, KW_CI, "default"), ["doc_id"]))
+
+
+def stream_url_dedup(spark, sf):
+    """Smart URL dedup of a stream: every URL with whether it is new."""
+    return _streamed(spark, _thirds(FX.fx_urls(spark, sf), "seq"), lambda s: ST.stream_dedup(s))
+
+
+def stream_totals(spark, sf):
+    """Keyword totals per event-time window of a stream, documents a minute apart."""
+    timed = _docs(spark, sf).select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") * 60).alias("at"))
+    def job(s):
+        return ST.stream_window_totals(s, FX.KEYWORDS, "at", STREAM_WINDOW, "5 minutes")
+    out = _streamed(spark, _thirds(timed, "doc_id"), job, "update", ["window_start", "keyword", "mode"])
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "keyword", "mode", "total_matches", "matching_lines")
+
+
 QUERIES = {
     name: fn
     for name, fn in list(globals().items())

@@ -57,13 +57,17 @@ def grep_pages(pages: DataFrame, keyword: str, mode: str = "default", with_snipp
     return counted.select(*ids, "count", T.find_snippets(F.col("text"), keyword, mode, T.PAGE_SNIPPETS).alias("snippets"))
 
 
-def crawl_grep(pages: DataFrame, seed_url: str | Column, keyword: str, mode: str = "default", depth: int = 1,
+def crawl_grep(pages: DataFrame | GR.PageStore, seed_url: str | Column, keyword: str, mode: str = "default", depth: int = 1,
                max_pages: int | None = None, allow_external: bool = False, all_urls: bool = False) -> DataFrame:
     """Breadth-first reach from ``seed_url`` over the stored pages' links, then page grep on the
-    reached pages.  Returns (rank, url, depth, count, snippets)."""
-    reached = GR.crawl_frontier(GR.stored_page_links(pages), seed_url, depth, max_pages, allow_external, all_urls).checkpoint()
-    small = F.broadcast(reached) if reached.count() <= GR.BROADCAST_URLS else reached
-    keyed = pages.select(U.normalize_url(F.col("url")).alias("url"), "html")
-    joined = keyed.join(small.select(F.col("rank").alias("seq"), "url", "depth"), "url")
-    hits = grep_pages(joined, keyword, mode, id_cols=("seq", "url", "depth"))
-    return hits.withColumnRenamed("seq", "rank")
+    reached pages.  Returns (rank, url, depth, count, snippets).  ``pages`` is a table, or a store that serves many crawls."""
+    store = pages if isinstance(pages, GR.PageStore) else GR.PageStore(pages)
+    reached = GR.crawl_frontier(store.links_of, seed_url, depth, max_pages, allow_external, all_urls).checkpoint()
+    found = store.of(reached.select(F.col("rank").alias("seq"), F.col("url").alias("src"), "depth"), reached.count() <= GR.BROADCAST_URLS)
+    hits = grep_pages(found.withColumnRenamed("src", "url"), keyword, mode, id_cols=("seq", "url", "depth"))
+    hits = hits.withColumnRenamed("seq", "rank").select("rank", "url", "depth", "count", "snippets")
+    if store is pages:
+        return hits
+    hits = hits.checkpoint()
+    store.remove()
+    return hits

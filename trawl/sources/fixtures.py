@@ -142,6 +142,9 @@ HTML_INJECT = (
     ("</head>", '<meta data-name="x" content="Second &mdash; order" name=description></head>'),
     ("<body>", '<body><p>open <!-- never closed <a href="/hidden">z</a>'),
     (None, None),
+    ("<body>", '<body><div id="app"><div>one</div>two<div><div>three</div></div></div>'),
+    ("<body>", '<body><DIV class="a" id=root><div><p>' + "nested words " * 12 + "</p></div><div>and more of them</div></DIV>"),
+    ("<body>", '<body><main><main>inner</main>outer<mainly>x</mainly>'),
 )
 
 
@@ -195,6 +198,52 @@ def fx_site(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.array_join(links, ""))).alias("html"))
 
 
+SITE = 32  # pages of a site in fx_crawl_log
+
+
+def _site_url(t, scheme="http"):
+    """URL of page ``t`` of a row's site.  Every third site has moved from its own host to another domain with subdomains;
+    every fifth page of a site is a document."""
+    at = F.col("site").cast("string")
+    home = F.concat(F.lit("s"), at, F.lit(".example.com"))
+    moved = F.concat(F.when(t % 2 == 1, F.lit("en.m")).otherwise(F.lit("www.m")), at, F.lit(".example.org"))
+    host = F.when((F.col("site") % 3 == 1) & (t > 0), moved).otherwise(home)
+    return F.concat(F.lit(f"{scheme}://"), host, F.lit("/"), t.cast("string"), F.when((t > 0) & (t % 5 == 0), F.lit(".pdf")).otherwise(F.lit("")))
+
+
+def fx_crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as fetches of sites of 32 pages, whose pages link to one another by arithmetic: with and without
+    queries, over both schemes, to documents and out of the site.  Fetches fail, are blocked, end on another page of
+    the site, on the other scheme or, for a moved site's first page, on another domain; bodies are lost or challenges."""
+    p = tables.pages(spark, sf_dir).withColumn("site", F.floor(F.col("page_id") / SITE)).withColumn("j", F.col("page_id") % SITE)
+    i, j = F.col("page_id"), F.col("j")
+
+    def link(k):
+        t = (j * 7 + k * 13 + 1) % SITE
+        m = (j + k) % 4
+        page = (t % 5 != 0) | (t == 0)
+        suffix = F.when(page & (m == 1), F.lit("?id=1")).when(page & (m == 3), F.lit(f"?id=1&x={k}")).otherwise(F.lit(""))
+        return F.concat(F.lit('<a href="'), F.when(m == 2, _site_url(t, "https")).otherwise(_site_url(t)), suffix, F.lit('">l</a>'))
+
+    links = F.concat(*[link(k) for k in range(6)], F.lit('<a href="http://other.example.net/x">o</a>'))
+    elsewhere = (j + 9) % SITE
+    final = (
+        F.when((j == 0) & (F.col("site") % 3 == 1), F.concat(F.lit("http://www.m"), F.col("site").cast("string"), F.lit(".example.org/home")))
+        .when(j % 7 == 2, _site_url(elsewhere)).when(j % 19 == 4, _site_url(j, "https")).otherwise(_site_url(j))
+    )
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), links))
+    html = F.when(i % 23 == 6, F.regexp_replace(html, "(?s)<title>.*?</title>", "<title>Just a moment...</title>")).otherwise(html)
+    body = F.when(i % 29 != 9, html)
+    timeout = i % 17 == 7
+    return p.select(
+        "page_id", "site", _site_url(j).alias("url"), final.alias("final_url"),
+        F.when(i % 11 == 3, 404).when(i % 13 == 5, 403).when(~timeout, 200).cast("int").alias("status"),
+        F.when(timeout, F.lit("SocketTimeoutException")).alias("error_class"), F.lit(None).cast("string").alias("error_message"),
+        F.when((j > 0) & (j % 5 == 0), F.lit("application/pdf")).otherwise(F.lit("text/html")).alias("content_type"),
+        F.octet_length(body).cast("string").alias("content_length"), body.alias("body"),
+    )
+
+
 def fx_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered snapshots of some of the client-rendered pages: text, navigation links and document links."""
     p = fx_html(spark, sf_dir).filter(H.is_spa("html") & (F.col("page_id") % 3 != 0))
@@ -205,8 +254,15 @@ def fx_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyword table: the words of seven letters or more of the benchmark items, one mode each."""
+    """A keyword table: the words of the benchmark items, one mode each, and two that only case folding makes equal."""
     words = tables.load(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[\s.,]+")).alias("keyword"))
-    distinct = words.filter(F.length("keyword") >= 7).distinct()
+    distinct = words.filter(F.col("keyword") != "").union(spark.range(1).select(F.explode(F.array(F.lit("\u0130++"), F.lit("i++"))))).distinct()
     m = F.length("keyword") % 3
     return distinct.select("keyword", F.when(m == 0, F.lit("default")).when(m == 1, F.lit("exact")).otherwise(F.lit("fuzzy")).alias("mode"))
+
+
+def fx_noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, some with a last line whose letter has a case form of its own."""
+    m = F.col("doc_id") % 50
+    note = F.when(m == 7, F.lit("\nan i++ loop")).when(m == 8, F.lit("\nan \u0130++ loop")).otherwise(F.lit(""))
+    return tables.documents(spark, sf_dir).select("doc_id", F.concat("text", note).alias("text"))
