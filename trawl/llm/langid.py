@@ -13,30 +13,43 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import fresh, held_out, ship
+from trawl.llm.common import cut, fresh, held_out, ship
 
 LONGEST = 5
-CACHE = 200_000  # words a worker remembers; the table starts anew when full
+CACHE_CELLS = 8_000_000  # scores a worker remembers (words times languages); the table starts anew when full
 UNKNOWN = "und"
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Model:
-    """Rows of a score matrix (a column per language) for words and n-grams; small enough to send to every worker:
-    its size is bounded by the parameters of ``fit``."""
-
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], matrix: np.ndarray):
-        self.langs, self.words, self.grams, self.matrix = langs, words, grams, matrix
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        marked, known = f" {word} ", self.grams.get
+    """Log relative frequencies of words (size 0) and n-grams (their length), kept for the languages that have them.
+
+    ``blank`` has a row per size: the value of a language without the key, by additive smoothing.  A key's
+    row lists the languages that have it and how far they are above ``blank``."""
+
+    def __init__(self, langs: list[str], keys: list[dict[str, int]], starts: np.ndarray, lang_of: np.ndarray, above: np.ndarray, blank: np.ndarray):
+        self.langs, self.keys, self.starts, self.lang_of, self.above, self.blank = langs, keys, starts, lang_of, above, blank
+
+    def mean(self, rows: list[int], size: int) -> np.ndarray:
+        """The mean vector of some keys of one size."""
+        at = np.concatenate([np.arange(self.starts[r], self.starts[r + 1]) for r in rows]) if len(rows) > 1 else slice(self.starts[rows[0]], self.starts[rows[0] + 1])
+        sums = np.bincount(self.lang_of[at], weights=self.above[at], minlength=len(self.langs))
+        return self.blank[size] + sums / len(rows)
+
+    def vector(self, word: str) -> np.ndarray | None:
+        """A known word's own values; else the mean of its longest known n-grams."""
+        known = self.keys[0].get(word)
+        if known is not None:
+            return self.mean([known], 0)
+        marked = f" {word} "
         for n in range(LONGEST, 0, -1):
-            found = [r for i in range(len(marked) - n + 1) if (r := known(marked[i : i + n])) is not None]
+            get = self.keys[n].get
+            found = [r for i in range(len(marked) - n + 1) if (r := get(marked[i : i + n])) is not None]
             if found:
-                return self.matrix[found].mean(axis=0)
+                return self.mean(found, n)
         return None
 
 
@@ -46,6 +59,7 @@ class Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.most = max(1024, CACHE_CELLS // len(model.langs))
         self.reset()
 
     def reset(self) -> None:
@@ -54,8 +68,7 @@ class Scores(dict):
         self.n = 1
 
     def __missing__(self, word: str) -> int:
-        known = self.model.words.get(word)
-        vector = self.model.unseen(word) if known is None else self.model.matrix[known]
+        vector = self.model.vector(word)
         if vector is None:
             self[word] = 0
             return 0
@@ -70,7 +83,7 @@ class Scores(dict):
         words = WORD.findall(text.lower()) if text else []
         if not words:
             return UNKNOWN, 0.0
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.reset()
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         known = np.count_nonzero(at)
@@ -80,59 +93,49 @@ class Scores(dict):
         return self.model.langs[best], float(share[best] / share.sum())
 
 
-def _vectors(counts: pd.DataFrame, key: str, langs: list[str], totals: dict[str, float], rows: list[np.ndarray]) -> dict[str, int]:
-    """Adds a row of log relative frequencies per key to ``rows``; a language without the key gets the frequency of
-    half an occurrence.  Returns the keys' rows."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    blank = np.array([math.log(0.5 / max(1.0, totals.get(lang, 0.0))) for lang in langs])
-    out: dict[str, int] = {}
-    for k, lang, n in zip(counts[key], counts["lang"], counts["n"], strict=True):
-        if k not in out:
-            out[k] = len(rows)
-            rows.append(blank.copy())
-        rows[out[k]][at[lang]] = math.log(n / totals[lang])
-    return out
-
-
-def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 40_000, max_grams: int = 30_000, max_langs: int = 400,
+def fit(train: DataFrame, docs_per_lang: int = 2000, max_words: int = 80_000, max_grams: int = 60_000, least_keys: int = 500,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from about ``docs_per_lang`` rows of each of the ``max_langs`` most frequent languages, chosen by a hash of
-    the id; of their words the ``max_words`` most frequent and of the n-grams of each length the ``max_grams`` most
-    frequent are kept.
-    Rows with null text or language are not used."""
+    """Learns every language that occurs, from about ``docs_per_lang`` of its rows, chosen by a hash of the id.
+
+    Every language has the same room: its most frequent words, ``max_words`` divided by the number of languages but at
+    least ``least_keys``, and likewise ``max_grams`` for the n-grams of each length.  A key that has a place in one
+    language is kept for all that have it.  Rows with null text or language are not used."""
     rows = train.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row per language
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return Model([UNKNOWN], {}, {}, np.zeros((0, 1)))
+        return Model([UNKNOWN], [{} for _ in range(LONGEST + 1)], np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((LONGEST + 1, 1)))
     steps = 1 << 30
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(steps * min(1.0, docs_per_lang / r["count"]))))])
     sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < share[F.col("lang")])
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
-    words = sample.select("lang", F.explode(letters).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    words = words.persist()
-    try:
-        totals = {r["lang"]: float(r["n"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        top = words.groupBy("word").agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), "word").limit(max_words).select("word")
-        seen = words.join(F.broadcast(top), "word").toPandas()
-        marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-        tables = []
-        for n in range(1, LONGEST + 1):
-            grams = words.select(
-                "lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substr(marked, i, F.lit(n)))).alias("gram")
-            ).filter(F.length("gram") == n).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-            best = grams.groupBy("gram").agg(F.sum("n").alias("_all")).orderBy(F.desc("_all"), "gram").limit(max_grams).select("gram")
-            tables.append((grams.groupBy("lang").agg(F.sum("n").alias("n")), grams.join(F.broadcast(best), "gram")))
-        grams_by_length = [({r["lang"]: float(r["n"]) for r in t.collect()}, g.toPandas()) for t, g in tables]
-    finally:
-        words.unpersist()
-    rows_of: list[np.ndarray] = []
-    known_words = _vectors(seen, "word", langs, totals, rows_of)
-    known_grams: dict[str, int] = {}
-    for gram_totals, g in grams_by_length:
-        known_grams |= _vectors(g, "gram", langs, gram_totals, rows_of)
-    return Model(langs, known_words, known_grams, np.array(rows_of, dtype=np.float32).reshape(-1, len(langs)))
+    words = cut(sample.select("lang", F.explode(letters).alias("key")).groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")))
+    marked = F.concat(F.lit(" "), F.col("key"), F.lit(" "))
+    # All lengths at once; a word is short, so its grams are few.
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.length(marked)), lambda i: i + n - 1 <= F.length(marked)), lambda i: F.substr(marked, i, n))))
+    cut_up = words.select("lang", "n", F.explode(grams).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = cut(words.select("lang", F.lit(0).alias("size"), "key", "n").union(cut_up.select("lang", F.length("key").alias("size"), "key", "n")))
+    totals = {(r["size"], r["lang"]): float(r["n"]) for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    room = F.when(F.col("size") == 0, max(least_keys, max_words // len(langs))).otherwise(max(least_keys, max_grams // len(langs)))
+    place = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "key"))
+    most = max(least_keys, max(max_words, max_grams) // len(langs))
+    kept = counts.withColumn("place", place).filter(F.col("place") <= most).filter(F.col("place") <= room).select("size", "key").distinct()
+    got = counts.join(kept, ["size", "key"]).toPandas().sort_values(["size", "key", "lang"])  # bounded by the room of all languages
+    lang_of = got["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
+    size, key = got["size"].to_numpy(), got["key"].to_numpy()
+    # Half an occurrence more for every key that was kept, so that a language with few documents is not favoured where it has none.
+    kinds = [len(set(key[size == n])) for n in range(LONGEST + 1)]
+    blank = np.array([[math.log(0.5 / (totals.get((n, lang), 0.0) + 0.5 * max(1, kinds[n]))) for lang in langs] for n in range(LONGEST + 1)])
+    above = np.log(2 * got["n"].to_numpy(dtype=float) + 1)
+    opens = np.ones(len(got), dtype=bool)
+    opens[1:] = (size[1:] != size[:-1]) | (key[1:] != key[:-1])
+    starts = np.append(np.flatnonzero(opens), len(got))
+    keys: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+    for row, i in enumerate(starts[:-1]):
+        keys[size[i]][key[i]] = row
+    return Model(langs, keys, starts, lang_of, above, blank)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +146,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sorts first.  An empty table gives an empty table; other columns are not read.
     """
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of fit
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the room that fit gives to each language
 
     @F.pandas_udf("struct<lang:string, score:double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
