@@ -11,6 +11,7 @@ saying) from abuse; a logistic model weighs the sums.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from trawl.llm.common import cut, fresh, held_out, ship, train_sample
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[*@$!][\p{L}\p{N}]+)*")
 WINDOW = 5  # words on each side of a hit
 CACHE = 300_000
+#: Between letters these are apostrophes.
+APOSTROPHE = regex.compile(r"(?<=\p{L})[’‘](?=\p{L})")
 QUOTES = "\"“”„«»‘’‹›"
 #: Verbs that introduce someone else's words.
 SAYING = frozenset("said says say called calls wrote writes quote quoted sagte sagt schrieb nannte zitat dit disait écrit appelé "
@@ -32,45 +35,59 @@ N_FEATURES = 7
 STEM_LENGTHS = (4, 5, 6, 7)
 
 
+def edit_bound(term: str) -> int:
+    """Edits (a letter more, less, another, or two neighbours swapped) within which a word is taken for ``term``."""
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+
+
 class Lexicon:
-    """Terms with weights, the trie of the terms, and the joint automaton as far as it was needed."""
+    """Terms with weights, the trie of the terms, and the joint automaton as far as it was needed.
+
+    ``bound`` gives the edits allowed for a term; the automaton leaves a branch of the trie once it has used up
+    what the terms below it allow."""
 
     MAX_STATES = 200_000
 
-    def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset(), stems: dict[str, float] | None = None,
-                 max_edits: int = 1, least_length: int = 5):
+    def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset(), stems: dict[str, float] | None = None, bound=edit_bound):
         self.terms, self.known, self.stems = terms, known, stems or {}
-        self.max_edits, self.least_length = max_edits, least_length
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
+        self.allowed: list[int] = [0]  # the most edits of the terms below a node
+        self.bounds = {t: bound(t) for t in terms}
         for term in sorted(terms):
             node = 0
+            self.allowed[0] = max(self.allowed[0], self.bounds[term])
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.ends.append(None)
+                    self.allowed.append(0)
                 node = self.children[node][c]
+                self.allowed[node] = max(self.allowed[node], self.bounds[term])
             self.ends[node] = term
+        self.shortest = min((len(t) - n for t, n in self.bounds.items() if n), default=1 << 30)
         self._start_over()
 
     def _start_over(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.start = self._state({(0, 0)})
-
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
-        best: dict[int, int] = {}
-        todo = list(pairs)
-        while todo:  # a term's character left out of the word: down the trie at the cost of one edit
-            node, e = todo.pop()
-            if best.get(node, self.max_edits + 1) <= e:
+        self.start = self._state({(0, "", 0)})
+
+    def _state(self, items: set[tuple[int, str, int]]) -> int:
+        """Items are (node, letter still to come, edits): the letter is that of two swapped neighbours, of which the later one
+        was read first, or empty."""
+        best: dict[tuple[int, str], int] = {}
+        todo = list(items)
+        while todo:  # a term's letter left out of the word: down the trie at the cost of one edit
+            node, owed, e = todo.pop()
+            if e > self.allowed[node] or best.get((node, owed), 9) <= e:
                 continue
-            best[node] = e
-            if e < self.max_edits:
-                todo.extend((child, e + 1) for child in self.children[node].values())
-        key = frozenset(best.items())
+            best[node, owed] = e
+            if not owed:
+                todo.extend((child, "", e + 1) for child in self.children[node].values())
+        key = frozenset((node, owed, e) for (node, owed), e in best.items())
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
@@ -78,19 +95,28 @@ class Lexicon:
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        to: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
+        to: set[tuple[int, str, int]] = set()
+        for node, owed, e in self.sets[state]:
+            if owed:
+                if owed == c:
+                    to.add((node, "", e))
+                continue
             if c in self.children[node]:
-                to.add((self.children[node][c], e))
-            if e < self.max_edits:
-                to.add((node, e + 1))  # a character too many
-                to.update((child, e + 1) for child in self.children[node].values())  # another character
+                to.add((self.children[node][c], "", e))
+            if e < self.allowed[node]:
+                to.add((node, "", e + 1))  # a letter too many
+                for other, child in self.children[node].items():
+                    to.add((child, "", e + 1))  # another letter
+                    if other != c and c in self.children[child]:
+                        to.add((self.children[child][c], other, e + 1))  # two neighbours swapped
         out = self._state(to) if to else -1
+        if out >= 0 and not self.sets[out]:
+            out = -1
         self.steps[state][c] = out
         return out
 
     def near(self, word: str) -> str | None:
-        """The term nearest to ``word`` within ``max_edits``; ties go to the heavier, then the first."""
+        """The term nearest to ``word`` within its bound; ties go to the heavier, then the first."""
         if len(self.sets) > self.MAX_STATES:
             self._start_over()
         state = self.start
@@ -99,7 +125,7 @@ class Lexicon:
             state = self._step(state, c) if to is None else to
             if state < 0:
                 return None
-        hits = [(e, -self.terms[t], t) for node, e in self.sets[state] if (t := self.ends[node]) and (e == 0 or len(t) >= self.least_length)]
+        hits = [(e, -self.terms[t], t) for node, owed, e in self.sets[state] if not owed and (t := self.ends[node]) and e <= self.bounds[t]]
         return min(hits)[2] if hits else None
 
 
@@ -115,9 +141,11 @@ class Hits(dict):
         found: tuple[float, bool] | None = None
         if word in lex.terms:
             found = (lex.terms[word], False)
+        elif word in lex.known:  # clean documents use it, whatever it looks like
+            pass
         elif stem := next((word[:n] for n in STEM_LENGTHS if word[:n] in lex.stems), None):
             found = (lex.stems[stem], False)
-        elif word not in lex.known and len(word) >= lex.least_length - lex.max_edits and (term := lex.near(word)):
+        elif len(word) >= lex.shortest and (term := lex.near(word)):
             found = (lex.terms[term], True)
         if len(self) >= CACHE:
             self.clear()
@@ -129,7 +157,7 @@ class Hits(dict):
         """Sums over the whole text: abuse, abuse with misspelled terms, quotation, terms met, strongest hit, density."""
         if not text:
             return [0.0] * N_FEATURES
-        low = text.lower()
+        low = APOSTROPHE.sub("'", text.lower())  # as many characters as before
         words = TOKEN.findall(low)
         at = [i for i, w in enumerate(words) if self[w]]
         if not at:
@@ -140,20 +168,22 @@ class Hits(dict):
             weight, misspelled = self[words[i]]
             if q:
                 quote += weight
-            elif misspelled:
+                continue
+            most = max(most, weight)
+            if misspelled:
                 odd += weight
             else:
                 abuse += weight
-                most = max(most, weight)
         kinds = len({words[i] for i, q in zip(at, quoted, strict=True) if not q})
-        return [math.log1p(abuse), math.log1p(odd), math.log1p(quote), math.log1p(kinds), most, 100 * (abuse + odd) / (len(words) + 100), float(abuse > 0)]
+        return [math.log1p(abuse), math.log1p(odd), math.log1p(quote), math.log1p(kinds), most, 100 * (abuse + odd) / (len(words) + 100), float(abuse + odd > 0)]
 
     def _quoted(self, low: str, words: list[str], at: list[int]) -> list[bool]:
-        """For each hit, whether its window holds a quotation mark on both sides of it, or a verb of saying before it
-        and a mark on either side."""
+        """For each hit, whether it stands in quoted words: marks on both sides of it in its window, with other words
+        between them too, or a verb of saying before it and a mark on either side.  Marks round the one word alone do
+        not make it a quotation."""
         spans, wanted = {}, set()
         for i in at:
-            wanted.update((max(0, i - WINDOW), i, min(len(words) - 1, i + WINDOW)))
+            wanted.update(range(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)))
         if any(c in low for c in QUOTES):
             for i, m in enumerate(TOKEN.finditer(low)):
                 if i in wanted:
@@ -164,10 +194,16 @@ class Hits(dict):
                 out.append(False)
                 continue
             a, b = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
-            left = any(c in QUOTES for c in low[max(0, spans[a][0] - 1) : spans[i][0]])
-            right = any(c in QUOTES for c in low[spans[i][1] : spans[b][1] + 1])
+            before = low[max(0, spans[a][0] - 1) : spans[i][0]]
+            after = low[spans[i][1] : spans[b][1] + 1]
+            left = max((before.rfind(c) for c in QUOTES), default=-1)
+            right = min((p for c in QUOTES if (p := after.find(c)) >= 0), default=-1)
             saying = any(w in SAYING for w in words[a:i])
-            out.append((left and right) or (saying and (left or right)))
+            if left >= 0 and right >= 0:
+                more = TOKEN.search(before, left) or TOKEN.search(after, 0, right)
+                out.append(bool(more) or saying)
+            else:
+                out.append(saying and (left >= 0 or right >= 0))
         return out
 
 
@@ -244,6 +280,29 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
+def misspell(word: str, how: int) -> str:
+    """``word`` with one letter replaced, dropped, doubled, or swapped with the next, at a place that ``how`` names."""
+    at, kind = how // 4 % len(word), how % 4
+    if kind == 0:
+        return word[:at] + ("x" if word[at] != "x" else "y") + word[at + 1 :]
+    if kind == 1:
+        return word[:at] + word[at + 1 :]
+    if kind == 2:
+        return word[: at + 1] + word[at:]
+    at = min(at, len(word) - 2)
+    return word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]
+
+
+def misspelled(text: str, hits: Hits, seed: int = 0) -> str:
+    """``text`` with every word that is a term, but for the shortest, misspelled; nothing else changes."""
+    def swap(m):
+        word = m.group().lower()
+        how = seed + zlib.crc32(f"{m.start()} {word}".encode("utf-8", "replace"))
+        return misspell(word, how) if len(word) >= 4 and hits[word] else m.group()
+
+    return TOKEN.sub(swap, text)
+
+
 def _features(df: DataFrame, text: str, lexicon: Lexicon, out: str) -> DataFrame:
     ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by max_terms and max_known
@@ -257,6 +316,21 @@ def _features(df: DataFrame, text: str, lexicon: Lexicon, out: str) -> DataFrame
     return df.withColumn(out, run.asNondeterministic()(F.col(text).cast("string")))
 
 
+def _trained(df: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(label, x) twice for each document: as it is, and with all its terms misspelled, so that the weight of misspelled
+    terms comes from such and not from words that look like a term by chance."""
+    ship(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)
+
+    @F.pandas_udf("array<array<double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hits = Hits(sent.value)
+        for texts in batches:
+            yield pd.Series([[hits.features(t), hits.features(misspelled(t, hits))] for t in texts])
+
+    return df.select("label", F.explode(run.asNondeterministic()(F.col("text"))).alias("x"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_terms: int = 1500, max_known: int = 150_000,
         chance_terms: float = 5.0, least_odds: float = 2.5) -> Model:
     """Learns from the toxic labels of about ``max_docs`` documents chosen by a hash of the id: words of one half make
@@ -265,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_terms: i
     sample = cut(train_sample(docs, labels, "toxic", max_docs))
     half = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))
     lexicon = learn_lexicon(sample.filter(half == 0), max_terms, max_known, chance_terms, least_odds)
-    got = _features(sample.filter(half == 1), "text", lexicon, "x").select("label", "x").collect()  # about max_docs / 2 rows
+    got = _trained(sample.filter(half == 1), lexicon).collect()  # about max_docs rows
     y = np.array([r["label"] for r in got], dtype=float)
     x = np.array([r["x"] for r in got], dtype=float).reshape(-1, N_FEATURES)
     if len(set(y)) < 2:
@@ -298,7 +372,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, columns unchanged."""
+    """The rows of ``docs`` that score below 0.5, columns unchanged.
+
+    Null and empty texts stay; repeated rows are judged alike, each by its text; columns of any name are kept as they are; an
+    empty table, and one without labels of both kinds, gives back what it got."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit(rows, labels, **options)
     s = fresh(docs, "_score")
