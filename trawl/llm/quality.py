@@ -22,7 +22,7 @@ FEATURES = (
     "always", "few words", "many words", "shouted", "some symbols", "many symbols", "bars", "exclaimed", "digits", "ends like a sentence",
     "seen before", "few different words", "word runs", "starts upper case", "address or code",
 )
-TRAIN_LINES = 64  # training sequences are cut after so many lines; decoding reads whole texts
+PIECE = 64  # a longer training sequence is cut into several of so many lines, all of which are used
 
 
 def repeated_words(words: list, window: int = WINDOW) -> int:
@@ -127,13 +127,18 @@ class Field:
 
 
 def train_field(sequences: list[tuple[list[int], int]], steps: int = 80, rate: float = 0.15, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps (Adam) over padded sequences of line features with one label each.  With
-    fewer than two labels everything is content."""
+    """Maximum likelihood by gradient steps (Adam) over padded sequences of line features with one label each.  A sequence
+    of more than ``PIECE`` lines is cut into pieces that together weigh as much as any other.  With fewer than
+    two labels everything is content."""
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    sequences = [(b[:TRAIN_LINES], y) for b, y in sequences if b]
+    sequences = [(b, y) for b, y in sequences if b]
+    docs = len(sequences)
     if len({y for _, y in sequences}) < 2:
         emit[0, 1] = 1.0
         return Field(emit, move)
+    share = np.bincount([y for _, y in sequences], minlength=2) / docs
+    whole = np.array([len(b) for b, _ in sequences for _ in range(0, len(b), PIECE)])
+    sequences = [(b[i : i + PIECE], y) for b, y in sequences for i in range(0, len(b), PIECE)]
     n, t = len(sequences), max(len(b) for b, _ in sequences)
     bits = np.zeros((n, t), dtype=np.int64)
     for i, (b, _) in enumerate(sequences):
@@ -141,8 +146,7 @@ def train_field(sequences: list[tuple[list[int], int]], steps: int = 80, rate: f
     x = (bits[:, :, None] >> np.arange(len(FEATURES)) & 1).astype(float)  # all zero where padded
     mask = np.arange(t) < np.array([len(b) for b, _ in sequences])[:, None]
     y = np.array([label for _, label in sequences])
-    share = np.bincount(y, minlength=2) / n
-    weight = (0.5 / share)[y] / mask.sum(axis=1)  # classes alike, documents alike
+    weight = (0.5 / share)[y] / whole  # classes alike, documents alike
     gold_x = np.einsum("nt,ntf,nl->fl", mask * weight[:, None], x, np.eye(2)[y])
     gold_m = np.diag(np.bincount(y, weights=weight * (mask.sum(axis=1) - 1), minlength=2))
     m1, m2 = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
@@ -161,7 +165,7 @@ def train_field(sequences: list[tuple[list[int], int]], steps: int = 80, rate: f
         p = p / p.sum(axis=2, keepdims=True) * (mask * weight[:, None])[:, :, None]
         q = alpha[:, :-1, :, None] * tr[None, None] * (ex[:, 1:] * beta[:, 1:])[:, :, None, :]
         q = q / q.sum(axis=(2, 3), keepdims=True) * (mask[:, 1:] * weight[:, None])[:, :, None, None]
-        grads = [(gold_x - np.einsum("ntf,ntl->fl", x, p)) / n - ridge * emit, (gold_m - q.sum(axis=(0, 1))) / n - ridge * move]
+        grads = [(gold_x - np.einsum("ntf,ntl->fl", x, p)) / docs - ridge * emit, (gold_m - q.sum(axis=(0, 1))) / docs - ridge * move]
         for j, w in enumerate((emit, move)):
             m1[j] = 0.9 * m1[j] + 0.1 * grads[j]
             m2[j] = 0.99 * m2[j] + 0.01 * grads[j] ** 2
@@ -170,16 +174,15 @@ def train_field(sequences: list[tuple[list[int], int]], steps: int = 80, rate: f
 
 
 def _line_bits(texts: pd.Series) -> pd.Series:
-    return pd.Series([[b for b, _ in lines_of(t)][:TRAIN_LINES] for t in texts])
-
+    return pd.Series([[b for b, _ in lines_of(t)] for t in texts])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Field:
-    """Learns from the quality labels of about ``max_docs`` documents chosen by a hash of the id, the first
-    ``TRAIN_LINES`` lines of each; rows with null text or another label than 0 and 1 are not used."""
+    """Learns from the quality labels of about ``max_docs`` documents chosen by a hash of the id, from all of their
+    lines; rows with null text or another label than 0 and 1 are not used."""
     ship(docs.sparkSession)
     sample = train_sample(docs, labels, "quality", max_docs, salt=9)
-    got = sample.select("label", F.pandas_udf(_line_bits, "array<int>").asNondeterministic()("text").alias("b")).collect()  # about max_docs short lists
+    got = sample.select("label", F.pandas_udf(_line_bits, "array<int>").asNondeterministic()("text").alias("b")).collect()  # about max_docs lists, a number per line
     return train_field(sorted((list(r["b"]), r["label"]) for r in got))
 
 
