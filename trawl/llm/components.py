@@ -16,7 +16,8 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """``pairs`` are directed (a, b).  Every ``b`` beside ``a`` is hung on the least vertex of a's neighbourhood:
     those above ``a`` for the large star, those below for the small one."""
     near = pairs if large else pairs.filter("b < a")
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Cut, so that both sides of the join are freshly shuffled and Spark can split a vertex with very many edges.
+    least = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     kept = near.filter("b > a") if large else near
     hung = kept.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

@@ -236,8 +236,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS,
     Words are cut at ASCII white space after A-Z are lower-cased; whole texts are read.
     """
     prints, classes = _clusters(docs, shingle, max_bits, id_col, text_col, block)
+    # Both cut: two freshly shuffled sides let Spark split a component that holds a large share of all fingerprints.
     classes = cut(classes)
-    of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_root = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     label = classes.join(of_root, "root").select("fp", "component_id")
     return prints.join(label, "fp").select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
