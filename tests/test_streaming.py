@@ -76,10 +76,10 @@ def test_dedup_state_holds_active_base_paths_only(spark, tmp_path):
     """Ten base paths an hour; each is forgotten ten minutes after the watermark has passed it."""
     sink, sizes, hours = S.BatchTable(spark, str(tmp_path / "out")), [], 4
     for hour in range(hours):
-        rows = [(hour * 100 + i, f"http://a.com/{hour}-{i}", hour * 3600 + i) for i in range(10)]
+        rows = [(hour * 100 + i, f"http://a.com/{hour}-{i}", (hour + 1) * 3600 + i) for i in range(10)]
         if hour == hours - 1:
-            rows.append((hour * 100 + 50, "http://a.com/0-3", hour * 3600 + 50))  # long forgotten, so new again
-            rows.append((hour * 100 + 51, f"http://a.com/{hour}-3", hour * 3600 + 51))
+            rows.append((hour * 100 + 50, "http://a.com/0-3", (hour + 1) * 3600 + 50))  # long forgotten, so new again
+            rows.append((hour * 100 + 51, f"http://a.com/{hour}-3", (hour + 1) * 3600 + 51))
         spark.createDataFrame(rows, "seq long, url string, s long").select("seq", "url", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(
             str(tmp_path / "in" / f"h{hour}"))
         stream = spark.readStream.schema("seq long, url string, at timestamp").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
@@ -87,8 +87,8 @@ def test_dedup_state_holds_active_base_paths_only(spark, tmp_path):
         sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
     got = {r.seq: r.accepted for r in sink.read().collect()}
     assert got.pop((hours - 1) * 100 + 51) is False
-    assert len(got) == 10 * hours + 1 and all(got.values())
-    assert sizes[-1] <= 1.6 * sizes[0]
+    assert [s for s in (*(100 * h + i for h in range(hours) for i in range(10)), 350) if not got.get(s)] == []
+    assert sizes[-1] <= 2.2 * sizes[0]  # the last two hours; all four would be 4 times
 
 
 def test_window_totals_drop_closed_windows(spark, tmp_path):
