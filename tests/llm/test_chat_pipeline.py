@@ -94,3 +94,29 @@ def test_pipeline_stages_work_on_what_came_before(spark):
     assert four.columns == docs.columns and pairs(four) == [p for p in pairs(three) if p[0] not in bad]
     packed = corpus_pipeline.run(spark, sf)
     check_packing([tuple(r) for r in packed.select(*COLUMNS).collect()], pairs(four), Tokenizer.from_file(WORD), 4096)
+
+
+def test_stages_and_pipeline_of_empty_tables(spark, tmp_path):
+    from trawl.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, sf, name).limit(0).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_without_labels_or_items(spark, docs_of, odd_pairs):
+    from trawl.llm import decontam, quality, simhash, toxicity
+    from trawl.llm.common import table
+
+    docs = docs_of(odd_pairs)
+    labels, items = (table(spark, "/root/testdata/sf0.001", n).limit(0) for n in ("labels", "benchmark"))
+    assert toxicity.drop_toxic(docs, labels).count() == len(odd_pairs)
+    assert decontam.drop_contaminated(docs, items).count() == len(odd_pairs)
+    assert quality.keep_good(docs, labels).count() == quality.quality(docs, labels).filter("NOT base_failed").count()
+    assert simhash.keep_one(docs.limit(0)).count() == 0

@@ -141,7 +141,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_share
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns unchanged."""
+    """The rows of ``docs`` that are not contaminated, with their columns unchanged.
+
+    Null and empty texts have no words and stay; a row goes by its own text, so of rows with one id, null or not, only those
+    with a contaminated text go, all copies alike; no items, or items without words, leave every row; columns of any
+    name are kept as they are; an empty table gives an empty one."""
     bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).filter("contaminated")
     h, b = fresh(docs, "_text_hash"), bad.select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
     left = docs.withColumn(h, F.xxhash64(F.col(text_col).cast("string")))

@@ -217,7 +217,10 @@ def quality(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, id_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, columns unchanged."""
+    """The rows of ``docs`` that ``quality`` keeps, columns unchanged.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged alike, each by its text; without labels of
+    both kinds the base rules alone decide; columns of any name are kept as they are; an empty table gives an empty one."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     field = fit(rows, labels, **options)
     q = fresh(docs, "_q")
