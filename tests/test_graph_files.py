@@ -173,6 +173,52 @@ def test_large_files_are_not_opened(spark):
     assert [r.text for r in FS.read_files(spark, root, 10).collect()] == ["key"]
 
 
+def test_files_are_packed_into_tasks_by_bytes(spark):
+    """Many small files and one large one of one folder."""
+    from trawl.sources import files as FS
+
+    root = tempfile.mkdtemp(prefix="trawl-pack-")
+    for i in range(300):
+        _write(os.path.join(root, f"f{i:03d}.txt"), b"key " * 10)
+    _write(os.path.join(root, "f150-large.txt"), b"key " * 5000)
+    listed = FS.list_files(spark, root)
+    assert listed.count() == 301
+    parts = FS.packed(listed, task_bytes=4000, open_bytes=0)
+    sizes = [r["b"] for r in parts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("b")).collect()]
+    assert sum(sizes) == 300 * 40 + 20_000 and max(sizes) <= 4000 + 20_000 and sorted(sizes)[-2] <= 4040
+    texts = FS.read_listed(listed, task_bytes=4000).collect()
+    assert len(texts) == 301 and sum(len(r.text) for r in texts) == sum(sizes)
+    chunks = [len(x) for x in FS._listing(100)(iter([__import__("pandas").DataFrame({"path": [root]})]))]
+    assert chunks == [100, 100, 100, 1]
+
+
+def test_a_scan_with_a_hit_limit_opens_a_prefix_of_the_files(spark):
+    from trawl.sources import files as FS
+
+    root = tempfile.mkdtemp(prefix="trawl-prefix-")
+    for i in range(200):
+        _write(os.path.join(root, f"f{i:03d}.txt"), b"key\n" if i % 2 else b"no\nk")
+    listed = FS.list_files(spark, root)
+    texts, _, per_file = P.scan_until(listed, "key", "exact", 1000, 9, first_bytes=20)
+    assert texts.count() < 100 and per_file.agg(F.sum("total_matches")).first()[0] >= 9
+    lines, files, stats = P.scan_folder(spark, root, "key", "exact", max_hits=9, first_bytes=20)
+    assert sorted(os.path.basename(r.path) for r in files.collect()) == [f"f{i:03d}.txt" for i in range(1, 18, 2)]
+    st = stats.first()
+    assert (st.total_matches, st.files_scanned, st.stopped_early, lines.count()) == (9, 18, 9, 9)
+    _, files, stats = P.scan_folder(spark, root, "key", "exact", max_hits=1000, first_bytes=20)
+    assert files.count() == 100 and stats.first().stopped_early == 0
+
+
+def test_texts_are_written_by_tasks_into_few_folders(spark):
+    from trawl.sources import files as FS
+
+    root = tempfile.mkdtemp(prefix="trawl-write-")
+    rows = [(f"n{i}", f"text é {i}") for i in range(50)] + [("n1", "again"), ("n2", None)]
+    assert FS.write_texts(spark.createDataFrame(rows, "name string, text string").repartition(3), root, folders=4) == 52
+    assert len(os.listdir(root)) <= 4
+    assert sorted(r.text for r in FS.read_files(spark, root).collect()) == sorted(t or "" for _, t in rows)
+
+
 def test_scan_prunes_columns(spark):
     from trawl.plans import queries as Q
 

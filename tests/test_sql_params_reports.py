@@ -163,3 +163,17 @@ def test_scope_of_seeds(spark):
     seeds = spark.createDataFrame([("www.x.org",), ("y.org",)], "seed_host string")
     got = sorted((r.host, r.seed_host) for r in SC.in_scope_of(pages, seeds).collect())
     assert got == [("a.b.x.org", "www.x.org"), ("www.x.org", "www.x.org"), ("www.y.org", "y.org"), ("x.org", "www.x.org"), ("y.org", "y.org")]
+
+
+def test_line_matches_in_sql_equal_the_line_grep(spark):
+    from trawl.functions import sql_functions
+    from trawl.operators import grep as G
+
+    sql_functions.register(spark)
+    texts = ["one key\r\nKEY kéy\rnone", "a key\fkey key\n\nx", "", None, "no", "  \t" + "key " * 50 + "\x01"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.createOrReplaceTempView("sql_texts")
+    for mode in ("exact", "default", "fuzzy"):
+        got = spark.sql(f"SELECT doc_id, m.* FROM (SELECT doc_id, line_matches(text, 'key', '{mode}') AS f FROM sql_texts) LATERAL VIEW explode(f) AS m")
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in G.grep_lines(df, "key", mode).collect())
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()

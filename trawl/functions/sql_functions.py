@@ -4,6 +4,10 @@ Catalyst inlines them into the calling plan like any other expression — no Pyt
 
     register(spark)
     spark.sql("SELECT doc_id, count_matches(text, 'café', 'default') FROM documents")
+    spark.sql("SELECT doc_id, m.* FROM (SELECT doc_id, line_matches(text, 'café', 'default') AS found FROM documents) LATERAL VIEW explode(found) AS m")
+
+Functions of rows return arrays that a LATERAL VIEW unfolds in the same task; functions that return tables would make
+Spark join their rows back on the whole text.
 """
 
 from __future__ import annotations
@@ -33,19 +37,35 @@ def _bodies() -> dict[str, tuple[str, str, str]]:
         return f"coalesce(cast(floor((length({t}) - length(replace({t}, {k}, ''))) / length({k})) as int), 0)"
 
     quoted = "concat('\\\\Q', replace(k, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
-    ci = f"coalesce(regexp_count(t, concat('(?iu)', {quoted})), 0)"
     special = "k rlike '[\\\\x00-\\\\x1F\\\\x21-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'"
     sk_sp = f"trim({fold_spaces('k')})"
-    default = (f"CASE WHEN t IS NULL OR k IS NULL OR k = '' THEN 0 "
-               f"WHEN {special} OR length({sk_sp}) < 2 THEN {ci} "
-               f"ELSE greatest({ci}, {count_lit(fold_spaces('t'), sk_sp)}) END")
     sk = fold_strict("k")
     th = f"(CASE WHEN length({sk}) <= 4 THEN 1 ELSE 2 END)"
-    words = (f"size(filter(split({fold_spaces('t')}, ' '), w -> w <> '' AND abs(length(w) - length({sk})) <= {th} "
-             f"AND levenshtein(w, {sk}, {th}) >= 0))")
-    fuzzy = (f"CASE WHEN t IS NULL OR k IS NULL OR length({sk}) < 2 THEN 0 "
-             f"WHEN {count_lit(fold_strict('t'), sk)} > 0 THEN {count_lit(fold_strict('t'), sk)} ELSE coalesce({words}, 0) END")
-    exact = f"CASE WHEN t IS NULL OR k IS NULL OR k = '' THEN 0 ELSE {count_lit('t', 'k')} END"
+
+    def counts(t):
+        """SQL of the exact, default and fuzzy count of keyword ``k`` in the text ``t``."""
+        ci = f"coalesce(regexp_count({t}, concat('(?iu)', {quoted})), 0)"
+        default = (f"CASE WHEN {t} IS NULL OR k IS NULL OR k = '' THEN 0 "
+                   f"WHEN {special} OR length({sk_sp}) < 2 THEN {ci} "
+                   f"ELSE greatest({ci}, {count_lit(fold_spaces(t), sk_sp)}) END")
+        words = (f"size(filter(split({fold_spaces(t)}, ' '), w -> w <> '' AND abs(length(w) - length({sk})) <= {th} "
+                 f"AND levenshtein(w, {sk}, {th}) >= 0))")
+        fuzzy = (f"CASE WHEN {t} IS NULL OR k IS NULL OR length({sk}) < 2 THEN 0 "
+                 f"WHEN {count_lit(fold_strict(t), sk)} > 0 THEN {count_lit(fold_strict(t), sk)} ELSE coalesce({words}, 0) END")
+        return f"CASE WHEN {t} IS NULL OR k IS NULL OR k = '' THEN 0 ELSE {count_lit(t, 'k')} END", default, fuzzy
+
+    def by_mode(t):
+        exact, default, fuzzy = counts(t)
+        return (f"CASE mode WHEN 'exact' THEN ({exact}) WHEN 'fuzzy' THEN ({fuzzy}) WHEN 'default' THEN ({default}) "
+                "ELSE raise_error(concat('unknown mode ', coalesce(mode, 'null'))) END")
+
+    exact, default, fuzzy = counts("t")
+    plain = ("regexp_replace(regexp_replace(l, '^[\\\\x00-\\\\x20]+|[\\\\x00-\\\\x20]+$', ''), '[\\\\x00-\\\\x1F\\\\x7F]', '')")
+    snippet = f"CASE WHEN length({plain}) > 120 THEN concat(substring({plain}, 1, 117), '...') ELSE {plain} END"
+    pages = "split(regexp_replace(t, '\\r\\n?', '\\n'), chr(12), -1)"
+    line = f"named_struct('page', CASE WHEN instr(t, chr(12)) > 0 THEN i + 1 ELSE 0 END, 'line', j + 1, 'text', l, 'count', {by_mode('l')})"
+    counted = f"filter(flatten(transform({pages}, (p, i) -> transform(split(p, '\\n', -1), (l, j) -> {line}))), m -> m.count > 0)"
+    matches = f"transform({counted}, m -> named_struct('page', m.page, 'line', m.line, 'count', m.count, 'snippet', {snippet.replace('(l,', '(m.text,')}))"
     return {
         "normalize_url": ("u STRING, b STRING", "STRING", _normalize_url_sql()),
         "fold_strict": ("x STRING", "STRING", fold_strict("x")),
@@ -55,9 +75,9 @@ def _bodies() -> dict[str, tuple[str, str, str]]:
         "count_fuzzy": ("t STRING, k STRING", "INT", fuzzy),
         "count_matches": (
             "t STRING, k STRING, mode STRING", "INT",
-            f"CASE mode WHEN 'exact' THEN ({exact}) WHEN 'fuzzy' THEN ({fuzzy}) WHEN 'default' THEN ({default}) "
-            "ELSE raise_error(concat('unknown mode ', coalesce(mode, 'null'))) END",
+            by_mode("t"),
         ),
+        "line_matches": ("t STRING, k STRING, mode STRING", "ARRAY<STRUCT<page: INT, line: INT, count: INT, snippet: STRING>>", matches),
         "url_scheme_key": ("u STRING", "STRING",
                            "CASE WHEN startswith(u, 'http://') THEN concat('https://', substring(u, 8)) ELSE u END"),
     }

@@ -367,7 +367,8 @@ FX_HTML = "fx_html AS (SELECT page_id, url, CASE page_id % 17 " + " ".join(
 FX_JSON = """fx_json AS (
   SELECT page_id, url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS url_base,
     '{"files":["/a/' || CAST(page_id AS VARCHAR) || '.pdf","https://x.example.com/d/' || CAST(page_id AS VARCHAR) ||
-    '/download","/p","//c.example.org/' || CAST(page_id AS VARCHAR) || '.csv?v=1"]}' AS body FROM pages)"""
+    '/download","/p","//c.example.org/' || CAST(page_id AS VARCHAR) || '.csv?v=1"]}' AS body FROM pages
+  WHERE page_id % 7 <> 3 AND page_id % 13 <> 6 AND page_id % 5 <> 1 AND page_id % 17 <> 9 AND page_id % 11 <> 4)"""
 
 FX_EDGES = """fx_edges AS (
   SELECT src, dst, pos, CASE WHEN dst % 5 = 0 THEN 'doc' ELSE 'nav' END AS kind
@@ -999,6 +1000,11 @@ FROM texts LEFT JOIN o USING (page_id) LEFT JOIN r USING (page_id)"""
     small = f"(SELECT * FROM documents WHERE strlen(text) + 1 <= {Q.MAX_BYTES})"
     s["folder_scan"] = f"""SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches, CAST(count(*) AS BIGINT) AS matching_lines
 FROM ({grep_lines(small, ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"""
+    per_file = f"SELECT doc_id, CAST(sum(count) AS BIGINT) AS total_matches FROM ({grep_lines('documents', ['doc_id'], Q.KW_CI, 'default')}) GROUP BY doc_id"
+    s["folder_scan_stopped"] = f"""WITH t AS (SELECT *, sum(total_matches) OVER (ORDER BY doc_id) AS upto FROM ({per_file})), k AS (SELECT * FROM t WHERE upto - total_matches < {Q.MAX_HITS}),
+e AS (SELECT CASE WHEN max(upto) >= {Q.MAX_HITS} THEN max(doc_id) END AS last FROM k)
+SELECT doc_id, total_matches, (SELECT count(*) FROM documents d WHERE last IS NULL OR d.doc_id <= last) AS files_scanned, CASE WHEN last IS NULL THEN 0 ELSE {Q.MAX_HITS} END::BIGINT AS stopped_early FROM k, e"""
+    s["sql_grep_lines"] = grep_lines("documents", ["doc_id"], Q.KW_LINES_FUZZY, "fuzzy")
     s["file_scan"] = grep_lines("documents", ["doc_id"], Q.KW_PAGES, "default")
     s["decode_bytes"] = "SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS chars, CAST(strlen(text) + 1 AS BIGINT) AS bytes FROM documents"
     return s

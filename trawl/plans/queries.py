@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions import html as H
+from trawl.functions import sql_functions as SF
 from trawl.functions import text as T
 from trawl.functions import urls as U
 from trawl.operators import crawl as CR
@@ -400,7 +401,7 @@ def scope_redirect(spark, sf):
 
 
 def json_doc_links(spark, sf):
-    j = FX.fx_json(spark, sf)
+    j = FX.fx_json(spark, sf).filter(H.is_json_payload("status", "content_type", "content_length"))
     x = j.select("page_id", F.posexplode(H.json_doc_links(F.col("body"), F.col("url_base"))).alias("pos", "link"))
     return x.select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
@@ -552,10 +553,15 @@ def report_text(spark, sf):
 # --- files (one per document, written by Spark, then scanned as a folder) ----------------------
 
 def _from_folder(spark, sf, job):
-    """``job`` over a folder with one file per document, below ``doc_id=<n>/``; the result is cut into the checkpoint folder
-    and the files are removed."""
+    return _from_folder_of(spark, _docs(spark, sf), job)
+
+
+def _from_folder_of(spark, docs, job, folders=FS.FOLDERS):
+    """``job`` over a folder with one file per document; the result is cut into the checkpoint folder and the files are
+    removed."""
     folder = f"{ensure_checkpoint_dir(spark)}/trawl-docs-{uuid.uuid4().hex}"
-    _docs(spark, sf).select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    docs = docs.select(F.format_string("doc-%d", "doc_id").alias("name"), F.concat("text", F.lit("\n")).alias("text"))
+    FS.write_texts(docs, folder, folders)
     try:
         return job(folder).checkpoint()
     finally:
@@ -563,18 +569,13 @@ def _from_folder(spark, sf, job):
 
 
 def _doc_id():
-    return F.regexp_extract("path", r"/doc_id=(-?\d+)/", 1).cast("long").alias("doc_id")
-
-
-def _parts(df):
-    """Rows of the documents' files, without the markers and checksums that Spark writes beside them."""
-    return df.filter(F.col("path").rlike(r"/doc_id=-?\d+/part-"))
+    return F.regexp_extract("path", r"/doc-(-?\d+)-\d+[.]txt$", 1).cast("long").alias("doc_id")
 
 
 def folder_scan(spark, sf):
     def job(folder):
         _, per_file, _ = P.scan_folder(spark, folder, KW_CI, "default", max_bytes=MAX_BYTES)
-        return _parts(per_file).select(_doc_id(), *_long("total_matches", "matching_lines"))
+        return per_file.select(_doc_id(), *_long("total_matches", "matching_lines"))
 
     return _from_folder(spark, sf, job)
 
@@ -582,16 +583,35 @@ def folder_scan(spark, sf):
 def file_scan(spark, sf):
     """Line matches of every file of the folder."""
     def job(folder):
-        files = FS.read_listed(_parts(FS.list_files(spark, folder)), MAX_BYTES)
+        files = FS.read_files(spark, folder)
         lines = G.grep_lines(files, KW_PAGES, "default", id_cols=("path",))
         return lines.select(_doc_id(), *_long("page", "line", "count"), "snippet")
 
     return _from_folder(spark, sf, job)
 
 
+def folder_scan_stopped(spark, sf):
+    """The files that a folder search lists before it stops at a limit of matches, in the order of their paths."""
+    def job(folder):
+        _, per_file, stats = P.scan_folder(spark, folder, KW_CI, "default", max_bytes=MAX_BYTES, max_hits=MAX_HITS, first_bytes=1 << 18)
+        numbers = stats.select(*_long("files_scanned", "stopped_early"))
+        return per_file.select(_doc_id(), *_long("total_matches")).join(F.broadcast(numbers))  # one row
+
+    ordered = _docs(spark, sf).withColumn("doc_id", F.col("doc_id") + 100_000_000)  # ids of one length sort as paths do
+    return _from_folder_of(spark, ordered, job, folders=1).withColumn("doc_id", F.col("doc_id") - 100_000_000)
+
+
+def sql_grep_lines(spark, sf):
+    """Line matches through SQL alone."""
+    SF.register(spark)
+    _docs(spark, sf).createOrReplaceTempView("trawl_documents")
+    return spark.sql(f"""SELECT doc_id, CAST(m.page AS BIGINT) AS page, CAST(m.line AS BIGINT) AS line, CAST(m.count AS BIGINT) AS count, m.snippet
+FROM (SELECT doc_id, line_matches(text, '{KW_LINES_FUZZY}', 'fuzzy') AS found FROM trawl_documents) LATERAL VIEW explode(found) AS m""")
+
+
 def decode_bytes(spark, sf):
     def job(folder):
-        texts = FS.read_listed(_parts(FS.list_files(spark, folder)), MAX_BYTES)
+        texts = FS.read_files(spark, folder)
         return texts.select(_doc_id(), F.length("text").cast("long").alias("chars"), F.col("length").alias("bytes"))
 
     return _from_folder(spark, sf, job)

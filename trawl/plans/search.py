@@ -15,19 +15,52 @@ from trawl.operators import stats as S
 from trawl.sources import files as FS
 
 
+#: Bytes of the first range of files that a search with a hit limit opens; every further range is four times as large.
+FIRST_BYTES = 256 << 20
+
+
+def _scan(listed: DataFrame, keyword: str, mode: str, max_bytes: int):
+    """(texts, line matches, per-file results) of listed files, the texts cut."""
+    texts = FS.read_listed(listed, max_bytes).checkpoint()
+    lines = G.grep_lines(texts, keyword, mode, text_col="text", id_cols=("path",))
+    return texts, lines, G.grep_files(lines, ("path",))
+
+
+def scan_until(listed: DataFrame, keyword: str, mode: str, max_bytes: int, max_hits: int, first_bytes: int = FIRST_BYTES):
+    """``_scan`` of a prefix of the files in the order of their paths: ranges of growing size are opened one after the other
+    until the matches reach ``max_hits``.  The driver sees one number per range, and there are few: each is four times the
+    last."""
+    small = listed.filter(F.col("length") <= max_bytes)
+    placed = S.running_sum(small, ["path"], "length", "_before").checkpoint()
+    end = placed.agg(F.max("_before")).first()[0]
+    found, total, low, size = None, 0, 0, first_bytes
+    while end is not None and low <= end:
+        part = placed.filter((F.col("_before") >= low) & (F.col("_before") < low + size)).select("path", "length")
+        texts, lines, per_file = _scan(part, keyword, mode, max_bytes)
+        per_file = per_file.checkpoint()
+        found = (texts, lines, per_file) if found is None else tuple(a.unionByName(b) for a, b in zip(found, (texts, lines, per_file), strict=True))
+        total += per_file.agg(F.sum("total_matches")).first()[0] or 0
+        if total >= max_hits:
+            break
+        low, size = low + size, size * 4
+    return found or _scan(small, keyword, mode, max_bytes)
+
+
 def scan_folder(spark: SparkSession, folder: str, keyword: str, mode: str = "default",
-                max_bytes: int = 10 * 1024 * 1024, max_hits: int = 0):
+                max_bytes: int = 10 * 1024 * 1024, max_hits: int = 0, first_bytes: int = FIRST_BYTES):
     """Returns (line matches, per-file results, one-row stats).
 
     With ``max_hits`` the scan stops after the file (in path order) whose matches bring the
     total to the limit: later files are neither reported nor counted as scanned or skipped,
-    and the stats row carries ``stopped_early`` = the limit."""
+    and the stats row carries ``stopped_early`` = the limit.  Files are opened in ranges, so those far behind
+    that file are not read."""
     listed = FS.list_files(spark, folder)
-    texts = FS.read_listed(listed, max_bytes).checkpoint()
+    if max_hits > 0:
+        texts, lines, per_file = scan_until(listed, keyword, mode, max_bytes, max_hits, first_bytes)
+    else:
+        texts, lines, per_file = _scan(listed, keyword, mode, max_bytes)
     failed = texts.filter(F.col("text").isNull()).select(F.col("path").alias("_failed_path"), F.lit(True).alias("_failed"))
     listed = listed.join(failed, F.col("path") == F.col("_failed_path"), "left").select("path", "length", F.coalesce("_failed", F.lit(False)).alias("failed"))
-    lines = G.grep_lines(texts, keyword, mode, text_col="text", id_cols=("path",))
-    per_file = G.grep_files(lines, ("path",))
     stopped = 0
     if max_hits > 0:
         per_file = S.max_hits_cut(per_file, ["path"], "total_matches", max_hits)

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.session import ensure_checkpoint_dir
+from trawl.operators.stats import running_sum
+from trawl.session import ensure_checkpoint_dir, ship_code
 
 _ENTRY = "path string, length long, is_dir boolean"
 
@@ -40,60 +41,92 @@ def _info(path: str):
     return system.get_file_info(place)
 
 
-def _listing():
-    opener = _opener()
+def _entries(opener, folder: str) -> Iterator[tuple[str, int | None, bool]]:
+    """(path, length, whether it is a folder) of what a folder holds, links left out."""
+    import os
+
+    from pyarrow import fs
+
+    system, place = opener(folder)
+    if isinstance(system, fs.LocalFileSystem):  # one entry at a time
+        with os.scandir(place) as found:
+            for x in found:
+                if not x.is_symlink() and (x.is_file() or x.is_dir()):
+                    yield f"{folder.rstrip('/')}/{x.name}", None if x.is_dir() else x.stat().st_size, x.is_dir()
+        return
+    for x in system.get_file_info(fs.FileSelector(place)):
+        if x.type in (fs.FileType.File, fs.FileType.Directory):
+            is_dir = x.type == fs.FileType.Directory
+            yield f"{folder.rstrip('/')}/{x.base_name}", None if is_dir else x.size, is_dir
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
 
+def _listing(chunk: int):
+    opener, entries = _opener(), _entries
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
-        from pyarrow import fs
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["path", "length", "is_dir"]).astype({"length": "Int64", "is_dir": bool})
 
         for batch in batches:
             for folder in batch["path"]:
-                system, place = opener(folder)
-                local = isinstance(system, fs.LocalFileSystem)
                 rows = []
-                for x in system.get_file_info(fs.FileSelector(place)):
-                    if local and os.path.islink(x.path):
-                        continue
-                    if x.type in (fs.FileType.File, fs.FileType.Directory):
-                        is_dir = x.type == fs.FileType.Directory
-                        rows.append((f"{folder.rstrip('/')}/{x.base_name}", None if is_dir else x.size, is_dir))
-                yield pd.DataFrame(rows, columns=["path", "length", "is_dir"]).astype({"length": "Int64", "is_dir": bool})
+                for row in entries(opener, folder):
+                    rows.append(row)
+                    if len(rows) == chunk:
+                        yield frame(rows)
+                        rows = []
+                yield frame(rows)
 
     return run
 
 
-def _reading():
+def _reading(batch_bytes: int, batch_files: int):
     opener = _opener()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
+        rows, held = [], 0
         for batch in batches:
-            for path, length in zip(batch["path"], batch["length"], strict=True):  # one file in memory at a time
+            for path, length in zip(batch["path"], batch["length"], strict=True):
                 system, place = opener(path)
                 try:
                     with system.open_input_stream(place) as f:
                         content = f.read()
                 except OSError:
                     content = None
-                yield pd.DataFrame({"path": [path], "length": [length], "content": [content]})
+                if rows and (held + len(content or b"") > batch_bytes or len(rows) == batch_files):
+                    yield pd.DataFrame(rows, columns=["path", "length", "content"])
+                    rows, held = [], 0
+                rows.append((path, length, content))
+                held += len(content or b"")
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
     return run
 
 
+CHUNK_FILES = 10_000  # entries of a folder that a task holds at a time
+TASK_BYTES = 128 << 20  # bytes of files that a task reads
+OPEN_BYTES = 256 << 10  # what opening a file counts for
+BATCH_BYTES = 16 << 20  # bytes of files that a task holds at a time, unless one file has more
+BATCH_FILES = 1_000
+FOLDERS = 16
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length) of every regular file below ``folder``, without reading content."""
     if _info(folder).type.name != "Directory":
         raise FileNotFoundError(f"Folder not found: {folder}")
     ensure_checkpoint_dir(spark)
+    ship_code(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folders, count = spark.createDataFrame([(folder,)], "path string"), 1
     found: DataFrame | None = None
     while count:  # one round per level of folders
-        level = folders.repartition(min(n, count)).mapInPandas(_listing(), _ENTRY).checkpoint()
+        level = folders.repartition(min(n, count)).mapInPandas(_listing(CHUNK_FILES), _ENTRY).checkpoint()
         files = level.filter(~F.col("is_dir")).select("path", "length")
         found = files if found is None else found.unionByName(files)
         folders = level.filter("is_dir").select("path")
@@ -101,19 +134,28 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-def read_listed(files: DataFrame, max_bytes: int) -> DataFrame:
-    """(path, length, text) of the listed files within the size limit; ``text`` is null for files that can't be read."""
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = files.filter(F.col("length") <= F.lit(max_bytes)).repartition(n)
-    raw = small.mapInPandas(_reading(), "path string, length long, content binary")
+def packed(files: DataFrame, task_bytes: int = TASK_BYTES, open_bytes: int = OPEN_BYTES) -> DataFrame:
+    """``files`` (path, length) dealt to tasks by bytes: in the order of paths, a task ends where the running sum of lengths
+    (and a fixed sum per file) passes a multiple of ``task_bytes``, so it has that much and one file more at most."""
+    ensure_checkpoint_dir(files.sparkSession)
+    weighed = files.withColumn("_weight", F.col("length") + open_bytes)
+    placed = running_sum(weighed, ["path"], "_weight", "_before").withColumn("_task", F.floor(F.col("_before") / task_bytes).cast("int")).checkpoint()
+    tasks = (placed.agg(F.max("_task")).first()[0] or 0) + 1
+    return placed.repartitionById(tasks, F.col("_task")).select(*files.columns)
+
+
+def read_listed(files: DataFrame, max_bytes: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(path, length, text) of the listed files, those over ``max_bytes`` left out; ``text`` is null for files that can't be read."""
+    small = files if max_bytes is None else files.filter(F.col("length") <= F.lit(max_bytes))
+    raw = packed(small.select("path", "length"), task_bytes).mapInPandas(_reading(BATCH_BYTES, BATCH_FILES), "path string, length long, content binary")
     return raw.select("path", "length", decode_utf8(F.col("content")).alias("text"))
 
 
-def read_files(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
     return read_listed(list_files(spark, folder), max_bytes)
 
 
-def read_file(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+def read_file(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One file as (path, length, text); empty when it is over the limit."""
     info = _info(path)
     if info.type.name != "File":
@@ -121,6 +163,35 @@ def read_file(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     return read_listed(spark.createDataFrame([(path, info.size)], "path string, length long"), max_bytes)
 
 
+def _writing(folder: str, folders: int):
+    opener = _opener()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        import pandas as pd
+
+        n = 0
+        for batch in batches:
+            for name, row, text in zip(batch["name"], batch["row"], batch["text"], strict=True):
+                system, place = opener(f"{folder}/{zlib.crc32(name.encode()) % folders:04d}/{name}-{row}.txt")
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as f:
+                    f.write((text or "").encode("utf-8", "replace"))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return run
+
+
+def write_texts(texts: DataFrame, folder: str, folders: int = FOLDERS) -> int:
+    """Writes every row (name, text) as a file ``<name>-<row number>.txt`` below ``folders`` folders, from the tasks; a task that
+    runs again writes the same files.  Returns their number."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    return rows.mapInPandas(_writing(folder, folders), "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that this library wrote, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -170,7 +170,11 @@ def fx_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('.csv?v=1"]}'),
     )
     base = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    return p.select("page_id", "url", base.alias("url_base"), body.alias("body"))
+    m = F.col("page_id")
+    return p.select(
+        "page_id", "url", base.alias("url_base"), body.alias("body"), F.when(m % 7 == 3, 404).when(m % 13 != 6, 200).alias("status"),
+        F.when(m % 5 == 1, F.lit("text/html")).when(m % 17 != 9, F.lit("application/json; charset=utf-8")).alias("content_type"),
+        F.when(m % 11 == 4, F.lit("5000001")).when(m % 11 == 5, F.lit("5000000")).when(m % 11 == 6, F.lit("many")).alias("content_length"))
 
 
 def fx_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
