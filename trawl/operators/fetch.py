@@ -124,16 +124,20 @@ def judge(j: DataFrame) -> DataFrame:
 VISITED = ("redirect_duplicate", "skipped_size", "parse_error", "challenge", "ok")
 
 
-def crawl_stats(outcomes: DataFrame) -> DataFrame:
-    """visited (fetches that returned), parsed, docs, html pages = max(0, parsed - docs), blocked."""
+def stat_columns() -> list[Column]:
+    """The statistics of a crawl's fetches, as aggregates over outcome and kind."""
     o = F.col("outcome")
-    visited = o.isin(*VISITED)
-    return outcomes.agg(
-        F.count_if(visited).cast("long").alias("pages_visited"),
+    return [
+        F.count_if(o.isin(*VISITED)).cast("long").alias("pages_visited"),
         F.count_if(o == "ok").cast("long").alias("pages_parsed"),
         F.count_if((o == "ok") & (F.col("kind") == "document")).cast("long").alias("docs_parsed"),
         F.count_if(o.isin("blocked", "challenge")).cast("long").alias("pages_blocked"),
-    ).withColumn("html_pages", F.greatest(F.col("pages_parsed") - F.col("docs_parsed"), F.lit(0)))
+    ]
+
+
+def crawl_stats(outcomes: DataFrame) -> DataFrame:
+    """visited (fetches that returned), parsed, docs, html pages = max(0, parsed - docs), blocked."""
+    return outcomes.agg(*stat_columns()).withColumn("html_pages", F.greatest(F.col("pages_parsed") - F.col("docs_parsed"), F.lit(0)))
 
 
 def error_counts(outcomes: DataFrame) -> DataFrame:

@@ -37,15 +37,11 @@ def crawl_json(results: DataFrame, outcomes: DataFrame, blocked: DataFrame,
 
     Lines: a header with query and statistics, one per reason of network errors, one per result by falling
     count then visit order, one per blocked URL.  Statistics and error counts come from aggregations."""
-    from trawl.operators.fetch import ERROR_TYPES, VISITED, error_reasons
+    from trawl.operators.fetch import ERROR_TYPES, error_reasons, stat_columns
     from trawl.operators.stats import global_rank
 
-    o = F.col("outcome")
     stats = outcomes.agg(
-        F.count_if(o.isin(*VISITED)).cast("long").alias("pages_visited"),
-        F.count_if(o == "ok").cast("long").alias("pages_parsed"),
-        F.count_if((o == "ok") & (F.col("kind") == "document")).cast("long").alias("docs_parsed"),
-        F.count_if(o.isin("blocked", "challenge")).cast("long").alias("pages_blocked"),
+        *stat_columns(),
         *[F.count_if(F.col("category") == t).cast("long").alias(t) for t in ERROR_TYPES],
     )
     total = results.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_matches"))
@@ -173,19 +169,15 @@ def crawl_text(results: DataFrame, outcomes: DataFrame, blocked: DataFrame, dura
     ``fetch.blocked_by_reason`` (reason, count, urls, more).  Sections: summary, issues, results ranked by
     count then URL, blocked URLs by reason, early-stop note.  Every section is built from its own
     aggregation or ranking; nothing is gathered into one row."""
-    from trawl.operators.fetch import VISITED, error_counts, error_reasons
+    from trawl.operators.fetch import crawl_stats, error_counts, error_reasons
     from trawl.operators.stats import global_rank
 
-    o = F.col("outcome")
     total = results.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("t"))
     timing = [F.concat(F.lit("Duration: "), format_duration(F.lit(duration_ms)))] if duration_ms is not None else []
-    summary = outcomes.agg(
-        F.count_if(o.isin(*VISITED)).alias("v"), F.count_if(o == "ok").alias("p"),
-        F.count_if((o == "ok") & (F.col("kind") == "document")).alias("d"),
-    ).select("*", total.scalar().alias("t"))
+    summary = crawl_stats(outcomes).select("*", total.scalar().alias("t"))
     head = summary.select(F.posexplode(F.array(
-        F.lit("--- Results ---"), *timing, F.format_string("Total matches found: %d", "t"), F.format_string("Pages visited: %d", "v"),
-        F.format_string("  HTML pages: %d", F.greatest(F.col("p") - F.col("d"), F.lit(0))), F.format_string("  Documents:  %d", "d"),
+        F.lit("--- Results ---"), *timing, F.format_string("Total matches found: %d", "t"), F.format_string("Pages visited: %d", "pages_visited"),
+        F.format_string("  HTML pages: %d", "html_pages"), F.format_string("  Documents:  %d", "docs_parsed"),
     )).alias("i", "line")).select(*_lines(0, F.col("line"), "i"))
 
     labels = F.create_map(*[x for k, v in ERROR_LABELS for x in (F.lit(k), F.lit(v))])
