@@ -74,7 +74,7 @@ def test_batches_count_once_after_a_repeat(spark, tmp_path):
 
 def test_dedup_state_holds_active_base_paths_only(spark, tmp_path):
     """Ten base paths an hour; each is forgotten ten minutes after the watermark has passed it."""
-    sink, sizes, hours = S.BatchTable(spark, str(tmp_path / "out")), [], 4
+    sink, sizes, hours = S.BatchTable(spark, str(tmp_path / "out")), [], 3
     for hour in range(hours):
         rows = [(hour * 100 + i, f"http://a.com/{hour}-{i}", (hour + 1) * 3600 + i) for i in range(10)]
         if hour == hours - 1:
@@ -87,8 +87,8 @@ def test_dedup_state_holds_active_base_paths_only(spark, tmp_path):
         sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
     got = {r.seq: r.accepted for r in sink.read().collect()}
     assert got.pop((hours - 1) * 100 + 51) is False
-    assert [s for s in (*(100 * h + i for h in range(hours) for i in range(10)), 350) if not got.get(s)] == []
-    assert sizes[-1] <= 2.2 * sizes[0]  # the last two hours; all four would be 4 times
+    assert [s for s in (*(100 * h + i for h in range(hours) for i in range(10)), 250) if not got.get(s)] == []
+    assert sizes[-1] <= 2.2 * sizes[0]  # the last two hours; all three would be 3 times
 
 
 def test_window_totals_drop_closed_windows(spark, tmp_path):

@@ -192,7 +192,8 @@ def crawl_frontier(
             "parent_rank", F.when(F.col("kind") == "doc", 0).otherwise(1).alias("kind_ord"), "pos",
             F.col("dst").alias("url"), "kind",
         )
-        cand = with_parts(cand)
+        # Narrow rows, cut: the range partitioning below would have the links extracted twice.
+        cand = with_parts(cand).checkpoint()
         fresh = cand.join(queued.select("key"), "key", "left_anti")
         firsts = fresh.groupBy("key").agg(F.min(F.struct("parent_rank", "kind_ord", "pos", "url", "kind", "has_q", "base", "params")).alias("_f"))
         firsts = firsts.select("key", "_f.*")
