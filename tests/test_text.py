@@ -219,3 +219,31 @@ def test_a_very_long_fuzzy_keyword(spark):
     docs = spark.createDataFrame([(1, "some " + near + " here"), (2, word[:-9])], "doc_id long, text string")
     got = G.keyword_table_grep(docs, spark.createDataFrame([(word, "fuzzy")], "keyword string, mode string")).collect()
     assert [(r["doc_id"], r["count"]) for r in got] == [(1, 1)]
+
+
+def test_keyword_tables_take_time_in_proportion_to_a_line(spark):
+    import time
+
+    from trawl.operators import grep as G
+
+    table = spark.createDataFrame([("lantern", "default"), ("the", "exact"), ("kee", "fuzzy")], "keyword string, mode string")
+
+    def seconds(words):
+        line = "".join(f"w{i * 7919 % 99991}x the kee " for i in range(words))
+        docs = spark.createDataFrame([(1, line)], "doc_id long, text string").checkpoint()
+        began = time.time()
+        got = {(r["keyword"], r["count"]) for r in G.keyword_table_grep(docs, table).collect()}
+        assert got == {("the", words), ("kee", words)}
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(24_000) < 10 * seconds(2_000) + 3
+
+
+def test_keyword_tables_on_lines_that_come_twice(spark):
+    from trawl.operators import grep as G
+
+    docs = spark.createDataFrame([(1, "a key here"), (1, "a key here"), (None, "kee"), (None, "kee")], "doc_id long, text string")
+    table = spark.createDataFrame([("key", "fuzzy"), ("here", "default")], "keyword string, mode string")
+    got = sorted((str(r["doc_id"]), r["keyword"], r["count"]) for r in G.keyword_table_grep(docs, table).collect())
+    assert got == [("1", "here", 1), ("1", "here", 1), ("1", "key", 1), ("1", "key", 1), ("None", "key", 2)]
