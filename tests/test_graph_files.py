@@ -224,3 +224,17 @@ def test_scan_prunes_columns(spark):
 
     plan = Q.count_default(spark, SF01)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_texts_of_one_partition_are_written_and_read_by_many_tasks(spark):
+    from trawl.sources import files as FS
+
+    root, batch = tempfile.mkdtemp(prefix="trawl-deal-"), spark.conf.get(FS.ARROW_ROWS)
+    rows = [(f"n{i}", None if i == 7 else f"text {i}") for i in range(400)]
+    assert FS.write_texts(spark.createDataFrame(rows, "name string, text string").coalesce(1), root, folders=1) == 400
+    assert spark.conf.get(FS.ARROW_ROWS) == batch
+    listed = FS.list_files(spark, root)
+    writers = {int(r.path.rsplit("-", 1)[1][:-4]) >> 33 for r in listed.collect()}
+    assert len(writers) > 1
+    assert FS.packed(listed).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert sorted(r.text for r in FS.read_files(spark, root).collect()) == sorted(t or "" for _, t in rows)
