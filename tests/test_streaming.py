@@ -101,3 +101,14 @@ def test_window_totals_drop_closed_windows(spark, tmp_path):
         totals.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
     assert [r.total_matches for r in sink.latest(["window_start", "keyword", "mode"]).collect()] == [2] * 4
     assert max(totals) <= 2
+
+
+def test_parts_of_a_stream_are_ranges_that_a_scan_can_use(spark):
+    from trawl.plans import queries as Q
+
+    root = tempfile.mkdtemp(prefix="trawl-thirds-")
+    spark.createDataFrame([(i, "x") for i in (-4, 0, 0, 5, 9, None)], "doc_id long, text string").write.parquet(f"{root}/d")
+    parts = Q._thirds(spark.read.parquet(f"{root}/d"), "doc_id")
+    assert [sorted(r.doc_id for r in p.collect()) for p in parts] == [[-4, 0, 0], [5], [9]]
+    for p in parts:
+        assert "GreaterThanOrEqual(doc_id" in p._jdf.queryExecution().executedPlan().toString()
