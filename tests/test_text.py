@@ -247,3 +247,22 @@ def test_keyword_tables_on_lines_that_come_twice(spark):
     table = spark.createDataFrame([("key", "fuzzy"), ("here", "default")], "keyword string, mode string")
     got = sorted((str(r["doc_id"]), r["keyword"], r["count"]) for r in G.keyword_table_grep(docs, table).collect())
     assert got == [("1", "here", 1), ("1", "here", 1), ("1", "key", 1), ("1", "key", 1), ("None", "key", 2)]
+
+
+@pytest.mark.parametrize("text", ["", "key", "x" * 700 + "key" + "y" * 700, ("q" * 300 + " key\x02 ") * 9, "key " * 300, "é key   KEY kéy" * 60])
+def test_literal_snippets_equal_single_ones(spark, text):
+    flat = spark.createDataFrame([(text,), (None,)], "t string").select(T.flatten_whitespace(F.col("t")).alias("flat"))
+    got = [r.s for r in flat.select(F.explode(T.literal_snippets(F.col("flat"), "key")).alias("s")).collect()]
+    hits = flat.select("flat", F.explode(T.literal_starts(F.col("flat"), "key")).alias("s"))
+    single = T.build_snippet(F.col("flat"), F.reverse("flat"), F.length("flat"), F.col("s"), F.col("s") + 3)
+    assert got == [r.v for r in hits.select(single.alias("v")).collect()]
+
+
+def test_case_insensitive_counts_of_plain_and_other_texts(spark):
+    texts = ["Key kEY keykey", "KEY Key é", "ſo So sO", "a i̇++ I++ i++", "", "aaa AAA", "C++ c++C++"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kw in ("key", "so", "i++", "aa", "C++", "ſo", "É"):
+        rows = docs.select("text", T.count_ci("text", kw).alias("ci"), T.count_default("text", kw).alias("d"), F.regexp_count("text", F.lit(T.keyword_regex(kw, "default"))).alias("want")).collect()
+        assert all(r.ci == r.want and r.d == model.count(r.text, kw, "default") for r in rows), kw
+    plan = docs.select(T.fold_spaces("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan  # ASCII texts are not looked up character by character
