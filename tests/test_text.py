@@ -266,3 +266,72 @@ def test_case_insensitive_counts_of_plain_and_other_texts(spark):
         assert all(r.ci == r.want and r.d == model.count(r.text, kw, "default") for r in rows), kw
     plan = docs.select(T.fold_spaces("text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "octet_length" in plan  # ASCII texts are not looked up character by character
+
+
+@pytest.mark.parametrize("block", [7, 100, 1 << 18])
+def test_scans_for_keyword_tables_equal_plain_counts(monkeypatch, block):
+    import random
+
+    import numpy as np
+
+    from trawl.operators import keyword_scan as KS
+
+    monkeypatch.setattr(KS, "BLOCK", block)
+    rnd = random.Random(block)
+
+    def word(alphabet, n):
+        return "".join(rnd.choices(alphabet, k=n)).encode()
+
+    lines = [b"", b"a", b"\0a\0"] + [b" ".join(word("aab", rnd.randint(1, 30)) for _ in range(rnd.randint(0, 9))) for _ in range(60)]
+    pieces = [x[i : i + n] for x in lines for n in (1, 2, 3, 7, 8, 9, 16, 17, 25) for i in (0, 3) if len(x) >= i + n]
+    keys = list(dict.fromkeys([*rnd.sample(pieces, 120), b"aa", b"aaaaaaaaaa", b"a" * 20, b"zz", b"a\0", b"\0"]))
+    table = [(100 + 7 * i, m, k, k, k[1:] or None, k) for i, (k, m) in enumerate((k, m) for k in keys for m in ("exact", "default", "fuzzy"))]
+    words = sorted({w for x in lines for w in x.split(b" ") if w})[::2]
+    fuzzy = [r[0] for r in table if r[1] == "fuzzy"]
+    near = {w: rnd.sample(fuzzy, rnd.randint(1, 5)) for w in words}
+    times = [rnd.choice([1, 1, 1, 2, 3]) for _ in lines]
+    want = []
+    for x, n in zip(lines, times, strict=True):
+        got = []
+        for number, mode, keyword, cased, spaced, strict in table:
+            c = x.count({"exact": keyword, "default": cased, "fuzzy": strict}[mode])
+            c = max(c, x.count(spaced)) if mode == "default" and spaced else c
+            if c:
+                got += [(number, c)] * n
+            elif mode == "fuzzy" and (c := sum(number in near.get(w, ()) for w in x.split(b" "))):
+                got.append((number, c * n))
+        want.append(sorted(got))
+    one = (np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)]))
+    scan = KS.KeywordScan(table, (words, np.array([len(near[w]) for w in words]), np.array([n for w in words for n in near[w]])))
+    sizes, numbers, counts = scan.hits([one] * 4, np.array(times))
+    pairs = np.split(np.stack([numbers, counts], 1), np.cumsum(sizes)[:-1])
+    assert [sorted(map(tuple, p.tolist())) for p in pairs] == want
+
+
+def test_keyword_tables_of_all_sizes_find_the_same_near_words(spark, monkeypatch):
+    lines = ["the lantern lantrens lamtern", "a lanterns' latern", "lntrn", "kez key keys qey ley", "ab", "überall ubreall", "internationalisation internationalizatoin"] * 2
+    docs = spark.createDataFrame([(i // 2, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    words = ["lantern", "key", "keys", "überall", "internationalisations", "ab", "zzz", "x1"]
+    table = spark.createDataFrame([(w, m) for w in words for m in ("fuzzy", "exact")], "keyword string, mode string")
+    want = sorted(tuple(r) for r in G.multi_keyword_grep(docs, [(w, m) for w in words for m in ("fuzzy", "exact")]).collect())
+    assert len(want) > 20
+    assert sorted(tuple(r) for r in G.keyword_table_grep(docs, table).collect()) == want
+    monkeypatch.setattr(G, "LOOP_KEYWORDS", 0)
+    assert sorted(tuple(r) for r in G.keyword_table_grep(docs, table).collect()) == want
+    monkeypatch.setattr(G, "NEAR_WORDS", 0)
+    assert sorted(tuple(r) for r in G.keyword_table_grep(docs, table).collect()) == want
+
+
+def test_keywords_with_a_common_part_take_no_more_time_than_others(spark):
+    import time
+
+    docs = spark.range(8_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line of the same the words as the others "), F.col("id")).alias("text")).checkpoint()
+
+    def seconds(middle):
+        table = spark.createDataFrame([(f"{i:04d}{middle}{i:04d}", m) for i in range(4_000) for m in ("exact", "default")], "keyword string, mode string").checkpoint()
+        began = time.time()
+        assert G.keyword_table_grep(docs, table).count() == 0
+        return time.time() - began
+
+    seconds("xyz")
+    assert seconds("the") < 3 * seconds("xyz") + 3
